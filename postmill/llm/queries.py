@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 from postmill.llm.common import new_path, table
+from postmill.llm.media import media_features
 from postmill.llm.secrets import scan_secrets
 from postmill.llm.sharding import PRIME, ROUNDS, round_keys, shard_rows
 from postmill.llm.token_counts import count_tokens
 from postmill.llm.token_files import digests, write_tokens
 
 
+def op1_flac_media(spark, sf_dir):
+    """Every whole text as a FLAC stream in a media column, read back, verified and described."""
+    return media_features(table(spark, sf_dir, "documents"))
+
+
 def op4_token_files(spark, sf_dir):
     """Writes all documents' token ids to list columns in the shared folder and reads their digests back."""
     path = new_path(spark, "tokens")
@@ -29,7 +35,7 @@ def op10_token_counts(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op4_token_files, op6_secret_scan, op7_feistel_shards, op10_token_counts)}
+    return {f.__name__: f for f in (op1_flac_media, op4_token_files, op6_secret_scan, op7_feistel_shards, op10_token_counts)}
 
 
 def oracle_sql():
