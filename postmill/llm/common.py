@@ -8,6 +8,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,17 +60,47 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return bytes_[at[0] : at[-1]], at - at[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cuts batches so that each holds about `most` bytes of `column`; a longer document stands alone."""
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES, rows: int = 4000) -> Iterator[pa.RecordBatch]:
+    """Cuts batches so that each holds about `most` bytes of `column` and `rows` rows; a longer document stands alone."""
     for batch in batches:
         at = utf8(batch.column(batch.schema.get_field_index(column)))[1]
         start, n = 0, batch.num_rows
         while start < n:
-            stop = max(start + 1, int(np.searchsorted(at, at[start] + most, "right")) - 1)
-            yield batch.slice(start, stop - start)
+            stop = min(max(start + 1, int(np.searchsorted(at, at[start] + most, "right")) - 1), start + rows)
+            yield batch.slice(start, min(stop, n) - start)
             start = stop
 
 
+def split_words(texts: pa.Array, table: bytes) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Words of each text, once its UTF-8 bytes are mapped by `table`, between runs of ASCII white space.
+
+    Returns the words' codes, their offsets by text, and the distinct words. The table must map bytes from 128 on to
+    themselves.
+    """
+    data, at = utf8(texts)
+    mapped = np.frombuffer(table, np.uint8)[data]
+    column = pa.Array.from_buffers(pa.string(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(mapped)])
+    split = pc.ascii_split_whitespace(column)
+    offsets = np.asarray(split.offsets).astype(np.int64)
+    coded = split.flatten().dictionary_encode()
+    codes = np.asarray(coded.indices)
+    empty = pc.index(coded.dictionary, pa.scalar("")).as_py()
+    if empty >= 0:  # white space at an end of a text
+        keep = codes != empty
+        offsets = np.concatenate(([0], np.cumsum(keep)))[offsets - offsets[0]]
+        codes = codes[keep]
+    return codes, offsets - offsets[0], coded.dictionary
+
+
+#: A-Z to a-z, all other bytes as they are.
+LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+
+
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each distinct word."""
+    return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words.cast(pa.binary()).to_pylist()), np.uint64, len(words))
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indices start, start + 1, ... of each run, one run after the other."""
     ends = np.cumsum(lengths)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from postmill.llm.common import new_path, table
 from postmill.llm.media import media_features
+from postmill.llm.near_duplicates import near_duplicates
 from postmill.llm.secrets import scan_secrets
 from postmill.llm.sharding import PRIME, ROUNDS, round_keys, shard_rows
 from postmill.llm.token_counts import count_tokens
@@ -30,12 +31,16 @@ def op7_feistel_shards(spark, sf_dir):
     return shard_rows(table(spark, sf_dir, "documents"))
 
 
+def op9_superminhash(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark, sf_dir):
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
 def queries():
-    return {f.__name__: f for f in (op1_flac_media, op4_token_files, op6_secret_scan, op7_feistel_shards, op10_token_counts)}
+    return {f.__name__: f for f in (op1_flac_media, op4_token_files, op6_secret_scan, op7_feistel_shards, op9_superminhash, op10_token_counts)}
 
 
 def oracle_sql():
