@@ -1,20 +1,20 @@
 """Token ids and token counts of a lower-casing BPE vocabulary with word ends.
 
-Both work on the distinct white-space chunks of a slice of documents: the vocabulary's own rules never look
-across ASCII white space, so a chunk has the same tokens in every text. Chunks are split into pre-tokens, and
-only pre-tokens not seen before by this worker are merged.
+Both work on the distinct pre-tokens of a slice of documents, which numpy cuts out of the texts' bytes: the
+vocabulary's own rules never look across them, so a pre-token has the same tokens in every text. Only those not seen
+before by this worker are encoded or merged.
 """
 
 from __future__ import annotations
 
 import json
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 
-from postmill.llm.common import ragged
+from postmill.llm.common import LOWER, ragged, sums_by_row, utf8
 
 VOCABULARY = "word_bpe_49k.json"
 #: Entries of each of a worker's caches; a full cache starts anew.
@@ -42,8 +42,65 @@ def byte_letters() -> list[str]:
     return letters
 
 
-class Chunks:
-    """Splits chunks into pre-tokens as the vocabulary file says."""
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Classes of ASCII and of U+0080 to U+017F (0 space, 1 letter, 2 number, 3 other, 4 for the library), and the latter's lower case."""
+    kinds = [(0, regex.compile(r"\s")), (1, regex.compile(r"\p{L}")), (2, regex.compile(r"\p{N}"))]
+    of = lambda c: next((k for k, r in kinds if r.match(c)), 3)
+    one = np.full(256, 4, np.uint8)
+    one[:128] = [3 if 28 <= b < 32 else of(chr(b)) for b in range(128)]
+    two, low = np.zeros(256, np.uint8), np.zeros((256, 2), np.uint8)
+    for i in range(256):
+        c = chr(0x80 + i)
+        lower = c.lower().encode()
+        two[i] = of(c) if len(lower) == 2 else 4
+        low[i] = list(lower if len(lower) == 2 else c.encode())
+    return one, two, low
+
+
+ONE, TWO, TWO_LOW = _tables()
+
+
+def pretokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """For the pre-tokens of all texts: their codes, offsets by text, and the distinct ones, in lower case.
+
+    Runs of letters, single numbers and runs of other signs, as long as a chunk between white space has neither an
+    apostrophe nor "<|" nor a letter beyond U+017F; other chunks stay whole and as they are, for the library.
+    """
+    data, at = utf8(texts)
+    n = len(data)
+    if n == 0:
+        return np.zeros(0, np.int64), np.zeros(len(at), np.int64), []
+    after = np.append(data[1:], np.uint8(0))
+    kind, low = ONE[data], np.frombuffer(LOWER, np.uint8)[data]
+    lead = np.flatnonzero((data >= 0xC2) & (data <= 0xC5))
+    letter = ((data[lead] - 0xC2).astype(np.int64) << 6) + (after[lead] & 63)
+    kind[lead] = kind[lead + 1] = TWO[letter]
+    low[lead], low[lead + 1] = TWO_LOW[letter, 0], TWO_LOW[letter, 1]
+    space, first = kind == 0, np.zeros(n + 1, bool)
+    first[at[:-1]] = True
+    first = first[:n]
+    cut = first | (kind == 2)
+    cut[1:] |= kind[1:] != kind[:-1]
+    cut &= (data & 0xC0) != 0x80
+    odd = np.flatnonzero((kind == 4) | (data == 39) | (data == 60) & (after == 124))
+    if len(odd):
+        chunk_start = ~space & (first | np.concatenate(([True], space[:-1])))
+        chunk = np.cumsum(chunk_start)
+        whole = np.zeros(int(chunk[-1]) + 1, bool)
+        whole[chunk[odd]] = True
+        whole = whole[chunk] & ~space
+        cut = np.where(whole, chunk_start, cut)
+        low = np.where(whole, data, low)
+    start = np.flatnonzero(cut)
+    keep = ~space[start]
+    runs = pa.Array.from_buffers(pa.string(), len(start), [None, pa.py_buffer(np.append(start, n).astype(np.int32)), pa.py_buffer(low)])
+    coded = runs.filter(pa.array(keep)).dictionary_encode()
+    offsets = np.concatenate(([0], np.cumsum(keep)))[np.searchsorted(start, at)]
+    return np.asarray(coded.indices).astype(np.int64), offsets, coded.dictionary.to_pylist()
+
+
+class Splitter:
+    """Splits what pretokens() leaves whole, as the vocabulary file says."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -56,79 +113,61 @@ class Chunks:
         self.spec = spec
         self.letters = byte_letters()
 
-    def pieces(self, chunk: str) -> list[str] | None:
-        """Pre-tokens of a chunk; None if only the library can tell (special strings, letters beyond U+017F)."""
-        if chunk.isascii():
-            return None if "<|" in chunk and any(s in chunk for s in self.special) else self.find(chunk.lower())
-        if max(chunk) < "ƀ" and not any(s in chunk for s in self.special):
-            return self.find(chunk.lower())
-        return None
-
-
-def chunked(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """For the chunks of all texts: their codes, offsets by text, and the distinct chunks."""
-    split = pc.ascii_split_whitespace(texts.cast(pa.string()).fill_null(""))
-    values, offsets = split.flatten(), np.asarray(split.offsets).astype(np.int64)
-    coded = values.dictionary_encode()
-    return np.asarray(coded.indices), offsets - offsets[0], coded.dictionary.to_pylist()
+    def pieces(self, run: str) -> list[str] | None:
+        """Pre-tokens of a run; None if only the library can tell (special strings, letters beyond U+017F)."""
+        if not run.isascii() and (max(run) >= "ƀ" or "İ" in run):
+            return None
+        if "'" in run or "<|" in run:
+            return None if any(s in run for s in self.special) else self.find(run.lower())
+        return [run]
 
 
 class Ids:
     """Token ids by the tokenizers library, each distinct pre-token once."""
 
     def __init__(self, path: str):
-        self.chunks = Chunks(path)
-        self.model = self.chunks.tokenizer.model
-        self.by_chunk: dict[str, np.ndarray] = {}
-        self.by_piece: dict[str, list[int]] = {}
+        self.splitter = Splitter(path)
+        self.model = self.splitter.tokenizer.model
+        self.known: dict[str, list[int]] = {}
 
     def of_piece(self, piece: str) -> list[int]:
-        got = self.by_piece.get(piece)
-        if got is None:
-            letters = self.chunks.letters
-            got = [t.id for t in self.model.tokenize(piece if piece.isascii() and piece.isprintable() else "".join(letters[b] for b in piece.encode()))]
-            if len(self.by_piece) >= CACHE:
-                self.by_piece.clear()
-            self.by_piece[piece] = got
-        return got
-
-    def of_chunk(self, chunk: str) -> list[int]:
-        pieces = self.chunks.pieces(chunk)
+        letters = self.splitter.letters
+        return [t.id for t in self.model.tokenize(piece if piece.isascii() and piece.isprintable() else "".join([letters[b] for b in piece.encode()]))]
+
+    def of_run(self, run: str) -> list[int]:
+        pieces = self.splitter.pieces(run)
         if pieces is None:
-            return self.chunks.tokenizer.encode(chunk, add_special_tokens=False).ids
-        if len(pieces) == 1:
-            return self.of_piece(pieces[0])
-        return [i for p in pieces for i in self.of_piece(p)]
+            return self.splitter.tokenizer.encode(run, add_special_tokens=False).ids
+        return self.of_piece(pieces[0]) if len(pieces) == 1 else [i for p in pieces for i in self.of_piece(p)]
 
     def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All token ids of the texts, int32, and their n + 1 offsets by text."""
-        codes, offsets, distinct = chunked(texts)
-        known, out = self.by_chunk, []
-        for chunk in distinct:
-            got = known.get(chunk)
+        codes, offsets, distinct = pretokens(texts)
+        known, out = self.known, []
+        for run in distinct:
+            got = known.get(run)
             if got is None:
-                got = self.of_chunk(chunk)
+                got = self.of_run(run)
                 if len(known) >= CACHE:
                     known.clear()
-                known[chunk] = got
+                known[run] = got
             out.append(got)
         length = np.fromiter(map(len, out), np.int64, len(out))
         start = np.cumsum(length) - length
-        flat = np.fromiter((i for x in out for i in x), np.int32, int(length.sum()))
-        lengths = length[codes] if len(codes) else np.zeros(0, np.int64)
-        ids = flat[ragged(start[codes], lengths)] if len(codes) else flat
-        return ids, np.concatenate(([0], np.cumsum(lengths)))[offsets]
+        flat = np.fromiter(chain.from_iterable(out), np.int32, int(length.sum()))
+        lengths = length[codes]
+        return flat[ragged(start[codes], lengths)], np.concatenate(([0], np.cumsum(lengths)))[offsets]
 
 
 class Counter:
     """Token counts by rank-synchronous merging of ragged numpy arrays."""
 
     def __init__(self, path: str):
-        self.chunks = Chunks(path)
-        model = self.chunks.spec["model"]
+        self.splitter = Splitter(path)
+        model = self.splitter.spec["model"]
         vocab, end = model["vocab"], model["end_of_word_suffix"]
-        self.inner = np.array([vocab[c] for c in self.chunks.letters], np.int64)
-        self.last = np.array([vocab[c + end] for c in self.chunks.letters], np.int64)
+        self.inner = np.array([vocab[c] for c in self.splitter.letters], np.int64)
+        self.last = np.array([vocab[c + end] for c in self.splitter.letters], np.int64)
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         left, right = (np.array([vocab[p[i]] for p in pairs], np.int64) for i in (0, 1))
         made = np.array([vocab[a + b] for a, b in pairs], np.int64)
@@ -141,8 +180,7 @@ class Counter:
         self.made = made
         #: Ranks whose product may at once take part in a lower rank: those merge one occurrence at a time.
         self.single = used[made] < np.arange(len(pairs))
-        self.by_chunk: dict[str, int] = {}
-        self.by_piece: dict[str, int] = {}
+        self.known: dict[str, int] = {}
 
     def ranks(self, symbols: np.ndarray, joined: np.ndarray) -> np.ndarray:
         """Rank of each symbol with its right neighbour; `none` at ends of sequences and for unknown pairs."""
@@ -192,31 +230,25 @@ class Counter:
 
     def of(self, texts: pa.Array) -> np.ndarray:
         """Tokens of each text."""
-        codes, offsets, distinct = chunked(texts)
-        known, per_chunk, todo, new = self.by_chunk, np.zeros(len(distinct), np.int64), [], {}
-        for i, chunk in enumerate(distinct):
-            n = known.get(chunk)
+        codes, offsets, distinct = pretokens(texts)
+        known, each, todo = self.known, np.zeros(len(distinct), np.int64), []
+        for i, run in enumerate(distinct):
+            n = known.get(run)
             if n is None:
-                pieces = self.chunks.pieces(chunk)
+                pieces = self.splitter.pieces(run)
                 if pieces is None:
-                    n = len(self.chunks.tokenizer.encode(chunk, add_special_tokens=False).ids)
-                else:
-                    todo.append((i, chunk, pieces))
-                    new.update((p, 0) for p in pieces if p not in self.by_piece)
-                    continue
-            per_chunk[i] = n
-        counted = dict(zip(new, self.surviving(list(new)).tolist(), strict=True)) if new else {}
-        old = self.by_piece
-        for i, _, pieces in todo:
-            per_chunk[i] = sum(counted[p] if p in counted else old[p] for p in pieces)
+                    each[i] = len(self.splitter.tokenizer.encode(run, add_special_tokens=False).ids)
+                elif pieces:
+                    todo.append((i, pieces))
+            else:
+                each[i] = n
+        if todo:
+            owner = np.repeat([i for i, _ in todo], [len(p) for _, p in todo])
+            each += np.bincount(owner, self.surviving([p for _, x in todo for p in x]), len(distinct)).astype(np.int64)
         if len(known) + len(todo) > CACHE:
             known.clear()
-        known.update((chunk, int(per_chunk[i])) for i, chunk, _ in todo[:CACHE])
-        if len(old) + len(counted) > CACHE:
-            old.clear()
-        old.update(list(counted.items())[:CACHE])
-        each = np.concatenate(([0], np.cumsum(per_chunk[codes]))) if len(codes) else np.zeros(1, np.int64)
-        return each[offsets[1:]] - each[offsets[:-1]]
+        known.update((distinct[i], int(each[i])) for i, _ in todo[:CACHE])
+        return sums_by_row(each[codes], offsets)
 
 
 _made: dict = {}

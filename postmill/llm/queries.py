@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from postmill.llm.common import new_path, table
+from postmill.llm.decontamination import contamination
 from postmill.llm.media import media_features
 from postmill.llm.near_duplicates import near_duplicates
 from postmill.llm.secrets import scan_secrets
@@ -31,6 +32,10 @@ def op7_feistel_shards(spark, sf_dir):
     return shard_rows(table(spark, sf_dir, "documents"))
 
 
+def op8_positional_index(spark, sf_dir):
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_superminhash(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -40,7 +45,7 @@ def op10_token_counts(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_flac_media, op4_token_files, op6_secret_scan, op7_feistel_shards, op9_superminhash, op10_token_counts)}
+    return {f.__name__: f for f in (op1_flac_media, op4_token_files, op6_secret_scan, op7_feistel_shards, op8_positional_index, op9_superminhash, op10_token_counts)}
 
 
 def oracle_sql():
