@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from postmill.llm.common import new_path, table
 from postmill.llm.decontamination import contamination
+from postmill.llm.languages import identify
 from postmill.llm.media import media_features
 from postmill.llm.near_duplicates import near_duplicates
 from postmill.llm.secrets import scan_secrets
@@ -17,6 +18,10 @@ def op1_flac_media(spark, sf_dir):
     return media_features(table(spark, sf_dir, "documents"))
 
 
+def op2_language_id(spark, sf_dir):
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op4_token_files(spark, sf_dir):
     """Writes all documents' token ids to list columns in the shared folder and reads their digests back."""
     path = new_path(spark, "tokens")
@@ -45,7 +50,7 @@ def op10_token_counts(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_flac_media, op4_token_files, op6_secret_scan, op7_feistel_shards, op8_positional_index, op9_superminhash, op10_token_counts)}
+    return {f.__name__: f for f in (op1_flac_media, op2_language_id, op4_token_files, op6_secret_scan, op7_feistel_shards, op8_positional_index, op9_superminhash, op10_token_counts)}
 
 
 def oracle_sql():
