@@ -35,13 +35,16 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     keep[1:] |= letter[:-1]  # one space after each run of letters
     x = np.where(letter, data, 32)[keep].astype(np.uint32)
     cut = np.concatenate(([0], np.cumsum(keep)))[at]
-    n, kinds = len(x), []
-    pad = np.concatenate([x, np.full(4, 32, np.uint32)])
+    reach = max(GRAMS) - 1
+    x = np.insert(x, np.repeat(cut[1:], reach), 32)  # no subword looks into the next text
+    own = np.ones(len(x), bool)
+    own[(cut[1:, None] + reach * np.arange(len(cut) - 1)[:, None] + np.arange(reach)).ravel()] = False
+    n, kinds, pad = len(x), [], np.concatenate([x, np.full(reach, 32, np.uint32)])
     for g in GRAMS:
         code = np.full(n, np.uint32(g * 0x1F123BB5 & 0xFFFFFFFF))
         for k in range(g):
             code = (code ^ pad[k : k + n]) * np.uint32(0x01000193)
-        kinds.append((code ^ code >> np.uint32(15)) * np.uint32(0x2C1B3C6D) >> np.uint32(19))
+        kinds.append(((code ^ code >> np.uint32(15)) * np.uint32(0x2C1B3C6D) >> np.uint32(19))[own])
     return np.stack(kinds, 1).ravel().astype(np.int64), cut * len(GRAMS)
 
 
