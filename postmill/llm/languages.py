@@ -33,6 +33,8 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     letter = (data >= 128) | (data >= 97) & (data <= 122)
     keep = letter.copy()
     keep[1:] |= letter[:-1]  # one space after each run of letters
+    starts = at[:-1][at[:-1] < len(data)]
+    keep[starts] = letter[starts]
     x = np.where(letter, data, 32)[keep].astype(np.uint32)
     cut = np.concatenate(([0], np.cumsum(keep)))[at]
     reach = max(GRAMS) - 1
