@@ -16,11 +16,13 @@ from postmill.llm.components import components
 #: Slots of a signature: a prime, so that a * rank + b runs over all slots.
 SLOTS = 577
 #: 72 bands of 8: a pair of similarity 0.8 shares none with probability 2e-6.
-BANDS, ROWS = 72, 8
+BANDS, BAND_ROWS = 72, 8
 #: A pair is linked if SIMILAR[1] * intersection >= SIMILAR[0] * union.
 SIMILAR = (80, 100)
 #: Above so many texts in question, they are found by a shuffled join and not by a broadcast of their ids.
 BROADCAST_IDS = 1_000_000
+#: Rounds in which buckets that span components compare their members with one of them, drawn by hash.
+ROUNDS = 2
 #: Members of a bucket's part, whose pairs one row stands for.
 CHUNK = 256
 
@@ -86,7 +88,7 @@ def super_minhash(sets: np.ndarray, at: np.ndarray, slots: int = SLOTS) -> np.nd
     return sig.reshape(texts, slots)
 
 
-def band_hashes(sig: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
+def band_hashes(sig: np.ndarray, bands: int = BANDS, rows: int = BAND_ROWS) -> np.ndarray:
     """(texts, bands): one hash for each band of a signature, the band's number mixed in."""
     part = sig[:, : bands * rows].reshape(len(sig), bands, rows)
     h = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E37), (len(sig), bands))
@@ -96,6 +98,20 @@ def band_hashes(sig: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.nda
     return h.view(np.int64)
 
 
+def sketches(sig: np.ndarray) -> np.ndarray:
+    """Four bits of each slot, two slots a byte."""
+    low = (sig & np.uint64(15)).astype(np.uint8)
+    low = np.pad(low, ((0, 0), (0, low.shape[1] % 2)))
+    return low[:, ::2] | low[:, 1::2] << 4
+
+
+def least_agreement(similar: tuple[int, int], slots: int = SLOTS) -> float:
+    """Share of a sketch's slots that similar enough texts share but for a chance of 1 in 10^9 (six deviations)."""
+    share = similar[0] / similar[1]
+    share += (1 - share) / 16
+    return share - 6 * (share * (1 - share) / slots) ** 0.5
+
+
 def node_ids(sets: np.ndarray, at: np.ndarray) -> list[int | None]:
     """A 64-bit digest of each set; None for an empty one."""
     raw, cut = memoryview(sets.astype("<u8", copy=False)).cast("B"), (at * 8).tolist()
@@ -103,17 +119,18 @@ def node_ids(sets: np.ndarray, at: np.ndarray) -> list[int | None]:
 
 
 def signatures(docs: DataFrame, width: int = 2) -> DataFrame:
-    """(doc_id, n_shingles, node, bands) for each row of (doc_id, text); node is null without words."""
+    """(doc_id, n_shingles, node, bands, sketch) for each row of (doc_id, text); node is null without words."""
 
     def run(batches):
         for part in slices(batches, "text", 2 << 20, 1500):
             sets, at = shingle_sets(part.column(1), width)
             node = node_ids(sets, at)
-            hashes = band_hashes(super_minhash(sets, at))
+            sig = super_minhash(sets, at)
+            hashes, sketch = band_hashes(sig), sketches(sig)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(node) + 1, dtype=np.int32) * BANDS), pa.array(hashes.ravel()))
-            yield pa.record_batch([part.column(0), pa.array(np.diff(at)), pa.array(node, pa.int64()), lists], names=["doc_id", "n_shingles", "node", "bands"])
+            yield pa.record_batch([part.column(0), pa.array(np.diff(at)), pa.array(node, pa.int64()), lists, pa.array([r.tobytes() for r in sketch], pa.binary())], names=["doc_id", "n_shingles", "node", "bands", "sketch"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, node long, bands array<long>")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, node long, bands array<long>, sketch binary")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -154,36 +171,60 @@ def verified(pairs: DataFrame, sets: DataFrame, similar: tuple[int, int]) -> Dat
     return both.select("u", "v", "x", "y").mapInArrow(run, "u long, v long")
 
 
+def _similar_sizes(a: str, b: str, similar: tuple[int, int]):
+    return similar[1] * F.least(a, b) >= similar[0] * F.greatest(a, b)
+
+
+def star_pairs(members: DataFrame, leaders: DataFrame, similar: tuple[int, int], each: int) -> DataFrame:
+    """For each node of (bucket, node, size, root), `each` at most of its buckets' leaders (bucket, leader: struct of
+    node, size, root) of other components: those that it shares most buckets with."""
+    met = members.join(leaders, "bucket").filter((F.col("root") != F.col("leader.root")) & _similar_sizes("size", "leader.size", similar))
+    tried = met.groupBy("node", F.col("leader.node").alias("with")).agg(F.count("*").alias("n"))
+    best = Window.partitionBy("node").orderBy(F.desc("n"), "with")
+    return tried.withColumn("k", F.row_number().over(best)).filter(F.col("k") <= each).select(F.col("node").alias("u"), F.col("with").alias("v"))
+
+
+def rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
+    return members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
 def unresolved_pairs(members: DataFrame, roots: DataFrame, reps: DataFrame, similar: tuple[int, int]) -> DataFrame:
-    """All pairs of nodes that share a bucket, lie in different components so far, and may be similar by their sizes.
+    """All pairs of nodes that share a bucket, lie in different components so far, and may be similar by their sizes
+    and sketches.
 
     Of a bucket, only what lies outside its largest component is paired with all of it. Rows carry parts of buckets, at
     most about CHUNK members each; a pair comes from the first band that it shares, and from one bucket alone.
     """
     need, of = similar
-    own = members.drop("cnt").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    own = rooted(members.select("bucket", "node"), roots)
     per = own.groupBy("bucket", "root").agg(F.count("*").alias("n"))
     main = per.groupBy("bucket").agg(F.sum("n").alias("cnt"), F.count("*").alias("roots"), F.max_by("root", F.struct("n", "root")).alias("main")).filter("roots > 1")
-    facts = reps.select("node", F.col("n_shingles").alias("n"), "bands")
+    facts = reps.select("node", F.col("n_shingles").alias("n"), "bands", "sketch")
     rows = own.join(main, "bucket").join(facts, "node")
     part = F.pmod(F.xxhash64("node"), F.ceil(F.col("cnt") / CHUNK)).cast("int")
-    rows = rows.select("bucket", (F.col("root") != F.col("main")).alias("rest"), part.alias("part"), F.struct("node", "root", "n", "bands").alias("m"))
+    rows = rows.select("bucket", (F.col("root") != F.col("main")).alias("rest"), part.alias("part"), F.struct("node", "root", "n", "bands", "sketch").alias("m"))
     parts = stored(rows.groupBy("bucket", "rest", "part").agg(F.collect_list("m").alias("m")), "parts")
     a = parts.filter("rest").select("bucket", F.col("part").alias("i"), F.col("m").alias("a"))
     b = parts.select("bucket", "rest", F.col("part").alias("j"), F.col("m").alias("b"))
     met = a.join(b, "bucket").filter("not rest or i <= j").select("bucket", (F.col("rest") & (F.col("i") == F.col("j"))).alias("same"), "a", "b")
+    least = least_agreement(similar)
 
     def columns(lists, i):
         m = lists[i].values
         bands = np.asarray(m.field("bands").flatten()).reshape(len(m), BANDS)
-        return *(np.asarray(m.field(f)) for f in ("node", "root", "n")), bands
+        packed = np.frombuffer(b"".join(m.field("sketch").to_pylist()), np.uint8).reshape(len(m), -1)
+        return *(np.asarray(m.field(f)) for f in ("node", "root", "n")), bands, packed
+
+    def agreement(x, y):
+        differ = x ^ y
+        return ((differ & 15 == 0).sum(1) + (differ >> 4 == 0).sum(1) - SLOTS % 2) / SLOTS
 
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 bucket, same = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-                na, ra, sa, ba = columns(batch.column(2), i)
-                nb, rb, sb, bb = columns(batch.column(3), i)
+                na, ra, sa, ba, ka = columns(batch.column(2), i)
+                nb, rb, sb, bb, kb = columns(batch.column(3), i)
                 band = int(np.flatnonzero((ba[0] == bucket))[0])
                 go = (ra[:, None] != rb) & (of * np.minimum(sa[:, None], sb) >= need * np.maximum(sa[:, None], sb))
                 if same:
@@ -193,17 +234,23 @@ def unresolved_pairs(members: DataFrame, roots: DataFrame, reps: DataFrame, simi
                     p, q = x[at : at + 20_000], y[at : at + 20_000]
                     first = ~(ba[p, :band] == bb[q, :band]).any(1)
                     p, q = p[first], q[first]
-                    yield pa.record_batch([pa.array(na[p]), pa.array(nb[q])], names=["u", "v"])
+                    close = agreement(ka[p], kb[q]) >= least
+                    yield pa.record_batch([pa.array(na[p[close]]), pa.array(nb[q[close]])], names=["u", "v"])
 
     return met.repartition(F.col("bucket"), F.col("same"), F.xxhash64("a.node", "b.node")).mapInArrow(run, "u long, v long")
 
 
+def united(roots: DataFrame, links: DataFrame) -> DataFrame:
+    return components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(links))
+
+
 def near_duplicates(docs: DataFrame, width: int = 2, similar: tuple[int, int] = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each document: groups of linked texts.
 
     Texts with the same shingle set are one node. Nodes that share a band are first compared with their bucket's hub
-    (the node with the fullest buckets), then, where a bucket still spans several components, with each other; every
-    link is confirmed on full sets. Candidates have no cap.
+    (the node with the fullest buckets), then, where a bucket still spans several components, with members drawn by
+    hash, and at last with each other unless their sketches differ too much; every link is confirmed on full sets.
+    Candidates have no cap.
 
     A null, empty or wordless text has 0 shingles and is linked with nothing; a null id has a null component and is
     kept; repeated rows are linked as copies, and rows of one id but different texts are judged one by one, under that
@@ -211,27 +258,23 @@ def near_duplicates(docs: DataFrame, width: int = 2, similar: tuple[int, int] =
     """
     docs = id_and_text(docs, id_col, text_col)
     signed = stored(signatures(docs, width), "signatures")
-    reps = stored(signed.filter("node is not null").groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.min("doc_id").alias("least"), F.first("bands").alias("bands")), "nodes")
-    banded = reps.select("node", F.explode("bands").alias("bucket"))
+    reps = stored(signed.filter("node is not null").groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.min("doc_id").alias("least"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "nodes")
+    banded = reps.select("node", F.col("n_shingles").alias("size"), F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count("*").alias("cnt")).filter("cnt > 1")
     members = stored(banded.join(shared, "bucket"), "members")
+    sets = sets_of(docs, reps.join(members.select("node").distinct(), "node", "left_semi"), width)
 
     degree = members.groupBy("node").agg(F.sum("cnt").alias("degree"))
-    ranked = members.join(degree, "node")
-    hubs = ranked.groupBy("bucket").agg(F.max_by("node", F.struct("degree", "node")).alias("hub"))
-    size = reps.select("node", "n_shingles")
-    tried = members.join(hubs, "bucket").filter("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("n"))
-    tried = tried.join(size, "node").join(size.select(F.col("node").alias("hub"), F.col("n_shingles").alias("m")), "hub")
-    tried = tried.filter(similar[1] * F.least("n_shingles", "m") >= similar[0] * F.greatest("n_shingles", "m"))
-    best = Window.partitionBy("node").orderBy(F.desc("n"), "hub")
-    stars = tried.withColumn("k", F.row_number().over(best)).filter("k <= 2").select(F.col("node").alias("u"), F.col("hub").alias("v"))
-
-    sets = sets_of(docs, reps.join(members.select("node").distinct(), "node", "left_semi"), width)
-    links = stored(verified(stars, sets, similar), "stars")
-    roots = components(links)
+    alone = members.withColumn("root", F.col("node"))
+    leader = F.struct("node", "size", "root")
+    hubs = alone.join(degree, "node").groupBy("bucket").agg(F.max_by(leader, F.struct("degree", "node")).alias("leader"))
+    roots = components(verified(star_pairs(alone, hubs, similar, 2), sets, similar))
+    for k in range(ROUNDS):
+        own = rooted(members, roots)
+        drawn = own.groupBy("bucket").agg(F.min_by(leader, F.struct(F.xxhash64("bucket", "node", F.lit(k)), "node")).alias("leader"))
+        roots = united(roots, verified(star_pairs(own, drawn, similar, 6), sets, similar))
     rest = stored(unresolved_pairs(members, roots, reps, similar), "pairs")
-    more = stored(verified(rest, sets, similar), "more")
-    roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
+    roots = united(roots, verified(rest, sets, similar))
 
     least = reps.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = least.join(least.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")

@@ -73,6 +73,7 @@ def test_against_all_pairs(spark):
 def test_links_that_hubs_miss(spark, monkeypatch):
     """Chunks of a few members: buckets that span components are compared in parts, and nothing is lost."""
     monkeypatch.setattr(nd, "CHUNK", 3)
+    monkeypatch.setattr(nd, "ROUNDS", 0)
     rows = corpus(7, 40)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r["doc_id"]: r["component_id"] for r in nd.near_duplicates(df).collect()}
@@ -124,7 +125,8 @@ def test_shingle_sets(width):
     assert np.diff(at).tolist() == [len(plain_set(t, width)) for t in texts]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("one_task", [0, 10_000])
+def test_components(spark, one_task):
     rng = random.Random(4)
     chain = [(i, i + 1) for i in range(1000, 1200)]
     star = [(5000, 5001 + i) for i in range(300)]
@@ -142,5 +144,5 @@ def test_components(spark):
         if u != v:
             root[max(u, v)] = min(u, v)
     df = spark.createDataFrame(links, "u long, v long").repartition(6)
-    got = {r["node"]: r["root"] for r in components(df).collect()}
+    got = {r["node"]: r["root"] for r in components(df, one_task=one_task).collect()}
     assert got == {x: find(x) for x in list(root) if find(x) != x}
