@@ -124,3 +124,14 @@ def mix64(x: np.ndarray) -> np.ndarray:
         x *= np.uint64(0x94D049BB133111EB)
         x ^= x >> np.uint64(31)
     return x
+
+
+#: Ids up to this many are broadcast, more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs without the rows whose doc_id is among `ids`; rows with a null id stay."""
+    ids = stored(ids.filter("doc_id is not null").select("doc_id").distinct(), "ids")
+    small = ids.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_anti").select(*docs.columns)

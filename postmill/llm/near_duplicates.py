@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from postmill.llm.common import LOWER, id_and_text, mix64, ragged, slices, split_words, stored, word_hashes
+from postmill.llm.common import BROADCAST_IDS, LOWER, id_and_text, mix64, ragged, slices, split_words, stored, without, word_hashes
 from postmill.llm.components import components
 
 #: Slots of a signature: a prime, so that a * rank + b runs over all slots.
@@ -19,8 +19,6 @@ SLOTS = 577
 BANDS, BAND_ROWS = 72, 8
 #: A pair is linked if SIMILAR[1] * intersection >= SIMILAR[0] * union.
 SIMILAR = (80, 100)
-#: Above so many texts in question, they are found by a shuffled join and not by a broadcast of their ids.
-BROADCAST_IDS = 1_000_000
 #: Rounds in which buckets that span components compare their members with one of them, drawn by hash.
 ROUNDS = 2
 #: Members of a bucket's part, whose pairs one row stands for.
@@ -281,3 +279,15 @@ def near_duplicates(docs: DataFrame, width: int = 2, similar: tuple[int, int] =
     out = signed.select("doc_id", "n_shingles", "node").join(named, "node", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, **more) -> DataFrame:
+    """docs with one document of each group: that of the smallest id. All columns stay, rows with a null id too.
+
+    Where ids repeat, the rows of an id that stays are made one for each different text.
+    """
+    groups = stored(near_duplicates(docs, **more), "groups")
+    kept = groups.filter("kept and doc_id is not null")
+    out = without(docs, groups.filter("not kept").select("doc_id").join(kept.select("doc_id").distinct(), "doc_id", "left_anti"))
+    repeated = kept.groupBy("doc_id").count().filter("count > 1").limit(1).count()
+    return out.filter("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(out.filter("doc_id is null")) if repeated else out

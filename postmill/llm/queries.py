@@ -7,6 +7,8 @@ from postmill.llm.decontamination import contamination
 from postmill.llm.languages import identify
 from postmill.llm.media import media_features
 from postmill.llm.near_duplicates import near_duplicates
+from postmill.llm.packing import pack_documents
+from postmill.llm.quality import judge
 from postmill.llm.secrets import scan_secrets
 from postmill.llm.sharding import PRIME, ROUNDS, round_keys, shard_rows
 from postmill.llm.token_counts import count_tokens
@@ -22,6 +24,10 @@ def op2_language_id(spark, sf_dir):
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op3_quality(spark, sf_dir):
+    return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_token_files(spark, sf_dir):
     """Writes all documents' token ids to list columns in the shared folder and reads their digests back."""
     path = new_path(spark, "tokens")
@@ -29,6 +35,10 @@ def op4_token_files(spark, sf_dir):
     return digests(spark, path)
 
 
+def op5_best_fit(spark, sf_dir):
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_secret_scan(spark, sf_dir):
     return scan_secrets(table(spark, sf_dir, "documents"))
 
@@ -50,7 +60,7 @@ def op10_token_counts(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_flac_media, op2_language_id, op4_token_files, op6_secret_scan, op7_feistel_shards, op8_positional_index, op9_superminhash, op10_token_counts)}
+    return {f.__name__: f for f in (op1_flac_media, op2_language_id, op3_quality, op4_token_files, op5_best_fit, op6_secret_scan, op7_feistel_shards, op8_positional_index, op9_superminhash, op10_token_counts)}
 
 
 def oracle_sql():
