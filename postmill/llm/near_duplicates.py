@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from postmill.llm.common import BROADCAST_IDS, LOWER, id_and_text, mix64, ragged, slices, split_words, stored, without, word_hashes
+from postmill.llm.common import BROADCAST_IDS, LOWER, arrow_rows, id_and_text, mix64, ragged, slices, split_words, stored, without, word_hashes
 from postmill.llm.components import components
 
 #: Slots of a signature: a prime, so that a * rank + b runs over all slots.
@@ -22,7 +22,9 @@ SIMILAR = (80, 100)
 #: Rounds in which buckets that span components compare their members with one of them, drawn by hash.
 ROUNDS = 2
 #: Members of a bucket's part, whose pairs one row stands for.
-CHUNK = 256
+CHUNK = 128
+#: Rows that Python gets at once where each holds two full sets, and where each holds two such parts.
+SET_ROWS, PART_ROWS = 500, 16
 
 
 def shingle_sets(texts: pa.Array, width: int = 2) -> tuple[np.ndarray, np.ndarray]:
@@ -164,9 +166,14 @@ def verified(pairs: DataFrame, sets: DataFrame, similar: tuple[int, int]) -> Dat
                 keep[i] = of * both >= need * (len(x) + len(y) - both)
             yield pa.record_batch([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array(keep))
 
+    with arrow_rows(pairs.sparkSession, SET_ROWS):
+        return stored(_with_sets(pairs, sets).mapInArrow(run, "u long, v long"), "links")
+
+
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     one = pairs.join(sets.select(F.col("node").alias("v"), F.col("items").alias("y")), "v")
     both = one.join(sets.select(F.col("node").alias("u"), F.col("items").alias("x")), "u")
-    return both.select("u", "v", "x", "y").mapInArrow(run, "u long, v long")
+    return both.select("u", "v", "x", "y")
 
 
 def _similar_sizes(a: str, b: str, similar: tuple[int, int]):
@@ -271,7 +278,8 @@ def near_duplicates(docs: DataFrame, width: int = 2, similar: tuple[int, int] =
         own = rooted(members, roots)
         drawn = own.groupBy("bucket").agg(F.min_by(leader, F.struct(F.xxhash64("bucket", "node", F.lit(k)), "node")).alias("leader"))
         roots = united(roots, verified(star_pairs(own, drawn, similar, 6), sets, similar))
-    rest = stored(unresolved_pairs(members, roots, reps, similar), "pairs")
+    with arrow_rows(docs.sparkSession, PART_ROWS):
+        rest = stored(unresolved_pairs(members, roots, reps, similar), "pairs")
     roots = united(roots, verified(rest, sets, similar))
 
     least = reps.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
