@@ -10,7 +10,7 @@ from postmill.llm.near_duplicates import near_duplicates
 from postmill.llm.packing import pack_documents
 from postmill.llm.quality import judge
 from postmill.llm.secrets import scan_secrets
-from postmill.llm.sharding import PRIME, ROUNDS, round_keys, shard_rows
+from postmill.llm.sharding import shard_rows
 from postmill.llm.token_counts import count_tokens
 from postmill.llm.token_files import digests, write_tokens
 
@@ -48,7 +48,25 @@ def op7_feistel_shards(spark, sf_dir):
 
 
 def op8_positional_index(spark, sf_dir):
-    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), near=None).drop("near_items")
+
+
+def near_passages(spark, sf_dir):
+    """Documents in which a window of some item nearly occurs, and the items of which none occurs exactly."""
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).filter("near_items <> ''").select("doc_id", "n_items", "near_items")
+
+
+_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP8_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce({_WORDS}, []) AS w FROM documents),
+b AS (SELECT item_id, w, least(13, len(w)) AS n FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) x WHERE len(w) > 0),
+grams AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS g FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM b) x),
+places AS (SELECT doc_id, n, p, array_to_string(w[p:p + n - 1], ' ') AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, (SELECT DISTINCT n FROM b) y) x),
+hits AS (SELECT doc_id, p, n, item_id FROM places JOIN grams USING (n, g)),
+words AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM hits) x GROUP BY doc_id),
+names AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hits) x GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN names USING (doc_id)"""
 
 
 def op9_superminhash(spark, sf_dir):
@@ -60,8 +78,8 @@ def op10_token_counts(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_flac_media, op2_language_id, op3_quality, op4_token_files, op5_best_fit, op6_secret_scan, op7_feistel_shards, op8_positional_index, op9_superminhash, op10_token_counts)}
+    return {f.__name__: f for f in (op1_flac_media, op2_language_id, op3_quality, op4_token_files, op5_best_fit, op6_secret_scan, op7_feistel_shards, op8_positional_index, op9_superminhash, op10_token_counts, near_passages)}
 
 
 def oracle_sql():
-    return {}
+    return {"op8_positional_index": OP8_SQL}
