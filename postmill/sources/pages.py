@@ -23,7 +23,7 @@ def with_retry(call: Callable[[], object], retry: tuple[int, float, float] = REA
         try:
             return call()
         except (ProviderError, OSError) as e:
-            again = isinstance(e, OSError) or e.status == 429 or e.status >= 500 or (rate_limited_403 and e.status == 403 and "ratelimit" in e.body.lower())
+            again = isinstance(e, OSError) or e.status == 429 or e.status >= 500 or (rate_limited_403 and e.status == 403 and "ratelimitexceeded" in e.body.lower().replace("_", ""))
             if not again or i == attempts - 1:
                 raise
             sleep(min(wait * 2**i, most))
