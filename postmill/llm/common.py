@@ -38,6 +38,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear_stored(spark: SparkSession) -> None:
+    """Deletes what stored() and new_path() have left in the shared folder; results not yet written are lost with it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/postmill")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 @contextmanager
 def arrow_rows(spark: SparkSession, rows: int):
     """Jobs that run inside hand Python at most so many rows at once: for rows that hold whole sets or lists."""
