@@ -42,9 +42,10 @@ def run(spark: SparkSession, landed: str, root: str, checkpoint: str) -> None:
     store = Snapshots(spark, root)
 
     def batch(changes: DataFrame, _: int) -> None:
-        before = {n: store.read(n) for n in ("messages", *CASCADES)}
+        before, changes = {n: store.read(n) for n in ("messages", *CASCADES)}, changes.persist()
         for name, table in apply_changes(before, changes).items():
             store.write(name, table)
+        changes.unpersist()
 
     query = spark.readStream.schema(FEED).json(landed).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()

@@ -258,3 +258,25 @@ def test_phases_and_accounts(spark):
     assert once["messages"].count() == store.delete_account(once, "a")["messages"].count() == 1
     messages, kept = store.upsert_embeddings(mail(spark, 2), store.empty(spark, "embeddings"), spark.createDataFrame([("a", "m1", "v", None, [1.0, 2.0], None)], TABLES["embeddings"]), AT)
     assert kept.first()["dim"] == 2 and messages.filter("embedded_at is not null").count() == 1
+
+
+def test_progress(spark, tmp_path):
+    from postmill.streaming.progress import Progress, counted
+
+    df, seen = counted(mail(spark, 5), late=F.col("internal_date") >= 1003)
+    df.write.format("noop").mode("overwrite").save()
+    assert seen.get == {"rows": 5, "late": 2}
+    told = []
+    listener = Progress(told.append)
+    spark.streams.addListener(listener)
+    (tmp_path / "in").mkdir()
+    feed(tmp_path / "in" / "1.json", [{"seq": 1, "op": "upsert", "account_id": "a", "provider_msg_id": "m1", "internal_date": 1}])
+    sync.run(spark, str(tmp_path / "in"), str(tmp_path / "t"), str(tmp_path / "c"))
+    import time
+
+    for _ in range(50):
+        if any(t["stage"] == "done" for t in told):
+            break
+        time.sleep(0.1)
+    spark.streams.removeListener(listener)
+    assert any(t.get("rows", 0) >= 1 for t in told) and told[-1] == {"stage": "done", "error": None}
