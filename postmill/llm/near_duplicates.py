@@ -197,21 +197,23 @@ def unresolved_pairs(members: DataFrame, roots: DataFrame, reps: DataFrame, simi
     """All pairs of nodes that share a bucket, lie in different components so far, and may be similar by their sizes
     and sketches.
 
-    Of a bucket, only what lies outside its largest component is paired with all of it. Rows carry parts of buckets, at
-    most about CHUNK members each; a pair comes from the first band that it shares, and from one bucket alone.
+    Of a bucket, only what lies outside its largest component is paired with all of it. Buckets of one largest component
+    make a zone, in which each node stands once, however many buckets it shares; rows carry parts of zones, at most
+    about CHUNK nodes each.
     """
     need, of = similar
     own = rooted(members.select("bucket", "node"), roots)
     per = own.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-    main = per.groupBy("bucket").agg(F.sum("n").alias("cnt"), F.count("*").alias("roots"), F.max_by("root", F.struct("n", "root")).alias("main")).filter("roots > 1")
-    facts = reps.select("node", F.col("n_shingles").alias("n"), "bands", "sketch")
-    rows = own.join(main, "bucket").join(facts, "node")
+    main = per.groupBy("bucket").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("n", "root")).alias("zone")).filter("roots > 1").select("bucket", "zone")
+    zones = own.join(main, "bucket").select("zone", "node", "root").distinct()
+    sized = zones.groupBy("zone").agg(F.count("*").alias("cnt"))
+    rows = zones.join(sized, "zone").join(reps.select("node", F.col("n_shingles").alias("n"), "bands", "sketch"), "node")
     part = F.pmod(F.xxhash64("node"), F.ceil(F.col("cnt") / CHUNK)).cast("int")
-    rows = rows.select("bucket", (F.col("root") != F.col("main")).alias("rest"), part.alias("part"), F.struct("node", "root", "n", "bands", "sketch").alias("m"))
-    parts = stored(rows.groupBy("bucket", "rest", "part").agg(F.collect_list("m").alias("m")), "parts")
-    a = parts.filter("rest").select("bucket", F.col("part").alias("i"), F.col("m").alias("a"))
-    b = parts.select("bucket", "rest", F.col("part").alias("j"), F.col("m").alias("b"))
-    met = a.join(b, "bucket").filter("not rest or i <= j").select("bucket", (F.col("rest") & (F.col("i") == F.col("j"))).alias("same"), "a", "b")
+    rows = rows.select("zone", (F.col("root") != F.col("zone")).alias("rest"), part.alias("part"), F.struct("node", "root", "n", "bands", "sketch").alias("m"))
+    parts = stored(rows.groupBy("zone", "rest", "part").agg(F.collect_list("m").alias("m")), "parts")
+    a = parts.filter("rest").select("zone", F.col("part").alias("i"), F.col("m").alias("a"))
+    b = parts.select("zone", "rest", F.col("part").alias("j"), F.col("m").alias("b"))
+    met = a.join(b, "zone").filter("not rest or i <= j").select((F.col("rest") & (F.col("i") == F.col("j"))).alias("same"), "a", "b")
     least = least_agreement(similar)
 
     def columns(lists, i):
@@ -227,22 +229,22 @@ def unresolved_pairs(members: DataFrame, roots: DataFrame, reps: DataFrame, simi
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                bucket, same = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-                na, ra, sa, ba, ka = columns(batch.column(2), i)
-                nb, rb, sb, bb, kb = columns(batch.column(3), i)
-                band = int(np.flatnonzero((ba[0] == bucket))[0])
+                same = batch.column(0)[i].as_py()
+                na, ra, sa, ba, ka = columns(batch.column(1), i)
+                nb, rb, sb, bb, kb = columns(batch.column(2), i)
                 go = (ra[:, None] != rb) & (of * np.minimum(sa[:, None], sb) >= need * np.maximum(sa[:, None], sb))
                 if same:
                     go &= na[:, None] < nb
                 x, y = np.nonzero(go)
                 for at in range(0, len(x), 20_000):
                     p, q = x[at : at + 20_000], y[at : at + 20_000]
-                    first = ~(ba[p, :band] == bb[q, :band]).any(1)
-                    p, q = p[first], q[first]
+                    met_ = (ba[p] == bb[q]).any(1)
+                    p, q = p[met_], q[met_]
                     close = agreement(ka[p], kb[q]) >= least
                     yield pa.record_batch([pa.array(na[p[close]]), pa.array(nb[q[close]])], names=["u", "v"])
 
-    return met.repartition(F.col("bucket"), F.col("same"), F.xxhash64("a.node", "b.node")).mapInArrow(run, "u long, v long")
+    pairs = met.repartition("same", F.xxhash64("a.node", "b.node")).mapInArrow(run, "u long, v long")
+    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
 def united(roots: DataFrame, links: DataFrame) -> DataFrame:
