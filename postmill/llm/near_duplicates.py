@@ -24,7 +24,7 @@ ROUNDS = 2
 #: Members of a bucket's part, whose pairs one row stands for.
 CHUNK = 128
 #: Rows that Python gets at once where each holds two full sets, and where each holds two such parts.
-SET_ROWS, PART_ROWS = 500, 16
+SET_ROWS, PART_ROWS = 500, 4
 
 
 def shingle_sets(texts: pa.Array, width: int = 2) -> tuple[np.ndarray, np.ndarray]:
@@ -98,20 +98,6 @@ def band_hashes(sig: np.ndarray, bands: int = BANDS, rows: int = BAND_ROWS) -> n
     return h.view(np.int64)
 
 
-def sketches(sig: np.ndarray) -> np.ndarray:
-    """Four bits of each slot, two slots a byte."""
-    low = (sig & np.uint64(15)).astype(np.uint8)
-    low = np.pad(low, ((0, 0), (0, low.shape[1] % 2)))
-    return low[:, ::2] | low[:, 1::2] << 4
-
-
-def least_agreement(similar: tuple[int, int], slots: int = SLOTS) -> float:
-    """Share of a sketch's slots that similar enough texts share but for a chance of 1 in 10^9 (six deviations)."""
-    share = similar[0] / similar[1]
-    share += (1 - share) / 16
-    return share - 6 * (share * (1 - share) / slots) ** 0.5
-
-
 def node_ids(sets: np.ndarray, at: np.ndarray) -> list[int | None]:
     """A 64-bit digest of each set; None for an empty one."""
     raw, cut = memoryview(sets.astype("<u8", copy=False)).cast("B"), (at * 8).tolist()
@@ -119,22 +105,21 @@ def node_ids(sets: np.ndarray, at: np.ndarray) -> list[int | None]:
 
 
 def signatures(docs: DataFrame, width: int = 2) -> DataFrame:
-    """(doc_id, n_shingles, node, bands, sketch) for each row of (doc_id, text); node is null without words."""
+    """(doc_id, n_shingles, node, bands) for each row of (doc_id, text); node is null without words."""
 
     def run(batches):
         for part in slices(batches, "text", 2 << 20, 1500):
             sets, at = shingle_sets(part.column(1), width)
             node = node_ids(sets, at)
-            sig = super_minhash(sets, at)
-            hashes, sketch = band_hashes(sig), sketches(sig)
+            hashes = band_hashes(super_minhash(sets, at))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(node) + 1, dtype=np.int32) * BANDS), pa.array(hashes.ravel()))
-            yield pa.record_batch([part.column(0), pa.array(np.diff(at)), pa.array(node, pa.int64()), lists, pa.array([r.tobytes() for r in sketch], pa.binary())], names=["doc_id", "n_shingles", "node", "bands", "sketch"])
+            yield pa.record_batch([part.column(0), pa.array(np.diff(at)), pa.array(node, pa.int64()), lists], names=["doc_id", "n_shingles", "node", "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, node long, bands array<long>, sketch binary")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, node long, bands array<long>")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(node, items): packed shingle hashes of the texts in `wanted` (least: their ids, node), one row for each node."""
+    """(node, items, short): packed shingle hashes, whole and their lower halves, of the texts in `wanted` (least: their ids, node), one row for each node."""
     ids = wanted.select(F.col("least").alias("doc_id")).distinct()
     few = ids.count() <= BROADCAST_IDS
     chosen = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
@@ -144,10 +129,11 @@ def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             sets, at = shingle_sets(part.column(1), width)
             raw = sets.astype("<u8", copy=False).tobytes()
             items = pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((at * 8).astype(np.int32)), pa.py_buffer(raw)])
-            yield pa.record_batch([pa.array(node_ids(sets, at), pa.int64()), items], names=["node", "items"])
+            short = pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((at * 4).astype(np.int32)), pa.py_buffer(sets.astype("<u4").tobytes())])
+            yield pa.record_batch([pa.array(node_ids(sets, at), pa.int64()), items, short], names=["node", "items", "short"])
 
-    made = chosen.mapInArrow(run, "node long, items binary").join(F.broadcast(wanted.select("node")) if few else wanted.select("node"), "node", "left_semi")
-    return stored(made.groupBy("node").agg(F.first("items").alias("items")), "sets")
+    made = chosen.mapInArrow(run, "node long, items binary, short binary").join(F.broadcast(wanted.select("node")) if few else wanted.select("node"), "node", "left_semi")
+    return stored(made.groupBy("node").agg(F.first("items").alias("items"), F.first("short").alias("short")), "sets")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similar: tuple[int, int]) -> DataFrame:
@@ -193,13 +179,35 @@ def rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
     return members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
-def unresolved_pairs(members: DataFrame, roots: DataFrame, reps: DataFrame, similar: tuple[int, int]) -> DataFrame:
-    """All pairs of nodes that share a bucket, lie in different components so far, and may be similar by their sizes
-    and sketches.
+def most_in_common(a: list[np.ndarray], b: list[np.ndarray], block: int = 20_000) -> np.ndarray:
+    """(len(a), len(b)): an upper bound of each two sets' intersection, from their items' short hashes.
+
+    Items that share a hash only add to it, so it is never too small.
+    """
+    flat = [np.concatenate(x) if x else np.zeros(0, np.uint32) for x in (a, b)]
+    owner = [np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (a, b)]
+    common = np.intersect1d(*flat)
+    at = [np.minimum(np.searchsorted(common, f), max(len(common) - 1, 0)) for f in flat]
+    own = [common[i] == f if len(common) else np.zeros(len(f), bool) for i, f in zip(at, flat, strict=True)]
+    both = np.zeros((len(a), len(b)), np.float32)
+    for start in range(0, len(common), block):
+        sides, width = [], min(block, len(common) - start)
+        for k, x in enumerate((a, b)):
+            here = np.flatnonzero(own[k] & (at[k] >= start) & (at[k] < start + width))
+            m = np.zeros((len(x), width), np.float32)
+            np.add.at(m, (owner[k][here], at[k][here] - start), 1)
+            sides.append(m)
+        both += sides[0] @ sides[1].T
+    return both
+
+
+def unresolved_pairs(members: DataFrame, roots: DataFrame, sets: DataFrame, similar: tuple[int, int]) -> DataFrame:
+    """All pairs of nodes that share a bucket, lie in different components so far, and may be similar enough by an upper
+    bound of their intersection.
 
     Of a bucket, only what lies outside its largest component is paired with all of it. Buckets of one largest component
     make a zone, in which each node stands once, however many buckets it shares; rows carry parts of zones, at most
-    about CHUNK nodes each.
+    about CHUNK nodes each. Pairs of a zone that share no bucket are compared too.
     """
     need, of = similar
     own = rooted(members.select("bucket", "node"), roots)
@@ -207,41 +215,29 @@ def unresolved_pairs(members: DataFrame, roots: DataFrame, reps: DataFrame, simi
     main = per.groupBy("bucket").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("n", "root")).alias("zone")).filter("roots > 1").select("bucket", "zone")
     zones = own.join(main, "bucket").select("zone", "node", "root").distinct()
     sized = zones.groupBy("zone").agg(F.count("*").alias("cnt"))
-    rows = zones.join(sized, "zone").join(reps.select("node", F.col("n_shingles").alias("n"), "bands", "sketch"), "node")
+    rows = zones.join(sized, "zone").join(sets.select("node", "short"), "node")
     part = F.pmod(F.xxhash64("node"), F.ceil(F.col("cnt") / CHUNK)).cast("int")
-    rows = rows.select("zone", (F.col("root") != F.col("zone")).alias("rest"), part.alias("part"), F.struct("node", "root", "n", "bands", "sketch").alias("m"))
+    rows = rows.select("zone", (F.col("root") != F.col("zone")).alias("rest"), part.alias("part"), F.struct("node", "root", "short").alias("m"))
     parts = stored(rows.groupBy("zone", "rest", "part").agg(F.collect_list("m").alias("m")), "parts")
     a = parts.filter("rest").select("zone", F.col("part").alias("i"), F.col("m").alias("a"))
     b = parts.select("zone", "rest", F.col("part").alias("j"), F.col("m").alias("b"))
     met = a.join(b, "zone").filter("not rest or i <= j").select((F.col("rest") & (F.col("i") == F.col("j"))).alias("same"), "a", "b")
-    least = least_agreement(similar)
 
     def columns(lists, i):
         m = lists[i].values
-        bands = np.asarray(m.field("bands").flatten()).reshape(len(m), BANDS)
-        packed = np.frombuffer(b"".join(m.field("sketch").to_pylist()), np.uint8).reshape(len(m), -1)
-        return *(np.asarray(m.field(f)) for f in ("node", "root", "n")), bands, packed
-
-    def agreement(x, y):
-        differ = x ^ y
-        return ((differ & 15 == 0).sum(1) + (differ >> 4 == 0).sum(1) - SLOTS % 2) / SLOTS
+        return np.asarray(m.field("node")), np.asarray(m.field("root")), [np.frombuffer(x, "<u4") for x in m.field("short").to_pylist()]
 
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                same = batch.column(0)[i].as_py()
-                na, ra, sa, ba, ka = columns(batch.column(1), i)
-                nb, rb, sb, bb, kb = columns(batch.column(2), i)
-                go = (ra[:, None] != rb) & (of * np.minimum(sa[:, None], sb) >= need * np.maximum(sa[:, None], sb))
-                if same:
+                (na, ra, xa), (nb, rb, xb) = columns(batch.column(1), i), columns(batch.column(2), i)
+                both = most_in_common(xa, xb).astype(np.int64)
+                total = np.array([len(x) for x in xa])[:, None] + np.array([len(x) for x in xb]) - both
+                go = (ra[:, None] != rb) & (of * both >= need * total)
+                if batch.column(0)[i].as_py():
                     go &= na[:, None] < nb
                 x, y = np.nonzero(go)
-                for at in range(0, len(x), 20_000):
-                    p, q = x[at : at + 20_000], y[at : at + 20_000]
-                    met_ = (ba[p] == bb[q]).any(1)
-                    p, q = p[met_], q[met_]
-                    close = agreement(ka[p], kb[q]) >= least
-                    yield pa.record_batch([pa.array(na[p[close]]), pa.array(nb[q[close]])], names=["u", "v"])
+                yield pa.record_batch([pa.array(na[x]), pa.array(nb[y])], names=["u", "v"])
 
     pairs = met.repartition("same", F.xxhash64("a.node", "b.node")).mapInArrow(run, "u long, v long")
     return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
@@ -256,7 +252,7 @@ def near_duplicates(docs: DataFrame, width: int = 2, similar: tuple[int, int] =
 
     Texts with the same shingle set are one node. Nodes that share a band are first compared with their bucket's hub
     (the node with the fullest buckets), then, where a bucket still spans several components, with members drawn by
-    hash, and at last with each other unless their sketches differ too much; every link is confirmed on full sets.
+    hash, and at last with each other unless their short hashes rule a link out; every link is confirmed on full sets.
     Candidates have no cap.
 
     A null, empty or wordless text has 0 shingles and is linked with nothing; a null id has a null component and is
@@ -265,7 +261,7 @@ def near_duplicates(docs: DataFrame, width: int = 2, similar: tuple[int, int] =
     """
     docs = id_and_text(docs, id_col, text_col)
     signed = stored(signatures(docs, width), "signatures")
-    reps = stored(signed.filter("node is not null").groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.min("doc_id").alias("least"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "nodes")
+    reps = stored(signed.filter("node is not null").groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.min("doc_id").alias("least"), F.first("bands").alias("bands")), "nodes")
     banded = reps.select("node", F.col("n_shingles").alias("size"), F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count("*").alias("cnt")).filter("cnt > 1")
     members = stored(banded.join(shared, "bucket"), "members")
@@ -281,7 +277,7 @@ def near_duplicates(docs: DataFrame, width: int = 2, similar: tuple[int, int] =
         drawn = own.groupBy("bucket").agg(F.min_by(leader, F.struct(F.xxhash64("bucket", "node", F.lit(k)), "node")).alias("leader"))
         roots = united(roots, verified(star_pairs(own, drawn, similar, 6), sets, similar))
     with arrow_rows(docs.sparkSession, PART_ROWS):
-        rest = stored(unresolved_pairs(members, roots, reps, similar), "pairs")
+        rest = stored(unresolved_pairs(members, roots, sets, similar), "pairs")
     roots = united(roots, verified(rest, sets, similar))
 
     least = reps.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -146,3 +146,11 @@ def test_components(spark, one_task):
     df = spark.createDataFrame(links, "u long, v long").repartition(6)
     got = {r["node"]: r["root"] for r in components(df, one_task=one_task).collect()}
     assert got == {x: find(x) for x in list(root) if find(x) != x}
+
+
+def test_most_in_common():
+    rng = np.random.default_rng(5)
+    a, b = ([np.unique(rng.integers(0, 60, rng.integers(0, 40))).astype("<u4") for _ in range(n)] for n in (7, 5))
+    want = [[len(set(x.tolist()) & set(y.tolist())) for y in b] for x in a]
+    assert nd.most_in_common(a, b).tolist() == want == nd.most_in_common(a, b, 7).tolist()
+    assert nd.most_in_common([np.array([3, 3], "<u4")], [np.array([3], "<u4")]).tolist() == [[2]]
