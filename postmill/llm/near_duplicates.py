@@ -15,8 +15,11 @@ from postmill.llm.components import components
 
 #: Slots of a signature: a prime, so that a * rank + b runs over all slots.
 SLOTS = 577
-#: 72 bands of 8: a pair of similarity 0.8 shares none with probability 2e-6.
+#: 72 bands of 8: a pair of similarity 0.8 shares none with probability 2e-6, if a band's slots are independent.
 BANDS, BAND_ROWS = 72, 8
+#: Slots in the order in which bands take them. An element visits slots in even steps, so that one with a small step
+#: would meet every band of consecutive slots.
+DEALT = np.argsort(mix64(np.arange(1, SLOTS + 1)))
 #: A pair is linked if SIMILAR[1] * intersection >= SIMILAR[0] * union.
 SIMILAR = (80, 100)
 #: Rounds in which buckets that span components compare their members with one of them, drawn by hash.
@@ -90,7 +93,7 @@ def super_minhash(sets: np.ndarray, at: np.ndarray, slots: int = SLOTS) -> np.nd
 
 def band_hashes(sig: np.ndarray, bands: int = BANDS, rows: int = BAND_ROWS) -> np.ndarray:
     """(texts, bands): one hash for each band of a signature, the band's number mixed in."""
-    part = sig[:, : bands * rows].reshape(len(sig), bands, rows)
+    part = sig[:, DEALT[: bands * rows]].reshape(len(sig), bands, rows)
     h = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E37), (len(sig), bands))
     with np.errstate(over="ignore"):
         for k in range(rows):

@@ -102,6 +102,19 @@ def test_signatures_estimate_similarity():
     assert (nd.super_minhash(np.array([5], np.uint64), np.array([0, 1, 1]))[1] == ~np.uint64(0)).all()
 
 
+@pytest.mark.parametrize("common, more, pairs", [(4, 1, 20_000), (8, 2, 4_000)])
+def test_short_texts_share_a_band(common, more, pairs):
+    """Sets of similarity 0.8: with bands of consecutive slots some 4 of 10,000 pairs of 4 and 5 elements shared none."""
+    rng = np.random.default_rng(11)
+    n, missed = common + more, 0
+    for _ in range(0, pairs, 4000):
+        x = rng.integers(0, 1 << 63, (4000, n)).astype(np.uint64)
+        less = np.sort(x[:, :common], axis=1)
+        a, b = (nd.band_hashes(nd.super_minhash(s.ravel(), np.arange(4001) * s.shape[1])) for s in (np.sort(x, axis=1), less))
+        missed += int((a != b).all(axis=1).sum())
+    assert missed <= 1
+
+
 def test_signature_is_the_minimum_over_all_ranks():
     """Early stopping leaves out only what can't be a minimum."""
     sets = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 9).astype(np.uint64))
