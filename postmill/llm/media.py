@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postmill.llm import flac
-from postmill.llm.common import id_and_text, slices, utf8
+from postmill.llm.common import id_and_text, slices, stored, utf8
 
 MEDIA = "doc_id long, n_bytes long, media binary"
+PCM = "doc_id long, n_bytes long, media_bytes long, media_sha256 string, blocks array<struct<sample_offset:long,n_samples:long,pcm:binary>>"
 #: Bytes of payload that one call of the codec works on: its arrays take about 60 times that.
 AT_ONCE = 1 << 19
 
@@ -61,49 +62,75 @@ def features(x: np.ndarray) -> str:
     return f"min={x.min()};max={x.max()};sum={x.sum()};energy={(x * x).sum()};crossings={((x[1:] < 0) != (x[:-1] < 0)).sum()};variation={np.abs(d).sum()}"
 
 
-def media_digests(media: DataFrame) -> DataFrame:
-    """Decodes stored streams, verifying frame checksums and the stream's digest, and describes what they hold.
+def pcm_lists(media: DataFrame) -> DataFrame:
+    """PCM for each row of (doc_id, n_bytes, media): what the stream is, and a block of samples for each frame with its sample offset.
 
-    A null stream or a damaged one ends the job with flac.FlacError or TypeError: nothing is passed over.
+    pcm has signed samples of 8 bits, or 16 bits little-endian for deeper streams. Frame checksums and the stream's
+    digest are verified. A null stream or a damaged one ends the job with flac.FlacError or TypeError: nothing is
+    passed over.
     """
 
     def run(batches):
         for batch in batches:
             for start, streams in _groups(batch, 2):
-                samples, _ = flac.decode(streams)
-                raw = [(x + flac.BIAS).astype(np.uint8).tobytes() for x in samples]
+                samples, offsets = flac.decode(streams)
+                kinds = [np.dtype("<i2") if flac.Header(s).bits > 8 else np.dtype("i1") for s in streams]
+                raw = b"".join(x.astype(k).tobytes() for x, k in zip(samples, kinds, strict=True))
+                frames = np.array([len(at) - 1 for at in offsets])
+                n = np.concatenate([np.diff(at) for at in offsets])
+                cut = np.concatenate(([0], np.cumsum(n * np.repeat([k.itemsize for k in kinds], frames)))).astype(np.int32)
+                pcm = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(cut), pa.py_buffer(raw)])
+                first = np.concatenate([at[:-1] for at in offsets])
+                blocks = pa.StructArray.from_arrays([pa.array(first), pa.array(n), pcm], names=["sample_offset", "n_samples", "pcm"])
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(frames))).astype(np.int32)), blocks)
                 rows = batch.slice(start, len(streams))
-                sha = lambda xs: pa.array([hashlib.sha256(x).hexdigest() for x in xs], pa.string())
-                size = lambda xs: pa.array([len(x) for x in xs], pa.int64())
-                yield pa.record_batch(
-                    [rows.column(0), rows.column(1), size(raw), sha(raw), pa.array([zlib.crc32(x[-32:]) for x in raw], pa.int64()), size(streams), sha(streams), pa.array([features(x) for x in samples], pa.string())],
-                    names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
-                )
+                sha = pa.array([hashlib.sha256(s).hexdigest() for s in streams], pa.string())
+                yield pa.record_batch([rows.column(0), rows.column(1), pa.array([len(s) for s in streams], pa.int64()), sha, lists], names=["doc_id", "n_bytes", "media_bytes", "media_sha256", "blocks"])
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, PCM)
 
 
-def pcm_blocks(media: DataFrame) -> DataFrame:
-    """(doc_id, block, sample_offset, n_samples, pcm): one row for each frame, to be written as a table of blocks.
+def block_digests(pcm: DataFrame) -> DataFrame:
+    """Describes the payloads that blocks of 8-bit samples make up; the tail is read by sample offset.
 
-    pcm has signed samples of 8 bits, or 16 bits little-endian for deeper streams.
+    Blocks that are missing, out of order or of another length end the job with flac.FlacError.
     """
 
     def run(batches):
         for batch in batches:
-            ids = batch.column(0)
-            for start, streams in _groups(batch, 1):
-                samples, offsets = flac.decode(streams)
-                for i, (x, at) in enumerate(zip(samples, offsets, strict=True)):
-                    kind = np.dtype("<i2") if flac.Header(streams[i]).bits > 8 else np.dtype("i1")
-                    raw, n = x.astype(kind).tobytes(), len(at) - 1
-                    cut = (at * kind.itemsize).tolist()
-                    yield pa.record_batch(
-                        [pa.array([ids[start + i].as_py()] * n, pa.int64()), pa.array(np.arange(n)), pa.array(at[:-1]), pa.array(np.diff(at)), pa.array([raw[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())],
-                        names=["doc_id", "block", "sample_offset", "n_samples", "pcm"],
-                    )
+            lists = batch.column(4)
+            at, blocks = lists.offsets.to_pylist(), lists.values
+            offset, count, pcm_ = np.asarray(blocks.field("sample_offset")), np.asarray(blocks.field("n_samples")), blocks.field("pcm")
+            size, sha, tail, described = [], [], [], []
+            for i, j in zip(at[:-1], at[1:], strict=True):
+                held, own, n = pcm_[i:j].to_pylist(), offset[i:j], count[i:j]
+                if not held or (own != np.cumsum(n) - n).any() or [len(b) for b in held] != n.tolist():
+                    raise flac.FlacError("blocks of samples are missing")
+                x = np.frombuffer(b"".join(held), "i1")
+                k = int(np.searchsorted(own, max(len(x) - 32, 0), "right")) - 1
+                last = np.frombuffer(b"".join(held[k:]), "i1")[max(len(x) - 32, 0) - own[k] :]
+                raw, end = ((v.astype(np.int64) + flac.BIAS).astype(np.uint8).tobytes() for v in (x, last))
+                size.append(len(raw))
+                sha.append(hashlib.sha256(raw).hexdigest())
+                tail.append(zlib.crc32(end))
+                described.append(features(x))
+            yield pa.record_batch(
+                [batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(sha, pa.string()), pa.array(tail, pa.int64()), batch.column(2), batch.column(3), pa.array(described, pa.string())],
+                names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
+            )
+
+    return pcm.select("doc_id", "n_bytes", "media_bytes", "media_sha256", "blocks").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+
 
-    return media.select("doc_id", "media").mapInArrow(run, "doc_id long, block long, sample_offset long, n_samples long, pcm binary")
+def media_digests(media: DataFrame) -> DataFrame:
+    """Decodes streams of 8-bit samples, verifying them, and describes what they hold; in one pass, without a table of blocks."""
+    return block_digests(pcm_lists(media))
+
+
+def pcm_blocks(media: DataFrame) -> DataFrame:
+    """(doc_id, block, sample_offset, n_samples, pcm): the blocks of pcm_lists, one row for each frame."""
+    rows = pcm_lists(media.select("doc_id", F.lit(None).cast("long").alias("n_bytes"), "media"))
+    return rows.select("doc_id", F.posexplode("blocks").alias("block", "b")).select("doc_id", F.col("block").cast("long").alias("block"), "b.sample_offset", "b.n_samples", "b.pcm")
 
 
 def read_samples(media: DataFrame, first: int, count: int) -> DataFrame:
@@ -121,5 +148,6 @@ def read_samples(media: DataFrame, first: int, count: int) -> DataFrame:
 
 
 def media_features(docs: DataFrame) -> DataFrame:
-    """What op1 returns: every text stored as FLAC, read back, checked and described."""
-    return media_digests(encode_media(docs)).withColumn("frames", (F.col("payload_bytes") / flac.BLOCK).cast("long"))
+    """What op1 returns: every text stored as FLAC, read back and checked, its PCM blocks stored, read back and described."""
+    pcm = stored(pcm_lists(stored(encode_media(docs), "media")), "pcm")
+    return block_digests(pcm).withColumn("frames", (F.col("payload_bytes") / flac.BLOCK).cast("long"))

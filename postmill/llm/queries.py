@@ -16,7 +16,7 @@ from postmill.llm.token_files import digests, write_tokens
 
 
 def op1_flac_media(spark, sf_dir):
-    """Every whole text as a FLAC stream in a media column, read back, verified and described."""
+    """Every whole text as a FLAC stream in a media table, read back and verified; its stored PCM blocks, read back and described."""
     return media_features(table(spark, sf_dir, "documents"))
 
 

@@ -7,8 +7,10 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from postmill.llm import flac
+from postmill.llm import media as media_module
 from postmill.llm.media import encode_media, media_digests, media_features, payload, pcm_blocks, read_samples
 
 
@@ -195,3 +197,21 @@ def test_media_tables(spark):
     assert {k: got[2][k] for k in ("media_sha256", "feature")} == {k: got[6][k] for k in ("media_sha256", "feature")}
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert media_features(empty).count() == media_digests(encode_media(empty)).count() == 0
+
+
+def test_features_come_from_stored_tables(spark, monkeypatch):
+    """What is lost in the media table or in the table of blocks is noticed."""
+    docs = spark.createDataFrame([(1, "some text " * 200), (2, None)], "doc_id long, text string")
+    kept, lost = media_module.stored, {"media": {"media": F.expr("substring(media, 1, length(media) - 9)")}, "pcm": {"blocks": F.expr("slice(blocks, 2, 99)")}}
+    names = []
+
+    def record(df, name):
+        names.append(name)
+        return kept(df, name)
+
+    monkeypatch.setattr(media_module, "stored", record)
+    assert media_features(docs).count() == 2 and names == ["media", "pcm"]
+    for bad, change in lost.items():
+        monkeypatch.setattr(media_module, "stored", lambda df, name, bad=bad, change=change: kept(df, name).withColumns(change if name == bad else {}))
+        with pytest.raises(Exception, match="FlacError"):
+            media_features(docs).collect()
