@@ -21,7 +21,8 @@ WINDOW = 13
 BLOCK_WORDS = 1_000_000
 #: Words of benchmark items that one pass looks for; more items take more passes.
 PASS_WORDS = 500_000
-#: A near match: so large a share of a window's words, each within so many words of its place.
+#: A near match: so large a share of a window's words, each within so many words of its place. No place of a window
+#: meets two documents, as the gap between them is a window and the slop at both its ends.
 NEAR_SHARE, NEAR_SLOP = 0.8, 3
 
 INDEX = "block long, term int, positions binary"
@@ -53,7 +54,7 @@ def passes(benchmark: DataFrame, id_col: str, text_col: str, most: int) -> Itera
         yield Items(rows)
 
 
-def build_index(docs: DataFrame, terms: pa.Array, block_words: int = BLOCK_WORDS, gap: int = WINDOW + NEAR_SLOP) -> DataFrame:
+def build_index(docs: DataFrame, terms: pa.Array, block_words: int = BLOCK_WORDS, gap: int = WINDOW + 2 * NEAR_SLOP) -> DataFrame:
     """The stored index of (doc_id, text) rows: for each block of documents and each term its ascending positions.
 
     Positions number the words of a block, with a gap between documents. Term -1 has the block's documents: ids, whether
@@ -113,28 +114,56 @@ def phrase_starts(lists: list[np.ndarray]) -> np.ndarray:
     return starts
 
 
-def near_starts(lists: list[np.ndarray], share: float, slop: int) -> np.ndarray:
-    """Places, by one of the two rarest terms that occur, around which enough terms stand near where they should."""
-    order = sorted((j for j in range(len(lists)) if len(lists[j])), key=lambda j: len(lists[j]))
-    need = int(np.ceil(share * len(lists)))
-    if len(order) < need:
-        return np.zeros(0, np.int64)
-    starts = np.unique(np.concatenate([lists[j] - j for j in order[:2]]))
-    got = np.zeros(len(starts), np.int64)
-    for k, j in enumerate(order):
-        at = starts + j
-        i = np.minimum(np.searchsorted(lists[j], at - slop), len(lists[j]) - 1)
-        got += np.abs(lists[j][i] - at) <= slop
-        alive = got + len(order) - 1 - k >= need
-        starts, got = starts[alive], got[alive]
-        if not len(starts):
-            break
-    return starts
+def near_places(lists: list[np.ndarray], n: int, share: float, slop: int, span: int = 4, block: int = 5_000) -> np.ndarray:
+    """Where a window of n of an item's terms nearly occurs: for some place of the window, enough terms stand within
+    `slop` of theirs. One word's position for each such place of the item.
 
-
-def search(index: DataFrame, items: Items, window: int = WINDOW, near: tuple[float, int] | None = (NEAR_SHARE, NEAR_SLOP), gap: int = WINDOW + NEAR_SLOP) -> DataFrame:
+    Any such place has one of a window's spare + 1 rarest terms, so their positions lead to all; those around which too
+    many terms are missing within twice the slop are left out before all places near them are tried. `span` times n
+    windows are looked for at once.
+    """
+    spare = n - int(np.ceil(share * n))
+    found = []
+    for first in range(0, len(lists) - n + 1, span * n):
+        own = lists[first : first + span * n + n - 1]
+        windows = np.lib.stride_tricks.sliding_window_view(np.array([len(x) for x in own]), n)
+        order = np.argsort(windows, axis=1, kind="stable") + np.arange(len(windows))[:, None]
+
+        def standing(at, terms, slop, own=own):
+            out = np.full((len(at), len(own)), -1, np.int64)
+            for j in terms:
+                if len(own[j]):
+                    near = own[j][np.minimum(np.searchsorted(own[j], at + (j - slop)), len(own[j]) - 1)]
+                    out[:, j] = np.where(np.abs(near - (at + j)) <= slop, near, -1)
+            return out
+
+        def windows_left(standing, terms):
+            gone = np.zeros((len(standing), standing.shape[1] + 1), np.int32)
+            gone[:, 1 + terms] = standing[:, terms] < 0
+            gone = np.cumsum(gone, axis=1, dtype=np.int32)
+            return gone[:, n:] - gone[:, :-n] <= spare
+
+        seeds = [own[j] - j for j in np.unique(order[:, : spare + 1])]
+        seeds = np.unique(np.concatenate(seeds))
+        every = np.arange(len(own))
+        for i in range(0, len(seeds), block):
+            at = seeds[i : i + block]
+            for terms in (np.unique(order[:, : spare + 3]), every):
+                at = at[windows_left(standing(at, terms, 2 * slop), terms).any(axis=1)] if len(at) else at
+            if len(at):
+                at = np.unique(at[:, None] + np.arange(-slop, slop + 1))
+                there = standing(at, every, slop)
+                left = windows_left(there, every)
+                for w in np.flatnonzero(left.any(axis=0)):
+                    found.append(np.unique(there[left[:, w], w : w + n].max(axis=1)))
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+
+
+def search(index: DataFrame, items: Items, window: int = WINDOW, near: tuple[float, int] | None = (NEAR_SHARE, NEAR_SLOP), gap: int = WINDOW + 2 * NEAR_SLOP) -> DataFrame:
     """FOUND for each indexed document: hit word ranges (not overlapping), and items with exact or only near windows.
 
+    An item shorter than the window is one window.
+
     Blocks are read one by one, each with its own postings; which terms are rare is told by the block.
     """
     none = np.zeros(0, np.int64)
@@ -167,10 +196,9 @@ def search(index: DataFrame, items: Items, window: int = WINDOW, near: tuple[flo
                         np.add.at(edge, s + n, -1)
                         for d in set(doc_of(s).tolist()):
                             exact.setdefault(d, set()).add(name)
-                if near and n == window and (w % (n // 2) == 0 or w == len(words) - n) and gone <= (1 - near[0]) * n:
-                    s = near_starts(own[w : w + n], *near)
-                    for d in set(doc_of(np.maximum(s + n // 2, 0)).tolist()):
-                        close.setdefault(d, set()).add(name)
+            if near and n:
+                for d in set(doc_of(near_places(own, n, *near)).tolist()):
+                    close.setdefault(d, set()).add(name)
         hit = np.cumsum(edge[:-1]) > 0
         flat = np.flatnonzero(np.diff(np.concatenate(([0], hit, [0]))))
         lo, hi = flat[::2], flat[1::2]
@@ -209,7 +237,7 @@ def _merged(found: DataFrame) -> DataFrame:
 def find_items(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, near: tuple[float, int] | None = (NEAR_SHARE, NEAR_SLOP), pass_words: int = PASS_WORDS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """FOUND for each document, from one index for each pass of items; a second pass needs rows named by number."""
     docs, groups = id_and_text(docs, id_col, text_col), passes(benchmark, item_col, item_text_col, pass_words)
-    gap = window + (near[1] if near else 0)
+    gap = window + (2 * near[1] if near else 0)
     one = lambda rows, g: search(build_index(rows, g.terms, gap=gap), g, window, near, gap)
     first, second = next(groups), next(groups, None)
     if second is None:

@@ -72,6 +72,62 @@ def test_near_matches(spark):
     assert got == {1: (1, ""), 2: (0, "9"), 3: (0, "9"), 4: (0, ""), 5: (0, ""), 6: (0, "")}
 
 
+def plain_near(docs, items):
+    """{doc_id: ids of items with a near window and no exact one}, trying every window at every place of every document."""
+    exact = {d: {str(i) for i, t in items if plain([(d, text)], [(i, t)])[d][2]} for d, text in docs}
+    out = {}
+    for d, text in docs:
+        where = {}
+        for p, x in enumerate(words(text)):
+            where.setdefault(x, []).append(p)
+        near = set()
+        for name, t in items:
+            v = words(t)
+            n = min(13, len(v))
+            stands = {}  # (word of the item, place of the item's first word): within the slop
+            for j, x in enumerate(v):
+                for p in where.get(x, []):
+                    for s in range(-3, 4):
+                        stands.setdefault(p - j + s, set()).add(j)
+            if n and any(5 * len(js & set(range(w, w + n))) >= 4 * n for js in stands.values() for w in range(len(v) - n + 1)):
+                near.add(str(name))
+        out[d] = ",".join(sorted(near - exact[d]))
+    return out
+
+
+@pytest.mark.parametrize("limits", [{}, {"pass_words": 90}])
+def test_near_against_plain_search(spark, monkeypatch, limits):
+    """Quotes of 13 words and fewer at every offset of an item of 40 words, with changed and moved words; short items; short documents."""
+    monkeypatch.setattr(dc.build_index, "__defaults__", (300, dc.build_index.__defaults__[1]))
+    rng = random.Random(4)
+    vocab = ["the", "of", "and"] * 6 + [f"w{i}" for i in range(50)]
+    long_, short, other = [f"q{i}" for i in range(40)], ["s1", "s2", "of", "s4", "s5", "s6"], rng.choices(vocab, k=150)
+    items = [(1, " ".join(long_)), (2, " ".join(short)), (3, "the w1"), (4, " ".join(other)), (5, ""), (6, "w7")]
+    texts = []
+    for a in range(28):
+        for source in (long_, other):
+            quote = source[a : a + 13]
+            for k in rng.sample(range(13), rng.choice([1, 1, 2, 2, 3])):
+                quote[k] = f"x{k}"
+            if rng.random() < 0.4:
+                at = rng.randrange(13)
+                quote[at:at] = ["x"] * rng.randint(1, 3)
+            texts.append(rng.choices(vocab, k=rng.choice([0, 3, 20])) + quote + rng.choices(vocab, k=rng.choice([0, 0, 9])))
+    texts += [["s1", "s2", "x", "s4", "s5", "s6"], ["s2", "s1", "s4", "s6"], ["w1", "the"], ["w1", "x", "x", "the"], ["s1", "s2"], ["of", "s4", "s5", "s6"], other[60:80] + ["x"] + other[81:90], []]
+    docs = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    got = {r["doc_id"]: r["near_items"] for r in dc.contamination(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), spark.createDataFrame(items, "item_id long, text string"), **limits).collect()}
+    want = plain_near(docs, items)
+    assert got == want and sum("1" in v.split(",") for v in want.values()) > 15
+
+
+def test_near_match_whose_rarest_words_are_changed(spark):
+    w = [f"q{i}" for i in range(40)]
+    quote = [*w[3:8], "x", *w[9:13], "y", *w[14:16]]  # words 3..15 without 8 and 13, the rarest
+    docs = [(1, " ".join(quote)), (2, " ".join(reversed(w))), (3, "q8 q13")] + [(10 + i, " ".join(v for v in reversed(w) if v not in ("q8", "q13"))) for i in range(3)]
+    got = dc.contamination(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), spark.createDataFrame([(9, " ".join(w))], "item_id long, text string"))
+    assert {r["doc_id"] for r in got.filter("near_items <> ''").collect()} == {1}
+
+
 def test_odd_tables(spark):
     docs = spark.createDataFrame([(None, "a b"), (3, "a b"), (3, "a b"), (4, None)], "doc_id long, text string")
     bench = spark.createDataFrame([(None, "a b"), (2, "b"), (2, "a")], "item_id long, text string")
