@@ -143,3 +143,15 @@ def test_real_tables(spark):
     got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in dc.contamination(docs, bench).collect()}
     assert got == plain([(r["doc_id"], r["text"]) for r in docs.collect()], [(r["item_id"], r["text"]) for r in bench.collect()])
     assert any(v[4] for v in got.values())
+
+
+def test_query_with_near_matches(spark, tmp_path):
+    """op8_exact_and_near has op8_positional_index's rows, and the near matches besides."""
+    import __spark_entry__ as entry
+
+    item = [f"q{i}" for i in range(20)]
+    spark.createDataFrame([(1, " ".join(item)), (2, " ".join([*item[3:9], "x", *item[10:16]])), (3, "no")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(9, " ".join(item))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    exact, both = (entry.queries()[q](spark, str(tmp_path)) for q in ("op8_positional_index", "op8_exact_and_near"))
+    assert sorted(both.drop("near_items").collect()) == sorted(exact.collect())
+    assert {r["doc_id"]: r["near_items"] for r in both.collect()} == {1: "", 2: "9", 3: ""}
