@@ -26,11 +26,12 @@ REPEAT = 0xC00 + FAR
 SHARD_GRAMS = 1_500_000
 #: One in so many trusted documents sets thresholds and isn't counted.
 HOLD = 8
-#: A document passes up to median + SLACK * (upper quantile - median) of its language's trusted documents.
-UPPER, SLACK = 0.99, 2.5
+#: A document passes up to median + SLACK * (upper quantile - median) of its language's trusted documents: with 1, up to
+#: that quantile.
+UPPER, SLACK = 0.99, 1.0
 #: Symbols at the language's median that each document's own are averaged with.
 PRIOR = 40
-#: A language with fewer trusted documents is judged by those of all languages.
+#: A language's quantiles are averaged with those of all languages, which weigh as much as so many held documents.
 LEAST = 30
 
 _DIGITS = bytes(48 if 48 <= b <= 57 else b for b in range(256))
@@ -233,8 +234,8 @@ def judge(docs: DataFrame, labels: DataFrame, upper: float = UPPER, slack: float
     by language, the median and the upper quantile of the log perplexity, and from both the threshold. perplexity is
     of a document's symbols and PRIOR more at its language's median, so that a few words alone don't decide.
 
-    A null, empty or blank text has no symbols, the median's perplexity, and is kept; a null or rare language goes by
-    the quantiles of all languages; with no trusted document all are kept; a null id is never trusted; repeated rows
+    A null, empty or blank text has no symbols, the median's perplexity, and is kept; a null language, or one
+    without trusted documents held, goes by the quantiles of all languages, a rare one nearly so; with no trusted document all are kept; a null id is never trusted; repeated rows
     are judged one by one; other columns of either table are not read.
     """
     trusted = labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("row")).distinct()
@@ -251,7 +252,9 @@ def judge(docs: DataFrame, labels: DataFrame, upper: float = UPPER, slack: float
 
     def by_language(x: Column, at: float, name: str, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         q = [F.count("*").alias("n"), F.percentile_approx(x, at, 10_000).alias(name)]
-        return rows.filter("lang is not null").groupBy("lang").agg(*q).filter(F.col("n") >= LEAST).drop("n"), rows.agg(q[1].alias(f"{name}0"))
+        every = rows.agg(q[1].alias(f"{name}0"))
+        own = rows.filter("lang is not null").groupBy("lang").agg(*q).crossJoin(F.broadcast(every))
+        return own.select("lang", ((F.col("n") * F.col(name) + LEAST * F.col(f"{name}0")) / (F.col("n") + LEAST)).alias(name)), every
 
     def with_both(rows: DataFrame, quantiles: tuple[DataFrame, DataFrame]) -> DataFrame:
         return rows.join(F.broadcast(quantiles[0]), "lang", "left").crossJoin(F.broadcast(quantiles[1]))  # one row

@@ -89,3 +89,11 @@ def test_odd_tables(spark):
     assert quality.judge(docs, labels).count() == 4
     assert {r["kept"] for r in quality.judge(docs, labels.limit(0)).collect()} == {True}
     assert quality.judge(docs.limit(0), labels).count() == 0
+
+
+@pytest.mark.parametrize("sf, junk", [("sf0.001", 0.2), ("sf0.01", 0.02)])
+def test_little_junk_stays(spark, sf, junk):
+    docs, labels = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels"))
+    kept = quality.judge(docs, labels).join(labels, "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("k")).collect()
+    rate = {r["quality"]: r["k"] for r in kept}
+    assert rate[1] >= 0.985 and rate[0] <= junk
