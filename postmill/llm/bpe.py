@@ -17,6 +17,18 @@ import regex
 from postmill.llm.common import LOWER, ragged, sums_by_row, utf8
 
 VOCABULARY = "word_bpe_49k.json"
+# The rules that pretokens() and Counter follow, as the vocabulary file states them.
+RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+MODEL_RULES = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>", "byte_fallback": False, "ignore_merges": False}
 #: Entries of each of a worker's caches; a full cache starts anew.
 CACHE = 200_000
 
@@ -43,7 +55,7 @@ def byte_letters() -> list[str]:
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Classes of ASCII and of U+0080 to U+017F (0 space, 1 letter, 2 number, 3 other, 4 for the library), and the latter's lower case."""
+    """Classes of ASCII and of U+0080 to U+017F (0 space, 1 letter, 2 number, 3 other, 4 for Splitter), and the latter's lower case."""
     kinds = [(0, regex.compile(r"\s")), (1, regex.compile(r"\p{L}")), (2, regex.compile(r"\p{N}"))]
     of = lambda c: next((k for k, r in kinds if r.match(c)), 3)
     one = np.full(256, 4, np.uint8)
@@ -64,7 +76,7 @@ def pretokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """For the pre-tokens of all texts: their codes, offsets by text, and the distinct ones, in lower case.
 
     Runs of letters, single numbers and runs of other signs, as long as a chunk between white space has neither an
-    apostrophe nor "<|" nor a letter beyond U+017F; other chunks stay whole and as they are, for the library.
+    apostrophe nor "<|" nor a letter beyond U+017F; other chunks stay whole and as they are, for Splitter.
     """
     data, at = utf8(texts)
     n = len(data)
@@ -100,26 +112,32 @@ def pretokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
 
 
 class Splitter:
-    """Splits what pretokens() leaves whole, as the vocabulary file says."""
+    """Splits what pretokens() leaves whole, by the vocabulary file's own normaliser and pattern.
+
+    Files of other rules than those that pretokens() follows are refused with ValueError.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         spec = json.load(open(path, encoding="utf-8"))
-        rule = next(x for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
-        self.find = regex.compile(rule["pattern"]["Regex"]).findall
+        plain = [x for x in spec["added_tokens"] if x["normalized"] or x["single_word"] or x["lstrip"] or x["rstrip"] or "<|" not in x["content"]]
+        if {k: spec[k] for k in RULES} != RULES or {k: spec["model"].get(k) for k in MODEL_RULES} != MODEL_RULES or plain:
+            raise ValueError(f"{path} has other rules of splitting or merging")
         self.special = [x["content"] for x in spec["added_tokens"]]
         self.spec = spec
         self.letters = byte_letters()
+        self.bytes_of = str.maketrans({c: chr(b) for b, c in enumerate(self.letters)})
 
-    def pieces(self, run: str) -> list[str] | None:
-        """Pre-tokens of a run; None if only the library can tell (special strings, letters beyond U+017F)."""
-        if not run.isascii() and (max(run) >= "ƀ" or "İ" in run):
+    def pieces(self, run: str) -> list[bytes] | None:
+        """Pre-tokens of a run, in UTF-8; None for a run with a special string, which only the library handles."""
+        if "'" not in run and "<|" not in run and (run.isascii() or max(run) < "ƀ" and "İ" not in run):
+            return [run.encode()]
+        if "<|" in run and any(s in run for s in self.special):
             return None
-        if "'" in run or "<|" in run:
-            return None if any(s in run for s in self.special) else self.find(run.lower())
-        return [run]
+        t = self.tokenizer
+        return [p.translate(self.bytes_of).encode("latin-1") for p, _ in t.pre_tokenizer.pre_tokenize_str(t.normalizer.normalize_str(run))]
 
 
 class Ids:
@@ -130,9 +148,9 @@ class Ids:
         self.model = self.splitter.tokenizer.model
         self.known: dict[str, list[int]] = {}
 
-    def of_piece(self, piece: str) -> list[int]:
+    def of_piece(self, piece: bytes) -> list[int]:
         letters = self.splitter.letters
-        return [t.id for t in self.model.tokenize(piece if piece.isascii() and piece.isprintable() else "".join([letters[b] for b in piece.encode()]))]
+        return [t.id for t in self.model.tokenize("".join([letters[b] for b in piece]))]
 
     def of_run(self, run: str) -> list[int]:
         pieces = self.splitter.pieces(run)
@@ -160,7 +178,8 @@ class Ids:
 
 
 class Counter:
-    """Token counts by rank-synchronous merging of ragged numpy arrays."""
+    """Token counts by rank-synchronous merging of ragged numpy arrays, whatever the script; the library counts runs
+    with special strings only."""
 
     def __init__(self, path: str):
         self.splitter = Splitter(path)
@@ -191,9 +210,8 @@ class Counter:
         out[at] = np.where(self.keys[found] == keys, self.rank[found], self.none)
         return out
 
-    def surviving(self, pieces: list[str]) -> np.ndarray:
+    def surviving(self, raw: list[bytes]) -> np.ndarray:
         """How many symbols each pre-token (not empty) keeps once no pair has a rank."""
-        raw = [p.encode() for p in pieces]
         length = np.fromiter(map(len, raw), np.int64, len(raw))
         data = np.frombuffer(b"".join(raw), np.uint8)
         symbols = self.inner[data]

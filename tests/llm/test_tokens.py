@@ -60,6 +60,36 @@ def test_counts_and_ids_of_any_text(texts):
     assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == want
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(max_size=25), min_size=1, max_size=5))
+def test_counts_and_ids_over_all_of_unicode(texts):
+    test_counts_and_ids_of_any_text.hypothesis.inner_test(texts)
+
+
+def test_other_scripts_are_merged_in_arrays(monkeypatch):
+    import pyarrow as pa
+
+    texts = ["漢字かな交じり文 テスト", "ΑΣ ΟΔΟΣ Ελληνικά", "Съешь же ещё этих булок", "한국어 문장", "नमस्ते दुनिया", "it's", "áë"]
+    counter = bpe.Counter(bpe.vocabulary_path(bpe.VOCABULARY))
+    real = counter.splitter.tokenizer
+    want = [len(real.encode(t, add_special_tokens=False).ids) for t in texts]
+
+    class NoEncode:
+        normalizer, pre_tokenizer = real.normalizer, real.pre_tokenizer
+
+    counter.splitter.tokenizer = NoEncode()
+    assert counter.of(pa.array(texts, pa.string())).tolist() == want
+
+
+def test_other_rules_are_refused(tmp_path):
+    spec = json.load(open(bpe.vocabulary_path(bpe.VOCABULARY), encoding="utf-8"))
+    spec["normalizer"]["normalizers"].pop()
+    (tmp_path / "v.json").write_text(json.dumps(spec))
+    for path in (str(tmp_path / "v.json"), bpe.vocabulary_path("byte_bpe_50k.json")):
+        with pytest.raises(ValueError, match="other rules"):
+            bpe.Counter(path)
+
+
 def test_unsafe_ranks_merge_one_at_a_time():
     c = object.__new__(bpe.Counter)
     c.inner = c.last = np.arange(256, dtype=np.int64)
@@ -69,7 +99,7 @@ def test_unsafe_ranks_merge_one_at_a_time():
     order = np.argsort(keys)
     c.keys, c.rank, c.none, c.made = keys[order], order, 3, made
     c.single = np.array([False, True, False])
-    assert c.surviving(["abcab", "ab", "cab"]).tolist() == [2, 1, 2]
+    assert c.surviving([b"abcab", b"ab", b"cab"]).tolist() == [2, 1, 2]
 
 
 @pytest.mark.parametrize("encoding", ["dictionary", "delta"])
