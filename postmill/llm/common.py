@@ -19,9 +19,18 @@ SLICE_BYTES = 3 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where unset, a new local one (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir of the session, or the one that its context has.
+
+    Where neither is set, a new local folder serves a session whose executors all run in the driver (tests); on a
+    cluster that would lose data, so it is an error there.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("postmill.shared.dir", None)
     if not where:
+        own = spark.sparkContext._jsc.sc().getCheckpointDir()
+        where = own.get() if own.isDefined() else None
+    if not where:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("postmill.shared.dir", where)
     return where.rstrip("/")
@@ -35,13 +44,26 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: cuts the lineage and outlives lost executors."""
     path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def forget(*dfs: DataFrame) -> None:
+    """Deletes what stored() wrote for these; nothing made of them may be read any more."""
+    for df in dfs:
+        if hasattr(df, "stored_at"):
+            _delete(df.sparkSession, df.stored_at)
 
 
 def clear_stored(spark: SparkSession) -> None:
     """Deletes what stored() and new_path() have left in the shared folder; results not yet written are lost with it."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/postmill")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, f"{shared_dir(spark)}/postmill")
 
 
 @contextmanager

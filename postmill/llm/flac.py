@@ -17,6 +17,9 @@ RATE = 8000
 LPC_ORDER, LPC_BITS = 8, 10
 PARTITION_ORDER = 2
 BIAS = 128  # unsigned payload bytes are stored as signed samples
+#: Frames that the encoder works on at once, and bytes of streams that the decoder does: a longer stream is cut at its
+#: seek points, so memory follows these and not the longest stream.
+LANES, SPAN = 910, 1 << 19
 
 
 class FlacError(ValueError):
@@ -34,15 +37,24 @@ def _crc_table(poly: int, bits: int) -> np.ndarray:
 
 
 CRC8, CRC16 = _crc_table(0x07, 8), _crc_table(0x8005, 16)
+#: The 16-bit checksum after two bytes at once.
+CRC16_PAIR = CRC16[CRC16[np.arange(1 << 16) >> 8] >> 8 ^ np.arange(1 << 16) & 255] ^ (CRC16[np.arange(1 << 16) >> 8] << 8 & 0xFFFF)
 
 
 def crc_of(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, bits: int) -> np.ndarray:
     """CRC of each data[start:start + length]. Zeros in front leave it as it is, so ends are lined up."""
-    crc, table = np.zeros(len(starts), np.int32), CRC8 if bits == 8 else CRC16
-    ends, most = starts + lengths, int(lengths.max(initial=0))
-    for back in range(most, 0, -1):
-        byte = np.where(back <= lengths, data[np.maximum(ends - back, 0)], 0).astype(np.int32)
-        crc = table[crc ^ byte] if bits == 8 else (crc << 8 & 0xFFFF) ^ table[crc >> 8 ^ byte]
+    crc, most = np.zeros(len(starts), np.int32), int(lengths.max(initial=0))
+    if not most:
+        return crc
+    most += most & 1
+    back = np.arange(most, 0, -1)[:, None]
+    rows = np.where(back <= lengths, data[np.maximum(starts + lengths - back, 0)], np.uint8(0))
+    if bits == 8:
+        for byte in rows:
+            crc = CRC8[crc ^ byte]
+        return crc
+    for pair in rows[::2].astype(np.int32) << 8 | rows[1::2]:
+        crc = CRC16_PAIR[crc ^ pair]
     return crc
 
 
@@ -104,16 +116,17 @@ def _lpc(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _frames(x: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Encoded frames of the rows of x (int64 samples): all bytes in the rows' order, and bytes of each."""
+    """Encoded frames of the rows of x (samples): all bytes in the rows' order, and bytes of each."""
     n_frames, n = x.shape
+    x = x.astype(np.int32)
     kinds = [x]
     for _ in range(4):
         kinds.append(np.diff(kinds[-1], axis=1))
     coefs, shift = _lpc(x)
-    guess = np.zeros((n_frames, n - LPC_ORDER), np.int64)
+    guess, narrow = np.zeros((n_frames, n - LPC_ORDER), np.int32), coefs.astype(np.int32)
     for j in range(LPC_ORDER):
-        guess += coefs[:, j : j + 1] * x[:, LPC_ORDER - 1 - j : n - 1 - j]
-    kinds.append(x[:, LPC_ORDER:] - (guess >> shift[:, None]))
+        guess += narrow[:, j : j + 1] * x[:, LPC_ORDER - 1 - j : n - 1 - j]
+    kinds.append(x[:, LPC_ORDER:] - (guess >> shift[:, None].astype(np.int32)))
     cost = np.stack([np.abs(k).sum(1) for k in kinds], 1)
     cost[:, 5] += n // 4  # its coefficients take room
     best = cost.argmin(1)
@@ -140,7 +153,7 @@ def _frames(x: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]
             if kind == 5:
                 fields += [col(LPC_BITS - 1, 4), col(shift[rows], 5), (coefs[rows] & ((1 << LPC_BITS) - 1), np.full((g, LPC_ORDER), LPC_BITS, np.int64))]
             u = kinds[kind][rows]
-            u = (u << 1) ^ (u >> 63)
+            u = (u << 1) ^ (u >> 31)
             fields += [col(0, 2), col(PARTITION_ORDER, 4)]
             step, at = n >> PARTITION_ORDER, 0
             for p in range(1 << PARTITION_ORDER):
@@ -188,10 +201,13 @@ def encode(payloads: list[bytes]) -> list[bytes]:
     if (size % BLOCK).any() or (size == 0).any():
         raise FlacError("payloads must be positive multiples of 576 bytes")
     per = size // BLOCK
-    x = np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, BLOCK).astype(np.int64) - BIAS
+    x = np.frombuffer(b"".join(payloads) if len(payloads) > 1 else payloads[0] if payloads else b"", np.uint8).reshape(-1, BLOCK)
     first = np.cumsum(per) - per
-    data, length = _frames(x, np.arange(len(x)) - np.repeat(first, per))
-    end, out, raw = np.cumsum(length), [], data.tobytes()
+    numbers = np.arange(len(x)) - np.repeat(first, per)
+    parts = [_frames(x[i : i + LANES].astype(np.int32) - BIAS, numbers[i : i + LANES]) for i in range(0, len(x), LANES)]
+    length = np.concatenate([n for _, n in parts]) if parts else np.zeros(0, np.int64)
+    end, out, raw = np.cumsum(length), [], memoryview(b"".join(d.tobytes() for d, _ in parts))
+    del parts
     for p, a, n in zip(payloads, first.tolist(), per.tolist(), strict=True):
         own, base = length[a : a + n], int(end[a] - length[a])
         signed = (np.frombuffer(p, np.uint8) ^ 0x80).tobytes()
@@ -420,35 +436,65 @@ def _rice(bits: _Bits, p: np.ndarray, k: np.ndarray, out: np.ndarray, t: int, st
     return p
 
 
-def decode(streams: list[bytes], verify: bool = True) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Samples of each stream, and the sample offset at which each of its frames begins (with a last entry for the end)."""
-    heads = [Header(s) for s in streams]
-    size = np.array([len(s) for s in streams], np.int64)
+def _walk(pieces: list[tuple[bytes, np.ndarray, int]]) -> list[list[np.ndarray]]:
+    """Samples of the frames of each piece (bytes, where frames are known to begin, bits of a sample), in order.
+
+    A piece ends where a frame ends; from the last frame known, and wherever the next one isn't known, frames are
+    found one after the other.
+    """
+    size = np.array([len(p) for p, *_ in pieces], np.int64)
     base = np.cumsum(size) - size
-    bits = _Bits(np.frombuffer(b"".join(streams), np.uint8))
-    owner = np.repeat(np.arange(len(heads)), [len(h.offset) for h in heads])
-    starts = np.concatenate([h.offset + b for h, b in zip(heads, base, strict=True)]) if heads else np.zeros(0, np.int64)
-    depth, stop = np.array([h.bits for h in heads], np.int64), base + size
-    seen = np.sort(starts)
-    found: list[list] = [[] for _ in heads]
+    bits = _Bits(np.frombuffer(b"".join([p for p, *_ in pieces]), np.uint8))
+    owner = np.repeat(np.arange(len(pieces)), [len(k) for _, k, _ in pieces])
+    starts = np.concatenate([k + b for (_, k, _), b in zip(pieces, base, strict=True)])
+    depth, stop, seen = np.array([d for *_, d in pieces], np.int64), base + size, np.sort(starts)
+    found: list[list] = [[] for _ in pieces]
     starts, owner = starts[starts < stop[owner]], owner[starts < stop[owner]]
     while len(starts):
         samples, _, ends = decode_frames(bits, starts, depth[owner], stop[owner])
         for o, s, x in zip(owner.tolist(), starts.tolist(), samples, strict=True):
-            found[o].append((s, x))
+            found[o].append((s, x.astype(np.int16)))
         at = np.minimum(np.searchsorted(seen, ends), len(seen) - 1)
         go = (ends < stop[owner]) & (seen[at] != ends)
         starts, owner = ends[go], owner[go]
+    return [[x for _, x in sorted(f, key=lambda r: r[0])] for f in found]
+
+
+def decode(streams: list[bytes], verify: bool = True) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Samples of each stream, and the sample offset at which each of its frames begins (with a last entry for the end)."""
+    heads = [Header(s) for s in streams]
+    rows: list[list[np.ndarray]] = [[] for _ in streams]
+    group, held = [], 0
+
+    def settle():
+        nonlocal group, held
+        for (i, *_), own in zip(group, _walk([g[1:] for g in group]) if group else [], strict=True):
+            rows[i] += own
+        group, held = [], 0
+
+    for i, (s, h) in enumerate(zip(streams, heads, strict=True)):
+        offset = h.offset[h.offset < len(s)]
+        if (np.diff(offset) <= 0).any():
+            raise FlacError("seek points out of order")
+        at = 0
+        while at < len(offset):
+            to = max(at + 1, int(np.searchsorted(offset, offset[at] + SPAN)))
+            lo, hi = int(offset[at]), int(offset[to]) if to < len(offset) else len(s)
+            group.append((i, s[lo:hi], offset[at:to] - lo, h.bits))
+            held += hi - lo
+            if held >= SPAN:
+                settle()
+            at = to
+    settle()
     out, offsets = [], []
-    for h, f in zip(heads, found, strict=True):
-        rows = [x for _, x in sorted(f, key=lambda r: r[0])]
-        x = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+    for h, own in zip(heads, rows, strict=True):
+        x = np.concatenate(own) if own else np.zeros(0, np.int16)
         if len(x) != h.samples:
             raise FlacError("samples are missing")
         if verify and any(h.md5) and h.bits <= 8 and hashlib.md5(x.astype(np.int8).tobytes()).digest() != h.md5:
             raise FlacError("the samples' digest doesn't hold")
         out.append(x)
-        offsets.append(np.cumsum([0, *(len(r) for r in rows)]))
+        offsets.append(np.cumsum([0, *(len(r) for r in own)]))
     return out, offsets
 
 
@@ -457,17 +503,9 @@ def decode_range(stream: bytes, first: int, count: int) -> np.ndarray:
     h = Header(stream)
     last = min(first + count, h.samples)
     if first >= last:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int16)
     i = int(np.searchsorted(h.sample, first, "right")) - 1
     j = int(np.searchsorted(h.sample, last, "left"))
     lo, hi = int(h.offset[i]), int(h.offset[j]) if j < len(h.offset) else len(stream)
-    bits, at, rows = _Bits(np.frombuffer(stream[lo:hi], np.uint8)), np.array([0]), []
-    known = h.offset[i:j] - lo
-    samples, _, ends = decode_frames(bits, known, np.full(len(known), h.bits), np.full(len(known), hi - lo))
-    rows = list(zip(known.tolist(), samples, strict=True))
-    while len(ends := ends[(ends < hi - lo) & ~np.isin(ends, known)]):
-        at = ends
-        samples, _, ends = decode_frames(bits, at, np.full(len(at), h.bits), np.full(len(at), hi - lo))
-        rows += zip(at.tolist(), samples, strict=True)
-    x = np.concatenate([r for _, r in sorted(rows, key=lambda r: r[0])])
+    x = np.concatenate(_walk([(stream[lo:hi], h.offset[i:j] - lo, h.bits)])[0])
     return x[first - int(h.sample[i]) : last - int(h.sample[i])]

@@ -11,12 +11,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postmill.llm import flac
-from postmill.llm.common import id_and_text, slices, stored, utf8
+from postmill.llm.common import forget, id_and_text, slices, stored, utf8
 
 MEDIA = "doc_id long, n_bytes long, media binary"
 PCM = "doc_id long, n_bytes long, media_bytes long, media_sha256 string, blocks array<struct<sample_offset:long,n_samples:long,pcm:binary>>"
-#: Bytes of payload that one call of the codec works on: its arrays take about 60 times that.
-AT_ONCE = 1 << 19
+#: Bytes of payload that one call of the codec gets, beside one longer document: its arrays take about 60 times that,
+#: for a longer document too, as the codec cuts it at frames.
+AT_ONCE = flac.SPAN
+#: Parts of the documents that media_features() stores one after the other.
+PARTS = 3
 
 
 def payload(text: bytes) -> bytes:
@@ -55,11 +58,16 @@ def _groups(batch: pa.RecordBatch, column: int):
         yield start, held
 
 
-def features(x: np.ndarray) -> str:
-    """Exact features of samples: extremes, sum, energy, sign changes, and sum of absolute differences."""
-    x = x.astype(np.int64)
-    d = np.diff(x)
-    return f"min={x.min()};max={x.max()};sum={x.sum()};energy={(x * x).sum()};crossings={((x[1:] < 0) != (x[:-1] < 0)).sum()};variation={np.abs(d).sum()}"
+def features(x: np.ndarray, most: int = 1 << 20) -> str:
+    """Exact features of signed samples: extremes, sum, energy, sign changes, and sum of absolute differences."""
+    least, largest, total, energy, crossings, variation = 0, 0, 0, 0, 0, 0
+    for i in range(0, len(x), most):
+        own = x[max(i - 1, 0) : i + most].astype(np.int32)  # the sample before, for differences
+        new = own[i > 0 :]
+        least, largest = (int(new.min()), int(new.max())) if i == 0 else (min(least, int(new.min())), max(largest, int(new.max())))
+        total, energy = total + int(new.sum()), energy + int((new * new).sum(dtype=np.int64))
+        crossings, variation = crossings + int(((own[1:] < 0) != (own[:-1] < 0)).sum()), variation + int(np.abs(np.diff(own)).sum(dtype=np.int64))
+    return f"min={least};max={largest};sum={total};energy={energy};crossings={crossings};variation={variation}"
 
 
 def pcm_lists(media: DataFrame) -> DataFrame:
@@ -109,7 +117,7 @@ def block_digests(pcm: DataFrame) -> DataFrame:
                 x = np.frombuffer(b"".join(held), "i1")
                 k = int(np.searchsorted(own, max(len(x) - 32, 0), "right")) - 1
                 last = np.frombuffer(b"".join(held[k:]), "i1")[max(len(x) - 32, 0) - own[k] :]
-                raw, end = ((v.astype(np.int64) + flac.BIAS).astype(np.uint8).tobytes() for v in (x, last))
+                raw, end = ((v.view(np.uint8) ^ flac.BIAS).tobytes() for v in (x, last))
                 size.append(len(raw))
                 sha.append(hashlib.sha256(raw).hexdigest())
                 tail.append(zlib.crc32(end))
@@ -147,7 +155,18 @@ def read_samples(media: DataFrame, first: int, count: int) -> DataFrame:
     return media.select("doc_id", "media").mapInArrow(run, "doc_id long, pcm binary")
 
 
-def media_features(docs: DataFrame) -> DataFrame:
-    """What op1 returns: every text stored as FLAC, read back and checked, its PCM blocks stored, read back and described."""
-    pcm = stored(pcm_lists(stored(encode_media(docs), "media")), "pcm")
-    return block_digests(pcm).withColumn("frames", (F.col("payload_bytes") / flac.BLOCK).cast("long"))
+def media_features(docs: DataFrame, parts: int = PARTS) -> DataFrame:
+    """What op1 returns: every text stored as FLAC, read back and checked, its PCM blocks stored, read back and described.
+
+    Both tables are about twice the size of compressed text, so documents are stored in `parts`, dealt by hash: a part's
+    tables go once its rows of the result are stored. To keep them, store encode_media() and pcm_lists() yourself.
+    """
+    docs, out = id_and_text(docs), None
+    for part in range(parts):
+        own = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)) == part)
+        media = stored(encode_media(own), "media")
+        pcm = stored(pcm_lists(media), "pcm")
+        rows = stored(block_digests(pcm), "described")
+        forget(media, pcm)
+        out = rows if out is None else out.unionByName(rows)
+    return out.withColumn("frames", (F.col("payload_bytes") / flac.BLOCK).cast("long"))

@@ -1,5 +1,7 @@
 """Helpers that all operators lean on."""
 
+from unittest.mock import MagicMock
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -34,6 +36,22 @@ def test_arrays():
     assert bytes(data) == b"a" and at.tolist() == [0, 0, 1]
 
 
+def test_forget_and_shared_dir(spark, monkeypatch):
+    kept, gone = (common.stored(spark.range(3), "t") for _ in range(2))
+    common.forget(gone, spark.range(1))
+    assert kept.count() == 3
+    with pytest.raises(Exception, match="."):
+        gone.count()
+
+    class Cluster:
+        conf = type("C", (), {"get": staticmethod(lambda k, d: None)})()
+        sparkContext = MagicMock(master="local-cluster[3,2,1000]")
+        sparkContext._jsc.sc().getCheckpointDir().isDefined.return_value = False
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Cluster())
+
+
 def test_stored_and_cleared(spark):
     df = common.stored(spark.createDataFrame([(1,), (None,)], "a int"), "t")
     assert sorted(map(tuple, df.collect()), key=str) == [(1,), (None,)]

@@ -128,6 +128,41 @@ def test_long_stream_and_frame_numbers():
     assert (flac.decode_range(s, 576 * 2099 + 1, 4) + 128).astype(np.uint8).tobytes() == p[576 * 2099 + 1 :][:4]
 
 
+def test_a_long_stream_is_cut_at_frames(monkeypatch):
+    """Whatever the codec works on at once, streams and samples are the same."""
+    payloads = [np.random.default_rng(3).integers(60, 120, 576 * n).astype(np.uint8).tobytes() for n in (40, 1, 7)]
+    want, samples = flac.encode(payloads), flac.decode(flac.encode(payloads))
+    monkeypatch.setattr(flac, "LANES", 9)
+    monkeypatch.setattr(flac, "SPAN", 1500)
+    assert flac.encode(payloads) == want
+    got = flac.decode(want)
+    assert all((a == b).all() for a, b in zip(got[0] + got[1], samples[0] + samples[1], strict=True))
+
+
+def test_features_in_parts():
+    x = np.random.default_rng(4).integers(-128, 128, 5000).astype(np.int8)
+    y = x.astype(np.int64)
+    want = f"min={y.min()};max={y.max()};sum={y.sum()};energy={(y * y).sum()};crossings={((y[1:] < 0) != (y[:-1] < 0)).sum()};variation={np.abs(np.diff(y)).sum()}"
+    assert {media_module.features(x, most) for most in (1, 7, 4999, 5000, 1 << 20)} == {want}
+
+
+def test_very_long_text_takes_bounded_memory():
+    """A text of 24 MB: the codec's own arrays stay small, so memory is a few times the text's."""
+    code = (
+        "import resource, sys; from postmill.llm import flac, media; import pyarrow as pa\n"
+        "t = ('some words of a long text, ' * 900000)[:24_000_000]; p = media.payload(t.encode()); s = flac.encode([p])\n"
+        "x, _ = flac.decode(s); assert len(x[0]) == len(p) and media.features(x[0].astype('i1'))\n"
+        "print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)"
+    )
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=root, timeout=300)
+    assert done.returncode == 0 and int(done.stdout) < 700, done
+
+
 def test_without_seek_points_and_with_few():
     p = cases()[2]
     (s,) = flac.encode([p])
@@ -182,6 +217,7 @@ def test_media_tables(spark):
     texts = ["", None, "a", "é" * 288, "x" * 576, "long " * 30_000, "a"]
     docs = spark.createDataFrame([(i, t, "m") for i, t in enumerate(texts)], "doc_id long, text string, media string").repartition(3)
     got = {r["doc_id"]: r for r in media_features(docs).collect()}
+    assert len(got) == len(texts)
     media = encode_media(docs)
     blocks = pcm_blocks(media).toPandas()
     some = {r["doc_id"]: r["pcm"] for r in read_samples(media, 100, 1000).collect()}
@@ -210,7 +246,7 @@ def test_features_come_from_stored_tables(spark, monkeypatch):
         return kept(df, name)
 
     monkeypatch.setattr(media_module, "stored", record)
-    assert media_features(docs).count() == 2 and names == ["media", "pcm"]
+    assert media_features(docs, 1).count() == 2 and names == ["media", "pcm", "described"]
     for bad, change in lost.items():
         monkeypatch.setattr(media_module, "stored", lambda df, name, bad=bad, change=change: kept(df, name).withColumns(change if name == bad else {}))
         with pytest.raises(Exception, match="FlacError"):
