@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postmill.llm.common import id_and_text, slices, split_words, stored, without
+from postmill.llm.common import id_and_text, ragged, slices, split_words, stored, without
 
 #: Lower-cases A-Z and makes every byte that isn't of a word a space: words are [0-9a-z] and bytes from 128 on.
 WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -98,20 +98,38 @@ def build_index(docs: DataFrame, terms: pa.Array, block_words: int = BLOCK_WORDS
     return stored(docs.mapInArrow(run, INDEX), "index")
 
 
-def among(sorted_: np.ndarray, values: np.ndarray) -> np.ndarray:
-    at = np.minimum(np.searchsorted(sorted_, values), len(sorted_) - 1)
-    return sorted_[at] == values
+def phrase_hits(positions: np.ndarray, first: np.ndarray, terms: np.ndarray, words: np.ndarray, starts: np.ndarray, lengths: np.ndarray, total: int, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """(window, place) of every exact occurrence of windows words[starts:starts + lengths] in a block.
 
-
-def phrase_starts(lists: list[np.ndarray]) -> np.ndarray:
-    """Where the terms stand one after the other: from the rarest list on, those that all others confirm."""
-    order = sorted(range(len(lists)), key=lambda j: len(lists[j]))
-    starts = lists[order[0]] - order[0]
-    for j in order[1:]:
-        if not len(starts):
-            break
-        starts = starts[among(lists[j], starts + j)]
-    return starts
+    positions[first[t]:first[t + 1]] is term t's list, and terms has each position's term. A window's candidates are
+    the places of its rarest term, shifted by its offset; they are intersected with the lists of the other terms, all
+    windows at once, about `most` candidates at a time. A window with a term that doesn't occur has none.
+    """
+    none = np.zeros(0, np.int64)
+    count = np.diff(first)
+    rare, at = np.full(len(starts), 1 << 62), np.zeros(len(starts), np.int64)
+    for k in range(int(lengths.max(initial=0))):
+        own = np.where(k < lengths, count[words[np.minimum(starts + k, len(words) - 1)]], 1 << 62)
+        less = own < rare
+        rare[less], at[less] = own[less], k
+    live = np.flatnonzero((rare > 0) & (lengths > 0))
+    found_window, found_place = [none], [none]
+    ends = np.cumsum(rare[live])
+    lo = 0
+    while lo < len(live):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, "right")))
+        own = live[lo:hi]
+        window = np.repeat(own, rare[own])
+        place = positions[ragged(first[words[starts[own] + at[own]]], rare[own])] - at[window]
+        keep = (place >= 0) & (place + lengths[window] <= total)
+        window, place = window[keep], place[keep]
+        for k in range(int(lengths[own].max())):
+            keep = (k >= lengths[window]) | (terms[np.minimum(place + k, total - 1)] == words[np.minimum(starts[window] + k, len(words) - 1)])
+            window, place = window[keep], place[keep]
+        found_window.append(window)
+        found_place.append(place)
+        lo = hi
+    return np.concatenate(found_window), np.concatenate(found_place)
 
 
 def near_places(lists: list[np.ndarray], n: int, share: float, slop: int, span: int = 4, block: int = 5_000) -> np.ndarray:
@@ -167,38 +185,40 @@ def search(index: DataFrame, items: Items, window: int = WINDOW, near: tuple[flo
     Blocks are read one by one, each with its own postings; which terms are rare is told by the block.
     """
     none = np.zeros(0, np.int64)
+    words = np.concatenate([np.asarray(x, np.int64) for x in items.words]) if items.words else none
+    length = np.array([len(x) for x in items.words], np.int64)
+    each = np.where(length > 0, np.maximum(length - window, 0) + 1, 0)
+    owner = np.repeat(np.arange(len(length)), each)
+    starts = ragged(np.cumsum(length) - length, each)
+    lengths = np.minimum(length, window)[owner]
 
     def run(key, table):
+        table = table.sort_by("term")
         terms, lists = table.column("term").to_numpy(), table.column("positions").combine_chunks()
-        post, facts = {}, None
-        for t, v in zip(terms.tolist(), lists, strict=True):
-            if t < 0:
-                facts = np.frombuffer(v.as_buffer(), "<i8").reshape(3, -1)
-            else:
-                post[t] = np.frombuffer(v.as_buffer(), "<i4").astype(np.int64)
-        ids, null, counts = facts
+        ids, null, counts = np.frombuffer(lists[0].as_buffer(), "<i8").reshape(3, -1)  # term -1
         start = np.cumsum(counts + gap) - (counts + gap)
         doc_of = lambda p: np.searchsorted(start, p, "right") - 1
         total = int(start[-1] + counts[-1]) if len(counts) else 0
+        sizes = np.zeros(len(items.terms), np.int64)
+        sizes[terms[1:]] = [len(x.as_buffer()) >> 2 for x in lists[1:]]
+        first = np.concatenate(([0], np.cumsum(sizes)))
+        positions = np.frombuffer(b"".join([x.as_buffer() for x in lists[1:]]), "<i4").astype(np.int64)
+        at = np.full(max(total, 1), -1, np.int64)
+        at[positions] = np.repeat(np.arange(len(sizes)), sizes)
         edge = np.zeros(total + 1, np.int32)
         exact: dict[int, set] = {}
         close: dict[int, set] = {}
-        for name, words in zip(items.names, items.words, strict=True):
-            n = min(window, len(words))
-            own = [post.get(t, none) for t in words.tolist()]
-            missing = np.cumsum([0] + [not len(x) for x in own])
-            for w in range(len(words) - n + 1 if n else 0):
-                gone = missing[w + n] - missing[w]
-                if not gone:
-                    s = phrase_starts(own[w : w + n])
-                    if len(s):
-                        np.add.at(edge, s, 1)
-                        np.add.at(edge, s + n, -1)
-                        for d in set(doc_of(s).tolist()):
-                            exact.setdefault(d, set()).add(name)
-            if near and n:
-                for d in set(doc_of(near_places(own, n, *near)).tolist()):
-                    close.setdefault(d, set()).add(name)
+        which, place = phrase_hits(positions, first, at, words, starts, lengths, total)
+        np.add.at(edge, place, 1)
+        np.add.at(edge, place + lengths[which], -1)
+        for d, i in np.unique(np.stack([doc_of(place), owner[which]], 1), axis=0).tolist():
+            exact.setdefault(d, set()).add(items.names[i])
+        if near:
+            for name, own in zip(items.names, items.words, strict=True):
+                if len(own):
+                    lists_ = [positions[first[t] : first[t + 1]] for t in own.tolist()]
+                    for d in set(doc_of(near_places(lists_, min(window, len(own)), *near)).tolist()):
+                        close.setdefault(d, set()).add(name)
         hit = np.cumsum(edge[:-1]) > 0
         flat = np.flatnonzero(np.diff(np.concatenate(([0], hit, [0]))))
         lo, hi = flat[::2], flat[1::2]

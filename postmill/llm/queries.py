@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from postmill.llm.common import new_path, table
 from postmill.llm.decontamination import contamination
 from postmill.llm.languages import identify
@@ -48,30 +50,41 @@ def op7_feistel_shards(spark, sf_dir):
 
 
 def op8_positional_index(spark, sf_dir):
-    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), near=None).drop("near_items")
-
-
-def op8_exact_and_near(spark, sf_dir):
-    """All of op8: the columns of op8_positional_index, which SQL can say, and near_items, the items that only nearly occur."""
+    """Exact windows of items by document, and in near_items the items that only nearly occur."""
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def near_passages(spark, sf_dir):
-    """Documents in which a window of some item nearly occurs, and the items of which none occurs exactly."""
-    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).filter("near_items <> ''").select("doc_id", "n_items", "near_items")
+    """op8 for items whose every seventh word is changed: what quotes them exactly now does so nearly."""
+    changed = F.array_join(F.transform(F.split("text", " "), lambda x, i: F.when(i % 7 == 6, F.lit("zzz")).otherwise(x)), " ")
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").withColumn("text", changed)).select("doc_id", "n_hit", "n_items", "near_items")
 
 
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
-OP8_SQL = f"""
-WITH d AS (SELECT doc_id, coalesce({_WORDS}, []) AS w FROM documents),
-b AS (SELECT item_id, w, least(13, len(w)) AS n FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) x WHERE len(w) > 0),
+_OP8 = f"""
+d AS (SELECT doc_id, coalesce({_WORDS}, []) AS w FROM documents),
+b AS (SELECT item_id, w, least(13, len(w)) AS n FROM (SELECT item_id, {_WORDS} AS w FROM items) x WHERE len(w) > 0),
 grams AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS g FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM b) x),
 places AS (SELECT doc_id, n, p, array_to_string(w[p:p + n - 1], ' ') AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, (SELECT DISTINCT n FROM b) y) x),
 hits AS (SELECT doc_id, p, n, item_id FROM places JOIN grams USING (n, g)),
 words AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM hits) x GROUP BY doc_id),
-names AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hits) x GROUP BY doc_id)
-SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN words USING (doc_id) LEFT JOIN names USING (doc_id)"""
+item_words AS (SELECT item_id, n, unnest(range(1, len(w) + 1)) AS j, unnest(w) AS x FROM b),
+doc_words AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS x FROM d),
+stands AS (SELECT DISTINCT doc_id, item_id, n, p - j + s AS a, j FROM doc_words JOIN item_words USING (x), (SELECT unnest(range(-3, 4)) AS s) y),
+many AS (SELECT doc_id, item_id, n, a, list(j) AS js FROM stands GROUP BY ALL HAVING 5 * count(*) >= 4 * n),
+runs AS (SELECT doc_id, item_id, n, count(*) OVER (PARTITION BY doc_id, item_id, a ORDER BY j RANGE BETWEEN CURRENT ROW AND 12 FOLLOWING) AS c FROM (SELECT doc_id, item_id, n, a, unnest(js) AS j FROM many) x),
+near AS (SELECT doc_id, string_agg(i, ',' ORDER BY i) AS near_items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM runs r WHERE 5 * c >= 4 * n AND NOT EXISTS (SELECT 1 FROM hits h WHERE h.doc_id = r.doc_id AND h.item_id = r.item_id)) x GROUP BY doc_id),
+names AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hits) x GROUP BY doc_id)"""
+OP8_SQL = f"""
+WITH items AS (SELECT * FROM benchmark), {_OP8}
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, coalesce(near_items, '') AS near_items
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN names USING (doc_id) LEFT JOIN near USING (doc_id)"""
+
+
+NEAR_SQL = f"""
+WITH items AS (SELECT item_id, array_to_string(list_transform(string_split(text, ' '), lambda x, i: CASE WHEN i % 7 = 0 THEN 'zzz' ELSE x END), ' ') AS text FROM benchmark), {_OP8}
+SELECT d.doc_id, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(near_items, '') AS near_items
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN names USING (doc_id) LEFT JOIN near USING (doc_id)"""
 
 
 def op9_superminhash(spark, sf_dir):
@@ -94,8 +107,8 @@ SELECT doc_id, len(s) AS n_shingles, component_id, doc_id = component_id AS kept
 
 
 def queries():
-    return {f.__name__: f for f in (op1_flac_media, op2_language_id, op3_quality, op4_token_files, op5_best_fit, op6_secret_scan, op7_feistel_shards, op8_positional_index, op8_exact_and_near, op9_superminhash, op10_token_counts, near_passages)}
+    return {f.__name__: f for f in (op1_flac_media, op2_language_id, op3_quality, op4_token_files, op5_best_fit, op6_secret_scan, op7_feistel_shards, op8_positional_index, op9_superminhash, op10_token_counts, near_passages)}
 
 
 def oracle_sql():
-    return {"op8_positional_index": OP8_SQL, "op9_superminhash": OP9_SQL}
+    return {"op8_positional_index": OP8_SQL, "op9_superminhash": OP9_SQL, "near_passages": NEAR_SQL}

@@ -51,9 +51,11 @@ def data(seed=2):
     return [*docs, (-1, None), (-2, ""), (-3, "same same same same the")], items
 
 
-@pytest.mark.parametrize("limits", [{}, {"pass_words": 90}])
+@pytest.mark.parametrize("limits", [{}, {"pass_words": 90}, {"most": 7}])
 def test_against_plain_search(spark, monkeypatch, limits):
-    monkeypatch.setattr(dc.build_index, "__defaults__", (400, dc.WINDOW + dc.NEAR_SLOP))
+    monkeypatch.setattr(dc.build_index, "__defaults__", (400, dc.build_index.__defaults__[1]))
+    monkeypatch.setattr(dc.phrase_hits, "__defaults__", (limits.get("most", 1 << 20),))
+    limits = {k: v for k, v in limits.items() if k != "most"}
     docs, items = data()
     df = spark.createDataFrame([(d, t, 1) for d, t in docs], "doc_id long, text string, item_id int").repartition(4)
     bench = spark.createDataFrame([(i, t, 0) for i, t in items], "item_id long, text string, doc_id int")
@@ -146,12 +148,22 @@ def test_real_tables(spark):
 
 
 def test_query_with_near_matches(spark, tmp_path):
-    """op8_exact_and_near has op8_positional_index's rows, and the near matches besides."""
+    """op8's rows, exact and near, are those of its SQL."""
+    import duckdb
+
     import __spark_entry__ as entry
 
-    item = [f"q{i}" for i in range(20)]
-    spark.createDataFrame([(1, " ".join(item)), (2, " ".join([*item[3:9], "x", *item[10:16]])), (3, "no")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(9, " ".join(item))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    exact, both = (entry.queries()[q](spark, str(tmp_path)) for q in ("op8_positional_index", "op8_exact_and_near"))
-    assert sorted(both.drop("near_items").collect()) == sorted(exact.collect())
-    assert {r["doc_id"]: r["near_items"] for r in both.collect()} == {1: "", 2: "9", 3: ""}
+    item, rng = [f"q{i}" for i in range(20)], random.Random(6)
+    docs = [(1, " ".join(item)), (2, " ".join([*item[3:9], "x", *item[10:16]])), (3, "no"), (4, None), (5, "s1 x s3 s4 s5")]
+    docs += [(10 + i, " ".join(rng.choices(item, k=3) + [w for w in item[rng.randrange(8) :] if rng.random() < 0.9])) for i in range(40)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(9, " ".join(item)), (7, "s1 s2 s3 s4 s5"), (8, ""), (6, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    duck = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        duck.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    for name in ("op8_positional_index", "near_passages"):
+        got = entry.queries()[name](spark, str(tmp_path))
+        want = duck.sql(entry.oracle_sql()[name])
+        assert sorted(tuple(r[c] for c in want.columns) for r in got.collect()) == sorted(want.fetchall()), name
+    got = {r["doc_id"]: r["near_items"] for r in entry.queries()["op8_positional_index"](spark, str(tmp_path)).collect()}
+    assert got[1] == got[3] == got[4] == "" and got[2] == "9" and got[5] == "7" and len([v for v in got.values() if v]) > 10
