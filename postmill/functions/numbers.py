@@ -32,8 +32,10 @@ def within_undo(executed_at: Column, as_of: Column) -> Column:
 
 
 def received_ms(text: Column) -> Column:
-    """Epoch milliseconds, whole seconds only, of an RFC 3339 time; 0 if it isn't one."""
-    return F.coalesce(F.unix_seconds(F.try_to_timestamp(text)) * 1000, F.lit(0).cast("long"))
+    """Epoch milliseconds, whole seconds only, of an RFC 3339 time with its offset; 0 if it isn't one."""
+    whole = F.upper(text)
+    time = F.when(whole.rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d+)?(Z|[+-]\d\d:\d\d)$"), whole)
+    return F.coalesce(F.unix_seconds(F.try_to_timestamp(time)) * 1000, F.lit(0).cast("long"))
 
 
 def from_bytes(raw: bytes) -> list[float]:

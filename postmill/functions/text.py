@@ -54,25 +54,42 @@ def cluster_prompt(key: Column, count: Column, samples: Column) -> Column:
     return F.concat_ws("\n", head, F.concat_ws("\n", F.transform(samples, block)))
 
 
+def unfenced(raw: Column) -> Column:
+    """raw without white space and code fences, single or repeated, at its ends."""
+    body = F.regexp_replace(trimmed(raw), r"^(?:```json)*(?:```)*", "")
+    return trimmed(F.regexp_replace(body, r"(?:```)+$", ""))
+
+
 def model_output(raw: Column) -> dict[str, Column]:
-    """category, confidence, reason and valid of a model's answer, which may stand in a code fence.
+    """category, confidence, reason and valid of a model's answer, which may stand in code fences.
 
-    Not valid, and so unknown with confidence 0: what isn't one JSON object, or lacks category or confidence. The
-    confidence is put between 0 and 1; below the floor the category is unknown; so is any category not in the domain.
+    Not valid, and so unknown with confidence 0: what isn't one JSON object and nothing else, has a key twice, lacks a
+    string as category or a finite number as confidence, or has a reason that is neither string nor null. Other keys
+    don't matter. The confidence is put between 0 and 1; below the floor the category is unknown; so is any category,
+    lower-cased, that is not in the domain.
     """
-    body = trimmed(F.regexp_replace(F.regexp_replace(trimmed(raw), r"^```(?:json)?", ""), r"```$", ""))
-    parsed = F.from_json(F.when(body.rlike(r"(?s)^\{[^{}]*\}$"), body), "category string, confidence double, reason string")
-    valid = parsed["category"].isNotNull() & parsed["confidence"].isNotNull()
-    sure = F.greatest(F.lit(0.0), F.least(F.lit(1.0), parsed["confidence"])).cast("float")
-    known = F.lower(trimmed(parsed["category"]))
+    body = unfenced(raw)
+    # The parser stops at the end of the first value. Inside an object that ends with the body's own digest, whatever
+    # stands after that value is an error, or the digest is missing.
+    whole = F.try_parse_json(F.concat(F.lit('{"v":'), body, F.lit(',"end":"'), F.sha2(body, 256), F.lit('"}')))
+    value = lambda path, kind: F.try_variant_get(whole, f"$.v.{path}", kind)
+    kind = lambda path: F.coalesce(F.schema_of_variant(value(path, "variant")), F.lit("VOID"))
+    number = value("confidence", "double")
+    valid = (
+        (F.try_variant_get(whole, "$.end", "string") == F.sha2(body, 256)) & (kind("category") == "STRING") & kind("reason").isin("VOID", "STRING")
+        & kind("confidence").rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)") & (F.abs(number) < F.lit(float("inf")))
+    )
+    valid = F.coalesce(valid, F.lit(False))
+    sure = F.greatest(F.lit(0.0), F.least(F.lit(1.0), number)).cast("float")
+    known = ascii_lower(value("category", "string"))
     category = F.when(valid & (sure >= F.lit(CONFIDENCE_FLOOR).cast("float")) & known.isin(*CATEGORIES), known).otherwise("unknown")
-    return {"category": category, "confidence": F.when(valid, sure).otherwise(F.lit(0.0).cast("float")), "reason": F.when(valid, parsed["reason"]), "valid": F.coalesce(valid, F.lit(False))}
+    return {"category": category, "confidence": F.when(valid, sure).otherwise(F.lit(0.0).cast("float")), "reason": F.when(valid, value("reason", "string")), "valid": valid}
 
 
 def csv_field(c: Column) -> Column:
-    """Quoted only where a comma, quote or line end is in it; null is empty."""
+    """Quoted only where a comma, quote or line feed is in it; null is empty."""
     c = F.coalesce(c.cast("string"), F.lit(""))
-    return F.when(c.rlike('[,"\n\r]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
+    return F.when(c.rlike('[,"\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
 
 
 def number_or_zero(c: Column) -> Column:

@@ -1,17 +1,21 @@
-"""Staged actions to plans, logged outcomes and their undoing. Side effects happen in a loop on the driver."""
+"""Staged actions to plans, journalled outcomes and their undoing. Side effects happen in a loop on the driver."""
 
 from __future__ import annotations
 
 import threading
+import time
 from collections.abc import Callable
+from datetime import timezone
+from itertools import groupby
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from postmill.functions.numbers import within_undo
-from postmill.operators.store import numbered
-from postmill.schema import ACTIONS
+from postmill.operators.store import numbered, settled
+from postmill.schema import ACTIONS, JOURNAL
 
 #: Messages of one remote call.
 CHUNK = 1000
@@ -66,52 +70,114 @@ def undo_status(log: DataFrame, as_of: Column) -> DataFrame:
     return log.withColumn("undo_status", status).withColumn("undo_labels", add).withColumn("no_op", (status == "ok") & (F.col("reversal_kind") == "restore_labels") & (F.size(add) == 0))
 
 
-def execute(staged: DataFrame, clusters: DataFrame, messages: DataFrame, log: DataFrame, call: Callable[[str, list[str]], None], at: Column, chunk: int = CHUNK, stop: threading.Event | None = None, keep_failed: bool = False) -> tuple[DataFrame, DataFrame]:
-    """New log rows, and staged without what was carried out.
+def planned_messages(planned: DataFrame) -> DataFrame:
+    """(account_id, messages): how many messages a plan touches, one for each staged row that names it."""
+    return planned.groupBy("account_id").agg(F.count("*").alias("messages"))
 
-    The plan is stored once; then the driver takes one chunk after the other, so that no retried task can repeat a call.
-    call(action, ids) raises on failure. `stop` is looked at before each item (then nothing is logged) and each chunk
-    (that chunk is logged as cancelled); the rest stays staged.
+
+class Executors:
+    """Which accounts are being executed, and the means to stop one."""
+
+    def __init__(self):
+        self._lock, self._running = threading.Lock(), {}
+
+    def register(self, account: str) -> threading.Event:
+        """A new stop event for execute(); it takes the place of the account's last one."""
+        with self._lock:
+            self._running[account] = threading.Event()
+            return self._running[account]
+
+    def cancel(self, account: str) -> bool:
+        """Stops the account's execution at its next call; whether there is one."""
+        with self._lock:
+            if account in self._running:
+                self._running[account].set()
+            return account in self._running
+
+    def clear(self, account: str) -> None:
+        with self._lock:
+            self._running.pop(account, None)
+
+
+def _exists(spark, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def journal_rows(spark, journal: str) -> DataFrame:
+    """What a journal has: one row for each message of each call that was made."""
+    return spark.read.schema(JOURNAL).parquet(journal) if _exists(spark, journal) else spark.createDataFrame([], JOURNAL)
+
+
+def _without_messages(staged: DataFrame, clusters: DataFrame, halted: int | None) -> DataFrame:
+    """Staged rows of whole clusters that have no members: nothing is left to do for them, up to where a run was halted."""
+    none = staged.filter(F.col("action_type").isin(*ACTIONS) & F.col("provider_msg_id").isNull()).join(clusters.select("account_id", "cluster_key").distinct(), ["account_id", "cluster_key"], "left_anti")
+    if halted is None:
+        return none
+    until = F.broadcast(staged.filter(F.col("id") == halted).select(F.struct("staged_at", "id").alias("until")))
+    return none.join(until, F.struct("staged_at", "id") < F.col("until")).drop("until")
+
+
+def execute(staged: DataFrame, clusters: DataFrame, messages: DataFrame, log: DataFrame, call: Callable[[str, list[str]], None], at: Column, journal: str, chunk: int = CHUNK, stop: threading.Event | None = None, keep_failed: bool = False, on_progress: Callable[[dict], None] = lambda p: None) -> tuple[DataFrame, DataFrame]:
+    """New log rows, and staged without what was carried out. Raises nothing for calls that fail.
+
+    The driver takes one chunk after the other out of a single sorted pass over the plan and holds one at a time, so that
+    no retried task can repeat a call. call(action, ids) raises on failure. Each call's outcome is appended to `journal`
+    (a folder of this execution) before the next one is made: after a lost driver, execute() with the same journal goes
+    on behind the calls that were logged. Prior labels are kept for successes. `stop` is looked at before each item
+    (then nothing is logged) and each chunk (that chunk is logged as cancelled); the rest stays staged. An item whose
+    chunks were all tried leaves the staged rows, unless one failed and keep_failed is set.
     """
-    spark = staged.sparkSession
-    stored = with_labels(plan(staged, clusters, chunk), messages).checkpoint()
-    chunks = stored.select("staged_action_id", "staged_at", "action_type", "chunk").distinct().orderBy("staged_at", "staged_action_id", "chunk")
-    outcomes, done, last, halted = [], [], None, False
-    for r in chunks.toLocalIterator():
-        if r["staged_action_id"] != last:
-            if last is not None and not halted:
-                done.append(last)
-            last = r["staged_action_id"]
-            if stop and stop.is_set():
-                halted = True
-                break
+    spark, began = staged.sparkSession, time.monotonic()
+    past = journal_rows(spark, journal)
+    tried = past.filter("outcome <> 'cancelled'").select("staged_action_id", "provider_msg_id").distinct()
+    todo = with_labels(plan(staged, clusters, chunk), messages).join(tried, ["staged_action_id", "provider_msg_id"], "left_anti")
+    todo = settled(todo, "plan")
+    kinds = {"long": pa.int64(), "string": pa.string(), "timestamp": pa.timestamp("us", "UTC"), "array<string>": pa.list_(pa.string())}
+    fields = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in JOURNAL.split(", ")])
+    told = {"batches_done": 0, "messages_done": 0, "failures": 0}
+
+    def record(rows: list, outcome: str, error: str | None) -> None:
+        same = {"outcome": [outcome] * len(rows), "error_message": [error] * len(rows)}
+        if outcome != "success":
+            same["prior_label_ids"] = [None] * len(rows)
+        own = lambda r, c: r[c].astimezone(timezone.utc) if c == "staged_at" and r[c] else r[c]
+        out = pa.table([pa.array(same[f.name] if f.name in same else [own(r, f.name) for r in rows], f.type) for f in fields], fields)
+        spark.createDataFrame(out).coalesce(1).write.mode("append").parquet(journal)
+
+    last = halted = None
+    ordered = todo.orderBy("staged_at", "staged_action_id", "chunk", "provider_msg_id").toLocalIterator(prefetchPartitions=True)
+    for (item, _), rows in groupby(ordered, key=lambda r: (r["staged_action_id"], r["chunk"])):
         if stop and stop.is_set():
-            outcomes.append((r["staged_action_id"], r["chunk"], "cancelled", None))
-            halted = True
+            if item == last:
+                record(list(rows), "cancelled", None)
+            halted = item
             break
-        ids = [x[0] for x in stored.filter((F.col("staged_action_id") == r["staged_action_id"]) & (F.col("chunk") == r["chunk"])).select("provider_msg_id").orderBy("provider_msg_id").collect()]
+        last, rows = item, list(rows)
         try:
-            if r["action_type"] not in REMOTE:
-                raise NotImplementedError(f"{r['action_type']} can't be executed")
-            call(r["action_type"], ids)
-            outcomes.append((r["staged_action_id"], r["chunk"], "success", None))
+            if rows[0]["action_type"] not in REMOTE:
+                raise NotImplementedError(f"{rows[0]['action_type']} can't be executed")
+            call(rows[0]["action_type"], [r["provider_msg_id"] for r in rows])
+            outcome, error = "success", None
         except Exception as e:  # noqa: BLE001  a failed chunk is logged, others go on
-            outcomes.append((r["staged_action_id"], r["chunk"], "failure", str(e)))
-    if last is not None and not halted:
-        done.append(last)
+            outcome, error = "failure", str(e)
+        record(rows, outcome, error)
+        told["batches_done"] += 1
+        told["messages_done" if error is None else "failures"] += len(rows)
+        on_progress(told | {"elapsed_ms": int((time.monotonic() - began) * 1000)})
+    rows = journal_rows(spark, journal)
+    left = todo.join(rows.filter("outcome <> 'cancelled'").select("staged_action_id", "provider_msg_id").distinct(), ["staged_action_id", "provider_msg_id"], "left_anti")
+    done = rows.select("staged_action_id").distinct().join(left.select("staged_action_id").distinct(), "staged_action_id", "left_anti")
     if keep_failed:
-        done = [d for d in done if not any(o[0] == d and o[2] == "failure" for o in outcomes)]
-    told = spark.createDataFrame(outcomes, "staged_action_id long, chunk long, outcome string, error_message string")
-    gone = spark.createDataFrame([(d,) for d in done], "id long")
-    rows = stored.join(F.broadcast(told), ["staged_action_id", "chunk"])
-    used = gone.select(F.col("id").alias("staged_action_id"), F.lit(True).alias("used"))
-    rows = rows.join(F.broadcast(used), "staged_action_id", "left")
-    new = rows.select(
+        done = done.join(rows.filter("outcome = 'failure'").select("staged_action_id").distinct(), "staged_action_id", "left_anti")
+    done = done.unionByName(_without_messages(staged, clusters, halted).select(F.col("id").alias("staged_action_id")))
+    used = done.withColumn("used", F.lit(True))
+    new = rows.join(used, "staged_action_id", "left").select(
         "account_id", F.when(F.col("used").isNull(), F.col("staged_action_id")).alias("staged_action_id"), "cluster_key", "provider_msg_id", "action_type", "outcome", "error_message",
         at.alias("executed_at"), "prior_label_ids", reversal_kind(F.col("action_type"), F.col("outcome")).alias("reversal_kind"), F.lit(None).cast("timestamp").alias("reversed_at"), "staged_at", F.col("staged_action_id").alias("__s"),
     )
     new = numbered(new, log, ["staged_at", "__s", "provider_msg_id"]).select(*log.columns)
-    return new, staged.join(F.broadcast(gone), "id", "left_anti")
+    return new, staged.join(done.select(F.col("staged_action_id").alias("id")), "id", "left_anti")
 
 
 def undo(log: DataFrame, log_id: int, add_labels: Callable[[str, list[str]], None], untrash: Callable[[str], None], as_of: Column) -> tuple[str, DataFrame]:

@@ -4,34 +4,59 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from postmill.functions.text import csv_field
 
-#: Rows of an export at most.
+# Fixed value: rows of an export at most.
 EXPORT_ROWS = 100_000
-CSV_COLUMNS = ("id", "executed_at", "action_type", "outcome", "cluster_key", "provider_msg_id", "error_message", "reversal_kind")
+# Columns of the CSV export, in order.
+CSV_COLUMNS = ("id", "executed_at", "outcome", "action_type", "cluster_key", "provider_msg_id", "reversed_at", "error_message")
 
 
 def outcome_counts(log: DataFrame) -> DataFrame:
     return log.groupBy("account_id").agg(*[F.count_if(F.col("outcome") == o).alias(o) for o in ("success", "failure", "cancelled", "skipped")])
 
 
-def recent(log: DataFrame, limit: int) -> DataFrame:
-    return log.orderBy(F.desc("executed_at"), F.desc("id")).limit(limit)
+def recent(log: DataFrame, limit: int, account: str | None = None) -> DataFrame:
+    own = log if account is None else log.filter(F.col("account_id") == account)
+    return own.orderBy(F.desc("executed_at"), F.desc("id")).limit(limit)
 
 
-def reversible(log: DataFrame, limit: int = 100) -> DataFrame:
-    return recent(log.filter("reversal_kind is not null and reversed_at is null and outcome = 'success'"), limit)
+def reversible(log: DataFrame, limit: int = 100, account: str | None = None) -> DataFrame:
+    return recent(log.filter("reversal_kind is not null and reversed_at is null and outcome = 'success'"), limit, account)
 
 
-def export_json(log: DataFrame, limit: int = EXPORT_ROWS) -> DataFrame:
-    """One JSON object a row, newest first."""
-    return recent(log, limit).select(F.to_json(F.struct("*")).alias("value"))
+def _lines(rows: DataFrame, head: str, line, tail: str | None = None) -> DataFrame:
+    """(n, line): the head, then the rows' lines newest first, then the tail. At most EXPORT_ROWS rows, so that one task
+    numbers them."""
+    spark = rows.sparkSession
+    w = Window.orderBy(F.desc("executed_at"), F.desc("id"))
+    numbered = rows.withColumn("n", F.row_number().over(w).cast("long"))
+    out = spark.createDataFrame([(0, head)], "n long, line string").unionByName(numbered.select("n", line.alias("line")))
+    return out if tail is None else out.unionByName(spark.createDataFrame([((1 << 62), tail)], "n long, line string"))
 
 
-def export_csv(log: DataFrame, limit: int = EXPORT_ROWS) -> DataFrame:
-    """One CSV line a row, newest first, without the header line CSV_COLUMNS."""
-    return recent(log, limit).select("id", F.concat_ws(",", *[csv_field(F.col(c)) for c in CSV_COLUMNS]).alias("line"))
+def export_json(log: DataFrame, limit: int = EXPORT_ROWS, account: str | None = None) -> DataFrame:
+    """(n, line) of one JSON array, an object a line, newest first; nulls are written."""
+    rows = recent(log, limit, account)
+    last = F.lead("id").over(Window.orderBy(F.desc("executed_at"), F.desc("id"))).isNull()
+    value = F.concat(F.to_json(F.struct(*log.columns), {"ignoreNullFields": "false"}), F.when(F.col("__last"), F.lit("")).otherwise(F.lit(",")))
+    return _lines(rows.withColumn("__last", last), "[", value, "]")
+
+
+def export_csv(log: DataFrame, limit: int = EXPORT_ROWS, account: str | None = None) -> DataFrame:
+    """(n, line) of a CSV file: its header, then a row a line, newest first."""
+    return _lines(recent(log, limit, account), ",".join(CSV_COLUMNS), F.concat_ws(",", *[csv_field(F.col(c)) for c in CSV_COLUMNS]))
+
+
+def table_counts(embeddings: DataFrame, classes: DataFrame, staged: DataFrame) -> DataFrame:
+    """(account_id, embeddings, classifications, staged) of accounts that have any; classifications count without members."""
+    every = None
+    for name, df in (("embeddings", embeddings), ("classifications", classes), ("staged", staged)):
+        own = df.select("account_id", F.lit(name).alias("name"))
+        every = own if every is None else every.unionByName(own)
+    return every.groupBy("account_id").agg(*[F.count_if(F.col("name") == n).alias(n) for n in ("embeddings", "classifications", "staged")])
 
 
 def embedding_status(messages: DataFrame, embeddings: DataFrame, clusters: DataFrame) -> DataFrame:

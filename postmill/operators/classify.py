@@ -33,8 +33,12 @@ def signatures(clusters: DataFrame) -> DataFrame:
     return clusters.groupBy(*CLUSTER).agg(F.count("*").alias("member_count"), F.sha2(F.concat(F.col("cluster_key"), F.lit("|"), F.concat_ws(",", ids), F.lit(",")), 256).alias("cluster_signature"))
 
 
-def to_classify(clusters: DataFrame, messages: DataFrame, classes: DataFrame, model: str, prompt: str, samples: int = 3) -> DataFrame:
-    """Clusters whose members, model or prompt version changed since they were classified, with their prompts."""
+def to_classify(clusters: DataFrame, messages: DataFrame, classes: DataFrame, model: str, prompt: str, samples: int = 3, most: int | None = None) -> DataFrame:
+    """Clusters whose members, model or prompt version changed since they were classified, with their prompts; of each
+    account's clusters only the first `most` by key are looked at, if given."""
+    if most is not None:
+        own = clusters.select(*CLUSTER).distinct().withColumn("__k", F.row_number().over(Window.partitionBy("account_id").orderBy("cluster_key")))
+        clusters = clusters.join(own.filter(F.col("__k") <= most).drop("__k"), CLUSTER, "left_semi")
     done = classes.filter((F.col("model_version") == model) & (F.col("prompt_version") == prompt)).select(*CLUSTER, "cluster_signature")
     todo = signatures(clusters).join(done, [*CLUSTER, "cluster_signature"], "left_anti")
     top = representatives(clusters, messages, samples).groupBy(*CLUSTER).agg(F.array_sort(F.collect_list(F.struct("rank", "sender", "subject", "snippet"))).alias("samples"))

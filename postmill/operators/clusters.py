@@ -90,10 +90,10 @@ def greedy_clusters(messages: DataFrame, embeddings: DataFrame, threshold: float
 
 
 def summaries(clusters: DataFrame, messages: DataFrame) -> DataFrame:
-    """Per cluster: members, newest date, and the newest member's sender and subject."""
+    """Per cluster: members, newest date, and the newest member's sender and subject; the largest of each account first."""
     newest = F.max_by(F.struct("sender", "subject"), F.struct("internal_date", "provider_msg_id"))
     out = clusters.join(messages, KEYS).groupBy("account_id", "cluster_key").agg(F.count("*").alias("member_count"), F.max("internal_date").alias("newest"), newest.alias("s"))
-    return out.select("account_id", "cluster_key", "member_count", "newest", F.col("s.sender").alias("sample_sender"), F.col("s.subject").alias("sample_subject"))
+    return out.select("account_id", "cluster_key", "member_count", "newest", F.col("s.sender").alias("sample_sender"), F.col("s.subject").alias("sample_subject")).orderBy("account_id", F.desc("member_count"), "cluster_key")
 
 
 def expand(clusters: DataFrame, messages: DataFrame, limit: int = 5) -> DataFrame:

@@ -24,23 +24,24 @@ class Rules:
 
 
 def proposals(category: Column, confidence: Column, members: Column, age: Column, unsubscribe: Column, rules: Rules = Rules()) -> Column:
-    """The actions that the rules propose, in their order; none below the least confidence."""
+    """The actions (action, reason) that the rules propose, in their order; none below the least confidence."""
     old = lambda days: age.isNotNull() & (age >= days)
     table = (
-        ("promotional", old(rules.promotional_age_days), "archive"),
-        ("promotional", unsubscribe, "unsubscribe"),
-        ("notification", members >= rules.volume, "trash"),
-        ("newsletter", unsubscribe, "unsubscribe"),
-        ("social", members >= rules.volume, "archive"),
-        ("transactional", old(rules.transactional_age_days), "archive"),
+        ("promotional", old(rules.promotional_age_days), "archive", f"promotional and {rules.promotional_age_days} days old"),
+        ("promotional", unsubscribe, "unsubscribe", "promotional, with a way to unsubscribe"),
+        ("notification", members >= rules.volume, "trash", f"{rules.volume} notifications and more"),
+        ("newsletter", unsubscribe, "unsubscribe", "newsletter, with a way to unsubscribe"),
+        ("social", members >= rules.volume, "archive", f"{rules.volume} social messages and more"),
+        ("transactional", old(rules.transactional_age_days), "archive", f"transactional and {rules.transactional_age_days} days old"),
     )
-    each = F.array(*[F.when((category == c) & when, F.lit(a)) for c, when, a in table])
+    each = F.array(*[F.when((category == c) & when, F.struct(F.lit(a).alias("action"), F.lit(r).alias("reason"))) for c, when, a, r in table])
     sure = confidence >= F.lit(rules.min_confidence).cast("float")
-    return F.when(sure, F.filter(each, lambda x: x.isNotNull())).otherwise(F.array().cast("array<string>"))
+    return F.when(sure, F.filter(each, lambda x: x.isNotNull())).otherwise(F.array().cast("array<struct<action:string,reason:string>>"))
 
 
 def review_queue(clusters: DataFrame, messages: DataFrame, classes: DataFrame, staged: DataFrame, as_of_ms: int, rules: Rules = Rules()) -> DataFrame:
-    """One row for each cluster. Members are summed before anything is joined to them; the sample is the oldest one."""
+    """One row for each cluster, the largest of each account first. Members are summed before anything is joined to
+    them; the sample is the oldest one; staged_total counts all that is staged for the account."""
     flag = F.exists("label_ids", lambda x: F.lower(x).contains("list-unsubscribe"))
     oldest = F.min_by(F.struct("sender", "subject"), F.struct("internal_date", "provider_msg_id"))
     facts = clusters.join(messages, KEYS).groupBy("account_id", "cluster_key").agg(
@@ -48,15 +49,16 @@ def review_queue(clusters: DataFrame, messages: DataFrame, classes: DataFrame, s
     )
     kept = classes.select("account_id", "cluster_key", "category", "confidence")
     types = staged.filter("provider_msg_id is null").groupBy("account_id", "cluster_key").agg(F.array_sort(F.collect_set("action_type")).alias("staged_types"))
-    rows = facts.join(kept, ["account_id", "cluster_key"], "left").join(types, ["account_id", "cluster_key"], "left")
+    total = staged.groupBy("account_id").agg(F.count("*").alias("staged_total"))
+    rows = facts.join(total, "account_id", "left").join(kept, ["account_id", "cluster_key"], "left").join(types, ["account_id", "cluster_key"], "left")
     category, confidence = F.coalesce("category", F.lit("unknown")), F.coalesce("confidence", F.lit(0.0).cast("float"))
     age = age_days(as_of_ms, F.col("oldest"))
     return rows.select(
         "account_id", "cluster_key", category.alias("category"), confidence.alias("confidence"), "member_count", age.alias("oldest_age_days"), "has_unsubscribe",
         F.col("s.sender").alias("sample_sender"), F.col("s.subject").alias("sample_subject"),
         proposals(category, confidence, F.col("member_count"), age, F.col("has_unsubscribe"), rules).alias("proposed"),
-        F.coalesce("staged_types", F.array().cast("array<string>")).alias("staged_types"),
-    )
+        F.coalesce("staged_types", F.array().cast("array<string>")).alias("staged_types"), F.coalesce("staged_total", F.lit(0)).alias("staged_total"),
+    ).orderBy("account_id", F.desc("member_count"), "cluster_key")
 
 
 def stage(staged: DataFrame, new: DataFrame) -> DataFrame:
@@ -70,7 +72,12 @@ def stage(staged: DataFrame, new: DataFrame) -> DataFrame:
     return upsert(staged, settled, keys)
 
 
-def unstage_cluster(staged: DataFrame, account: str, cluster: str, action: str) -> DataFrame:
-    """staged without that action for the whole cluster; rows for single messages stay."""
+def unstage_cluster(staged: DataFrame, account: str, cluster: str, action: str) -> tuple[DataFrame, DataFrame]:
+    """staged without that action for the whole cluster, and the rows that went; rows for single messages stay."""
     gone = (F.col("account_id") == account) & (F.col("cluster_key") == cluster) & (F.col("action_type") == action) & F.col("provider_msg_id").isNull()
-    return staged.filter(~gone)
+    return staged.filter(~gone), staged.filter(gone)
+
+
+def listing(staged: DataFrame, account: str) -> DataFrame:
+    """An account's staged rows in the order of staging."""
+    return staged.filter(F.col("account_id") == account).orderBy("staged_at", "id")

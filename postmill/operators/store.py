@@ -1,12 +1,12 @@
-"""Snapshots on plain Parquet: upserts, cascading deletes, appends. There is no MERGE without a table format."""
+"""Upserts, cascading deletes and appends on plain Parquet, a partition at a time. There is no MERGE without a table format."""
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from postmill.schema import CASCADES, TABLES
 
@@ -15,25 +15,57 @@ def empty(spark: SparkSession, name: str) -> DataFrame:
     return spark.createDataFrame([], TABLES[name])
 
 
-def last_of_each(delta: DataFrame, keys: list[str], order: list) -> DataFrame:
-    """The last row of each key: later rows of a batch win."""
-    w = Window.partitionBy(*keys).orderBy(*[c.desc() for c in order])
-    return delta.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below spark.checkpoint.dir, which driver and executors share; below a new local one where that isn't
+    set and all executors run in the driver (tests)."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("postmill.scratch.dir", None)
+    if not where:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        where = "file://" + tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("postmill.scratch.dir", where)
+    return f"{where.rstrip('/')}/postmill/{name}-{uuid.uuid4().hex}"
 
 
-def upsert(base: DataFrame, delta: DataFrame, keys: list[str], untouched: tuple[str, ...] = (), coalesced: tuple[str, ...] = ()) -> DataFrame:
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """df written to a scratch folder and read again, so that what follows sees one and the same table."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def lookup(table: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows of the table with the given keys (all columns of `keys`): point lookups as one join."""
+    return table.join(keys.distinct(), keys.columns, "left_semi")
+
+
+def folded(delta: DataFrame, keys: list[str], order: list[str], coalesced: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each key, as if delta's rows had been put in one after the other in the given order: the last row,
+    but in `coalesced` columns the last value that isn't null. Columns of the order go; sums in place of windows, so
+    rows of one key are combined before they are shuffled."""
+    rest = [c for c in delta.columns if c not in keys and c not in order and c not in coalesced]
+    place = F.struct(*order)
+    last = F.max_by(F.struct(*[F.col(c) for c in rest]), place).alias("__row")
+    kept = [F.max(F.when(F.col(c).isNotNull(), F.struct(*order, F.col(c).alias("__value"))))["__value"].alias(c) for c in coalesced]
+    out = delta.groupBy(*keys).agg(last, *kept)
+    return out.select(*keys, *[F.col(f"__row.{c}").alias(c) for c in rest], *coalesced)
+
+
+def upsert(base: DataFrame, delta: DataFrame, keys: list[str], untouched: tuple[str, ...] = (), coalesced: tuple[str, ...] = (), first: tuple[str, ...] = ()) -> DataFrame:
     """base with delta's rows in place of those of the same key (nulls equal); delta must have one row a key.
 
     New values replace old ones, nulls too, but for `coalesced` columns, which keep the old value against a null;
-    `untouched` columns keep the old value always.
+    `untouched` columns keep the old value always, `first` ones wherever it isn't null.
     """
-    b, d = base.withColumn("__old", F.lit(True)).alias("b"), delta.withColumn("__new", F.lit(True)).alias("d")
+    b, d = base.alias("b"), delta.withColumn("__new", F.lit(True)).alias("d")
     on = [F.col(f"b.{k}").eqNullSafe(F.col(f"d.{k}")) for k in keys]
     new = F.col("d.__new").isNotNull()
 
     def pick(c: str):
-        if c not in delta.columns or (c in untouched and c in base.columns):
+        if c not in delta.columns or c in untouched:
             return F.col(f"b.{c}")
+        if c in first:
+            return F.coalesce(F.col(f"b.{c}"), F.col(f"d.{c}"))
         if c in coalesced:
             return F.coalesce(F.col(f"d.{c}"), F.col(f"b.{c}"))
         return F.when(new, F.col(f"d.{c}")).otherwise(F.col(f"b.{c}"))
@@ -52,6 +84,11 @@ def delete_messages(tables: dict[str, DataFrame], ids: DataFrame) -> dict[str, D
     return {k: t.join(gone, keys, "left_anti") if k in ("messages", *CASCADES) else t for k, t in tables.items()}
 
 
+def mirror_accounts(base: DataFrame, known: DataFrame, at) -> DataFrame:
+    """accounts with those of `known` (account_id, provider, email): of one that is there already only the email changes."""
+    return upsert(base, known.withColumn("created_at", at), ["account_id"], first=("provider", "created_at"))
+
+
 def delete_account(tables: dict[str, DataFrame], account: str) -> dict[str, DataFrame]:
     """tables without any row of the account; a second time changes nothing."""
     return {k: t.filter(F.col("account_id") != account) for k, t in tables.items()}
@@ -72,7 +109,8 @@ def numbered(new: DataFrame, log: DataFrame, order: list[str]) -> DataFrame:
     Row numbers are counted within ranges of the order and shifted by the ranges' sizes: no task gets all rows.
     """
     top = log.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    ranged = new.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)).checkpoint()
+    ranged = new.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+    ranged = settled(ranged, "numbered")
     base, rows = top + 1, []
     for r in sorted(ranged.groupBy("__part").count().collect(), key=lambda r: r["__part"]):
         rows.append((r["__part"], base))
@@ -81,32 +119,70 @@ def numbered(new: DataFrame, log: DataFrame, order: list[str]) -> DataFrame:
     return ranged.join(F.broadcast(bases), "__part").withColumn("id", F.col("__base") + F.col("__at")).drop("__part", "__at", "__base")
 
 
-class Snapshots:
-    """Versioned folders of one table each, partitioned by account: a write makes a new version, then moves the pointer."""
+#: Parts of each account's tables that are rewritten for themselves, by a hash of the message.
+BUCKETS = 32
+
+
+class Tables:
+    """Parquet tables in partitions of (account_id, bucket, version); a batch writes new versions of the partitions that it
+    touches, then one commit for all tables, which makes them the ones that are read.
+
+    A batch that is run again writes the same versions again, so a crash before the commit leaves no trace. One writer
+    at a time, as with a streaming query. Which partitions a read opens is a broadcast join with the commits (a row for
+    each partition), pruned before the scan.
+    """
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    COMMIT = "batch long, name string, account_id string, bucket int"
 
-    def _pointer(self, name: str) -> str:
-        return f"{self.root}/{name}/_versions"
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
+        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
 
-    def _exists(self, path: str) -> bool:
+    def _files(self, path: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
-
-    def version(self, name: str) -> str | None:
-        if not self._exists(self._pointer(name)):
-            return None
-        last = self.spark.read.schema("n long, version string").json(self._pointer(name)).orderBy(F.desc("n")).first()
-        return last["version"] if last else None
-
-    def read(self, name: str) -> DataFrame:
-        version = self.version(name)
-        return empty(self.spark, name) if version is None else self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/{name}/{version}")
-
-    def write(self, name: str, df: DataFrame) -> None:
-        """The version that df was read from stays as it is, so reading and replacing one table is safe."""
-        version = f"v-{uuid.uuid4().hex}"
-        df.select(*empty(self.spark, name).columns).write.partitionBy("account_id").parquet(f"{self.root}/{name}/{version}")
-        n = self.spark.read.schema("n long, version string").json(self._pointer(name)).count() if self._exists(self._pointer(name)) else 0
-        self.spark.createDataFrame([(n + 1, version)], "n long, version string").coalesce(1).write.mode("append").json(self._pointer(name))
+        return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def commits(self) -> DataFrame:
+        """Commits whose writing ended: their folders have Spark's mark of success."""
+        p, fs = self._files(f"{self.root}/_commits/*/_SUCCESS")
+        done = [str(x.getPath().getParent()) for x in fs.globStatus(p) or ()]
+        return self.spark.read.schema(self.COMMIT).parquet(*done) if done else self.spark.createDataFrame([], self.COMMIT)
+
+    def current(self, name: str) -> DataFrame:
+        """(account_id, bucket, version) of the table's live partitions."""
+        return self.commits().filter(F.col("name") == name).groupBy("account_id", "bucket").agg(F.max("batch").alias("version"))
+
+    def bucketed(self, name: str, df: DataFrame) -> DataFrame:
+        key = F.pmod(F.xxhash64("provider_msg_id"), F.lit(self.buckets)) if "provider_msg_id" in empty(self.spark, name).columns else F.lit(0)
+        return df.withColumn("bucket", key.cast("int"))
+
+    def read(self, name: str, touched: DataFrame | None = None) -> DataFrame:
+        """The table as of the last commit; of the partitions `touched` (account_id, bucket) only, if given."""
+        columns = empty(self.spark, name).columns
+        p, fs = self._files(f"{self.root}/{name}")
+        if not fs.exists(p):
+            return empty(self.spark, name)
+        live = self.current(name) if touched is None else self.current(name).join(touched, ["account_id", "bucket"])
+        schema = ", ".join(c for c in TABLES[name].split(", ") if not c.startswith("account_id ")) + ", account_id string, bucket int, version long"
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}").join(F.broadcast(live), ["account_id", "bucket", "version"]).select(*columns)
+
+    def write(self, batch: int, tables: dict[str, tuple[DataFrame, DataFrame]]) -> None:
+        """Puts, for each name, rows in place of the partitions `touched`: (rows, touched); then commits."""
+        marks = None
+        for name, (rows, touched) in tables.items():
+            out = self.bucketed(name, rows.select(*empty(self.spark, name).columns)).withColumn("version", F.lit(batch).cast("long"))
+            out.repartition("account_id", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("account_id", "bucket", "version").parquet(f"{self.root}/{name}")
+            mark = touched.select(F.lit(batch).cast("long").alias("batch"), F.lit(name).alias("name"), "account_id", F.col("bucket").cast("int").alias("bucket"))
+            marks = mark if marks is None else marks.unionByName(mark)
+        marks.distinct().write.mode("overwrite").parquet(f"{self.root}/_commits/batch-{batch}")
+
+    def vacuum(self) -> int:
+        """Deletes partitions that a later version has replaced; how many. Not while others read older versions."""
+        gone = 0
+        for name in {r["name"] for r in self.commits().select("name").distinct().collect()}:
+            old = self.commits().filter(F.col("name") == name).join(self.current(name), ["account_id", "bucket"]).filter("batch < version")
+            for r in old.select("account_id", "bucket", "batch").distinct().toLocalIterator():
+                for status in self._files(f"{self.root}/{name}/*/bucket={r['bucket']}/version={r['batch']}")[1].globStatus(self._files(f"{self.root}/{name}/*/bucket={r['bucket']}/version={r['batch']}")[0]) or ():
+                    at = status.getPath()
+                    if at.getParent().getParent().getName() == f"account_id={r['account_id']}":
+                        gone += self._files(str(at))[1].delete(at, True)
+        return gone

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from postmill.functions.numbers import cosine
 from postmill.functions.text import embedding_text, model_output, sender_email
 from postmill.operators import actions, audit, classify, clusters, review, store
+from postmill.plans import sync as sync_plans
+from postmill.plans import work as work_plans
+from postmill.plans.sync import gmail_body
 from postmill.sources import mailbox as box
 from postmill.sources import pages
 from postmill.streaming import sync
@@ -15,30 +18,23 @@ KEYS = ["account_id", "provider_msg_id"]
 SQL: dict[str, str] = {}
 
 
-def _sql(text: str) -> str:
-    """text with the derived tables it names as common table expressions."""
-    parts = {"messages": box.MESSAGES, "members": box.MEMBERS, "classes": box.CLASSES, "staged": box.STAGED, "log": box.LOG, "changes": box.CHANGES, "accounts": box.ACCOUNTS}
-    tables = {n: n for n in ("documents", "embeddings", "orders", "events")}
-    used = [f"x_{k} AS ({v.format(**tables)})" for k, v in parts.items() if f"x_{k}" in text]
-    return (f"WITH {', '.join(used)} " if used else "") + text
-
-
 def review_queue(spark, d):
-    q = review.review_queue(box.members(spark, d), box.messages(spark, d), box.classes(spark, d), box.staged(spark, d), box.AS_OF_MS)
-    return q.withColumns({"confidence": F.col("confidence").cast("double"), "proposed": F.concat_ws("+", "proposed"), "staged_types": F.concat_ws("+", "staged_types")})
+    q = review.review_queue(box.order_members(spark, d), box.order_messages(spark, d), box.order_classes(spark, d), box.order_staged(spark, d), box.ORDERS_AS_OF_MS)
+    proposed = F.concat_ws("+", F.transform("proposed", lambda p: F.concat(p["action"], F.lit(": "), p["reason"])))
+    return q.withColumns({"confidence": F.col("confidence").cast("double"), "proposed": proposed, "staged_types": F.concat_ws("+", "staged_types")})
 
 
 SQL["mail_review_queue"] = f"""
 SELECT f.account_id, f.cluster_key, coalesce(c.category, 'unknown') AS category, coalesce(c.confidence, 0.0) AS confidence, member_count, CAST(age AS BIGINT) AS oldest_age_days, has_unsubscribe, sample_sender, sample_subject,
-  CASE WHEN coalesce(c.confidence, 0.0) < 0.6 THEN '' WHEN category = 'promotional' THEN concat_ws('+', CASE WHEN age >= 90 THEN 'archive' END, CASE WHEN has_unsubscribe THEN 'unsubscribe' END)
-    WHEN category = 'notification' AND member_count >= 50 THEN 'trash' WHEN category = 'newsletter' AND has_unsubscribe THEN 'unsubscribe' WHEN category = 'social' AND member_count >= 50 THEN 'archive'
-    WHEN category = 'transactional' AND age >= 365 THEN 'archive' ELSE '' END AS proposed,
-  coalesce(s.types, '') AS staged_types
-FROM (SELECT m.account_id, m.cluster_key, count(*) AS member_count, trunc(({box.AS_OF_MS} - min(internal_date)) / 86400000) AS age, bool_or(contains(lower(labels), 'list-unsubscribe')) AS has_unsubscribe,
-    arg_min(coalesce(sender, chr(0)), internal_date) AS s0, nullif(arg_min(coalesce(sender, chr(0)), internal_date), chr(0)) AS sample_sender, arg_min(subject, internal_date) AS sample_subject
-  FROM x_members m JOIN x_messages g ON g.account_id = m.account_id AND g.provider_msg_id = m.provider_msg_id GROUP BY 1, 2) f
-LEFT JOIN x_classes c ON c.account_id = f.account_id AND c.cluster_key = f.cluster_key
-LEFT JOIN (SELECT account_id, cluster_key, string_agg(DISTINCT action_type, '+') AS types FROM x_staged WHERE provider_msg_id IS NULL GROUP BY 1, 2) s ON s.account_id = f.account_id AND s.cluster_key = f.cluster_key"""
+  CASE WHEN coalesce(c.confidence, 0.0) < 0.6 THEN '' WHEN category = 'promotional' THEN concat_ws('+', CASE WHEN age >= 90 THEN 'archive: promotional and 90 days old' END, CASE WHEN has_unsubscribe THEN 'unsubscribe: promotional, with a way to unsubscribe' END)
+    WHEN category = 'notification' AND member_count >= 50 THEN 'trash: 50 notifications and more' WHEN category = 'newsletter' AND has_unsubscribe THEN 'unsubscribe: newsletter, with a way to unsubscribe' WHEN category = 'social' AND member_count >= 50 THEN 'archive: 50 social messages and more'
+    WHEN category = 'transactional' AND age >= 365 THEN 'archive: transactional and 365 days old' ELSE '' END AS proposed,
+  coalesce(s.types, '') AS staged_types, coalesce(t.n, 0) AS staged_total
+FROM (SELECT account_id, cluster_key, count(*) AS member_count, trunc(({box.ORDERS_AS_OF_MS} - min(internal_date)) / 86400000) AS age, bool_or(contains(lower(labels), 'list-unsubscribe')) AS has_unsubscribe,
+    arg_min(sender, internal_date) AS sample_sender, arg_min(subject, internal_date) AS sample_subject FROM x_omail GROUP BY 1, 2) f
+LEFT JOIN x_oclasses c ON c.account_id = f.account_id AND c.cluster_key = f.cluster_key
+LEFT JOIN (SELECT account_id, count(*) AS n FROM x_ostaged GROUP BY 1) t ON t.account_id = f.account_id
+LEFT JOIN (SELECT account_id, cluster_key, string_agg(DISTINCT action_type, '+') AS types FROM x_ostaged WHERE provider_msg_id IS NULL GROUP BY 1, 2) s ON s.account_id = f.account_id AND s.cluster_key = f.cluster_key"""
 
 
 def cluster_summaries(spark, d):
@@ -122,8 +118,7 @@ SQL["mail_sender_addresses"] = "SELECT account_id, provider_msg_id, sender_email
 def gmail_projection(spark, d):
     """Messages through the provider's JSON and back."""
     m = box.messages(spark, d)
-    headers = F.array(F.struct(F.lit("X-Other").alias("name"), F.lit("no").alias("value")), F.struct(F.lit("FROM").alias("name"), F.col("sender").alias("value")), F.struct(F.lit("subject").alias("name"), F.col("subject").alias("value")))
-    body = F.to_json(F.struct(F.col("provider_msg_id").alias("id"), F.col("thread_id").alias("threadId"), F.col("label_ids").alias("labelIds"), "snippet", F.col("internal_date").cast("string").alias("internalDate"), F.lit("x").alias("historyId"), F.struct(headers.alias("headers")).alias("payload")))
+    body = gmail_body(F.col("sender"), F.col("subject"), F.col("label_ids"), F.col("snippet"), F.col("internal_date"), F.lit("x"))
     out = pages.gmail_messages(m.select("account_id", body.alias("body")))
     return out.withColumn("label_ids", F.concat_ws(",", "label_ids"))
 
@@ -131,19 +126,6 @@ def gmail_projection(spark, d):
 SQL["mail_gmail_projection"] = "SELECT account_id, provider_msg_id, thread_id, sender, sender_email, subject, snippet, internal_date, labels AS label_ids, CAST(0 AS BIGINT) AS history_id FROM x_messages"
 
 
-def graph_projection(spark, d):
-    m = box.messages(spark, d)
-    gone = F.col("sender").isNull()
-    at = F.date_format(F.timestamp_millis(F.col("internal_date")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    who = F.struct(F.struct(F.lit("N").alias("name"), F.upper("sender_email").alias("address")).alias("emailAddress"))
-    body = F.to_json(F.struct(F.col("provider_msg_id").alias("id"), "subject", F.col("snippet").alias("bodyPreview"), who.alias("from"), at.alias("receivedDateTime"), F.lit("f1").alias("parentFolderId"), F.lit(False).alias("isRead"), F.array(F.lit("red")).alias("categories"), F.when(gone, F.struct(F.lit("deleted").alias("reason"))).alias("@removed")))
-    _, rows = pages.graph_messages(m.select("account_id", body.alias("body")))
-    return rows.withColumn("label_ids", F.concat_ws(",", "label_ids")).drop("history_id")
-
-
-SQL["mail_graph_projection"] = "SELECT account_id, provider_msg_id, provider_msg_id AS thread_id, 'N <' || upper(sender_email) || '>' AS sender, sender_email, subject, snippet, internal_date, 'red,FOLDER:f1,UNREAD' AS label_ids FROM x_messages WHERE sender IS NOT NULL"
-
-
 def representatives(spark, d):
     return classify.representatives(box.members(spark, d), box.messages(spark, d)).select("account_id", "cluster_key", "rank", "provider_msg_id")
 
@@ -160,19 +142,34 @@ def signatures(spark, d):
 SQL["mail_signatures"] = "SELECT account_id, cluster_key, count(*) AS member_count, sha256(cluster_key || '|' || string_agg(provider_msg_id, ',' ORDER BY provider_msg_id) || ',') AS cluster_signature FROM x_members GROUP BY 1, 2"
 
 
+#: Answers of several shapes, with %c and %f for category and confidence, and what each is: g good, u good but of no
+#: known category, 1 good and beyond 1, b bad.
+ANSWERS = (
+    ('{"category": "%c", "confidence": %f, "reason": "r", "more": 1}', "g"), ('```json\n{"category": "%c", "confidence": %f}\n```', "g"), ('{"category": "%c", "confidence": %f} and so on', "b"), ('{"category": "%c"}', "b"), ("none", "b"),
+    ('{"category": "%c", "confidence": %f, "reason": "{project} } {", "n": {"a": [1, {"b": 2}], "category": "x"}}', "g"), ("{'category': '%c', 'confidence': %f}", "b"), ('{"category": "%c", "category": "%c", "confidence": %f}', "b"),
+    (' ```json```json``` {"category": "%c", "confidence": %f, "reason": null} `````` ', "g"), ('``````{"confidence": %f, "category": "%C"}', "g"), ('{"category": " %c", "confidence": %f}', "u"), ('{"category": "%c", "confidence": "%f"}', "b"),
+    ('{"category": "%c", "confidence": 7}', "1"), ('{"category": "%c", "confidence": %f} {"category": "%c", "confidence": %f}', "b"), ('[{"category": "%c", "confidence": %f}]', "b"), ('{"category": "%c", "confidence": %f}]', "b"), ('{"category": "%c", "confidence": %f, "reason": 5}', "b"),
+    ('{"category": 5, "confidence": %f}', "b"), ('{"category": "%c", "confidence": true}', "b"), ('{"category": "%c", "confidence": 1e999}', "b"), ("", "b"), ('{"category": "zebra", "confidence": %f}', "u"), ('{"category": "%c", "confidence": null}', "b"), ('{"category": "%c", "confidence": %f}, "end": "x"}', "b"),
+)
+
+
 def model_outputs(spark, d):
     """Answers of several shapes to each classified cluster, read strictly."""
     c = box.classes(spark, d)
-    good = F.concat(F.lit('{"category": "'), F.col("category"), F.lit('", "confidence": '), F.col("confidence").cast("string"), F.lit(', "reason": "r", "more": 1}'))
-    shapes = F.array(good, F.concat(F.lit("```json\n"), good, F.lit("\n```")), F.concat(good, F.lit(" and so on")), F.lit('{"category": "work"}'), F.lit("none"))
-    rows = c.select("account_id", "cluster_key", F.posexplode(shapes).alias("shape", "raw"))
+
+    def filled(raw):
+        for mark, value in (("%c", F.col("category")), ("%C", F.upper("category")), ("%f", F.col("confidence").cast("string"))):
+            raw = F.replace(raw, F.lit(mark), value)
+        return raw
+
+    rows = c.select("account_id", "cluster_key", F.posexplode(F.array(*[filled(F.lit(a)) for a, _ in ANSWERS])).alias("shape", "raw"))
     out = model_output(F.col("raw"))
     return rows.select("account_id", "cluster_key", "shape", out["category"].alias("category"), out["confidence"].cast("double").alias("confidence"), out["valid"].alias("valid"))
 
 
-SQL["mail_model_outputs"] = """
-SELECT account_id, cluster_key, CAST(shape AS INTEGER) AS shape, CASE WHEN shape < 2 AND confidence >= 0.6 THEN category ELSE 'unknown' END AS category, CASE WHEN shape < 2 THEN confidence ELSE 0.0 END AS confidence, shape < 2 AS valid
-FROM x_classes, range(5) r(shape)"""
+SQL["mail_model_outputs"] = f"""
+SELECT account_id, cluster_key, CAST(shape AS INTEGER) AS shape, CASE WHEN what = 'g' AND confidence >= 0.6 OR what = '1' THEN category ELSE 'unknown' END AS category, CASE what WHEN 'b' THEN 0.0 WHEN '1' THEN 1.0 ELSE confidence END AS confidence, what <> 'b' AS valid
+FROM x_classes, (SELECT unnest(range({len(ANSWERS)})) AS shape, unnest(string_split('{",".join(w for _, w in ANSWERS)}', ',')) AS what) a"""
 
 
 def action_plan(spark, d):
@@ -217,24 +214,40 @@ SELECT id, CASE WHEN kind IS NULL THEN 'not reversible' WHEN kind = 'untrash' AN
   coalesce(kind = 'restore_labels', false) AND labels = '' AS no_op FROM (SELECT *, {_KIND} AS kind, {_ADD} AS labels FROM x_log) z"""
 
 
+def dated_log(spark, d):
+    return box.log(spark, d).withColumns({"executed_at": F.date_format("executed_at", "yyyy-MM-dd"), "reversed_at": F.date_format("reversed_at", "yyyy-MM-dd")})
+
+
 def export_csv(spark, d):
-    return audit.export_csv(box.log(spark, d).withColumn("executed_at", F.date_format("executed_at", "yyyy-MM-dd")))
+    return audit.export_csv(dated_log(spark, d), account="a1")
 
 
+_ROW = "row_number() OVER (ORDER BY executed_at DESC, id DESC)"
 SQL["mail_export_csv"] = f"""
-SELECT id, id || ',' || strftime(executed_at, '%Y-%m-%d') || ',' || action_type || ',' || outcome || ',' || cluster_key || ',' || provider_msg_id || ',' || CASE WHEN error_message IS NULL THEN '' ELSE '"' || replace(error_message, '"', '""') || '"' END || ',' || coalesce({_KIND}, '') AS line
-FROM x_log ORDER BY executed_at DESC, id DESC LIMIT 100000"""
+SELECT CAST(0 AS BIGINT) AS n, 'id,executed_at,outcome,action_type,cluster_key,provider_msg_id,reversed_at,error_message' AS line UNION ALL
+SELECT {_ROW} AS n, id || ',' || strftime(executed_at, '%Y-%m-%d') || ',' || outcome || ',' || action_type || ',' || cluster_key || ',' || provider_msg_id || ',,' || CASE WHEN error_message IS NULL THEN '' ELSE '"' || replace(error_message, '"', '""') || '"' END AS line
+FROM x_log WHERE account_id = 'a1'"""
+
+
+def export_json(spark, d):
+    return audit.export_json(dated_log(spark, d).select("id", "account_id", "outcome", "error_message", "executed_at"), 500)
+
+
+SQL["mail_export_json"] = """
+SELECT CAST(0 AS BIGINT) AS n, '[' AS line UNION ALL SELECT CAST(4611686018427387904 AS BIGINT), ']' UNION ALL
+SELECT n, '{"id":' || id || ',"account_id":"' || account_id || '","outcome":"' || outcome || '","error_message":' || CASE WHEN error_message IS NULL THEN 'null' ELSE '"' || replace(error_message, '"', chr(92) || '"') || '"' END || ',"executed_at":"' || strftime(executed_at, '%Y-%m-%d') || '"}' || CASE WHEN n < 500 THEN ',' ELSE '' END
+FROM (SELECT *, row_number() OVER (ORDER BY executed_at DESC, id DESC) AS n FROM x_log) z WHERE n <= 500"""
 
 
 def upsert_messages(spark, d):
-    """The last change of each message put into the table: nulls replace, but for the history id."""
+    """The changes of each message put into the table one after the other: nulls replace, but for the history id."""
     base = box.messages(spark, d).select(*KEYS, "thread_id", "subject", "sender", "internal_date", "history_id")
     changes = box.derived(spark, d, box.CHANGES).filter("op = 'upsert'").withColumn("sender", F.lit(None).cast("string"))
-    delta = store.last_of_each(changes, KEYS, [F.col("seq")]).drop("seq", "op")
+    delta = store.folded(changes.drop("op"), KEYS, ["seq"], coalesced=("history_id",))
     return store.upsert(base, delta, KEYS, coalesced=("history_id",))
 
 
-_LAST = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY account_id, provider_msg_id ORDER BY seq DESC) AS n FROM x_changes WHERE op = 'upsert') z WHERE n = 1)"
+_LAST = "(SELECT * REPLACE (kept AS history_id) FROM (SELECT *, row_number() OVER (PARTITION BY account_id, provider_msg_id ORDER BY seq DESC) AS n, arg_max(history_id, seq) FILTER (history_id IS NOT NULL) OVER (PARTITION BY account_id, provider_msg_id) AS kept FROM x_changes WHERE op = 'upsert') z WHERE n = 1)"
 SQL["mail_upsert_messages"] = f"""
 SELECT coalesce(u.account_id, g.account_id) AS account_id, coalesce(u.provider_msg_id, g.provider_msg_id) AS provider_msg_id, coalesce(u.thread_id, g.thread_id) AS thread_id, coalesce(u.subject, g.subject) AS subject,
   CASE WHEN u.account_id IS NULL THEN g.sender END AS sender, coalesce(u.internal_date, g.internal_date) AS internal_date, coalesce(u.history_id, g.history_id) AS history_id
@@ -277,10 +290,10 @@ SQL["mail_delete_account"] = "SELECT g.account_id, count(*) AS messages, count(m
 
 
 def apply_changes(spark, d):
-    """The whole change feed as one batch: deletes first, then the last upsert of each message."""
+    """The whole change feed as one page: deletes first, then the upserts of each message."""
     blank = {c: F.lit(None).cast(t) for c, t in (("embedded_at", "timestamp"), ("classified_at", "timestamp"), ("category", "string"), ("classified_confidence", "float"))}
     tables = {"messages": box.messages(spark, d).withColumns(blank), "embeddings": box.embeddings(spark, d), "message_clusters": box.members(spark, d)}
-    changes = box.derived(spark, d, box.CHANGES).withColumns({"sender": F.lit(None).cast("string"), "sender_email": F.lit(None).cast("string"), "snippet": F.lit(None).cast("string"), "label_ids": F.array(F.lit("INBOX"))})
+    changes = box.derived(spark, d, box.CHANGES).withColumns({"page": F.lit(0).cast("long"), "sender": F.lit(None).cast("string"), "sender_email": F.lit(None).cast("string"), "snippet": F.lit(None).cast("string"), "label_ids": F.array(F.lit("INBOX"))})
     return sync.apply_changes(tables, changes)["messages"].select(*KEYS, "subject", "history_id", F.concat_ws(",", "label_ids").alias("labels"))
 
 
@@ -301,19 +314,37 @@ SELECT m.account_id, m.provider_msg_id, round(list_cosine_similarity(CAST(e.embe
 JOIN (SELECT account_id, cluster_key, min(doc_id) AS first_id FROM x_members GROUP BY 1, 2) c ON c.account_id = m.account_id AND c.cluster_key = m.cluster_key JOIN embeddings f ON f.vec_id = c.first_id"""
 
 
+def _folded(df):
+    return df.withColumn("centroid_cosine", F.round(F.col("centroid_cosine").cast("double"), 3))
+
+
 def greedy_clusters(spark, d):
-    return clusters.greedy_clusters(box.messages(spark, d), box.embeddings(spark, d))
+    return _folded(clusters.greedy_clusters(box.messages(spark, d), box.embeddings(spark, d)))
 
 
 def merging_clusters(spark, d):
     """As greedy_clusters, at a similarity at which messages do join."""
-    return clusters.greedy_clusters(box.messages(spark, d), box.embeddings(spark, d), 0.3)
+    return _folded(clusters.greedy_clusters(box.messages(spark, d), box.embeddings(spark, d), 0.3))
+
+
+_FOLD = """
+, own AS (SELECT account_id, provider_msg_id, coalesce(sender_email, '') AS bucket, CAST(e.embedding AS DOUBLE[]) AS v, row_number() OVER (PARTITION BY account_id, coalesce(sender_email, '') ORDER BY internal_date) AS i,
+  count(*) OVER (PARTITION BY account_id, coalesce(sender_email, '')) AS n FROM x_messages g JOIN embeddings e ON e.vec_id = g.doc_id),
+fold AS (
+  SELECT account_id, bucket, CAST(1 AS BIGINT) AS i, [v] AS means, [1.0::DOUBLE] AS sizes, CAST(1 AS BIGINT) AS part, 1.0::DOUBLE AS score FROM own WHERE i = 1 AND n >= 4
+  UNION ALL
+  SELECT account_id, bucket, i, CASE WHEN score >= {at} THEN list_transform(means, lambda m, k: CASE WHEN k = best THEN list_transform(m, lambda x, j: (x * sizes[best] + v[j]) / (sizes[best] + 1)) ELSE m END) ELSE list_append(means, v) END,
+    CASE WHEN score >= {at} THEN list_transform(sizes, lambda x, k: CASE WHEN k = best THEN x + 1 ELSE x END) ELSE list_append(sizes, 1.0) END, CASE WHEN score >= {at} THEN best ELSE len(means) + 1 END, CASE WHEN score >= {at} THEN score ELSE 1.0 END
+  FROM (SELECT *, list_position(sims, list_max(sims)) AS best, list_max(sims) AS score FROM (SELECT f.account_id, f.bucket, o.i, means, sizes, v, list_transform(means, lambda m: list_cosine_similarity(m, v)) AS sims FROM fold f JOIN own o ON o.account_id = f.account_id AND o.bucket = f.bucket AND o.i = f.i + 1) y) z)
+SELECT o.account_id, provider_msg_id, CASE WHEN o.bucket = '' THEN 'unknown::' || left(sha256(o.account_id), 16) ELSE 'sender::' || o.bucket END || CASE WHEN coalesce(part, 1) > 1 THEN '#' || (part - 1) ELSE '' END AS cluster_key, round(coalesce(score, 1.0), 3) AS centroid_cosine
+FROM own o LEFT JOIN fold f ON f.account_id = o.account_id AND f.bucket = o.bucket AND f.i = o.i"""
+SQL["mail_greedy_clusters"], SQL["mail_merging_clusters"] = (_FOLD.replace("{at}", x) for x in ("0.85", "0.3"))
 
 
 def queries():
-    named = (review_queue, cluster_summaries, cluster_top_messages, message_counts, account_summaries, embedding_status, category_histogram, missing_embeddings, embedding_texts, sender_addresses, gmail_projection, graph_projection, representatives, signatures, model_outputs, action_plan, outcome_counts, recent_log, reversible_log, undo_status, export_csv, upsert_messages, delete_cascade, stage_actions, delete_account, apply_changes, first_member_cosine, greedy_clusters, merging_clusters)
-    return {f"mail_{f.__name__}": f for f in named}
+    named = (review_queue, cluster_summaries, cluster_top_messages, message_counts, account_summaries, embedding_status, category_histogram, missing_embeddings, embedding_texts, sender_addresses, gmail_projection, representatives, signatures, model_outputs, action_plan, outcome_counts, recent_log, reversible_log, undo_status, export_csv, export_json, upsert_messages, delete_cascade, stage_actions, delete_account, apply_changes, first_member_cosine, greedy_clusters, merging_clusters)
+    return {f"mail_{f.__name__}": f for f in named} | sync_plans.queries() | work_plans.queries()
 
 
 def oracle_sql():
-    return {k: _sql(v) for k, v in SQL.items()}
+    return {k: box.with_tables(v) for k, v in (SQL | sync_plans.SQL | work_plans.SQL).items()}

@@ -22,6 +22,14 @@ TABLES = {
     "staged_actions": "id long, account_id string, cluster_key string, provider_msg_id string, action_type string, payload map<string,string>, proposed_reason string, staged_at timestamp",
     "actions_log": "id long, account_id string, staged_action_id long, cluster_key string, provider_msg_id string, action_type string, outcome string, error_message string, executed_at timestamp, prior_label_ids array<string>, reversal_kind string, reversed_at timestamp",
 }
+MESSAGE_FIELDS = "thread_id string, sender string, sender_email string, subject string, snippet string, internal_date long, label_ids array<string>, history_id long"
+#: One change: op 'delete' or 'upsert', and for the latter the message. Deletes of a page come before its upserts.
+FEED = f"page long, seq long, op string, account_id string, provider_msg_id string, {MESSAGE_FIELDS}"
+#: One provider page, or one message's metadata (kind gmail_message), as it was landed; pages count from 0 in each walk.
+LANDED = "account_id string, kind string, page long, body string"
+KINDS = ("gmail_list", "gmail_history", "graph_delta")
+#: Outcomes of one execution as they come: one row for each message of a call.
+JOURNAL = "staged_action_id long, chunk long, provider_msg_id string, account_id string, cluster_key string, action_type string, staged_at timestamp, outcome string, error_message string, prior_label_ids array<string>"
 #: Children of messages that go with a deleted message; classifications stay, orphaned or not.
 CASCADES = ("embeddings", "message_clusters")
 

@@ -14,9 +14,9 @@ import urllib.error
 import urllib.parse
 import urllib.request
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
-from postmill.schema import ProviderError
+from postmill.schema import LANDED, ProviderError
 from postmill.sources.pages import READ_RETRY, WRITE_RETRY, with_retry
 
 # Page sizes, headers asked for, fields of the delta, and the most requests of one batch.
@@ -40,9 +40,9 @@ def request(url: str, token: str | None = None, body: object = None, method: str
 
 
 class _Account(InputPartition):
-    def __init__(self, account: str):
+    def __init__(self, account: str, start: str | None = None):
         super().__init__(account)
-        self.account = account
+        self.account, self.start = account, start
 
 
 class _Reader(DataSourceReader):
@@ -52,9 +52,12 @@ class _Reader(DataSourceReader):
     def partitions(self):
         return [_Account(a) for a in self.options["accounts"].split(",")]
 
-    def first(self) -> str:
+    def token(self, account: str) -> str | None:
+        return self.options.get(f"token.{account.lower()}") or self.options.get("token")
+
+    def first(self, start: str | None = None) -> str:
         kind, o = self.options["kind"], self.options
-        query = {"gmail_list": {"maxResults": PAGE_SIZE}, "gmail_history": {"startHistoryId": o.get("start", "1"), "maxResults": PAGE_SIZE}, "graph_delta": {"$select": DELTA_FIELDS}}[kind]
+        query = {"gmail_list": {"maxResults": PAGE_SIZE}, "gmail_history": {"startHistoryId": start or o.get("start", "1"), "maxResults": PAGE_SIZE}, "graph_delta": {"$select": DELTA_FIELDS}}[kind]
         path = {"gmail_list": "/messages", "gmail_history": "/history", "graph_delta": "/me/messages/delta"}[kind]
         return o.get("cursor") if kind == "graph_delta" and o.get("cursor") else f"{o['base_url']}{path}?{urllib.parse.urlencode(query | ({'pageToken': o['cursor']} if o.get('cursor') else {}))}"
 
@@ -69,29 +72,65 @@ class _Reader(DataSourceReader):
         return urllib.parse.urlunsplit(parts._replace(query=urllib.parse.urlencode([*query, ("pageToken", token)])))
 
     def read(self, partition):
-        url, n = self.first(), 0
+        url, n = self.first(partition.start), 0
         gmail = self.options["kind"] != "graph_delta"
-        token = self.options.get(f"token.{partition.account.lower()}") or self.options.get("token")
+        token = self.token(partition.account)
         while url:
             body = with_retry(lambda url=url: request(url.replace("{account}", partition.account), token), READ_RETRY, rate_limited_403=gmail)
-            yield partition.account, n, body
+            yield partition.account, self.options["kind"], n, body
             url, n = self.after(url, json.loads(body)), n + 1
 
 
+class _HistoryFeed(_Reader, DataSourceStreamReader):
+    """A mailbox's history as a stream: offsets are the accounts' history ids, and pages from one on can be read again.
+
+    A batch may see changes beyond its end, as the provider's history has no end to ask for; the next batch reads them
+    again, which changes nothing where pages are folded (streaming.sync).
+    """
+
+    def __init__(self, options):
+        _Reader.__init__(self, options)
+        if options["kind"] != "gmail_history":
+            raise ValueError("only gmail_history has offsets; delta links are walked in batches, from the cursor in sync_state")
+
+    def accounts(self) -> list[str]:
+        return self.options["accounts"].split(",")
+
+    def initialOffset(self) -> dict:
+        return {a: self.options.get(f"start.{a.lower()}", self.options.get("start", "1")) for a in self.accounts()}
+
+    def latestOffset(self, *_) -> dict:
+        now = {}
+        for a, start in self.initialOffset().items():
+            url = self.first(start).replace(f"maxResults={PAGE_SIZE}", "maxResults=1").replace("{account}", a)
+            own = json.loads(with_retry(lambda url=url, a=a: request(url, self.token(a)), READ_RETRY)).get("historyId", start)
+            now[a] = str(own)
+        return now
+
+    def partitions(self, start: dict, end: dict):
+        return [_Account(a, str(start[a])) for a in self.accounts() if str(start[a]) != str(end[a])]
+
+    def commit(self, end: dict) -> None:
+        pass
+
+
 class MailPages(DataSource):
     """Options: kind (gmail_list, gmail_history, graph_delta), base_url (may hold {account}), accounts, token or
-    token.<account>, start (history id), cursor (page token or delta link)."""
+    token.<account>, start or, for a stream, start.<account> (history id), cursor (page token or delta link)."""
 
     @classmethod
     def name(cls):
         return "mail_pages"
 
     def schema(self):
-        return "account_id string, page int, body string"
+        return LANDED
 
     def reader(self, schema):
         return _Reader(dict(self.options))
 
+    def streamReader(self, schema):
+        return _HistoryFeed(dict(self.options))
+
 
 def fetch_metadata(ids, base_url: str, token: str):
     """(account_id, body) of each message of ids (account_id, provider_msg_id); a message that is gone gives no row."""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from postmill.functions import numbers, text
 from postmill.operators import actions, audit, classify, clusters, review, store
-from postmill.schema import TABLES, DimensionError, ProviderError
+from postmill.schema import FEED, TABLES, DimensionError, ProviderError
 from postmill.sources import pages
 from postmill.streaming import sync
 
@@ -46,7 +46,7 @@ def test_model_output(spark, raw, want):
 
 def test_small_expressions(spark):
     assert one(spark, text.csv_field, 'a,"b"') == '"a,""b"""' and one(spark, text.csv_field, None) == "" and one(spark, text.csv_field, "plain") == "plain"
-    assert one(spark, numbers.received_ms, "2026-01-01T00:00:00.9Z") == 1767225600000 and one(spark, numbers.received_ms, "x") == 0
+    assert one(spark, numbers.received_ms, "2026-01-01T00:00:00.9Z") == 1767225600000 and one(spark, numbers.received_ms, "x") == 0 and one(spark, numbers.received_ms, "2026-05-01") == 0 and one(spark, numbers.received_ms, "2026-01-01t02:00:00+02:00") == 1767225600000
     assert one(spark, text.number_or_zero, "17") == 17 and one(spark, text.number_or_zero, "x") == 0
     assert one(spark, lambda c: text.shortened(c, 3), "abcd") == "abc…" and one(spark, lambda c: text.shortened(c, 4), "abcd") == "abcd"
     assert numbers.from_bytes(numbers.to_bytes([1.5, -2.25, 0.0])) == [1.5, -2.25, 0.0]
@@ -130,7 +130,8 @@ def test_embedding_and_classifying_with_stand_ins(spark):
 @pytest.mark.parametrize("facts,want", [(("promotional", 0.95, 10, 120, True), ["archive", "unsubscribe"]), (("promotional", 0.95, 10, 89, False), []), (("promotional", 0.55, 10, 400, True), []), (("notification", 0.9, 50, 1, False), ["trash"]), (("notification", 0.9, 49, 1, False), []), (("newsletter", 0.6, 1, None, True), ["unsubscribe"]), (("social", 0.9, 60, 1, True), ["archive"]), (("transactional", 0.9, 1, 365, True), ["archive"]), (("security", 0.99, 1000, 10_000, True), []), (("unknown", 0.99, 1000, None, True), [])])
 def test_rules(spark, facts, want):
     df = spark.createDataFrame([facts], "c string, f float, n long, age long, u boolean")
-    assert df.select(review.proposals(*[F.col(x) for x in ("c", "f", "n", "age", "u")])).first()[0] == want
+    got = df.select(review.proposals(*[F.col(x) for x in ("c", "f", "n", "age", "u")])).first()[0]
+    assert [p["action"] for p in got] == want and all(p["reason"] for p in got)
 
 
 def staged_rows(spark, rows):
@@ -142,31 +143,35 @@ def test_staging_with_null_keys(spark):
     new = staged_rows(spark, [(3, "c", None, "archive"), (4, "c", "m2", "archive")]).withColumn("proposed_reason", F.lit("again"))
     got = sorted((r["id"], r["provider_msg_id"], r["proposed_reason"]) for r in review.stage(old, new).collect())
     assert got == [(1, None, "again"), (2, "m1", None), (4, "m2", "again")]
-    assert [r["id"] for r in review.unstage_cluster(old, "a", "c", "archive").collect()] == [2]
+    assert [[r["id"] for r in x.collect()] for x in review.unstage_cluster(old, "a", "c", "archive")] == [[2], [1]] and [r["id"] for r in review.listing(old, "a").collect()] == [1, 2]
 
 
-def test_execution(spark):
+def test_execution(spark, tmp_path):
     messages = mail(spark, 25)
     members = spark.createDataFrame([("a", f"m{i}", "c", 1.0, None) for i in range(25)], TABLES["message_clusters"])
-    staged = staged_rows(spark, [(1, "c", None, "archive"), (2, "c", "m3", "add_label"), (3, "c", "m4", "trash")])
-    log, calls = store.empty(spark, "actions_log"), []
+    staged = staged_rows(spark, [(1, "c", None, "archive"), (2, "c", "m3", "add_label"), (3, "c", "m4", "trash"), (4, "nobody", None, "archive")])
+    log, calls, told = store.empty(spark, "actions_log"), [], []
 
     def call(action, ids):
         calls.append((action, len(ids)))
         if action == "trash":
             raise RuntimeError("http 500")
 
-    new, left = actions.execute(staged, members, messages, log, call, AT, chunk=10)
+    new, left = actions.execute(staged, members, messages, log, call, AT, str(tmp_path / "1"), chunk=10, on_progress=told.append)
     rows = sorted(new.collect(), key=lambda r: r["id"])
-    assert calls == [("archive", 10), ("archive", 10), ("archive", 5), ("trash", 1)]
+    assert calls == [("archive", 10), ("archive", 10), ("archive", 5), ("trash", 1)] and [t["messages_done"] for t in told] == [10, 20, 25, 25, 25] and told[-1]["failures"] == 2
     assert [r["id"] for r in rows] == list(range(1, 28)) and left.count() == 0 and all(r["staged_action_id"] is None for r in rows)
     assert [r["outcome"] for r in rows] == ["success"] * 25 + ["failure"] * 2 and rows[0]["reversal_kind"] == "restore_labels" and rows[0]["prior_label_ids"] == ["INBOX", "UNREAD"]
-    assert rows[-1]["reversal_kind"] is None and rows[-1]["error_message"] == "http 500"
-    kept = actions.execute(staged, members, messages, log, call, AT, chunk=10, keep_failed=True)[1]
+    assert rows[-1]["reversal_kind"] is None and rows[-1]["error_message"] == "http 500" and rows[-1]["prior_label_ids"] is None
+    kept = actions.execute(staged, members, messages, log, call, AT, str(tmp_path / "2"), chunk=10, keep_failed=True)[1]
     assert sorted(r["id"] for r in kept.collect()) == [2, 3]
-    stop = threading.Event()
-    new, left = actions.execute(staged, members, messages, log, lambda a, ids: stop.set(), AT, chunk=10, stop=stop)
-    assert sorted(r["outcome"] for r in new.collect()) == ["cancelled"] * 10 + ["success"] * 10 and left.count() == 3
+    running = actions.Executors()
+    stop = running.register("a")
+    assert running.cancel("b") is False
+    new, left = actions.execute(staged, members, messages, log, lambda a, ids: running.cancel("a"), AT, str(tmp_path / "3"), chunk=10, stop=stop)
+    assert sorted(r["outcome"] for r in new.collect()) == ["cancelled"] * 10 + ["success"] * 10 and left.count() == 4 and all(r["staged_action_id"] == 1 for r in new.collect())
+    running.clear("a")
+    assert running.cancel("a") is False
     full = spark.createDataFrame(rows, TABLES["actions_log"])
     added = []
     status, after = actions.undo(full, 1, lambda m, labels: added.append((m, labels)), lambda m: None, AT)
@@ -175,6 +180,28 @@ def test_execution(spark):
     assert audit.outcome_counts(full).first()[1:] == (25, 2, 0, 0)
 
 
+def test_execution_goes_on_behind_what_was_called(spark, tmp_path):
+    """2,500 messages in chunks of 1,000; the driver is lost in the second call and begins again."""
+    messages, members = mail(spark, 2500), spark.createDataFrame([("a", f"m{i}", "c", 1.0, None) for i in range(2500)], TABLES["message_clusters"])
+    staged, calls = staged_rows(spark, [(1, "c", None, "archive")]), []
+
+    class Lost(BaseException):
+        pass
+
+    def call(action, ids):
+        if len(calls) == 1:
+            calls.append(0)
+            raise Lost
+        calls.append(len(ids))
+
+    go = lambda: actions.execute(staged, members, messages, store.empty(spark, "actions_log"), call, AT, str(tmp_path / "j"))
+    with pytest.raises(Lost):
+        go()
+    new, left = go()
+    assert calls == [1000, 0, 1000, 500] and left.count() == 0
+    assert new.count() == new.select("provider_msg_id").distinct().count() == 2500 and new.agg(F.max("id")).first()[0] == 2500
+
+
 def test_label_effects(spark):
     df = spark.createDataFrame([("archive",), ("trash",), ("mark_read",), ("add_label",)], "a string").withColumn("l", F.array(F.lit("INBOX"), F.lit("UNREAD")))
     assert [r[0] for r in df.select(actions.label_effect(F.col("a"), F.col("l"))).collect()] == [["UNREAD"], ["UNREAD", "TRASH"], ["INBOX"], ["INBOX", "UNREAD"]]
@@ -187,6 +214,9 @@ def test_pages(spark):
     assert [r[1] for r in gone.collect()] == ["m1"] and sorted(r[1] for r in changed.collect()) == ["m2", "m3"]
     lists = spark.createDataFrame([("a", '{"messages": [{"id": "x", "threadId": "y"}]}'), ("a", '{"resultSizeEstimate": 0}')], "account_id string, body string")
     assert [tuple(r) for r in pages.listed(lists).collect()] == [("a", "x", "y")]
+    empty = json.dumps({"id": "m", "payload": {"headers": [{"name": "from", "value": ""}]}})
+    row = pages.gmail_messages(spark.createDataFrame([("a", empty)], "account_id string, body string")).first()
+    assert row["sender"] is None and row["sender_email"] is None and row["label_ids"] == [] and row["history_id"] == 0
     removed, _ = pages.graph_messages(spark.createDataFrame([("a", '{"id": "q", "@removed": {"reason": "deleted"}}')], "account_id string, body string"))
     assert [r[1] for r in removed.collect()] == ["q"]
 
@@ -217,36 +247,87 @@ def test_retry():
     assert waits == [1, 2, 4, 8, 16, 32, 32]
 
 
-def feed(path, rows):
+def land(path, rows):
+    path.parent.mkdir(exist_ok=True)
     with open(path, "w") as f:
-        f.writelines(json.dumps(r) + "\n" for r in rows)
-
-
-def test_streaming_sync(spark, tmp_path):
-    landed, root, check = tmp_path / "in", str(tmp_path / "tables"), str(tmp_path / "check")
-    landed.mkdir()
-    up = lambda s, m, **k: {"seq": s, "op": "upsert", "account_id": "a", "provider_msg_id": m, "thread_id": "t", "internal_date": s, "label_ids": ["INBOX"]} | k
-    feed(landed / "1.json", [up(1, "m1", history_id=5), up(2, "m2"), up(3, "m1", subject="new")])
-    sync.run(spark, str(landed), root, check)
-    store_ = store.Snapshots(spark, root)
-    got = {r["provider_msg_id"]: (r["subject"], r["history_id"]) for r in store_.read("messages").collect()}
-    assert got == {"m1": ("new", None), "m2": (None, None)}
-    feed(landed / "2.json", [up(4, "m1", subject="x"), {"seq": 5, "op": "delete", "account_id": "a", "provider_msg_id": "m2"}, up(6, "m3", history_id=8)])
-    sync.run(spark, str(landed), root, check)
-    sync.run(spark, str(landed), root, check)
-    got = {r["provider_msg_id"]: (r["subject"], r["history_id"]) for r in store_.read("messages").collect()}
-    assert got == {"m1": ("x", None), "m3": (None, 8)}
-    assert {r["account_id"]: r["last_history_id"] for r in sync.baseline(store_.read("messages")).collect()} == {"a": 8}
-
-
-def test_batches_are_idempotent(spark):
-    tables = {"messages": mail(spark, 3), "embeddings": store.empty(spark, "embeddings"), "message_clusters": store.empty(spark, "message_clusters")}
-    changes = spark.createDataFrame([(1, "delete", "a", "m0", None, None, None, None, None, None, None, None), (2, "upsert", "a", "m1", "t", None, None, "s", None, 5, [], None)], sync.FEED)
-    once = sync.apply_changes(tables, changes)
-    twice = sync.apply_changes(once, changes)
-    assert sorted(map(str, once["messages"].collect())) == sorted(map(str, twice["messages"].collect()))
-    row = once["messages"].filter("provider_msg_id = 'm1'").first()
-    assert row["history_id"] == 1 and row["sender"] is None and row["subject"] == "s"
+        f.writelines(json.dumps(dict(zip(("account_id", "kind", "page", "body"), (*r[:3], json.dumps(r[3])), strict=True))) + "\n" for r in rows)
+
+
+def metadata(spark, asked=None):
+    """Stands for the provider: m9 is gone."""
+
+    def fetch(ids):
+        rows = [(r["account_id"], json.dumps({"id": r["provider_msg_id"], "threadId": "t", "snippet": "s", "internalDate": "1700000000000", "historyId": "10", "labelIds": ["INBOX"], "payload": {"headers": [{"name": "From", "value": f'"Sender" <{r["provider_msg_id"]}@example.com>'}]}})) for r in ids.collect() if r["provider_msg_id"] != "m9"]
+        if asked is not None:
+            asked.extend(sorted(r["provider_msg_id"] for r in ids.collect()))
+        return spark.createDataFrame(rows, "account_id string, body string")
+
+    return fetch
+
+
+def synced(spark, tmp_path, asked=None):
+    sync.run(spark, str(tmp_path / "in"), str(tmp_path / "t"), str(tmp_path / "c"), metadata(spark, asked), lambda: AT, 2)
+    tables = store.Tables(spark, str(tmp_path / "t"), 2)
+    state = {r["account_id"]: (r["phase"], r["cursor_token"], r["last_history_id"], r["initial_completed_at"] is not None) for r in tables.read("sync_state").collect()}
+    return {(r["account_id"], r["provider_msg_id"]): r for r in tables.read("messages").collect()}, state
+
+
+def test_sync_of_landed_pages(spark, tmp_path):
+    ref = lambda m: {"id": m, "threadId": "t"}
+    land(tmp_path / "in" / "1.json", [("a", "gmail_list", 0, {"messages": [ref("m1"), ref("m2")], "nextPageToken": "P2"}), ("e", "gmail_list", 0, {"resultSizeEstimate": 0})])
+    got, state = synced(spark, tmp_path)
+    assert sorted(got) == [("a", "m1"), ("a", "m2")] and got["a", "m1"]["sender_email"] == "m1@example.com"
+    assert state == {"a": ("initial", "P2", 10, False), "e": ("incremental", None, 1, True)}
+    land(tmp_path / "in" / "2.json", [("a", "gmail_list", 1, {"messages": [ref("m3"), ref("m9")]}), ("g", "graph_delta", 0, {"value": [{"id": "q1", "receivedDateTime": "2026-05-01T12:00:00Z", "parentFolderId": "inbox", "categories": ["red"]}, {"id": "q2", "isRead": True}], "@odata.nextLink": "n"})])
+    got, state = synced(spark, tmp_path)
+    assert sorted(got) == [("a", "m1"), ("a", "m2"), ("a", "m3"), ("g", "q1"), ("g", "q2")] and got["g", "q1"]["label_ids"] == ["red", "FOLDER:inbox", "UNREAD"] and got["g", "q1"]["internal_date"] == 1777636800000
+    assert state["a"] == ("incremental", None, 10, True) and "g" not in state
+    history = {"history": [{"id": "1", "messagesAdded": [{"message": ref("m4")}], "messagesDeleted": [{"message": ref("m1")}]}, {"id": "2", "labelsAdded": [{"message": ref("m4")}]}], "historyId": "20"}
+    land(tmp_path / "in" / "3.json", [("a", "gmail_history", 0, history), ("g", "graph_delta", 1, {"value": [{"id": "q1", "@removed": {"reason": "deleted"}}], "@odata.deltaLink": "d1"})])
+    asked = []
+    got, state = synced(spark, tmp_path, asked)
+    assert sorted(got) == [("a", "m2"), ("a", "m3"), ("a", "m4"), ("g", "q2")] and asked == ["m4"]
+    assert state["a"] == ("incremental", None, 20, True) and state["g"] == ("incremental", "d1", None, False)
+    again = synced(spark, tmp_path, asked)
+    assert again[1] == state and again[0] == got and asked == ["m4"]
+    tables = store.Tables(spark, str(tmp_path / "t"), 2)
+    assert tables.vacuum() > 0 and tables.read("messages").count() == 4 and tables.vacuum() == 0
+
+
+def test_a_batch_without_commit_is_not_read(spark, tmp_path, monkeypatch):
+    tables = store.Tables(spark, str(tmp_path / "t"), 2)
+    touched = tables.bucketed("messages", mail(spark, 3)).select("account_id", "bucket").distinct()
+    tables.write(0, {"messages": (mail(spark, 3), touched)})
+    import shutil
+
+    tables.write(1, {"messages": (mail(spark, 1), touched)})
+    assert tables.read("messages").count() == 1
+    shutil.rmtree(tmp_path / "t" / "_commits" / "batch-1")  # as if the driver had been lost before it
+    assert tables.read("messages").count() == 3
+    tables.write(1, {"messages": (mail(spark, 2), touched)})
+    assert tables.read("messages").count() == 2
+
+
+CHANGE = "page long, seq long, op string, account_id string, provider_msg_id string, subject string, history_id long"
+
+
+def changes(spark, rows):
+    wide = spark.createDataFrame(rows, CHANGE).withColumns({"thread_id": F.lit("t"), "sender": F.lit(None).cast("string"), "sender_email": F.lit(None).cast("string"), "snippet": F.lit(None).cast("string"), "internal_date": F.lit(0).cast("long"), "label_ids": F.array(F.lit("INBOX"))})
+    return wide.select(*[c.split()[0] for c in FEED.split(", ")])
+
+
+def test_changes_page_by_page(spark):
+    """A null history id never replaces one; a delete takes what was before its page, and what hangs on it."""
+    tables = {"messages": mail(spark, 4).withColumn("category", F.lit("work")), "embeddings": store.empty(spark, "embeddings"), "message_clusters": spark.createDataFrame([("a", f"m{i}", "c", 1.0, None) for i in range(4)], TABLES["message_clusters"])}
+    up = lambda p, s, m, subject, h=None: (p, s, "upsert", "a", m, subject, h)
+    rows = [up(0, 1, "m9", "old", 5), up(0, 2, "m9", "new"), up(0, 3, "m1", "one"), (0, 4, "delete", "a", "m0", None, None), up(1, 0, "m2", "gone later", 8), (2, 0, "delete", "a", "m2", None, None), (2, 1, "delete", "a", "m3", None, None), up(2, 2, "m3", "back")]
+    once = sync.apply_changes(tables, changes(spark, rows))
+    got = {r["provider_msg_id"]: (r["subject"], r["history_id"], r["category"]) for r in once["messages"].collect()}
+    assert got == {"m9": ("new", 5, None), "m1": ("one", 1, "work"), "m3": ("back", None, None)}
+    assert [r["provider_msg_id"] for r in once["message_clusters"].collect()] == ["m1"]
+    twice = sync.apply_changes(once, changes(spark, rows))
+    assert {r["provider_msg_id"]: (r["subject"], r["history_id"], r["category"]) for r in twice["messages"].collect()} == got
+    assert {r["account_id"]: r["last_history_id"] for r in sync.baseline(once["messages"]).collect()} == {"a": 5}
 
 
 def test_phases_and_accounts(spark):
@@ -269,9 +350,8 @@ def test_progress(spark, tmp_path):
     told = []
     listener = Progress(told.append)
     spark.streams.addListener(listener)
-    (tmp_path / "in").mkdir()
-    feed(tmp_path / "in" / "1.json", [{"seq": 1, "op": "upsert", "account_id": "a", "provider_msg_id": "m1", "internal_date": 1}])
-    sync.run(spark, str(tmp_path / "in"), str(tmp_path / "t"), str(tmp_path / "c"))
+    land(tmp_path / "in" / "1.json", [("a", "gmail_list", 0, {"messages": [{"id": "m1", "threadId": "t"}]})])
+    synced(spark, tmp_path)
     import time
 
     for _ in range(50):

@@ -8,7 +8,9 @@ from urllib.parse import parse_qs, urlsplit
 import pytest
 
 from postmill.schema import ProviderError
+from postmill.operators import store
 from postmill.sources import pages, rest
+from postmill.streaming import sync
 
 
 @pytest.fixture
@@ -27,6 +29,10 @@ def server():
             elif at.path.endswith("/messages"):
                 token = parse_qs(at.query).get("pageToken")
                 out = {"messages": [{"id": "m2", "threadId": "t"}]} if token else {"messages": [{"id": "m1", "threadId": "t"}], "nextPageToken": "P2"}
+            elif at.path.endswith("/history"):
+                start, token = int(parse_qs(at.query)["startHistoryId"][0]), parse_qs(at.query).get("pageToken")
+                records = [{"id": str(i), "messagesAdded": [{"message": {"id": f"m{i}"}}]} for i in range(start + 1, 8)]
+                out = {"history": records[:2], "historyId": "7", "nextPageToken": "N"} if not token else {"history": records[2:], "historyId": "7"}
             elif at.path.endswith("/delta"):
                 out = {"value": [], "@odata.nextLink": f"http://{self.headers['Host']}/next"} if at.path != "/next" else {}
             elif at.path == "/next":
@@ -59,7 +65,7 @@ def test_pages(spark, server):
     fail["/b/messages"] = 1
     spark.dataSource.register(rest.MailPages)
     df = spark.read.format("mail_pages").options(kind="gmail_list", base_url=url + "/{account}", accounts="a,b", token="T").load()
-    got = sorted(tuple(r) for r in pages.listed(df).collect())
+    got = sorted(tuple(r) for r in pages.listed(df).select("account_id", "id", "thread_id").collect())
     assert got == [("a", "m1", "t"), ("a", "m2", "t"), ("b", "m1", "t"), ("b", "m2", "t")]
     assert {s[4] for s in seen} == {"Bearer T"} and seen[0][2]["maxResults"] == ["500"] and len([s for s in seen if s[1] == "/b/messages"]) == 3
     delta = spark.read.format("mail_pages").options(kind="graph_delta", base_url=url, accounts="c").load()
@@ -68,6 +74,25 @@ def test_pages(spark, server):
     assert [r["provider_msg_id"] for r in pages.gmail_messages(rest.fetch_metadata(ids, url, "T")).collect()] == ["m7"]
 
 
+def test_history_as_a_stream(spark, server, tmp_path):
+    """Pages from an account's offset on, into the tables; a second run has nothing left to read."""
+    url, seen, _ = server
+    spark.dataSource.register(rest.MailPages)
+
+    def run():
+        feed = spark.readStream.format("mail_pages").options(**{"kind": "gmail_history", "base_url": url + "/{account}", "accounts": "a,b", "start": "3", "start.b": "6"}).load()
+        sync.run(spark, feed, str(tmp_path / "t"), str(tmp_path / "c"), lambda ids: rest.fetch_metadata(ids, url, "T"), buckets=2)
+        tables = store.Tables(spark, str(tmp_path / "t"), 2)
+        return sorted((r["account_id"], r["provider_msg_id"], r["internal_date"]) for r in tables.read("messages").collect()), {r["account_id"]: (r["phase"], r["last_history_id"]) for r in tables.read("sync_state").collect()}
+
+    want = [("a", f"m{i}", 5) for i in (4, 5, 6, 7)] + [("b", "m7", 5)], {"a": ("incremental", 7), "b": ("incremental", 7)}
+    assert run() == want
+    n = len([s for s in seen if "pageToken" in s[2]])
+    assert run() == want and len([s for s in seen if "pageToken" in s[2]]) == n == 2
+    with pytest.raises(Exception, match="delta links"):
+        spark.readStream.format("mail_pages").options(kind="graph_delta", base_url=url, accounts="a").load().writeStream.format("noop").option("checkpointLocation", str(tmp_path / "d")).start().awaitTermination()
+
+
 def test_mutators(server):
     url, seen, _ = server
     m = rest.GmailMutator(url, "T")
