@@ -2,28 +2,30 @@
 
 Symbols are characters and the model is of the symbols of each word, from the space before it to the one after it; no
 context spans words, but a word that repeats the one before it begins with a symbol of its own, so that repetition
-costs what it is worth in trusted text. An n-gram is packed into a 64-bit number, 12 bits a symbol, so that its context and its suffix are
-shifts and masks in SQL.
+costs what it is worth in trusted text. So a document's likelihood is a sum over its word forms, and each distinct form
+is scored once: its n-grams, strings of up to five characters, are joined by shuffles with the count tables, and nothing
+of the model ever lies in one place.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postmill.llm.common import BROADCAST_IDS, id_and_text, ragged, slices, split_words, stored, sums_by_row, without
-
-ORDER, WIDTH = 5, 12
-MASK = (1 << WIDTH) - 1
-SPACE = 1
-#: Characters from U+0C00 on share this many symbols.
-FAR = 1000
-#: Begins a word that repeats the one before it.
-REPEAT = 0xC00 + FAR
-#: n-grams that workers get at once; a larger model is joined in shards of its contexts, one after the other.
-SHARD_GRAMS = 1_500_000
+from postmill.llm.common import BROADCAST_IDS, id_and_text, ragged, slices, split_words, stored, without
+
+ORDER = 5
+#: Stands before and after each word, and begins one that repeats the one before it; neither is in a word.
+SPACE, REPEAT = " ", "\t"
+#: Predicted symbols of one form: longer words are cut, each piece with the context of its first symbol in front.
+PIECE = 32
+#: Forms that a task holds before it hands their counts on.
+TASK_FORMS = 400_000
+#: The most frequent forms, whose scores each task of the last pass gets; those of other forms are joined.
+HOT = 100_000
 #: One in so many trusted documents sets thresholds and isn't counted.
 HOLD = 8
 #: A document passes up to median + SLACK * (upper quantile - median) of its language's trusted documents: with 1, up to
@@ -50,57 +52,53 @@ def forms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray
     return codes, at, words.take(pa.array(used >> 1)), (used & 1).astype(bool)
 
 
-def symbols(words: pa.Array, again: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of each word form with a space at either end, and offsets by form. All digits are one symbol."""
-    listed = words.to_pylist()
-    n = np.fromiter(map(len, listed), np.int64, len(listed))
-    cp = np.frombuffer("".join(listed).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-    cp = np.where(cp < 2, 2, np.where(cp < 0xC00, cp, 0xC00 + cp * 0x9E3779B1 % FAR))
-    at = np.concatenate(([0], np.cumsum(n + 2 + again)))
-    out = np.full(int(at[-1]), SPACE, np.int64)
-    out[at[:-1][again] + 1] = REPEAT
-    out[ragged(at[:-1] + 1 + again, n)] = cp
-    return out, at
-
-
-def grams(words: pa.Array, again: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each predicted symbol of each form its longest n-gram and that one's order, and offsets by form."""
-    x, at = symbols(words, again)
-    place = np.arange(len(x)) - np.repeat(at[:-1], np.diff(at))
-    key = x.copy()
-    for k in range(1, ORDER):
-        key[k:] |= np.where(place[k:] >= k, x[:-k] << (WIDTH * k), 0)
-    keep = place > 0
-    return key[keep], np.minimum(place[keep] + 1, ORDER), at - np.arange(len(at))
+def pieces(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Codes of the forms that make up each text, offsets by text, and the forms: a word with a space at either end, all
+    digits as one, and REPEAT after the first space of a repeat. Of a long word each piece is a form; the first begins
+    with the space, which isn't predicted, the others with the ORDER - 1 symbols before the piece."""
+    codes, at, words, again = forms(texts)
+    out, per = [], np.ones(len(words), np.int64)
+    for i, (word, repeat) in enumerate(zip(words.to_pylist(), again.tolist(), strict=True)):
+        x = f"{SPACE}{REPEAT}{word}{SPACE}" if repeat else f"{SPACE}{word}{SPACE}"
+        if len(x) <= PIECE + 1:
+            out.append(x)
+        else:
+            cut = [x[max(0, k - ORDER + 1) : k + PIECE] for k in range(1, len(x), PIECE)]
+            out += cut
+            per[i] = len(cut)
+    if len(out) > len(words):
+        start, own = np.cumsum(per) - per, per[codes]
+        codes, at = ragged(start[codes], own), np.concatenate(([0], np.cumsum(own)))[at]
+    return codes, at, out
 
 
-def counted(texts: DataFrame) -> DataFrame:
-    """(gram, n) over all texts: each task's sums, then one shuffle of them."""
+def word_forms(rows: DataFrame) -> DataFrame:
+    """(form, n, trusted) of rows (text, counted): how often each form occurs, and how often in counted rows."""
 
     def run(batches):
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def settle():
-            key = np.concatenate([k for k, _ in held])
-            uniq, inv = np.unique(key, return_inverse=True)
-            held[:] = [(uniq, np.bincount(inv, np.concatenate([c for _, c in held]), len(uniq)))]
-
+        held, size = [], 0
+        settle = lambda: pa.concat_tables(held).group_by("form").aggregate([("n", "sum"), ("trusted", "sum")]).rename_columns(["form", "n", "trusted"])
         for part in slices(batches, "text"):
-            codes, _, words, again = forms(part.column(part.schema.get_field_index("text")))
-            if not len(codes):
-                continue
-            times = np.bincount(codes, minlength=len(words))
-            key, _, at = grams(words, again)
-            uniq, inv = np.unique(key, return_inverse=True)
-            held.append((uniq, np.bincount(inv, np.repeat(times, np.diff(at)), len(uniq))))
-            if len(held) > 8:
-                settle()
+            codes, at, own = pieces(part.column(0))
+            mark = np.repeat(np.asarray(part.column(1).fill_null(False).to_numpy(zero_copy_only=False), bool), np.diff(at))
+            held.append(pa.table({"form": pa.array(own, pa.string()), "n": np.bincount(codes, minlength=len(own)).astype(np.int64), "trusted": np.bincount(codes[mark], minlength=len(own)).astype(np.int64)}))
+            size += len(own)
+            if size > TASK_FORMS:
+                held = [settle()]
+                size = held[0].num_rows
+                if size > TASK_FORMS // 2:
+                    yield from held[0].to_batches(50_000)
+                    held, size = [], 0
         if held:
-            settle()
-            for i in range(0, len(held[0][0]), 50_000):
-                yield pa.record_batch([pa.array(held[0][0][i : i + 50_000]), pa.array(held[0][1][i : i + 50_000].astype(np.int64))], names=["gram", "n"])
+            yield from settle().to_batches(50_000)
+
+    return rows.select("text", "counted").mapInArrow(run, "form string, n long, trusted long").groupBy("form").agg(F.sum("n").alias("n"), F.sum("trusted").alias("trusted"))
 
-    return texts.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+
+def grams_of(form: str) -> Column:
+    """The longest n-gram of each predicted symbol of a form."""
+    first = f"if(left({form}, 1) = '{SPACE}', 2, {ORDER})"
+    return F.expr(f"transform(sequence({first}, length({form})), i -> substring({form}, greatest(1, i - {ORDER - 1}), least(i, {ORDER})))")
 
 
 def discounts(counts: dict[int, int]) -> list[float]:
@@ -116,118 +114,94 @@ def _discount(d: list[float], n: Column) -> Column:
     return F.when(n == 1, d[0]).when(n == 2, d[1]).otherwise(d[2])
 
 
-def train(texts: DataFrame) -> tuple[DataFrame, DataFrame, float]:
-    """(order, gram, logp), (order, context, loggamma) and the log probability of an unknown symbol.
+def train(forms_: DataFrame) -> tuple[DataFrame, DataFrame, float]:
+    """(gram, logp), (context, loggamma) and the log probability of an unknown symbol, of word_forms()' trusted counts.
 
     Counts of the longest n-grams are as they are, also those of shorter ones at a word's start; all others count the
     different symbols to their left. Each order is joined by context with its sums and by suffix with the order below.
     """
-    top = stored(counted(texts), "grams")
-    order = sum((F.col("gram") >= (1 << (WIDTH * k))).cast("int") for k in range(ORDER))
-    top = top.withColumn("order", order)
-    levels = {ORDER: top.filter(F.col("order") == ORDER).select("gram", "n")}
+    top = forms_.filter("trusted > 0").select(F.explode(grams_of("form")).alias("gram"), "trusted").groupBy("gram").agg(F.sum("trusted").alias("n"))
+    top = stored(top, "grams")
+    levels = {ORDER: top.filter(F.length("gram") == ORDER)}
     for k in range(ORDER - 1, 0, -1):
-        suffix = F.col("gram").bitwiseAND((1 << (WIDTH * k)) - 1).alias("gram")
-        ahead = levels[k + 1].groupBy(suffix).agg(F.count("*").alias("n"))
-        levels[k] = stored(top.filter(F.col("order") == k).select("gram", "n").unionByName(ahead).groupBy("gram").agg(F.sum("n").alias("n")), f"order{k}")
+        ahead = levels[k + 1].groupBy(F.expr("substring(gram, 2)").alias("gram")).agg(F.count("*").alias("n"))
+        levels[k] = stored(top.filter(F.length("gram") == k).unionByName(ahead).groupBy("gram").agg(F.sum("n").alias("n")), f"order{k}")
     kinds = levels[1].count()
     unknown = 1.0 / (kinds + 1)
     below, all_grams, all_contexts = None, [], []
     for k in range(1, ORDER + 1):
         d = discounts({int(r["n"]): r["count"] for r in levels[k].filter("n <= 4").groupBy("n").count().collect()})
-        own = levels[k].withColumn("context", F.shiftright("gram", WIDTH))
+        own = levels[k].withColumn("context", F.expr(f"left(gram, {k - 1})"))
         sums = own.groupBy("context").agg(F.sum("n").alias("total"), F.sum(_discount(d, F.col("n"))).alias("left"))
         own = own.join(sums, "context").withColumn("u", (F.col("n") - _discount(d, F.col("n"))) / F.col("total"))
         gamma = F.col("left") / F.col("total")
         if below is None:
             p = own.select("gram", (F.col("u") + gamma * unknown).alias("p"))
         else:
-            suffix = F.col("gram").bitwiseAND((1 << (WIDTH * (k - 1))) - 1)
-            p = own.withColumn("suffix", suffix).join(below.select(F.col("gram").alias("suffix"), F.col("p").alias("q")), "suffix").select("gram", (F.col("u") + gamma * F.col("q")).alias("p"))
+            p = own.withColumn("suffix", F.expr("substring(gram, 2)")).join(below.select(F.col("gram").alias("suffix"), F.col("p").alias("q")), "suffix").select("gram", (F.col("u") + gamma * F.col("q")).alias("p"))
         below = stored(p, f"p{k}")
-        all_grams.append(below.select(F.lit(k).alias("order"), "gram", F.log("p").cast("float").alias("logp")))
-        all_contexts.append(sums.select(F.lit(k - 1).alias("order"), "context", F.log(gamma).cast("float").alias("loggamma")))
+        all_grams.append(below.select("gram", F.log("p").alias("logp")))
+        all_contexts.append(sums.select("context", F.log(gamma).alias("loggamma")))
     join = lambda xs: xs[0] if len(xs) == 1 else xs[0].unionByName(join(xs[1:]))
     return join(all_grams), stored(join(all_contexts), "contexts"), float(np.log(unknown))
 
 
-def _shard(symbol, shards: int):
-    return symbol * 0x9E3779B1 % 2_147_483_647 % shards
-
-
-def _sorted(df: DataFrame, key: str, value: str) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Keys, ascending, and values of a shard of the model, by order."""
-    t = df.select("order", key, value).toArrow()
-    order, k, v = (t.column(i).combine_chunks().to_numpy(zero_copy_only=False) for i in range(3))
-    out = []
-    for o in range(ORDER + 1):
-        own = order == o
-        at = np.argsort(k[own], kind="stable")
-        out.append((k[own][at], v[own][at].astype(np.float64)))
-    return out
-
-
-def _look_up(where: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    known, values = where
-    if not len(known):
-        return np.zeros(len(keys), bool), np.zeros(len(keys))
-    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-    return known[at] == keys, values[at]
-
-
-def word_scores(words: pa.Array, again: np.ndarray, model, shard: int, shards: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each form, -log probability of those of its symbols whose context is in the shard, and how many there are."""
-    logp, loggamma, unknown = model
-    key, order, at = grams(words, again)
-    mine = np.flatnonzero(_shard(key >> WIDTH & MASK, shards) == shard) if shards > 1 else np.arange(len(key))
-    total, todo, k = np.zeros(len(key)), mine, key[mine]
-    o = order[mine]
-    for level in range(ORDER, 0, -1):
-        at_level = o == level
-        if at_level.any():
-            who = np.flatnonzero(at_level)
-            found, value = _look_up(logp[level], k[who])
-            total[todo[who[found]]] += value[found]
-            o[who[found]] = -1
-            rest = who[~found]
-            has, gamma = _look_up(loggamma[level - 1], k[rest] >> WIDTH)
-            total[todo[rest]] += np.where(has, gamma, 0.0)
-            k[rest] &= (1 << (WIDTH * (level - 1))) - 1
-            o[rest] = level - 1
-    total[todo[o == 0]] += unknown
-    one = np.zeros(len(key), np.int64)
-    one[mine] = 1
-    return -sums_by_row(total, at), sums_by_row(one, at)
-
-
-def perplexities(docs: DataFrame, grams_: DataFrame, contexts: DataFrame, unknown: float, shard_grams: int = SHARD_GRAMS) -> DataFrame:
-    """docs with nll (negative log likelihood of all symbols) and symbols (how many), joined with the model shard by shard.
-
-    A shard has all n-grams whose contexts end in certain symbols, so each predicted symbol is looked up in one shard.
-    docs: (row, lang, trusted, text); the result has no text.
-    """
-    grams_ = stored(grams_, "model")
-    shards = max(1, -(-grams_.count() // shard_grams))
-
-    def one(shard):
-        own = lambda df, key, shift: df if shards == 1 else df.filter((F.col("order") <= 1 - (shift == 0)) | (_shard(F.shiftright(key, shift).bitwiseAND(MASK), shards) == shard))
-        model = _sorted(own(grams_, "gram", WIDTH), "gram", "logp"), _sorted(own(contexts, "context", 0), "context", "loggamma"), unknown
-
-        def run(batches):
-            for part in slices(batches, "text"):
-                codes, at, words, again = forms(part.column(part.schema.get_field_index("text")))
-                nll, n = word_scores(words, again, model, shard, shards)
-                yield pa.record_batch([*(part.column(i) for i in range(3)), pa.array(sums_by_row(nll[codes], at)), pa.array(sums_by_row(n[codes], at))], names=["row", "lang", "trusted", "nll", "symbols"])
-
-        return docs.select("row", "lang", "trusted", "text").mapInArrow(run, "row long, lang string, trusted boolean, nll double, symbols long")
-
-    scored = one(0)
-    for shard in range(1, shards):
-        scored = scored.unionByName(one(shard))
-    return scored if shards == 1 else scored.groupBy("row").agg(F.first("lang").alias("lang"), F.first("trusted").alias("trusted"), F.sum("nll").alias("nll"), F.sum("symbols").alias("symbols"))
+def form_scores(forms_: DataFrame, grams: DataFrame, contexts: DataFrame, unknown: float) -> DataFrame:
+    """(form, n, nll, symbols): -log probability of each form's predicted symbols, and how many there are.
 
+    Each different n-gram and its suffixes are joined with the counted ones: the longest suffix that was counted gives
+    the probability, and the contexts of the longer ones their weights; contexts that weren't counted weigh 1.
+    """
+    parts = forms_.select("form", F.explode(grams_of("form")).alias("gram"))
+    each = parts.select("gram").distinct().select("gram", F.explode(F.sequence(F.lit(0), F.length("gram") - 1)).alias("j"))
+    each = each.select("gram", "j", F.expr("substring(gram, j + 1)").alias("suffix"), F.expr("substring(gram, j + 1, length(gram) - j - 1)").alias("context"))
+    each = each.join(grams.withColumnRenamed("gram", "suffix"), "suffix", "left").join(contexts, "context", "left")
+    hit = F.min(F.when(F.col("logp").isNotNull(), F.struct("j", "logp"))).alias("hit")
+    weights = [F.sum(F.when(F.col("j") == k, F.col("loggamma"))).alias(f"w{k}") for k in range(ORDER)]
+    scored = each.groupBy("gram").agg(hit, *weights)
+    found = F.coalesce("hit.j", F.lit(ORDER))
+    total = F.coalesce("hit.logp", F.lit(unknown))
+    for k in range(ORDER):
+        total = total + F.when(F.lit(k) < found, F.coalesce(f"w{k}", F.lit(0.0))).otherwise(0.0)
+    sums = parts.join(scored.select("gram", total.alias("logp")), "gram").groupBy("form").agg(F.sum(-F.col("logp")).alias("nll"), F.count("*").alias("symbols"))
+    return stored(sums.join(forms_.select("form", "n"), "form"), "scores")
+
+
+def perplexities(docs: DataFrame, scores: DataFrame, hot: int = HOT) -> DataFrame:
+    """(row, lang, trusted, nll, symbols) for each row of docs (row, lang, trusted, text): sums over its forms.
+
+    Tasks add up the `hot` most frequent forms themselves; what other forms a document has is counted, joined with
+    their scores and added to it.
+    """
+    top = scores.orderBy(F.desc("n"), "form").limit(hot).select("form", "nll", "symbols").toArrow()
+    known, nll, symbols = top.column(0).combine_chunks(), np.append(top.column(1).to_numpy(), 0.0), np.append(top.column(2).to_numpy(), 0)
 
-def judge(docs: DataFrame, labels: DataFrame, upper: float = UPPER, slack: float = SLACK, shard_grams: int = SHARD_GRAMS) -> DataFrame:
+    def run(batches):
+        for part in slices(batches, "text"):
+            codes, at, own = pieces(part.column(3))
+            place = np.asarray(pc.index_in(pa.array(own, pa.string()), known).fill_null(len(known))).astype(np.int64)
+            where = place[codes] if len(codes) else np.zeros(0, np.int64)
+            total = np.concatenate(([0.0], np.cumsum(nll[where])))
+            count = np.concatenate(([0], np.cumsum(symbols[where])))
+            rare = np.flatnonzero(where == len(known))
+            owner = np.searchsorted(at, rare, "right") - 1
+            key, n = np.unique(owner << 32 | codes[rare], return_counts=True)
+            lists = pa.ListArray.from_arrays(
+                pa.array(np.searchsorted(key >> 32, np.arange(len(at))).astype(np.int32)),
+                pa.StructArray.from_arrays([pa.array(own, pa.string()).take(pa.array(key & 0xFFFFFFFF)), pa.array(n.astype(np.int64))], names=["form", "times"]),
+            )
+            yield pa.record_batch([*(part.column(i) for i in range(3)), pa.array(total[at[1:]] - total[at[:-1]]), pa.array(count[at[1:]] - count[at[:-1]]), lists], names=["row", "lang", "trusted", "nll", "symbols", "rare"])
+
+    schema = "row long, lang string, trusted boolean, nll double, symbols long, rare array<struct<form:string,times:long>>"
+    first = docs.select("row", "lang", "trusted", "text").mapInArrow(run, schema).withColumn("at", F.monotonically_increasing_id())
+    first = stored(first, "sums")
+    rest = first.select("at", F.explode("rare").alias("r")).select("at", "r.*").join(scores.select("form", F.col("nll").alias("x"), F.col("symbols").alias("y")), "form")
+    rest = rest.groupBy("at").agg(F.sum(F.col("x") * F.col("times")).alias("x"), F.sum(F.col("y") * F.col("times")).alias("y"))
+    out = first.drop("rare").join(rest, "at", "left")
+    return out.select("row", "lang", "trusted", (F.col("nll") + F.coalesce("x", F.lit(0.0))).alias("nll"), (F.col("symbols") + F.coalesce("y", F.lit(0))).alias("symbols"))
+
+
+def judge(docs: DataFrame, labels: DataFrame, upper: float = UPPER, slack: float = SLACK, hot: int = HOT) -> DataFrame:
     """(doc_id, lang, symbols, perplexity, threshold, kept) for each document.
 
     Trusted documents are those that `labels` gives quality 1. The model counts all of them but one in HOLD; those set,
@@ -246,8 +220,8 @@ def judge(docs: DataFrame, labels: DataFrame, upper: float = UPPER, slack: float
         rows = rows.withColumn("lang", F.lit(None).cast("string"))
     rows = rows.join(F.broadcast(trusted) if few else trusted, "row", "left").withColumn("trusted", F.coalesce("good", F.lit(False)))
     hold = F.pmod(F.xxhash64("row"), F.lit(HOLD)) == 0
-    grams_, contexts, unknown = train(rows.filter(F.col("trusted") & ~hold))
-    scored = stored(perplexities(rows, grams_, contexts, unknown, shard_grams), "perplexities")
+    counts = stored(word_forms(rows.withColumn("counted", F.col("trusted") & ~hold)), "forms")
+    scored = stored(perplexities(rows, form_scores(counts, *train(counts)), hot), "perplexities")
     own = scored.filter(F.col("trusted") & hold & (F.col("symbols") > 0))
 
     def by_language(x: Column, at: float, name: str, rows: DataFrame) -> tuple[DataFrame, DataFrame]:

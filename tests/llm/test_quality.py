@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from postmill.llm import quality
+from postmill.llm.common import stored
 
 N = quality.ORDER
 
@@ -50,29 +51,54 @@ def plain_nll(prob, text):
     return -sum(math.log(prob(g)) for g in gs), len(gs)
 
 
-@pytest.mark.parametrize("shard_grams", [10**9, 3000])
-def test_against_plain_model(spark, shard_grams):
+@pytest.mark.parametrize("hot", [100_000, 60, 0])
+def test_against_plain_model(spark, hot):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").limit(40).collect()]
-    odd = [(900, None), (901, ""), (902, " \n "), (903, "x x x x 12 345 Ünknown ☃ ☃"), (904, "the the")]
-    df = spark.createDataFrame(docs, "row long, text string").repartition(3)
-    model = quality.train(df)
+    odd = [(900, None), (901, ""), (902, " \n "), (903, "x x x x 12 345 Ünknown ☃ ☃"), (904, "the the"), (905, "漢字かな交じり文 漢字 नमस्ते"), (906, "long" * 40 + " " + "z" * 31 + " " + "z" * 32 + " " + "z" * 33 + " " + "z" * 33)]
+    docs += [(700, "漢字かな漢字 漢文 漢文"), (701, "longlong " + "the" * 30)]
+    rows = [(i, t, True) for i, t in docs] + [(i, t, False) for i, t in odd]
+    counts = stored(quality.word_forms(spark.createDataFrame(rows, "row long, text string, counted boolean").withColumn("text", F.coalesce("text", F.lit(""))).repartition(3)), "forms")
+    scores = quality.form_scores(counts, *quality.train(counts))
     rows = spark.createDataFrame(docs[:5] + odd, "row long, text string").withColumn("lang", F.lit("en")).withColumn("trusted", F.lit(False)).withColumn("text", F.coalesce("text", F.lit("")))
-    got = {r["row"]: (r["nll"], r["symbols"]) for r in quality.perplexities(rows, *model, shard_grams=shard_grams).collect()}
+    got = {r["row"]: (r["nll"], r["symbols"]) for r in quality.perplexities(rows, scores, hot).collect()}
     prob = plain_model([t for _, t in docs])
     for i, t in docs[:5] + odd:
         want = plain_nll(prob, t)
         assert got[i][1] == want[1] and abs(got[i][0] - want[0]) < 1e-4 * max(1, want[0]), (i, got[i], want)
 
 
-def test_probabilities_sum_to_one(spark):
+def test_probabilities_sum_to_one():
     texts = ["abc abd ab ab", "bcd a", "dcb abc abc"]
-    grams, contexts, unknown = quality.train(spark.createDataFrame([(t,) for t in texts], "text string"))
     prob = plain_model(texts)
     for context in ("", "_", "_a", "b", "zz"):
         seen = {c for t in texts for s in sequences(t) for c in s[1:]}
         assert abs(sum(prob(context + c) for c in seen) + prob(context + "?") - 1) < 1e-9
 
 
+def test_thresholds_and_kept_against_a_plain_version(spark):
+    """The whole of judge(): model, held documents, medians and quantiles by language, shrunk to those of all."""
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    good = {r["doc_id"] for r in labels.filter("quality = 1").collect()}
+    rows = {r["doc_id"]: r for r in docs.withColumn("hold", F.pmod(F.xxhash64("doc_id"), F.lit(quality.HOLD)) == 0).collect()}
+    prob = plain_model([r["text"] for d, r in rows.items() if d in good and not r["hold"]])
+    sums = {d: plain_nll(prob, r["text"]) for d, r in rows.items()}
+    held = [d for d, r in rows.items() if d in good and r["hold"] and sums[d][1]]
+
+    def quantiles(value, at):
+        one = lambda ids: sorted(value[d] for d in ids)[max(0, math.ceil(at * len(ids)) - 1)]
+        of = {lang: [d for d in held if rows[d]["lang"] == lang] for lang in {rows[d]["lang"] for d in held}}
+        return {k: (len(v) * one(v) + quality.LEAST * one(held)) / (len(v) + quality.LEAST) for k, v in of.items()} | {None: one(held)}
+
+    m = quantiles({d: sums[d][0] / sums[d][1] for d in held}, 0.5)
+    x = {d: (n + quality.PRIOR * m.get(rows[d]["lang"], m[None])) / (k + quality.PRIOR) for d, (n, k) in sums.items()}
+    u = quantiles(x, quality.UPPER)
+    for r in quality.judge(docs, labels).collect():
+        limit = m.get(r["lang"], m[None]) + quality.SLACK * (u.get(r["lang"], u[None]) - m.get(r["lang"], m[None]))
+        assert abs(r["threshold"] - math.exp(limit)) < 1e-4 * math.exp(limit) and abs(r["perplexity"] - math.exp(x[r["doc_id"]])) < 1e-4 * r["perplexity"]
+        assert abs(x[r["doc_id"]] - limit) < 1e-6 or r["kept"] == (x[r["doc_id"]] <= limit)
+
+
 def test_against_labels(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
