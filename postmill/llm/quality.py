@@ -2,9 +2,9 @@
 
 Symbols are characters and the model is of the symbols of each word, from the space before it to the one after it; no
 context spans words, but a word that repeats the one before it begins with a symbol of its own, so that repetition
-costs what it is worth in trusted text. So a document's likelihood is a sum over its word forms, and each distinct form
-is scored once: its n-grams, strings of up to five characters, are joined by shuffles with the count tables, and nothing
-of the model ever lies in one place.
+costs what it is worth in trusted text. The n-grams of all documents, strings of up to five characters, are counted in
+one pass, and each different one is scored once, by shuffle joins with the count tables. A document's likelihood is the
+sum of its n-grams' scores: those of the most frequent ones are added up in the tasks, the others are joined.
 """
 
 from __future__ import annotations
@@ -15,17 +15,19 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postmill.llm.common import BROADCAST_IDS, id_and_text, ragged, slices, split_words, stored, without
+from postmill.llm.common import BROADCAST_IDS, id_and_text, ragged, slices, split_words, stored, sums_by_row, without
 
 ORDER = 5
 #: Stands before and after each word, and begins one that repeats the one before it; neither is in a word.
 SPACE, REPEAT = " ", "\t"
 #: Predicted symbols of one form: longer words are cut, each piece with the context of its first symbol in front.
 PIECE = 32
-#: Forms that a task holds before it hands their counts on.
-TASK_FORMS = 400_000
-#: The most frequent forms, whose scores each task of the last pass gets; those of other forms are joined.
-HOT = 100_000
+#: n-grams that a task holds before it hands their counts on.
+TASK_GRAMS = 600_000
+#: The most frequent n-grams, whose scores each task of the last pass gets (some 5 MB); those of others are joined.
+HOT = 250_000
+#: Bits of a symbol's number where n-grams of one slice are told apart.
+WIDTH = 12
 #: One in so many trusted documents sets thresholds and isn't counted.
 HOLD = 8
 #: A document passes up to median + SLACK * (upper quantile - median) of its language's trusted documents: with 1, up to
@@ -72,27 +74,65 @@ def pieces(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     return codes, at, out
 
 
-def word_forms(rows: DataFrame) -> DataFrame:
-    """(form, n, trusted) of rows (text, counted): how often each form occurs, and how often in counted rows."""
+def _strings(symbols: np.ndarray, length: np.ndarray) -> pa.Array:
+    """Strings of the last `length` code points of each row."""
+    flat = symbols[np.arange(symbols.shape[1]) >= (symbols.shape[1] - length)[:, None]]
+    data = flat.astype("<u4").tobytes().decode("utf-32-le").encode()
+    size = 1 + (flat >= 0x80) + (flat >= 0x800) + (flat >= 0x10000)
+    ends = np.concatenate(([0], np.cumsum(size)))[np.concatenate(([0], np.cumsum(length)))]
+    return pa.Array.from_buffers(pa.string(), len(length), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
+
+
+def grams(listed: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The different longest n-grams of forms' predicted symbols, which of them each symbol has, and offsets by form."""
+    n = np.fromiter(map(len, listed), np.int64, len(listed))
+    at = np.concatenate(([0], np.cumsum(n)))
+    x = np.frombuffer("".join(listed).encode("utf-32-le"), "<u4")
+    kinds, number = np.unique(x, return_inverse=True)
+    if len(kinds) >= 1 << WIDTH:  # too many symbols for one number: halves have fewer
+        half = len(listed) // 2
+        (g1, i1, a1), (g2, i2, a2) = grams(listed[:half]), grams(listed[half:])
+        coded = pa.concat_arrays([g1, g2]).dictionary_encode()
+        place = np.asarray(coded.indices).astype(np.int64)
+        return coded.dictionary, place[np.concatenate((i1, i2 + len(g1)))], np.concatenate((a1, a2[1:] + a1[-1]))
+    number = number.astype(np.int64) + 1
+    place = np.arange(len(x)) - np.repeat(at[:-1], n)
+    key = number.copy()
+    for k in range(1, ORDER):
+        key[k:] |= np.where(place[k:] >= k, number[:-k] << (WIDTH * k), 0)
+    first = np.where(x[at[:-1]] == ord(SPACE), 1, ORDER - 1) if len(listed) else np.zeros(0, np.int64)
+    keys, which = np.unique(key[place >= np.repeat(first, n)], return_inverse=True)
+    parts = keys[:, None] >> (WIDTH * np.arange(ORDER - 1, -1, -1)) & ((1 << WIDTH) - 1)
+    symbols = np.concatenate(([0], kinds))[parts]
+    return _strings(symbols, (parts > 0).sum(1)), which.astype(np.int64), np.concatenate(([0], np.cumsum(n - first)))
+
+
+def corpus_grams(rows: DataFrame) -> DataFrame:
+    """(gram, n, trusted) of rows (text, counted): how often each longest n-gram occurs, and how often in counted rows.
+
+    One pass over the texts; each task hands on sums.
+    """
 
     def run(batches):
         held, size = [], 0
-        settle = lambda: pa.concat_tables(held).group_by("form").aggregate([("n", "sum"), ("trusted", "sum")]).rename_columns(["form", "n", "trusted"])
+        settle = lambda: pa.concat_tables(held).group_by("gram").aggregate([("n", "sum"), ("trusted", "sum")]).rename_columns(["gram", "n", "trusted"])
         for part in slices(batches, "text"):
             codes, at, own = pieces(part.column(0))
             mark = np.repeat(np.asarray(part.column(1).fill_null(False).to_numpy(zero_copy_only=False), bool), np.diff(at))
-            held.append(pa.table({"form": pa.array(own, pa.string()), "n": np.bincount(codes, minlength=len(own)).astype(np.int64), "trusted": np.bincount(codes[mark], minlength=len(own)).astype(np.int64)}))
-            size += len(own)
-            if size > TASK_FORMS:
+            found, which, where = grams(own)
+            times = [np.repeat(np.bincount(c, minlength=len(own)), np.diff(where)) for c in (codes, codes[mark])]
+            held.append(pa.table({"gram": found} | {k: np.bincount(which, t, len(found)).astype(np.int64) for k, t in zip(("n", "trusted"), times, strict=True)}))
+            size += len(found)
+            if size > TASK_GRAMS:
                 held = [settle()]
                 size = held[0].num_rows
-                if size > TASK_FORMS // 2:
+                if size > TASK_GRAMS // 2:
                     yield from held[0].to_batches(50_000)
                     held, size = [], 0
         if held:
             yield from settle().to_batches(50_000)
 
-    return rows.select("text", "counted").mapInArrow(run, "form string, n long, trusted long").groupBy("form").agg(F.sum("n").alias("n"), F.sum("trusted").alias("trusted"))
+    return rows.select("text", "counted").mapInArrow(run, "gram string, n long, trusted long").groupBy("gram").agg(F.sum("n").alias("n"), F.sum("trusted").alias("trusted"))
 
 
 def grams_of(form: str) -> Column:
@@ -114,14 +154,13 @@ def _discount(d: list[float], n: Column) -> Column:
     return F.when(n == 1, d[0]).when(n == 2, d[1]).otherwise(d[2])
 
 
-def train(forms_: DataFrame) -> tuple[DataFrame, DataFrame, float]:
-    """(gram, logp), (context, loggamma) and the log probability of an unknown symbol, of word_forms()' trusted counts.
+def train(counts: DataFrame) -> tuple[DataFrame, DataFrame, float]:
+    """(gram, logp), (context, loggamma) and the log probability of an unknown symbol, of corpus_grams()' trusted counts.
 
     Counts of the longest n-grams are as they are, also those of shorter ones at a word's start; all others count the
     different symbols to their left. Each order is joined by context with its sums and by suffix with the order below.
     """
-    top = forms_.filter("trusted > 0").select(F.explode(grams_of("form")).alias("gram"), "trusted").groupBy("gram").agg(F.sum("trusted").alias("n"))
-    top = stored(top, "grams")
+    top = counts.filter("trusted > 0").select("gram", F.col("trusted").alias("n"))
     levels = {ORDER: top.filter(F.length("gram") == ORDER)}
     for k in range(ORDER - 1, 0, -1):
         ahead = levels[k + 1].groupBy(F.expr("substring(gram, 2)").alias("gram")).agg(F.count("*").alias("n"))
@@ -146,59 +185,57 @@ def train(forms_: DataFrame) -> tuple[DataFrame, DataFrame, float]:
     return join(all_grams), stored(join(all_contexts), "contexts"), float(np.log(unknown))
 
 
-def form_scores(forms_: DataFrame, grams: DataFrame, contexts: DataFrame, unknown: float) -> DataFrame:
-    """(form, n, nll, symbols): -log probability of each form's predicted symbols, and how many there are.
+def gram_scores(counts: DataFrame, model: DataFrame, contexts: DataFrame, unknown: float) -> DataFrame:
+    """(gram, n, logp): log probability of the last symbol of each n-gram of the corpus after the others.
 
-    Each different n-gram and its suffixes are joined with the counted ones: the longest suffix that was counted gives
-    the probability, and the contexts of the longer ones their weights; contexts that weren't counted weigh 1.
+    Each n-gram and its suffixes are joined with the counted ones: the longest suffix that was counted gives the
+    probability, and the contexts of the longer ones their weights; contexts that weren't counted weigh 1.
     """
-    parts = forms_.select("form", F.explode(grams_of("form")).alias("gram"))
-    each = parts.select("gram").distinct().select("gram", F.explode(F.sequence(F.lit(0), F.length("gram") - 1)).alias("j"))
-    each = each.select("gram", "j", F.expr("substring(gram, j + 1)").alias("suffix"), F.expr("substring(gram, j + 1, length(gram) - j - 1)").alias("context"))
-    each = each.join(grams.withColumnRenamed("gram", "suffix"), "suffix", "left").join(contexts, "context", "left")
+    each = counts.select("gram", "n", F.explode(F.sequence(F.lit(0), F.length("gram") - 1)).alias("j"))
+    each = each.select("gram", "n", "j", F.expr("substring(gram, j + 1)").alias("suffix"), F.expr("substring(gram, j + 1, length(gram) - j - 1)").alias("context"))
+    each = each.join(model.withColumnRenamed("gram", "suffix"), "suffix", "left").join(contexts, "context", "left")
     hit = F.min(F.when(F.col("logp").isNotNull(), F.struct("j", "logp"))).alias("hit")
     weights = [F.sum(F.when(F.col("j") == k, F.col("loggamma"))).alias(f"w{k}") for k in range(ORDER)]
-    scored = each.groupBy("gram").agg(hit, *weights)
-    found = F.coalesce("hit.j", F.lit(ORDER))
-    total = F.coalesce("hit.logp", F.lit(unknown))
+    scored = each.groupBy("gram", "n").agg(hit, *weights)
+    found, total = F.coalesce("hit.j", F.lit(ORDER)), F.coalesce("hit.logp", F.lit(unknown))
     for k in range(ORDER):
         total = total + F.when(F.lit(k) < found, F.coalesce(f"w{k}", F.lit(0.0))).otherwise(0.0)
-    sums = parts.join(scored.select("gram", total.alias("logp")), "gram").groupBy("form").agg(F.sum(-F.col("logp")).alias("nll"), F.count("*").alias("symbols"))
-    return stored(sums.join(forms_.select("form", "n"), "form"), "scores")
+    return stored(scored.select("gram", "n", total.alias("logp")), "scores")
 
 
 def perplexities(docs: DataFrame, scores: DataFrame, hot: int = HOT) -> DataFrame:
-    """(row, lang, trusted, nll, symbols) for each row of docs (row, lang, trusted, text): sums over its forms.
+    """(row, lang, trusted, nll, symbols) for each row of docs (row, lang, trusted, text): sums over its n-grams.
 
-    Tasks add up the `hot` most frequent forms themselves; what other forms a document has is counted, joined with
-    their scores and added to it.
+    Tasks add up the forms all of whose n-grams are among the `hot` most frequent ones. What other forms a document has
+    is counted, and their n-grams are joined with the scores and added to it.
     """
-    top = scores.orderBy(F.desc("n"), "form").limit(hot).select("form", "nll", "symbols").toArrow()
-    known, nll, symbols = top.column(0).combine_chunks(), np.append(top.column(1).to_numpy(), 0.0), np.append(top.column(2).to_numpy(), 0)
+    top = scores.orderBy(F.desc("n"), "gram").limit(hot).select("gram", "logp").toArrow()
+    known, logp = top.column(0).combine_chunks(), np.append(top.column(1).to_numpy(), 0.0)
 
     def run(batches):
         for part in slices(batches, "text"):
             codes, at, own = pieces(part.column(3))
-            place = np.asarray(pc.index_in(pa.array(own, pa.string()), known).fill_null(len(known))).astype(np.int64)
-            where = place[codes] if len(codes) else np.zeros(0, np.int64)
-            total = np.concatenate(([0.0], np.cumsum(nll[where])))
-            count = np.concatenate(([0], np.cumsum(symbols[where])))
-            rare = np.flatnonzero(where == len(known))
-            owner = np.searchsorted(at, rare, "right") - 1
-            key, n = np.unique(owner << 32 | codes[rare], return_counts=True)
+            found, which, where = grams(own)
+            place = np.asarray(pc.index_in(found, known).fill_null(len(known))).astype(np.int64)[which]
+            n = np.diff(where)
+            rare = np.bincount(np.repeat(np.arange(len(own)), n)[place == len(known)], minlength=len(own)) > 0
+            nll = np.where(rare, 0.0, -sums_by_row(logp[place], where))
+            total = np.concatenate(([0.0], np.cumsum(nll[codes])))
+            far = np.flatnonzero(rare[codes]) if len(codes) else np.zeros(0, np.int64)
+            owner = np.searchsorted(at, far, "right") - 1
+            key, times = np.unique(owner << 32 | codes[far], return_counts=True)
             lists = pa.ListArray.from_arrays(
                 pa.array(np.searchsorted(key >> 32, np.arange(len(at))).astype(np.int32)),
-                pa.StructArray.from_arrays([pa.array(own, pa.string()).take(pa.array(key & 0xFFFFFFFF)), pa.array(n.astype(np.int64))], names=["form", "times"]),
+                pa.StructArray.from_arrays([pa.array(own, pa.string()).take(pa.array(key & 0xFFFFFFFF)), pa.array(times.astype(np.int64))], names=["form", "times"]),
             )
-            yield pa.record_batch([*(part.column(i) for i in range(3)), pa.array(total[at[1:]] - total[at[:-1]]), pa.array(count[at[1:]] - count[at[:-1]]), lists], names=["row", "lang", "trusted", "nll", "symbols", "rare"])
+            yield pa.record_batch([*(part.column(i) for i in range(3)), pa.array(total[at[1:]] - total[at[:-1]]), pa.array(sums_by_row(n[codes], at)), lists], names=["row", "lang", "trusted", "nll", "symbols", "rare"])
 
     schema = "row long, lang string, trusted boolean, nll double, symbols long, rare array<struct<form:string,times:long>>"
     first = docs.select("row", "lang", "trusted", "text").mapInArrow(run, schema).withColumn("at", F.monotonically_increasing_id())
     first = stored(first, "sums")
-    rest = first.select("at", F.explode("rare").alias("r")).select("at", "r.*").join(scores.select("form", F.col("nll").alias("x"), F.col("symbols").alias("y")), "form")
-    rest = rest.groupBy("at").agg(F.sum(F.col("x") * F.col("times")).alias("x"), F.sum(F.col("y") * F.col("times")).alias("y"))
-    out = first.drop("rare").join(rest, "at", "left")
-    return out.select("row", "lang", "trusted", (F.col("nll") + F.coalesce("x", F.lit(0.0))).alias("nll"), (F.col("symbols") + F.coalesce("y", F.lit(0))).alias("symbols"))
+    rest = first.select("at", F.explode("rare").alias("r")).select("at", "r.times", F.explode(grams_of("r.form")).alias("gram")).groupBy("at", "gram").agg(F.sum("times").alias("times"))
+    rest = rest.join(scores.select("gram", "logp"), "gram").groupBy("at").agg(F.sum(F.col("logp") * F.col("times")).alias("more"))
+    return first.join(rest, "at", "left").select("row", "lang", "trusted", (F.col("nll") - F.coalesce("more", F.lit(0.0))).alias("nll"), "symbols")
 
 
 def judge(docs: DataFrame, labels: DataFrame, upper: float = UPPER, slack: float = SLACK, hot: int = HOT) -> DataFrame:
@@ -220,8 +257,8 @@ def judge(docs: DataFrame, labels: DataFrame, upper: float = UPPER, slack: float
         rows = rows.withColumn("lang", F.lit(None).cast("string"))
     rows = rows.join(F.broadcast(trusted) if few else trusted, "row", "left").withColumn("trusted", F.coalesce("good", F.lit(False)))
     hold = F.pmod(F.xxhash64("row"), F.lit(HOLD)) == 0
-    counts = stored(word_forms(rows.withColumn("counted", F.col("trusted") & ~hold)), "forms")
-    scored = stored(perplexities(rows, form_scores(counts, *train(counts)), hot), "perplexities")
+    counts = stored(corpus_grams(rows.withColumn("counted", F.col("trusted") & ~hold)), "grams")
+    scored = stored(perplexities(rows, gram_scores(counts, *train(counts)), hot), "perplexities")
     own = scored.filter(F.col("trusted") & hold & (F.col("symbols") > 0))
 
     def by_language(x: Column, at: float, name: str, rows: DataFrame) -> tuple[DataFrame, DataFrame]:

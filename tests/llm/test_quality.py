@@ -51,14 +51,14 @@ def plain_nll(prob, text):
     return -sum(math.log(prob(g)) for g in gs), len(gs)
 
 
-@pytest.mark.parametrize("hot", [100_000, 60, 0])
+@pytest.mark.parametrize("hot", [100_000, 900, 0])
 def test_against_plain_model(spark, hot):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").limit(40).collect()]
     odd = [(900, None), (901, ""), (902, " \n "), (903, "x x x x 12 345 Ünknown ☃ ☃"), (904, "the the"), (905, "漢字かな交じり文 漢字 नमस्ते"), (906, "long" * 40 + " " + "z" * 31 + " " + "z" * 32 + " " + "z" * 33 + " " + "z" * 33)]
     docs += [(700, "漢字かな漢字 漢文 漢文"), (701, "longlong " + "the" * 30)]
     rows = [(i, t, True) for i, t in docs] + [(i, t, False) for i, t in odd]
-    counts = stored(quality.word_forms(spark.createDataFrame(rows, "row long, text string, counted boolean").withColumn("text", F.coalesce("text", F.lit(""))).repartition(3)), "forms")
-    scores = quality.form_scores(counts, *quality.train(counts))
+    counts = stored(quality.corpus_grams(spark.createDataFrame(rows, "row long, text string, counted boolean").withColumn("text", F.coalesce("text", F.lit(""))).repartition(3)), "forms")
+    scores = quality.gram_scores(counts, *quality.train(counts))
     rows = spark.createDataFrame(docs[:5] + odd, "row long, text string").withColumn("lang", F.lit("en")).withColumn("trusted", F.lit(False)).withColumn("text", F.coalesce("text", F.lit("")))
     got = {r["row"]: (r["nll"], r["symbols"]) for r in quality.perplexities(rows, scores, hot).collect()}
     prob = plain_model([t for _, t in docs])
@@ -67,6 +67,20 @@ def test_against_plain_model(spark, hot):
         assert got[i][1] == want[1] and abs(got[i][0] - want[0]) < 1e-4 * max(1, want[0]), (i, got[i], want)
 
 
+@pytest.mark.parametrize("width", [12, 3])
+def test_grams_of_forms(monkeypatch, width):
+    """As the plain definition, whether or not a slice's symbols fit the numbers."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(quality, "WIDTH", width)
+    listed = quality.pieces(pa.array(["the the cat 12", None, "", "漢字かな " + "é😀z" * 40, "a"]))[2]
+    found, which, at = quality.grams(listed)
+    names = found.to_pylist()
+    for i, form in enumerate(listed):
+        first = 1 if form[0] == " " else quality.ORDER - 1
+        assert [names[k] for k in which[at[i] : at[i + 1]]] == [form[max(0, p + 1 - N) : p + 1] for p in range(first, len(form))]
+
+
 def test_probabilities_sum_to_one():
     texts = ["abc abd ab ab", "bcd a", "dcb abc abc"]
     prob = plain_model(texts)
