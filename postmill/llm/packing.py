@@ -71,17 +71,21 @@ def pack(items: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_P
     """PACKED for (doc_id, length, source, cluster): each document in pieces of at most `capacity`, each in a bin.
 
     No bin has two pieces of one source or of one cluster; a null source or cluster conflicts with nothing. Pieces are
-    dealt evenly over shards, whatever their ids, sources and clusters, and each shard is packed for itself. A length of
-    0 or null gives no piece; rows of one id are packed one by one; an empty table gives no rows.
+    dealt over shards by a hash of their row and place, and each shard is packed for itself: the same rows give the same
+    bins, however they are stored. A length of 0 or null gives no piece; equal rows are counted, then packed one by one;
+    an empty table gives no rows; other columns are not read.
     """
-    kept = stored(items.select("doc_id", F.col("length").cast("long").alias("total"), "source", F.col("cluster").cast("long").alias("cluster")).filter("length > 0"), "items")
-    pieces = int(kept.agg(F.sum(F.ceil(F.col("total") / capacity))).first()[0] or 0)
+    named = items.select("doc_id", F.col("length").cast("long").alias("total"), "source", F.col("cluster").cast("long").alias("cluster")).filter("total > 0")
+    kept = stored(named.groupBy("doc_id", "total", "source", "cluster").agg(F.count("*").alias("times")), "items")
+    pieces = int(kept.agg(F.sum(F.ceil(F.col("total") / capacity) * F.col("times"))).first()[0] or 0)
     shards = max(1, -(-pieces // shard_pieces))
-    cut = kept.withColumn("row", F.monotonically_increasing_id()).select("doc_id", "source", "cluster", "total", "row", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("total") - 1) / capacity))).alias("piece"))
-    cut = cut.select("doc_id", F.col("piece").cast("int").alias("piece"), (F.col("piece") * capacity).alias("start"), F.least(F.lit(capacity).cast("long"), F.col("total") - F.col("piece") * capacity).alias("length"), "source", "cluster", F.pmod(F.xxhash64("row", "piece"), F.lit(shards)).alias("shard"))
+    each = kept.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
+    cut = each.select("doc_id", "source", "cluster", "total", "copy", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("total") - 1) / capacity))).alias("piece"))
+    shard = F.pmod(F.xxhash64("doc_id", "total", "source", "cluster", "copy", "piece"), F.lit(shards))
+    cut = cut.select("doc_id", F.col("piece").cast("int").alias("piece"), (F.col("piece") * capacity).alias("start"), F.least(F.lit(capacity).cast("long"), F.col("total") - F.col("piece") * capacity).alias("length"), "source", "cluster", "copy", shard.alias("shard"))
 
     def run(key, t):
-        t = t.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
+        t = t.sort_by([("length", "descending"), *[(c, "ascending") for c in ("doc_id", "piece", "cluster", "source", "copy")]])
         code = lambda c: np.asarray(t.column(c).combine_chunks().dictionary_encode().indices.fill_null(-1)).astype(np.int64)
         bins, offsets, _ = best_fit(t.column("length").to_numpy(), code("source"), code("cluster"), capacity)
         t = t.append_column("bin", pa.array((key[0].as_py() << 32) + bins)).append_column("offset", pa.array(offsets))
@@ -91,7 +95,11 @@ def pack(items: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_P
 
 
 def sized(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, length, source, cluster) of documents: tokens and an end token, and a cluster for each different text."""
+    """(doc_id, length, source, cluster) of documents: tokens and an end token, and a cluster for each different text.
+
+    A null text is empty; a table without a column source has null sources; other columns are not read.
+    """
+    docs = docs if "source" in docs.columns else docs.withColumn("source", F.lit(None).cast("string"))
     named = docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("cluster")).alias("who"), "text")
 
     def run(batches):

@@ -11,32 +11,29 @@ from postmill.llm import packing
 
 
 def plain(lengths, sources, clusters, capacity):
-    bins, where = [], [0] * len(lengths)
+    bins, where, offsets, clock = [], [0] * len(lengths), [0] * len(lengths), 0
     for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
         fits = [b for b in bins if b[0] >= lengths[i] and (sources[i] < 0 or sources[i] not in b[1]) and (clusters[i] < 0 or clusters[i] not in b[2])]
-        best = min((b[0] for b in fits), default=None)
-        room = [b for b in fits if b[0] == best]
-        b = min(room, key=lambda b: b[4]) if room else [capacity, set(), set(), len(bins), 0]
-        if not room:
+        b = min(fits, key=lambda b: (b[0], b[4]), default=None)  # the tightest; of equal rooms the one that has it longest
+        if b is None:
+            b = [capacity, set(), set(), len(bins), 0]
             bins.append(b)
-        where[i] = b[3]
+        where[i], offsets[i] = b[3], capacity - b[0]
         b[0] -= lengths[i]
         b[1].add(sources[i])
         b[2].add(clusters[i])
-        b[4] = i  # bins of equal room: the one that got it first
-    return where, [b[0] for b in bins]
+        clock += 1
+        b[4] = clock
+    return where, offsets, len(bins)
 
 
-@settings(max_examples=80, deadline=None)
-@given(st.lists(st.tuples(st.integers(1, 50), st.integers(-1, 4), st.integers(-1, 9)), max_size=60))
-def test_rooms_are_the_plain_ones(items):
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 50), st.integers(-1, 4), st.integers(-1, 9)), max_size=60), st.integers(50, 90))
+def test_against_plain_best_fit(items, capacity):
     lengths, sources, clusters = (np.array([x[k] for x in items], np.int64) for k in range(3))
-    bins, offsets, n = packing.best_fit(lengths, sources, clusters, 50)
-    check(bins, offsets, lengths, sources, clusters, 50)
-    _, rooms = plain(lengths.tolist(), sources.tolist(), clusters.tolist(), 50)
-    if (sources < 0).all() and (clusters < 0).all():
-        used = np.bincount(bins, lengths, n) if n else np.zeros(0)
-        assert sorted(50 - used) == sorted(rooms)
+    bins, offsets, n = packing.best_fit(lengths, sources, clusters, capacity)
+    check(bins, offsets, lengths, sources, clusters, capacity)
+    assert (bins.tolist(), offsets.tolist(), n) == plain(lengths.tolist(), sources.tolist(), clusters.tolist(), capacity)
 
 
 def check(bins, offsets, lengths, sources, clusters, capacity):
@@ -79,6 +76,14 @@ def test_tables(spark):
             x = [getattr(r, key) for r in own if getattr(r, key) is not None and getattr(r, key) == getattr(r, key)]
             assert len(set(x)) == len(x)
     assert packing.pack(df.limit(0)).count() == 0
+    again = packing.pack(df.repartition(7, "length"), shard_pieces=300).collect()
+    assert sorted(map(str, again)) == sorted(str(r) for r in packing.pack(df.coalesce(1), shard_pieces=300).collect())
+
+
+def test_long_texts_and_missing_columns(spark):
+    docs = spark.createDataFrame([(1, "word " * 200_000, 7), (2, None, 8), (None, "", 9), (3, "a", 1)], "doc_id long, text string, bin int")
+    got = packing.pack_documents(docs).toPandas()
+    assert got.groupby("doc_id", dropna=False)["length"].sum().fillna(0).tolist() == [200_001, 1, 2, 1] and got["source"].isna().all() and got["length"].max() == 4096
 
 
 def test_documents(spark):
