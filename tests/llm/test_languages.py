@@ -1,8 +1,10 @@
 """Operator 2: accuracy on documents that training didn't see."""
 
+import math
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
 from postmill.llm import languages
 
@@ -17,6 +19,42 @@ def test_held_out_accuracy(spark):
     assert (held[held["accepted"]]["lang_pred"] == held[held["accepted"]]["lang"]).mean() > 0.985 and held["accepted"].mean() > 0.8
 
 
+def plain_features(text):
+    """Bucket numbers of a text's subwords, one byte after the other."""
+    x, last = [], None
+    for b in text.lower().encode():
+        letter = b >= 128 or 97 <= b <= 122
+        if letter or last:
+            x.append(b if letter else 32)
+        last = letter
+    pad, out = x + [32] * (max(languages.GRAMS) - 1), []
+    for i in range(len(x)):
+        for g in languages.GRAMS:
+            code = g * 0x1F123BB5 & 0xFFFFFFFF
+            for k in range(g):
+                code = (code ^ pad[i + k]) * 0x01000193 & 0xFFFFFFFF
+            out.append(((code ^ code >> 15) * 0x2C1B3C6D & 0xFFFFFFFF) >> 19)
+    return out
+
+
+def test_features_and_probabilities_against_plain_ones():
+    texts = ["The cat, the CAT.", "", None, " 12 é😀 ", "straße", "x", "a b", "ß" * 50]
+    codes, at = languages.features(pa.array(texts, pa.string()))
+    assert [codes[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [plain_features(t or "") for t in texts]
+    rng = np.random.default_rng(2)
+    model = languages.Model(["a", "b", "c"], rng.normal(size=(languages.BUCKETS, 3)).astype(np.float32), rng.normal(size=3), 0.7, 0.5)
+    for t, got in zip(texts, model.probabilities(pa.array(texts, pa.string())), strict=True):
+        own = plain_features(t or "")
+        z = [(sum(float(model.scores[c, k]) for c in own) / max(1, len(own)) + model.bias[k]) / 0.7 for k in range(3)]
+        e = [math.exp(v - max(z)) for v in z]
+        assert np.allclose(got, [v / sum(e) for v in e], atol=1e-5)
+
+
+def test_very_long_text(spark):
+    docs = spark.createDataFrame([(1, "this is a long english text " * 60_000, "en", 1.0), (2, "kurz", "de", 2.0), (3, None, None, 3.0)], "doc_id long, text string, lang string, score double")
+    assert languages.identify(docs).count() == 3
+
+
 def test_only_training_folds_and_text_count(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     a = {r["doc_id"]: r for r in languages.identify(docs).collect()}
