@@ -11,8 +11,8 @@ from postmill.llm.media import media_features
 from postmill.llm.near_duplicates import near_duplicates
 from postmill.llm.packing import pack_documents
 from postmill.llm.quality import judge
-from postmill.llm.secrets import scan_secrets
-from postmill.llm.sharding import shard_rows
+from postmill.llm.secrets import ASSIGN, ASSIGN_LEAST, scan_secrets
+from postmill.llm.sharding import PRIME, round_keys, shard_rows
 from postmill.llm.token_counts import count_tokens
 from postmill.llm.token_files import digests, write_tokens
 
@@ -91,6 +91,43 @@ def op9_superminhash(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def secret_base_spans(spark, sf_dir):
+    """op6's rows without what its structural confirmation adds."""
+    return scan_secrets(table(spark, sf_dir, "documents")).drop("spans")
+
+
+def _spans_sql(kind: str, place: int, pattern: str, least: int, group: int) -> str:
+    """(doc_id, kind, place, a, b): matches of a pattern whose group is long enough, by what stands before and between them."""
+    return f"""SELECT doc_id, '{kind}' AS kind, {place} AS place, unnest(list_transform(m, lambda x, i: list_sum(list_transform(s[1:i], lambda y: len(y))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda y: len(y))), 0))) AS a, unnest(list_transform(m, lambda x: len(x))) AS n, unnest(list_transform(g, lambda x: len(x) >= {least})) AS long_enough
+    FROM (SELECT doc_id, regexp_extract_all(t, $p${pattern}$p$) AS m, regexp_extract_all(t, $p${pattern}$p$, {group}) AS g, regexp_split_to_array(t, $p${pattern}$p$) AS s FROM d WHERE regexp_matches(t, $p${pattern}$p$)) x"""
+
+
+BASE_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t FROM documents),
+spans AS (SELECT doc_id, kind, place, a, a + n AS b FROM (
+  {_spans_sql("assign", 0, ASSIGN.pattern, ASSIGN_LEAST, 2)}
+  UNION ALL {_spans_sql("access", 1, "AKIA[A-Z0-9]{16,}", 0, 0)}
+  UNION ALL {_spans_sql("hex", 2, "[0-9a-f]{24,}", 0, 0)}) y WHERE long_enough),
+told AS (SELECT doc_id, count(*) FILTER (place = 0) AS n_assign, count(*) FILTER (place = 1) AS n_access, count(*) FILTER (place = 2) AS n_hex, string_agg(kind || ':' || CAST(a AS BIGINT) || ':' || CAST(b AS BIGINT), ',' ORDER BY a, place) AS base FROM spans GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256 FROM d LEFT JOIN told USING (doc_id)"""
+
+
+def _feistel_sql(x: str) -> str:
+    """A select of (row, n, m, x) with the network applied once to the column x of `x`."""
+    out = f"SELECT row, n, m, x // m AS l, x % m AS r FROM ({x}) f"
+    for a, b, c in round_keys(20):
+        out = f"SELECT row, n, m, r AS l, (l + ((r * r % {PRIME}) * {a} % {PRIME} + r * {b} % {PRIME} + {c}) % {PRIME} % m) % m AS r FROM ({out}) f"
+    return f"SELECT row, n, m, l * m + r AS x FROM ({out}) f"
+
+
+OP7_SQL = f"""
+WITH RECURSIVE crcs AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY i) AS t FROM range(256) r(i)),
+d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 8 AS size, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: CAST('0x' || h AS BIGINT))), lambda c, b: xor(c // 256, t[xor(c, b) % 256 + 1])), 4294967295) AS text_crc32 FROM documents, crcs),
+numbered AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS row, count(*) OVER () AS n FROM d),
+walk AS ({_feistel_sql("SELECT row, n, CAST(ceil(sqrt(n)) AS BIGINT) AS m, row AS x FROM numbered")} UNION ALL {_feistel_sql("SELECT row, n, m, x FROM walk WHERE x >= n")})
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(x % 24 AS INTEGER) AS shard, x // 24 AS slot, CAST(NULL AS INTEGER) AS grown_shard, numbered.row FROM numbered JOIN walk ON walk.row = numbered.row AND walk.x < walk.n"""
+
+
 def op10_token_counts(spark, sf_dir):
     return count_tokens(table(spark, sf_dir, "documents"))
 
@@ -107,8 +144,8 @@ SELECT doc_id, len(s) AS n_shingles, component_id, doc_id = component_id AS kept
 
 
 def queries():
-    return {f.__name__: f for f in (op1_flac_media, op2_language_id, op3_quality, op4_token_files, op5_best_fit, op6_secret_scan, op7_feistel_shards, op8_positional_index, op9_superminhash, op10_token_counts, near_passages)}
+    return {f.__name__: f for f in (op1_flac_media, op2_language_id, op3_quality, op4_token_files, op5_best_fit, op6_secret_scan, op7_feistel_shards, op8_positional_index, op9_superminhash, op10_token_counts, near_passages, secret_base_spans)}
 
 
 def oracle_sql():
-    return {"op8_positional_index": OP8_SQL, "op9_superminhash": OP9_SQL, "near_passages": NEAR_SQL}
+    return {"op8_positional_index": OP8_SQL, "op9_superminhash": OP9_SQL, "near_passages": NEAR_SQL, "secret_base_spans": BASE_SQL, "op7_feistel_shards": OP7_SQL}

@@ -25,10 +25,14 @@ BASE_KINDS = ("assign", "access", "hex")
 MORE_KINDS = ("jwt", "pem", "key64", "keyhex")
 ORDER = {k: i for i, k in enumerate(BASE_KINDS + MORE_KINDS)}
 
-JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*)PRIVATE KEY-----([^-]*)-----END \1PRIVATE KEY-----")
-#: A run may be broken over lines, as wrapped base64 is.
-RUN64 = re.compile(r"[A-Za-z0-9+/_-]{40,}(?:\r?\n[A-Za-z0-9+/_-]+)*={0,2}")
+#: Header and payload are JSON objects, perhaps behind white space: so their base64 begins with one of four letters.
+JWT = re.compile(r"(?<![A-Za-z0-9_-])([eICD][A-Za-z0-9_-]{7,})\.([eICD][A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*)PRIVATE KEY-----(.{1,30000}?)-----END \1PRIVATE KEY-----", re.DOTALL)
+#: A run may be broken over lines, as wrapped base64 is, the ends of which may be escaped.
+RUN64 = re.compile(r"[A-Za-z0-9+/_-]{40,}(?:(?:\r?\n|(?:\\r)?\\n)[A-Za-z0-9+/_-]+)*={0,2}")
+ESCAPED = re.compile(r"\\[rn]")
+#: How a key may begin in base64: a DER sequence, or OpenSSH's name.
+KEY_START = re.compile(r"M[A-Z]|b3BlbnNzaC1rZXktdjEA")
 RUNHEX = re.compile(r"[0-9A-Fa-f]{64,}")
 
 _LOW = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -38,8 +42,8 @@ _WORDS = (b"passw", b"secret", b"token", b"api")
 
 
 def unbase64(text: str) -> bytes | None:
-    """The bytes of standard or URL-safe base64, padded or not; None if it isn't base64."""
-    text = re.sub(r"\s", "", text).rstrip("=").replace("-", "+").replace("_", "/")
+    """The bytes of standard or URL-safe base64, padded or not, line ends escaped or not; None if it isn't base64."""
+    text = re.sub(r"\s", "", ESCAPED.sub("", text)).rstrip("=").replace("-", "+").replace("_", "/")
     if len(text) % 4 == 1:
         return None
     try:
@@ -73,8 +77,12 @@ def children(data: bytes, at: int, end: int) -> list[tuple[int, int, int]] | Non
     return out
 
 
+# How the object identifiers of PKCS#5 and PKCS#12 schemes begin.
+SCHEMES = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c"))
+
+
 def is_private_key(data: bytes) -> bool:
-    """Whether data is, to the last byte, an OpenSSH, PKCS#1, PKCS#8 or SEC1 private key."""
+    """Whether data is, to the last byte, an OpenSSH, PKCS#1, DSA, SEC1 or PKCS#8 private key, the latter encrypted or not."""
     magic = b"openssh-key-v1\0"
     if data.startswith(magic):
         at, fields = len(magic), 0
@@ -93,11 +101,16 @@ def is_private_key(data: bytes) -> bool:
     if top is None or top[0] != 0x30 or top[2] != len(data):
         return False
     parts = children(data, top[1], top[2])
+    if parts and [p[0] for p in parts] == [0x30, 0x04]:  # encrypted PKCS#8: a scheme of PKCS#5 or PKCS#12, key octets
+        inner = children(data, parts[0][1], parts[0][2])
+        return bool(inner) and inner[0][0] == 0x06 and data[inner[0][1] : inner[0][2]].startswith(SCHEMES)
     if not parts or parts[0][0] != 0x02 or parts[0][2] - parts[0][1] != 1:
         return False
     version, tags = data[parts[0][1]], [p[0] for p in parts]
     if version in (0, 1) and len(tags) >= 9 and set(tags[:9]) == {0x02}:
         return True  # PKCS#1: version and eight integers
+    if version == 0 and tags == [0x02] * 6:
+        return True  # DSA: version, p, q, g, y, x
     if version in (0, 1) and tags[1:3] == [0x30, 0x04]:
         inner = children(data, parts[1][1], parts[1][2])
         return bool(inner) and inner[0][0] == 0x06  # PKCS#8: algorithm's object identifier, key octets
@@ -115,24 +128,46 @@ def own_length(data: bytes) -> int:
         for _ in range(keys + 1 if keys < 16 else 0):
             at += 4 + int.from_bytes(data[at : at + 4])
         return at
-    top = der(data, 0, 1 << 40)
+    top = der(data, 0, 1 << 40) if len(data) > 8 else None
     return top[2] if top and top[0] == 0x30 else 0
 
 
-def key_letters(run: str) -> int:
-    """Letters of a base64 run, line ends and padding among them, that are a private key up to a line's end; else 0."""
-    letters = re.sub(r"[\r\n=]", "", run)
-    data = unbase64(letters[: len(letters) - (len(letters) % 4 == 1)])
-    size = own_length(data) if data else 0
-    if not 0 < size <= len(data) or not is_private_key(data[:size]):
-        return 0
-    left = (size * 4 + 2) // 3
-    for i, c in enumerate(run):
-        left -= c not in "\r\n="
-        if left == 0:
-            tail = re.match(r"={0,2}", run[i + 1 :]).end()
-            return i + 1 + tail if run[i + 1 + tail :][:1] in ("", "\r", "\n") else 0
-    return 0
+def key_spans(run: str) -> list[tuple[int, int]]:
+    """Where private keys stand in a base64 run with line ends and padding: each from its first letter to a line's end."""
+    plain = ESCAPED.sub("\n\n", run)  # places stay
+    place = [i for i, c in enumerate(plain) if c not in "\r\n="]
+    letters, out, after = re.sub(r"[\r\n=]", "", plain), [], 0
+    for m in KEY_START.finditer(letters):
+        a = m.start()
+        if a < after:
+            continue
+        head = letters[a : a + (400 if letters[a] == "M" else 60_000)]  # enough to tell the key's length
+        head = unbase64(head[: len(head) - (len(head) % 4 == 1)])
+        size = own_length(head) if head else 0
+        n = (size * 4 + 2) // 3
+        if not 0 < n <= len(letters) - a:
+            continue
+        data = unbase64(letters[a : a + n])
+        if data is None or len(data) < size or not is_private_key(data[:size]):
+            continue
+        last = place[a + n - 1] + 1
+        last += re.match(r"={0,2}", plain[last:]).end()
+        if plain[last : last + 1] in ("", "\r", "\n"):
+            out.append((place[a], last))
+            after = a + n
+    return out
+
+
+def is_armoured(body: str) -> bool:
+    """Whether what stands between armour lines is a private key, or says by its headers that it is encrypted."""
+    lines = [x for x in re.split(r"\s*(?:\n|\\n)\s*", ESCAPED.sub("\n", body)) if x]
+    headers = [x for x in lines if ":" in x]
+    data = unbase64("".join(x for x in lines if ":" not in x))
+    if not data:
+        return False
+    if any("ENCRYPTED" in x for x in headers) and any(x.startswith("DEK-Info") for x in headers):
+        return len(data) % 8 == 0
+    return is_private_key(data)
 
 
 def is_signed_token(header: str, payload: str) -> bool:
@@ -154,17 +189,16 @@ def spans(text: str) -> list[tuple[str, int, int]]:
         found += [("access", *m.span()) for m in ACCESS.finditer(text) if len(m[0]) >= ACCESS_LEAST]
     if b"h" * HEX_LEAST in raw.translate(_HEX):
         found += [("hex", *m.span()) for m in HEX.finditer(text) if len(m[0]) >= HEX_LEAST]
+    armour = [m.span() for m in PEM.finditer(text) if is_armoured(m[2])] if b"PRIVATE KEY-----" in raw else []
+    found += [("pem", *x) for x in armour]
     if b"h" * 40 in raw.translate(_RUN):
-        armour = [m for m in PEM.finditer(text) if (x := unbase64(m[2])) and is_private_key(x)]
-        found += [("pem", *m.span()) for m in armour]
-        inside = lambda m: any(a.start() <= m.start() < a.end() for a in armour)
         for m in RUN64.finditer(text):
-            if not inside(m) and (n := key_letters(m[0])):
-                found.append(("key64", m.start(), m.start() + n))
+            if not any(a <= m.start() < b for a, b in armour):
+                found += [("key64", m.start() + a, m.start() + b) for a, b in key_spans(m[0])]
         for m in RUNHEX.finditer(text):
             if len(m[0]) % 2 == 0 and is_private_key(bytes.fromhex(m[0])):
                 found.append(("keyhex", *m.span()))
-    if b"eyJ" in raw:
+    if raw.count(b".") > 1:
         found += [("jwt", *m.span()) for m in JWT.finditer(text) if is_signed_token(m[1], m[2])]
     return sorted(found, key=lambda s: (s[1], ORDER[s[0]], s[2]))
 

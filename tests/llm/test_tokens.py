@@ -19,6 +19,7 @@ from postmill.llm.token_counts import count_tokens
 from postmill.llm.token_files import digests, read_tokens, write_tokens
 
 SF = "/root/testdata/sf0.001"
+LONG = "token = abcdefgh1 and " * 90_000
 ODD = ["", None, " ", "\n\n", "aaaa aaaaaaa AAAA", "the the", "it's we've I'll", "x\x1cy\x1dz", "naïve Éàü ÀB", "ÆØÅ ÿß", "ΑΣ ΟΔΟΣ", "漢字かな交じり文", "áë ́", "İstanbul ı", "😀👍🏽 ok", "<|endoftext|> x<|startoftext|>y <|ENDOFTEXT|>", "²³½ ٣٤ 12345", "  a　b\x85c", "tab\tnew\r\nline\x0b\x0c", "​᠎ z", "q" * 5000, "ſK", "0x1F__foo--bar!!??", "hahahahaha bananananana mississippi"]
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -155,6 +156,31 @@ def test_feistel_is_a_permutation(n):
         assert abs(np.corrcoef(np.arange(n), place)[0, 1]) < 0.1
 
 
+def scalar_place(x, n, seed):
+    """The Feistel network with cycle walking on one number, in plain integers."""
+    m = 1
+    while m * m < n:
+        m += 1
+    state, keys = (seed * 48_271 + 11) % 2_147_483_647, []
+    for _ in range(18):
+        state = (state * 48_271 + 12_345) % 2_147_483_647
+        keys.append(state)
+    while True:
+        left, right = divmod(x, m)
+        for a, b, c in zip(keys[::3], keys[1::3], keys[2::3], strict=True):
+            left, right = right, (left + (right * right * a + right * b + c) % 2_147_483_647 % m) % m
+        x = left * m + right
+        if x < n:
+            return x
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 500, 2_000_003, 10**12 + 7])
+def test_against_scalar_feistel(n):
+    rows = np.unique(np.random.default_rng(1).integers(0, n, 200))
+    assert permute(rows, n, 20).tolist() == [scalar_place(int(x), n, 20) for x in rows]
+    assert inverse(permute(rows, n, 20), n, 20).tolist() == rows.tolist()
+
+
 def test_shards(spark):
     docs = real(spark)
     got = shard_rows(docs.repartition(7)).toPandas()
@@ -188,7 +214,10 @@ def keys():
     sec1 = der(0x30, der(2, b"\1") + der(4, b"\x22" * 32))
     s = lambda b: len(b).to_bytes(4) + b
     ssh = b"openssh-key-v1\0" + s(b"none") + s(b"none") + s(b"") + (1).to_bytes(4) + s(b"pub" * 9) + s(b"priv" * 20)
-    return [pkcs1, pkcs8, sec1, ssh]
+    pbes2 = der(0x30, der(6, bytes.fromhex("2a864886f70d01050d")) + der(0x30, der(4, b"salt" * 4)))
+    encrypted = der(0x30, pbes2 + der(4, b"\xa9" * 320))
+    dsa = der(0x30, der(2, b"\0") + b"".join(integer(40) for _ in range(5)))
+    return [pkcs1, pkcs8, sec1, ssh, encrypted, dsa]
 
 
 def test_structures():
@@ -199,10 +228,22 @@ def test_structures():
         for body in (b64, wrapped, b64.replace("+", "-").replace("/", "_")):
             text = f"see {body}\nof the rest"
             assert secrets.spans(text)[0] == ("key64", 4, 4 + len(body)), text
+        escaped = wrapped.replace("\n", "\\n")
+        assert secrets.spans(f'k "{escaped}"') [0] == ("key64", 3, 3 + len(escaped)) or "=" in escaped
+        assert ("key64", 5, 5 + len(b64)) in secrets.spans(f"is x_{b64}\n"), b64
         text = f"é-----BEGIN RSA PRIVATE KEY-----\n{wrapped}\n-----END RSA PRIVATE KEY----- z"
         assert [k for k, *_ in secrets.spans(text)] == ["pem"] and secrets.redacted(text, secrets.spans(text)) == "é[secret] z"
         assert {k for k, *_ in secrets.spans(key.hex())} >= {"keyhex", "hex"}
         assert not [k for k, *_ in secrets.spans(base64.b64encode(b"\x31" + key[1:]).decode()) if k == "key64"] or key.startswith(b"openssh")
+    body = base64.b64encode(b"\x99" * 96).decode()
+    armour = f"-----BEGIN DSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0011\n\n{body}\n-----END DSA PRIVATE KEY-----"
+    assert [x for x in secrets.spans(armour) if x[0] == "pem"] == [("pem", 0, len(armour))] and not [x for x in secrets.spans(armour.replace("ENCRYPTED", "PLAIN")) if x[0] == "pem"]
+    short = "-----BEGIN PRIVATE KEY-----\\n" + "\\n".join(re.findall(".{1,30}", base64.b64encode(keys()[1]).decode())) + "\\n-----END PRIVATE KEY-----"
+    assert ("pem", 2, 2 + len(short)) in secrets.spans("x " + short)
+    digest = der(0x30, der(0x30, der(6, bytes.fromhex("608648016503040201")) + der(5, b"")) + der(4, b"\1" * 32))
+    assert not secrets.is_private_key(digest)
+    spaced = base64.urlsafe_b64encode(b' {"alg": "none"}').decode().rstrip("=")
+    assert secrets.spans(f"t {spaced}.e30.") == [("jwt", 2, 2 + len(spaced) + 5)]
     part = lambda x: base64.urlsafe_b64encode(json.dumps(x).encode()).decode().rstrip("=")
     jwt = f"{part({'alg': 'HS256'})}.{part({'sub': 1})}.c2ln"
     assert secrets.spans(f"({jwt})") == [("jwt", 1, 1 + len(jwt))]
@@ -219,6 +260,12 @@ def test_scan_matches_plain_patterns(spark):
         assert not plain(got[i]["redacted"]) or t is None
 
 
+def test_very_long_texts(spark):
+    out = redact_secrets(frame(spark, [LONG, "A" * 300_000, "M" * 100_000 + ".." + "e" * 100_000])).collect()
+    long_ = {r["doc_id"]: r for r in out}
+    assert long_[0]["text"] == "[secret] and " * 90_000 and long_[1]["n_chars"] == 300_000 and long_[2]["text"].startswith("MMM")
+
+
 def test_redaction_keeps_rows_and_columns(spark):
     df = frame(spark, [None, "", "fine", "token = abcdefgh ok"])
     out = {r["doc_id"]: r for r in redact_secrets(df).collect()}
