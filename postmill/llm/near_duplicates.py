@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from postmill.llm.common import BROADCAST_IDS, LOWER, arrow_rows, id_and_text, mix64, ragged, slices, split_words, stored, without, word_hashes
+from postmill.llm.common import BROADCAST_IDS, LOWER, arrow_rows, forget, id_and_text, mix64, ragged, slices, split_words, stored, without, word_hashes
 from postmill.llm.components import components
 
 #: Slots of a signature: a prime, so that a * rank + b runs over all slots.
@@ -282,6 +282,7 @@ def near_duplicates(docs: DataFrame, width: int = 2, similar: tuple[int, int] =
     with arrow_rows(docs.sparkSession, PART_ROWS):
         rest = stored(unresolved_pairs(members, roots, sets, similar), "pairs")
     roots = united(roots, verified(rest, sets, similar))
+    forget(members, sets, rest)
 
     least = reps.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = least.join(least.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")

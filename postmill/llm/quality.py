@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postmill.llm.common import BROADCAST_IDS, id_and_text, ragged, slices, split_words, stored, sums_by_row, without
+from postmill.llm.common import BROADCAST_IDS, forget, id_and_text, ragged, slices, split_words, stored, sums_by_row, without
 
 ORDER = 5
 #: Stands before and after each word, and begins one that repeats the one before it; neither is in a word.
@@ -258,7 +258,9 @@ def judge(docs: DataFrame, labels: DataFrame, upper: float = UPPER, slack: float
     rows = rows.join(F.broadcast(trusted) if few else trusted, "row", "left").withColumn("trusted", F.coalesce("good", F.lit(False)))
     hold = F.pmod(F.xxhash64("row"), F.lit(HOLD)) == 0
     counts = stored(corpus_grams(rows.withColumn("counted", F.col("trusted") & ~hold)), "grams")
-    scored = stored(perplexities(rows, gram_scores(counts, *train(counts)), hot), "perplexities")
+    scores = gram_scores(counts, *train(counts))
+    scored = stored(perplexities(rows, scores, hot), "perplexities")
+    forget(counts, scores)
     own = scored.filter(F.col("trusted") & hold & (F.col("symbols") > 0))
 
     def by_language(x: Column, at: float, name: str, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
