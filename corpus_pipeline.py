@@ -1,10 +1,15 @@
-"""documents to packed training sequences, in five stages; each works on all that the one before it kept."""
+"""documents to packed training sequences, in five stages; each works on all that the one before it kept.
+
+Every stage but the last returns the columns it got, whatever other columns the table has and whatever their names. Rows
+are told by doc_id; a row without an id is never dropped. A null or empty text is good, alike to nothing, not
+contaminated and without secrets, and is packed as an end token. An empty table gives an empty one.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postmill.llm.common import stored, table
+from postmill.llm.common import forget, stored, table
 from postmill.llm.decontamination import decontaminate
 from postmill.llm.near_duplicates import drop_near_duplicates
 from postmill.llm.packing import pack_documents
@@ -13,27 +18,34 @@ from postmill.llm.secrets import redact_secrets
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose perplexity under trusted text is beyond their language's threshold."""
+    """Drops documents whose perplexity under trusted text is beyond their language's threshold.
+
+    A null language goes by all languages; without trusted documents all stay; of rows of one id, all go if one does.
+    """
     return keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of similar ones: five-word shingles, similarity of 0.8 or more."""
+    """Keeps one document of each group of similar ones: five-word shingles, similarity of 0.8 or more.
+
+    It is the one of the smallest id; of repeated rows one stays.
+    """
     return drop_near_duplicates(docs, width=5)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents a twentieth of whose words or more stand in windows of benchmark items."""
+    """Drops documents a twentieth of whose words or more stand in windows of benchmark items; an empty benchmark, none."""
     return decontaminate(docs, table(spark, sf_dir, "benchmark"), near=None)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Marks secrets out of the texts; every document stays."""
+    """Marks secrets out of the texts; every document stays, with n_chars of the text it has then."""
     return redact_secrets(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document stands in the training sequences."""
+    """Where each piece of each document stands in the training sequences. Equal texts would be kept apart; the stages
+    before leave none, so here bins differ in their sources."""
     return pack_documents(docs)
 
 
@@ -44,9 +56,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each one's table is stored, and goes once the next one's is."""
     docs = table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = stored(docs, name)
-    return docs
+    for name, stage in STAGES[:-1]:
+        before, docs = docs, stored(stage(spark, docs, sf_dir), name)
+        forget(before)
+    return STAGES[-1][1](spark, docs, sf_dir)
