@@ -285,7 +285,9 @@ def near_duplicates(docs: DataFrame, width: int = 2, similar: tuple[int, int] =
     forget(members, sets, rest)
 
     least = reps.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = least.join(least.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
+    minima = stored(least.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")).filter("n > 1").drop("n"), "minima")
+    few = minima.count() <= BROADCAST_IDS  # then the nodes of one large component needn't meet
+    named = least.join(F.broadcast(minima) if few else minima, "root", "left").select("node", F.coalesce("component_id", "least").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "node").join(named, "node", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
