@@ -20,6 +20,9 @@ BANDS, BAND_ROWS = 72, 8
 #: Slots in the order in which bands take them. An element visits slots in even steps, so that one with a small step
 #: would meet every band of consecutive slots.
 DEALT = np.argsort(mix64(np.arange(1, SLOTS + 1)))
+#: Sets of so many shingles at most also have buckets for themselves and for what is left without each one shingle: in
+#: sets so small a band's slots aren't independent, and similar ones differ by one shingle.
+SHORT = 9
 #: A pair is linked if SIMILAR[1] * intersection >= SIMILAR[0] * union.
 SIMILAR = (80, 100)
 #: Rounds in which buckets that span components compare their members with one of them, drawn by hash.
@@ -101,22 +104,53 @@ def band_hashes(sig: np.ndarray, bands: int = BANDS, rows: int = BAND_ROWS) -> n
     return h.view(np.int64)
 
 
+def short_hashes(sets: np.ndarray, at: np.ndarray, similar: tuple[int, int] = SIMILAR, short: int = SHORT) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of small sets, and their offsets by set: of a set without each one of its shingles, if it and the rest are
+    similar enough, and of a whole set, if a set of one shingle more may be similar enough.
+
+    Similar sets of at most `short` shingles share one if they differ by one shingle, more or another.
+    """
+    need, of = similar
+    n = np.diff(at)
+    cut = (n <= short) & (of * (n - 1) >= need * n)
+    full = (n > 0) & (n < short) & (of * n >= need * (n + 1))
+    own = np.repeat(np.arange(len(n)), n)
+    there = cut[own]
+    with np.errstate(over="ignore"):
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix64(sets))))
+        whole = sums[at[1:]] - sums[at[:-1]]
+        less = whole[own[there]] - mix64(sets[there])
+    owner = np.concatenate((np.flatnonzero(full), own[there]))
+    order = np.argsort(owner, kind="stable")
+    hashed = mix64(np.concatenate((whole[full], less))[order] ^ np.uint64(0xC2B2AE3D27D4EB4F))
+    return hashed.view(np.int64), np.concatenate(([0], np.cumsum(np.where(cut, n, 0) + full)))
+
+
+def buckets(sets: np.ndarray, at: np.ndarray, similar: tuple[int, int] = SIMILAR) -> pa.ListArray:
+    """The buckets of each set: its bands, and its short hashes if it is small. Sets that share none aren't compared."""
+    bands, (more, where) = band_hashes(super_minhash(sets, at)), short_hashes(sets, at, similar)
+    n = np.diff(where)
+    ends = np.concatenate(([0], np.cumsum(n + BANDS)))
+    flat = np.empty(int(ends[-1]), np.int64)
+    flat[ragged(ends[:-1], np.full(len(n), BANDS))] = bands.ravel()
+    flat[ragged(ends[:-1] + BANDS, n)] = more
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
+
+
 def node_ids(sets: np.ndarray, at: np.ndarray) -> list[int | None]:
     """A 64-bit digest of each set; None for an empty one."""
     raw, cut = memoryview(sets.astype("<u8", copy=False)).cast("B"), (at * 8).tolist()
     return [int.from_bytes(hashlib.blake2b(raw[i:j], digest_size=8).digest(), signed=True) if j > i else None for i, j in zip(cut[:-1], cut[1:], strict=True)]
 
 
-def signatures(docs: DataFrame, width: int = 2) -> DataFrame:
+def signatures(docs: DataFrame, width: int = 2, similar: tuple[int, int] = SIMILAR) -> DataFrame:
     """(doc_id, n_shingles, node, bands) for each row of (doc_id, text); node is null without words."""
 
     def run(batches):
         for part in slices(batches, "text", 2 << 20, 1500):
             sets, at = shingle_sets(part.column(1), width)
             node = node_ids(sets, at)
-            hashes = band_hashes(super_minhash(sets, at))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(node) + 1, dtype=np.int32) * BANDS), pa.array(hashes.ravel()))
-            yield pa.record_batch([part.column(0), pa.array(np.diff(at)), pa.array(node, pa.int64()), lists], names=["doc_id", "n_shingles", "node", "bands"])
+            yield pa.record_batch([part.column(0), pa.array(np.diff(at)), pa.array(node, pa.int64()), buckets(sets, at, similar)], names=["doc_id", "n_shingles", "node", "bands"])
 
     return docs.mapInArrow(run, "doc_id long, n_shingles long, node long, bands array<long>")
 
@@ -263,7 +297,7 @@ def near_duplicates(docs: DataFrame, width: int = 2, similar: tuple[int, int] =
     id; an empty table gives no rows; other columns are not read.
     """
     docs = id_and_text(docs, id_col, text_col)
-    signed = stored(signatures(docs, width), "signatures")
+    signed = stored(signatures(docs, width, similar), "signatures")
     reps = stored(signed.filter("node is not null").groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.min("doc_id").alias("least"), F.first("bands").alias("bands")), "nodes")
     banded = reps.select("node", F.col("n_shingles").alias("size"), F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count("*").alias("cnt")).filter("cnt > 1")

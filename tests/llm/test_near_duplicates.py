@@ -115,6 +115,22 @@ def test_short_texts_share_a_band(common, more, pairs):
     assert missed <= 1
 
 
+def test_small_similar_sets_always_share_a_bucket():
+    """Every pair of sets of up to 9 shingles and similarity 0.8 or more; sets of one or two shingles have no short hash."""
+    rng = np.random.default_rng(2)
+    pairs = [(common, a, b) for a in range(10) for b in range(a, 10) for common in range(a + 1) if a and 100 * common >= 80 * (a + b - common)]
+    assert {(4, 4, 5), (8, 8, 9), (8, 9, 9)} <= set(pairs)
+    for common, a, b in pairs:
+        x = rng.integers(0, 1 << 63, a + b - common).astype(np.uint64)
+        sets = [np.sort(x[:a]), np.sort(np.concatenate((x[:common], x[a:])))]
+        hashed, at = nd.short_hashes(np.concatenate(sets), np.array([0, a, a + b]))
+        assert np.array_equal(*sets) or set(hashed[: at[1]]) & set(hashed[at[1] :]), (common, a, b)
+        listed = nd.buckets(np.concatenate(sets), np.array([0, a, a + b])).to_pylist()
+        assert [len(set(r)) for r in listed] == [nd.BANDS + n for n in np.diff(at)] and [r[nd.BANDS :] for r in listed] == [hashed[: at[1]].tolist(), hashed[at[1] :].tolist()]
+    none, at = nd.short_hashes(np.arange(1, 13, dtype=np.uint64), np.array([0, 1, 2, 2, 12]))
+    assert len(none) == 0 and at.tolist() == [0, 0, 0, 0, 0]
+
+
 def test_signature_is_the_minimum_over_all_ranks():
     """Early stopping leaves out only what can't be a minimum."""
     sets = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 9).astype(np.uint64))
