@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from postmill.llm.alignment import align_tokens
 from postmill.llm.common import new_path, table
 from postmill.llm.decontamination import contamination
 from postmill.llm.languages import identify
+from postmill.llm.license_scan import SLACK, TEMPLATES, WIDTH, scan_licenses
 from postmill.llm.media import media_features
 from postmill.llm.near_duplicates import near_duplicates
 from postmill.llm.packing import pack_documents
+from postmill.llm.periodic_runs import periodic_runs
 from postmill.llm.quality import judge
 from postmill.llm.secrets import ASSIGN, ASSIGN_LEAST, scan_secrets
 from postmill.llm.sharding import PRIME, round_keys, shard_rows
@@ -132,6 +135,39 @@ def op10_token_counts(spark, sf_dir):
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op11_license_scan(spark, sf_dir):
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+_TEMPLATES = ", ".join("({}, '{}', '{}', {}, {})".format(i, t.label, " ".join(t.text.split()).replace("'", "''"), t.share, t.phrase) for i, t in enumerate(TEMPLATES))
+OP11_SQL = f"""
+WITH texts(template, label, text, share, phrase) AS (VALUES {_TEMPLATES}),
+t AS (SELECT template, label, share, phrase, w, len(w) AS n, least({WIDTH}, len(w)) AS k FROM (SELECT *, {_WORDS} AS w FROM texts) x),
+d AS (SELECT row_number() OVER () AS row, doc_id, coalesce({_WORDS}, []) AS w FROM documents),
+own AS (SELECT template, k, j, array_to_string(w[j + 1:j + k], ' ') AS g FROM (SELECT *, unnest(range(n - k + 1)) AS j FROM t) x),
+grams AS (SELECT row, k, p, array_to_string(w[p + 1:p + k], ' ') AS g FROM (SELECT row, w, k, unnest(range(len(w) - k + 1)) AS p FROM d, (SELECT DISTINCT k FROM t) y) x),
+votes AS (SELECT row, template, k, j, p, p - j AS diagonal FROM grams JOIN own USING (k, g)),
+lines AS (SELECT row, template, diagonal, count(*) AS c FROM votes GROUP BY ALL),
+phrases AS (SELECT row, label, diagonal AS s, diagonal + n AS e, CAST(1 AS DOUBLE) AS part, phrase FROM lines JOIN t USING (template) WHERE phrase AND c = n - k + 1),
+apart AS (SELECT row, template, diagonal, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY row, template ORDER BY diagonal) <= n / CAST({SLACK} AS DOUBLE) THEN 0 ELSE 1 END AS new FROM lines JOIN t USING (template) WHERE NOT phrase),
+clusters AS (SELECT row, template, diagonal, sum(new) OVER (PARTITION BY row, template ORDER BY diagonal) AS c FROM apart),
+covered AS (SELECT row, template, c, unnest(range(j, j + k)) AS j, unnest(range(p, p + k)) AS p FROM votes JOIN clusters USING (row, template, diagonal)),
+spans AS (SELECT row, label, s, e, a / n AS part, phrase FROM (SELECT row, template, c, count(DISTINCT j) AS a, count(DISTINCT p) AS b, min(p) AS s, max(p) + 1 AS e FROM covered GROUP BY ALL) x JOIN t USING (template) WHERE 100 * a >= share * n AND 2 * b >= e - s),
+found AS (SELECT * FROM phrases UNION ALL SELECT * FROM spans),
+told AS (SELECT row, count(*) FILTER (phrase) AS n_base, min(s) FILTER (phrase) AS first_word, max(s) FILTER (phrase) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (phrase) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(part) AS score FROM found GROUP BY row),
+places AS (SELECT row, string_agg(label || ':' || s || ':' || e, ',' ORDER BY s, e, label) AS spans FROM (SELECT DISTINCT row, label, s, e FROM found) x GROUP BY row)
+SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0) AS score, coalesce(spans, '') AS spans
+FROM d LEFT JOIN told USING (row) LEFT JOIN places USING (row)"""
+
+
+def op12_periodic_runs(spark, sf_dir):
+    return periodic_runs(table(spark, sf_dir, "documents"))
+
+
+def op13_token_alignment(spark, sf_dir):
+    return align_tokens(table(spark, sf_dir, "documents"))
+
+
 OP9_SQL = r"""
 WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE w END) AS s FROM w),
@@ -144,8 +180,8 @@ SELECT doc_id, len(s) AS n_shingles, component_id, doc_id = component_id AS kept
 
 
 def queries():
-    return {f.__name__: f for f in (op1_flac_media, op2_language_id, op3_quality, op4_token_files, op5_best_fit, op6_secret_scan, op7_feistel_shards, op8_positional_index, op9_superminhash, op10_token_counts, near_passages, secret_base_spans)}
+    return {f.__name__: f for f in (op1_flac_media, op2_language_id, op3_quality, op4_token_files, op5_best_fit, op6_secret_scan, op7_feistel_shards, op8_positional_index, op9_superminhash, op10_token_counts, op11_license_scan, op12_periodic_runs, op13_token_alignment, near_passages, secret_base_spans)}
 
 
 def oracle_sql():
-    return {"op8_positional_index": OP8_SQL, "op9_superminhash": OP9_SQL, "near_passages": NEAR_SQL, "secret_base_spans": BASE_SQL, "op7_feistel_shards": OP7_SQL}
+    return {"op8_positional_index": OP8_SQL, "op9_superminhash": OP9_SQL, "near_passages": NEAR_SQL, "secret_base_spans": BASE_SQL, "op7_feistel_shards": OP7_SQL, "op11_license_scan": OP11_SQL}
