@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -13,8 +14,10 @@ from postmill.llm.bpe import byte_letters, vocabulary_path
 from postmill.llm.common import id_and_text, ragged, slices, stored, sums_by_row, utf8
 
 BYTE_LEVEL, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
-#: Aligned chunks that a worker keeps, and the longest that it keeps; a full cache starts anew.
-CACHE, CACHE_CHARS = 200_000, 200
+#: Aligned chunks that a worker keeps, and the bytes of their groups; a full cache starts anew.
+CACHE, CACHE_BYTES = 400_000, 32 << 20
+#: Chunks that the libraries get at once.
+AT_ONCE = 20_000
 #: A pair that more than one in so many rows of (document, pair) is of is frequent: so there are fewer such pairs.
 FREQUENT = 10_000
 #: B ids are the lower bits of a pair.
@@ -61,6 +64,41 @@ class Table:
         return self.data[ragged(self.start[ids], self.length[ids])]
 
 
+class Aligned:
+    """Aligned chunks as arrays: counts, whether bytes differ, and ragged runs of pairs and of groups as text."""
+
+    def __init__(self, counts=None, bad=None, pairs=None, text=None, size=None):
+        self.counts = np.zeros((4, 0), np.int64) if counts is None else counts  # A tokens, B tokens, groups, links
+        self.bad = np.zeros(0, bool) if bad is None else bad
+        self.pairs = np.zeros(0, np.int64) if pairs is None else pairs
+        self.text = np.zeros(0, np.uint8) if text is None else text
+        self.size = np.zeros(0, np.int64) if size is None else size  # of each chunk's text
+
+    def extended(self, x: Aligned) -> Aligned:
+        return Aligned(np.concatenate((self.counts, x.counts), 1), *(np.concatenate((getattr(self, k), getattr(x, k))) for k in ("bad", "pairs", "text", "size")))
+
+
+def group_text(a: np.ndarray, b: np.ndarray, end_a: np.ndarray, end_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """`a1,a2|b1;` of each group, given how many ids of either side stand up to its end: ASCII bytes, and their number by group."""
+    n_a, n_b = np.diff(end_a, prepend=0), np.diff(end_b, prepend=0)
+    ids, sign = np.empty(len(a) + len(b), np.int64), np.full(len(a) + len(b), ord(","), np.uint8)
+    ids[np.arange(len(a)) + np.repeat(end_b - n_b, n_a)] = a
+    ids[np.arange(len(b)) + np.repeat(end_a, n_b)] = b
+    last = end_a + end_b - 1
+    sign[last - n_b], sign[last] = ord("|"), ord(";")
+    most = len(str(int(ids.max(initial=0))))
+    digits = np.ones(len(ids), np.int64)
+    for k in range(1, most):
+        digits += ids >= 10**k
+    end = np.cumsum(digits + 1)
+    text = np.empty(int(end[-1]) if len(end) else 0, np.uint8)
+    text[end - 1] = sign
+    for k in range(most):
+        has = digits > k
+        text[end[has] - 2 - k] = 48 + ids[has] // 10**k % 10
+    return text, np.diff(end[last], prepend=0)
+
+
 class Aligner:
     """Both tokenizers of a worker, and the chunks that it has aligned."""
 
@@ -78,76 +116,85 @@ class Aligner:
         if any("▁" in p.lstrip("▁") for p in names):
             raise ValueError(f"{pieces} has pieces that go on behind a space")
         self.b_table = Table([bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)])
-        self.known: dict[str, tuple] = {}
-
-    def align(self, new: list[str]) -> list[tuple]:
-        """(A tokens, B tokens, groups, pairs by place, groups as text) of each chunk; None where bytes differ.
+        self.known: dict[str, int] = {}
+        self.store = Aligned()
+
+    def encoded(self, new: list[str]) -> list[np.ndarray]:
+        """Ids of all chunks by A and by B, then how many each chunk has."""
+        out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(4)]
+        for k in range(0, len(new), AT_ONCE):
+            part = new[k : k + AT_ONCE]
+            a = [e.ids for e in self.a.encode_batch_fast([" " + c for c in part], add_special_tokens=False)]
+            for side, ids in enumerate((a, self.b.encode(part, num_threads=1))):
+                n = np.fromiter(map(len, ids), np.int64, len(part))
+                out[side].append(np.fromiter(chain.from_iterable(ids), np.int64, int(n.sum())))
+                out[2 + side].append(n)
+        return [np.concatenate(x) for x in out]
+
+    def align(self, new: list[str]) -> Aligned:
+        """The alignment of each chunk; nothing of one whose bytes differ.
 
         The merge by two pointers goes over all chunks at once: the sorted ends of both sides' tokens, each once, are
         its steps. A step is one link, as its bytes lie within one token of each side; where both sides end, a group does.
         """
-        a_ids = [e.ids for e in self.a.encode_batch_fast([" " + c for c in new], add_special_tokens=False)]
-        b_ids = self.b.encode(new, num_threads=1)
-        n_a, n_b = (np.fromiter(map(len, x), np.int64, len(new)) for x in (a_ids, b_ids))
-        a, b = (np.fromiter((i for x in ids for i in x), np.int64, int(n.sum())) for ids, n in ((a_ids, n_a), (b_ids, n_b)))
+        a, b, n_a, n_b = self.encoded(new)
         raw = [b" " + c.encode() for c in new]
         size = np.fromiter(map(len, raw), np.int64, len(new))
         good = np.ones(len(new), bool)
         for ids, n, t in ((a, n_a, self.a_table), (b, n_b, self.b_table)):
             good &= sums_by_row(t.length[ids], np.concatenate(([0], np.cumsum(n)))) == size
         of_a, of_b = np.repeat(good, n_a), np.repeat(good, n_b)
-        a, b, n_a, n_b, size = a[of_a], b[of_b], n_a[good], n_b[good], size[good]
+        if not good.all():
+            a, b = a[of_a], b[of_b]
         text = np.frombuffer(b"".join(r for r, g in zip(raw, good, strict=True) if g), np.uint8)
-        differs = (self.a_table.joined(a) != text) | (self.b_table.joined(b) != text)
-        bounds = np.concatenate(([0], np.cumsum(size)))
-        same = sums_by_row(differs.astype(np.int64), bounds) == 0
+        if ((self.a_table.joined(a) != text) | (self.b_table.joined(b) != text)).any():
+            raise ValueError("tokens have other bytes than their text")  # of as many bytes: no vocabulary of these kinds does that
+        n_a, n_b, size = (np.where(good, x, 0) for x in (n_a, n_b, size))
         a_end, b_end = np.cumsum(self.a_table.length[a]), np.cumsum(self.b_table.length[b])
         steps = np.union1d(a_end, b_end)
         i, j = np.searchsorted(a_end, steps), np.searchsorted(b_end, steps)
-        pairs = a[i] << BITS | b[j]
         ends = (a_end[i] == steps) & (b_end[j] == steps)
+        bounds = np.concatenate(([0], np.cumsum(size)))
         step_at = np.searchsorted(steps, bounds, "right")
-        group_a, group_b = i[ends] + 1, j[ends] + 1
         group_at = np.concatenate(([0], np.cumsum(ends)))[step_at]
-        a_text, b_text = list(map(str, a.tolist())), list(map(str, b.tolist()))
-        cut_a, cut_b = [0, *group_a.tolist()], [0, *group_b.tolist()]
-        groups = [f"{','.join(a_text[cut_a[k] : cut_a[k + 1]])}|{','.join(b_text[cut_b[k] : cut_b[k + 1]])}" for k in range(len(group_a))]
-        done = iter([
-            (int(n_a[k]), int(n_b[k]), int(group_at[k + 1] - group_at[k]), pairs[step_at[k] : step_at[k + 1]].copy(), ";".join(groups[group_at[k] : group_at[k + 1]])) if same[k] else None
-            for k in range(len(size))
-        ])
-        return [next(done) if g else None for g in good]
+        written, length = group_text(a, b, i[ends] + 1, j[ends] + 1)
+        return Aligned(np.stack((n_a, n_b, np.diff(group_at), np.diff(step_at))), ~good, a[i] << BITS | b[j], written, sums_by_row(length, group_at))
+
+    def places(self, distinct: list[str]) -> np.ndarray:
+        """Where in the store each chunk is, once those not seen are aligned."""
+        todo = [c for c in distinct if c not in self.known]
+        if self.known and (len(self.known) + len(todo) > CACHE or len(self.store.text) > CACHE_BYTES):
+            self.known, self.store, todo = {}, Aligned(), distinct
+        if todo:
+            done = self.align(todo)
+            self.known.update(zip(todo, range(len(self.store.bad), len(self.store.bad) + len(todo)), strict=True))
+            self.store = self.store.extended(done)
+        return np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
 
     def of(self, texts: pa.Array, groups: bool = False) -> list[pa.Array]:
         """n_a, n_b, n_groups, n_links, groups_sha256, distinct pairs and how often each, and on demand the groups."""
         codes, at, distinct = chunks(texts)
-        got = [self.known.get(c) for c in distinct]
-        todo = [k for k, x in enumerate(got) if x is None]
-        if len(self.known) + len(todo) > CACHE:
-            self.known.clear()
-        for k, x in zip(todo, self.align([distinct[k] for k in todo]) if todo else [], strict=True):
-            got[k] = x
-            if x is not None and len(distinct[k]) <= CACHE_CHARS and len(self.known) < CACHE:
-                self.known[distinct[k]] = x
-        bad = np.fromiter((x is None for x in got), bool, len(got))
-        whole = sums_by_row(bad[codes].astype(np.int64), at) == 0
-        counts = [np.fromiter((0 if x is None else x[k] for x in got), np.int64, len(got)) for k in range(3)]
-        n_links = np.fromiter((0 if x is None else len(x[3]) for x in got), np.int64, len(got))
-        sums = [np.where(whole, sums_by_row(c[codes], at), 0) for c in (*counts, n_links)]
-        flat = np.concatenate([np.zeros(0, np.int64), *(x[3] for x in got if x is not None)])
-        known, flat = np.unique(flat, return_inverse=True)
-        start = np.cumsum(n_links) - n_links
-        owner = np.repeat(np.arange(len(at) - 1), np.diff(at))
-        used = whole[owner] if len(owner) else np.zeros(0, bool)
-        codes_used, owner = codes[used], owner[used]
-        each = n_links[codes_used]
-        keys, times = np.unique(np.repeat(owner, each) * max(len(known), 1) + flat[ragged(start[codes_used], each)], return_counts=True)
-        rows = np.searchsorted(keys, np.arange(len(at)) * max(len(known), 1)).astype(np.int32)
-        pairs = pa.ListArray.from_arrays(pa.array(rows), pa.array(known[keys % max(len(known), 1)] if len(known) else keys))
-        listed = codes.tolist()
-        written = [";".join([got[c][4] for c in listed[at[k] : at[k + 1]]]) if whole[k] else "" for k in range(len(at) - 1)]
-        sha = [hashlib.sha256(t.encode()).hexdigest() if t else "" for t in written]
-        return [*(pa.array(s) for s in sums), pa.array(sha, pa.string()), pairs, pa.ListArray.from_arrays(pa.array(rows), pa.array(times.astype(np.int32))), *([pa.array(written, pa.string())] if groups else [])]
+        codes = self.places(distinct)[codes]
+        store, rows = self.store, len(at) - 1
+        whole = sums_by_row(store.bad[codes].astype(np.int64), at) == 0
+        owner = np.repeat(np.arange(rows), np.diff(at))
+        if not whole.all():
+            used = whole[owner]
+            codes, owner = codes[used], owner[used]
+            at = np.searchsorted(owner, np.arange(rows + 1))
+        n_links = store.counts[3]
+        each, start = n_links[codes], np.cumsum(n_links) - n_links
+        known, of_pair = np.unique(store.pairs, return_inverse=True)
+        many = max(len(known), 1)
+        keys, times = np.unique(np.repeat(owner, each) * many + of_pair[ragged(start[codes], each)], return_counts=True)
+        cut = pa.array(np.searchsorted(keys, np.arange(rows + 1) * many).astype(np.int32))
+        start, each = np.cumsum(store.size) - store.size, store.size[codes]
+        written = store.text[ragged(start[codes], each)].tobytes()
+        end = np.concatenate(([0], np.cumsum(each)))[at].tolist()
+        written = [written[end[k] : max(end[k + 1] - 1, end[k])] for k in range(rows)]
+        sha = [hashlib.sha256(t).hexdigest() if t else "" for t in written]
+        lists = [pa.ListArray.from_arrays(cut, pa.array(x)) for x in (known[keys % many] if len(known) else keys, times.astype(np.int32))]
+        return [*(pa.array(sums_by_row(c[codes], at)) for c in store.counts), pa.array(sha, pa.string()), *lists, *([pa.array([t.decode() for t in written], pa.string())] if groups else [])]
 
 
 NAMES = ("n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times")
