@@ -171,8 +171,16 @@ def mix64(x: np.ndarray) -> np.ndarray:
 BROADCAST_IDS = 1_000_000
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs without the rows whose doc_id is among `ids`; rows with a null id stay."""
-    ids = stored(ids.filter("doc_id is not null").select("doc_id").distinct(), "ids")
-    small = ids.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_anti").select(*docs.columns)
+def numbered(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """docs stored with a number for each row, in a column of a name that docs doesn't have: rows of one id, or of none, are told apart."""
+    column = "row"
+    while column in {c.lower() for c in docs.columns}:
+        column += "_"
+    return stored(docs.withColumn(column, F.monotonically_increasing_id()), name), column
+
+
+def without(rows: DataFrame, column: str, gone: DataFrame) -> DataFrame:
+    """numbered()'s rows but for those whose number is among the doc_id of `gone`, without the number."""
+    gone = stored(gone.select(F.col("doc_id").alias(column)), "gone")
+    small = gone.count() <= BROADCAST_IDS
+    return rows.join(F.broadcast(gone) if small else gone, column, "left_anti").drop(column)

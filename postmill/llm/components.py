@@ -30,22 +30,15 @@ def _forest(batches):
     yield pa.record_batch([pa.array(nodes[keep]), pa.array(roots[keep])], names=["u", "v"])
 
 
-#: A forest of so many links at most is joined by one task; a larger one by rounds over all of them.
-ONE_TASK = 400_000
-
-
-def components(links: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of `links` (u, v: long) that isn't the smallest of its component.
 
-    A partition's links become a forest of as many links as nodes. A small one, by its count, is joined in one task;
-    else each node's neighbours are tied to the least of them, larger ones and smaller ones in turn, until nothing
-    changes, as often as it takes (a number of rounds that grows with the logarithm of the longest path). Both ways give
-    the same rows. Each round is stored, so that lost executors cost one round. A node's neighbours are never gathered:
-    joins and min() only.
+    A partition's links become a forest of as many links as nodes. Then each node's neighbours are tied to the least of
+    them, larger ones and smaller ones in turn, until nothing changes, as often as it takes (a number of rounds that
+    grows with the logarithm of the longest path). Each round is stored, so that lost executors cost one round. A node's
+    neighbours are never gathered: joins and min() only.
     """
     edges = stored(links.select("u", "v").filter("u <> v").mapInArrow(_forest, "u long, v long"), "links")
-    if edges.count() <= one_task:
-        return stored(edges.coalesce(1).mapInArrow(_forest, "u long, v long"), "roots").select(F.col("u").alias("node"), F.col("v").alias("root"))
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

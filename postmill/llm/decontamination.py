@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postmill.llm.common import id_and_text, ragged, slices, split_words, stored, without
+from postmill.llm.common import id_and_text, numbered, ragged, slices, split_words, stored, without
 
 #: Lower-cases A-Z and makes every byte that isn't of a word a space: words are [0-9a-z] and bytes from 128 on.
 WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -288,5 +288,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **more) -> DataFrame:
-    """docs without the rows that are contaminated, all columns kept. Rows are told by their ids; a null id stays."""
-    return without(docs, contamination(docs, benchmark, **more).filter("contaminated"))
+    """docs without the rows that are contaminated, all columns kept. Rows are judged one by one, whatever their ids."""
+    rows, row = numbered(docs, "rows")
+    return without(rows, row, contamination(rows.select(F.col(row).alias("doc_id"), "text"), benchmark, **more).filter("contaminated"))

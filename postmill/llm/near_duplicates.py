@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from postmill.llm.common import BROADCAST_IDS, LOWER, arrow_rows, forget, id_and_text, mix64, ragged, slices, split_words, stored, without, word_hashes
+from postmill.llm.common import BROADCAST_IDS, LOWER, arrow_rows, forget, id_and_text, mix64, numbered, ragged, slices, split_words, stored, without, word_hashes
 from postmill.llm.components import components
 
 #: Slots of a signature: a prime, so that a * rank + b runs over all slots.
@@ -328,12 +328,12 @@ def near_duplicates(docs: DataFrame, width: int = 2, similar: tuple[int, int] =
 
 
 def drop_near_duplicates(docs: DataFrame, **more) -> DataFrame:
-    """docs with one document of each group: that of the smallest id. All columns stay, rows with a null id too.
+    """docs with one row of each group, all columns kept: that of the smallest id, or of none where no row has one.
 
-    Where ids repeat, the rows of an id that stays are made one for each different text.
+    Rows are grouped one by one, whatever their ids; of rows with the same id the first one stored stays.
     """
-    groups = stored(near_duplicates(docs, **more), "groups")
-    kept = groups.filter("kept and doc_id is not null")
-    out = without(docs, groups.filter("not kept").select("doc_id").join(kept.select("doc_id").distinct(), "doc_id", "left_anti"))
-    repeated = kept.groupBy("doc_id").count().filter("count > 1").limit(1).count()
-    return out.filter("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(out.filter("doc_id is null")) if repeated else out
+    rows, row = numbered(docs, "rows")
+    groups = stored(near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"), **more).select("doc_id", "component_id"), "groups")
+    ids = rows.select(F.col(row).alias("doc_id"), F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(row).alias("row")).alias("order"))
+    kept = groups.join(ids, "doc_id").groupBy("component_id").agg(F.min("order").alias("least")).select(F.col("least.row").alias("doc_id"))
+    return without(rows, row, groups.select("doc_id").join(kept, "doc_id", "left_anti"))

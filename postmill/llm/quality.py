@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postmill.llm.common import BROADCAST_IDS, forget, id_and_text, ragged, slices, split_words, stored, sums_by_row, without
+from postmill.llm.common import BROADCAST_IDS, forget, numbered, ragged, slices, split_words, stored, sums_by_row, without
 
 ORDER = 5
 #: Stands before and after each word, and begins one that repeats the one before it; neither is in a word.
@@ -238,8 +238,8 @@ def perplexities(docs: DataFrame, scores: DataFrame, hot: int = HOT) -> DataFram
     return first.join(rest, "at", "left").select("row", "lang", "trusted", (F.col("nll") - F.coalesce("more", F.lit(0.0))).alias("nll"), "symbols")
 
 
-def judge(docs: DataFrame, labels: DataFrame, upper: float = UPPER, slack: float = SLACK, hot: int = HOT) -> DataFrame:
-    """(doc_id, lang, symbols, perplexity, threshold, kept) for each document.
+def judge(docs: DataFrame, labels: DataFrame, upper: float = UPPER, slack: float = SLACK, hot: int = HOT, row_col: str = "doc_id") -> DataFrame:
+    """(doc_id, lang, symbols, perplexity, threshold, kept) for each document; doc_id is what row_col has.
 
     Trusted documents are those that `labels` gives quality 1. The model counts all of them but one in HOLD; those set,
     by language, the median and the upper quantile of the log perplexity, and from both the threshold. perplexity is
@@ -249,19 +249,19 @@ def judge(docs: DataFrame, labels: DataFrame, upper: float = UPPER, slack: float
     without trusted documents held, goes by the quantiles of all languages, a rare one nearly so; with no trusted document all are kept; a null id is never trusted; repeated rows
     are judged one by one; other columns of either table are not read.
     """
-    trusted = labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("row")).distinct()
+    trusted = labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("id")).distinct()
     few = trusted.count() <= BROADCAST_IDS
     trusted = trusted.withColumn("good", F.lit(True))
-    rows = id_and_text(docs.select("doc_id", "text")).withColumnRenamed("doc_id", "row") if "lang" not in docs.columns else docs.select(F.col("doc_id").cast("long").alias("row"), F.coalesce("text", F.lit("")).alias("text"), "lang")
-    if "lang" not in rows.columns:
-        rows = rows.withColumn("lang", F.lit(None).cast("string"))
-    rows = rows.join(F.broadcast(trusted) if few else trusted, "row", "left").withColumn("trusted", F.coalesce("good", F.lit(False)))
-    hold = F.pmod(F.xxhash64("row"), F.lit(HOLD)) == 0
-    counts = stored(corpus_grams(rows.withColumn("counted", F.col("trusted") & ~hold)), "grams")
+    lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string").alias("lang")
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col(row_col).cast("long").alias("row"), F.coalesce("text", F.lit("")).alias("text"), lang)
+    rows = rows.join(F.broadcast(trusted) if few else trusted, "id", "left").withColumn("trusted", F.coalesce("good", F.lit(False)))
+    hold = F.pmod(F.xxhash64("id"), F.lit(HOLD)) == 0
+    rows = rows.withColumn("counted", F.col("trusted") & ~hold).withColumn("trusted", F.col("trusted") & hold)
+    counts = stored(corpus_grams(rows), "grams")
     scores = gram_scores(counts, *train(counts))
     scored = stored(perplexities(rows, scores, hot), "perplexities")
     forget(counts, scores)
-    own = scored.filter(F.col("trusted") & hold & (F.col("symbols") > 0))
+    own = scored.filter(F.col("trusted") & (F.col("symbols") > 0))
 
     def by_language(x: Column, at: float, name: str, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         q = [F.count("*").alias("n"), F.percentile_approx(x, at, 10_000).alias(name)]
@@ -282,8 +282,6 @@ def judge(docs: DataFrame, labels: DataFrame, upper: float = UPPER, slack: float
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **more) -> DataFrame:
-    """docs without those that judge() rejects, all columns kept. Rows are told by their ids; a null id stays.
-
-    Of rows of one id, all go if one is rejected.
-    """
-    return without(docs, judge(docs, labels, **more).filter("not kept"))
+    """docs without those that judge() rejects, all columns kept. Rows are judged one by one, whatever their ids."""
+    rows, row = numbered(docs, "rows")
+    return without(rows, row, judge(rows, labels, row_col=row, **more).filter("not kept"))

@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from postmill.llm import common
 
@@ -55,9 +56,11 @@ def test_forget_and_shared_dir(spark, monkeypatch):
 def test_stored_and_cleared(spark):
     df = common.stored(spark.createDataFrame([(1,), (None,)], "a int"), "t")
     assert sorted(map(tuple, df.collect()), key=str) == [(1,), (None,)]
-    ids = spark.createDataFrame([(1,), (None,)], "doc_id int")
-    docs = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c")], "doc_id int, text string")
-    assert sorted(r["text"] for r in common.without(docs, ids).collect()) == ["b", "c"]
+    docs = spark.createDataFrame([(1, "a", 0), (1, "b", 0), (None, "c", 0), (None, "d", 0)], "doc_id int, text string, Row int")
+    rows, row = common.numbered(docs, "t")
+    assert row == "row_" and rows.select(row).distinct().count() == 4
+    left = common.without(rows, row, rows.filter("text in ('a', 'c')").select(F.col(row).alias("doc_id")))
+    assert left.columns == docs.columns and sorted(r["text"] for r in left.collect()) == ["b", "d"]
     common.clear_stored(spark)
     with pytest.raises(Exception, match="."):
         df.count()

@@ -65,6 +65,7 @@ def test_odd_rows_through_all_stages(spark, tmp_path):
         assert now.columns == columns
         ids[name] = sorted(r["doc_id"] for r in now.filter("doc_id is not null").collect())
         assert now.filter("doc_id is null").count() == 1
+        assert name == "quality" or len(ids[name]) == len(set(ids[name]))
     assert set(ids["near_duplicates"]) == set(ids["quality"]) - {8} and set(ids["decontamination"]) == set(ids["near_duplicates"]) - {5} and ids["secrets"] == ids["decontamination"]
     kept = {r["doc_id"]: r for r in now.collect()}
     assert 6 not in kept or kept[6]["text"] == "[secret] so"
@@ -73,6 +74,20 @@ def test_odd_rows_through_all_stages(spark, tmp_path):
     assert cp.run(spark, sf).count() == packed.count()
 
 
+def test_null_and_repeated_ids_are_judged(spark, tmp_path):
+    """A contaminated row without an id goes, a clean one of a bad one's id stays; copies go whatever their ids."""
+    item = " ".join(f"w{i}" for i in range(30))
+    docs = [(None, item, "en", "s", 9), (5, item, "en", "s", 9), (5, "a clean text of the same id", "en", "s", 27), (None, "a text without any id at all", "en", "s", 1), (None, "a text without any id at all", "de", None, 1), (9, "one more text that has copies", "en", "s", 1), (7, "one more text that has copies", "en", "s", 1), (None, "one more text that has copies", "en", "s", 1), (None, None, None, None, None), (None, None, None, None, None)]
+    sf = small(spark, tmp_path, docs, [(5, 1, 0)], [(1, item)])
+    now = spark.read.parquet(f"{sf}/documents.parquet")
+    said = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+    pairs = [(d, t) for d, t, *_ in docs]
+    assert said(cp.decontamination(spark, now, sf)) == sorted(((d, t) for d, t in pairs if t != item), key=str)
+    once = said(cp.near_duplicates(spark, now, sf))
+    assert once == sorted([(5, item), (5, pairs[2][1]), (None, pairs[3][1]), (7, pairs[6][1]), (None, None), (None, None)], key=str)
+    assert said(cp.quality(spark, now, sf)) == sorted(pairs, key=str)
+
+
 def test_empty_tables(spark, tmp_path):
     sf = small(spark, tmp_path, [])
     assert cp.run(spark, sf).count() == 0
