@@ -1,7 +1,8 @@
 """documents to packed training sequences, in five stages; each works on all that the one before it kept.
 
 Every stage but the last returns the columns it got, whatever other columns the table has and whatever their names. Rows
-are told by doc_id; a row without an id is never dropped. A null or empty text is good, alike to nothing, not
+are judged one by one, by a number stored with them: one without an id goes like any other, and of rows of one id a good
+one stays where a bad one goes. A null or empty text is good, alike to nothing, not
 contaminated and without secrets, and is packed as an end token. An empty table gives an empty one.
 """
 
@@ -20,7 +21,7 @@ from postmill.llm.secrets import redact_secrets
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose perplexity under trusted text is beyond their language's threshold.
 
-    A null language goes by all languages; without trusted documents all stay; of rows of one id, all go if one does.
+    A null language goes by all languages; without trusted documents all stay.
     """
     return keep_good(docs, table(spark, sf_dir, "labels"))
 
@@ -28,7 +29,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of similar ones: five-word shingles, similarity of 0.8 or more.
 
-    It is the one of the smallest id; of repeated rows one stays.
+    It is the one of the smallest id, or one without an id where no row of the group has one; of repeated rows one stays.
     """
     return drop_near_duplicates(docs, width=5)
 
