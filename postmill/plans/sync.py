@@ -10,7 +10,7 @@ from postmill.operators import store
 from postmill.schema import CASCADES, TABLES
 from postmill.sources import mailbox as box
 from postmill.sources import pages
-from postmill.streaming import sync
+from postmill.streaming import keyed, sync
 from postmill.streaming.progress import counted
 
 KEYS = ["account_id", "provider_msg_id"]
@@ -280,6 +280,24 @@ QUALIFY coalesce(up, true)"""
 SQL["mail_stream_sync"] = SQL["mail_stream_sync"].replace("CASE WHEN up THEN", "CASE WHEN coalesce(up, false) THEN")
 
 
+def keyed_feed(spark, d):
+    """mail_incremental's feed through keyed state: pages land in a mixed order, some twice, in two runs."""
+    where = store.scratch(spark, "keyed")
+    landed = history_pages(spark, d).withColumn("run", F.pmod(F.xxhash64("account_id", "page"), F.lit(2))).persist()
+    before = base_tables(spark, d)["messages"]
+    bodies = history_bodies(spark, d)
+    for run in range(2):
+        rows = landed.filter((F.col("run") == run) | (F.col("page") % 5 == run)).drop("run")
+        rows.repartition(3, F.xxhash64("page", "account_id")).write.json(f"{where}/landed", mode="append")
+        keyed.feed(spark, f"{where}/landed", before, bodies, f"{where}/log", f"{where}/checkpoint")
+    landed.unpersist()
+    out = keyed.after_feed(before, spark.read.schema(keyed.CHANGED).parquet(f"{where}/log"))
+    return out.select(*KEYS, "subject", "history_id", F.concat_ws(",", "label_ids").alias("labels"), F.when(F.col("kept"), F.lit("work")).alias("category"))
+
+
+SQL["mail_keyed_feed"] = SQL["mail_incremental"]
+
+
 def received(spark, d):
     """Times of several shapes: with a zone or an offset they count, without one, or as a bare date, they don't."""
     at = lambda f: F.date_format(F.col("o_orderdate").cast("timestamp"), f)
@@ -311,5 +329,5 @@ SQL["mail_empty_table"] = "SELECT * FROM (VALUES " + ", ".join(f"('{n}', CAST(0
 
 
 def queries():
-    named = (gmail_list, history_ids, incremental, cascades, graph_sync, graph_projection, removed, sync_state, phases, state_marks, state_records, mirror_accounts, stream_sync, received, progress, empty_table)
+    named = (gmail_list, history_ids, incremental, cascades, graph_sync, graph_projection, removed, sync_state, phases, state_marks, state_records, mirror_accounts, stream_sync, keyed_feed, received, progress, empty_table)
     return {f"mail_{f.__name__}": f for f in named}

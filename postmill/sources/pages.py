@@ -53,16 +53,25 @@ def gmail_messages(bodies: DataFrame) -> DataFrame:
     )
 
 
-def history_ids(pages: DataFrame) -> DataFrame:
-    """(account_id, page, op, provider_msg_id) of history pages (account_id, page, body): 'delete', or 'fetch' for what
-    was added or had labels added or removed; each id once a page and kind."""
-    h = pages.select("account_id", "page", F.explode(F.from_json("body", GMAIL_HISTORY)["history"]).alias("h"))
+def page_refs(pages: DataFrame) -> DataFrame:
+    """(account_id, page, op, provider_msg_id) of history pages (account_id, page, body), also of a stream: 'delete', or
+    'fetch' for what was added or had labels added or removed; each id once a page and kind."""
+    h = pages.select("account_id", "page", F.from_json("body", GMAIL_HISTORY)["history"].alias("h"))
+
+    def of(name: str) -> Column:
+        return F.transform("h", lambda x: F.coalesce(F.transform(x.getField(name), lambda r: r["message"]["id"]), none()))
+
+    def ids(op: str, *names: str) -> Column:
+        named = F.coalesce(F.array_distinct(F.flatten(F.concat(*map(of, names)))), none())
+        return F.transform(named, lambda i: F.struct(F.lit(op).alias("op"), i.alias("id")))
 
-    def ids(op: str, *names: str) -> DataFrame:
-        lists = [F.coalesce(F.transform(F.col(f"h.{n}"), lambda x: x["message"]["id"]), none()) for n in names]
-        return h.select("account_id", "page", F.lit(op).alias("op"), F.explode(F.concat(*lists)).alias("provider_msg_id"))
+    refs = F.concat(ids("delete", "messagesDeleted"), ids("fetch", "messagesAdded", "labelsAdded", "labelsRemoved"))
+    return h.select("account_id", "page", F.explode(refs).alias("r")).select("account_id", "page", F.col("r.op").alias("op"), F.col("r.id").alias("provider_msg_id"))
 
-    return ids("delete", "messagesDeleted").unionByName(ids("fetch", "messagesAdded", "labelsAdded", "labelsRemoved")).distinct()
+
+def history_ids(pages: DataFrame) -> DataFrame:
+    """page_refs() of pages that may have landed twice: each id once a page and kind."""
+    return page_refs(pages).distinct()
 
 
 def gmail_changes(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
