@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -11,8 +11,8 @@ from pyspark.sql.window import Window
 
 from postmill.functions.text import cluster_prompt, embedding_text, model_output
 from postmill.operators.clusters import missing_embeddings
-from postmill.operators.store import upsert
-from postmill.schema import DimensionError
+from postmill.operators.store import empty, exists, settled, upsert
+from postmill.schema import TABLES, DimensionError, EngineError
 
 KEYS = ["account_id", "provider_msg_id"]
 CLUSTER = ["account_id", "cluster_key"]
@@ -84,21 +84,56 @@ def classified(messages: DataFrame, clusters: DataFrame, classes: DataFrame, new
     return upsert(classes, new, CLUSTER), propagate(messages, clusters, new, at)
 
 
-def embed_missing(messages: DataFrame, embeddings: DataFrame, make_client: Callable[[], Callable[[list[str]], list[list[float]]]], model: str, dim: int, at, by_model: bool = False) -> DataFrame:
+def embed_missing(messages: DataFrame, embeddings: DataFrame, make_client: Callable[[], Callable[[list[str]], Iterable[list[float]]]], model: str, dim: int, at, by_model: bool = False) -> DataFrame:
     """Embedding rows for messages without one. A vector of another length than dim ends the job with DimensionError."""
+    out = _embedded(messages, embeddings, make_client, model, dim, by_model, keep=False)
+    return out.select(*KEYS, F.lit(model).alias("model_version"), F.lit(dim).alias("dim"), "embedding", at.alias("created_at"))
+
+
+def _embedded(messages: DataFrame, embeddings: DataFrame, make_client, model: str, dim: int, by_model: bool, keep: bool) -> DataFrame:
+    """(account_id, provider_msg_id, embedding, error) of messages without an embedding. With keep, a task's first error
+    becomes the row of its message and ends the task's requests; what came before stays."""
     todo = missing_embeddings(messages, embeddings, model if by_model else None)
     rows = todo.select(*KEYS, embedding_text(F.col("subject"), F.col("sender"), F.col("snippet")).alias("input"))
 
     def run(batches):
         embed = make_client()
         for b in batches:
-            vectors = embed(b.column(2).to_pylist())
-            if any(len(v) != dim for v in vectors):
-                raise DimensionError(f"expected {dim} numbers")
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(vectors, pa.list_(pa.float32()))], names=["account_id", "provider_msg_id", "embedding"])
-
-    out = rows.mapInArrow(run, "account_id string, provider_msg_id string, embedding array<float>")
-    return out.select(*KEYS, F.lit(model).alias("model_version"), F.lit(dim).alias("dim"), "embedding", at.alias("created_at"))
+            vectors, error = [], None
+            try:
+                for v in embed(b.column(2).to_pylist()):
+                    if len(v) != dim:
+                        raise DimensionError(f"expected {dim} numbers, not {len(v)}")
+                    vectors.append(v)
+            except Exception as e:
+                if not keep:
+                    raise
+                error = f"{type(e).__name__}: {e}"
+            n = len(vectors) + (error is not None)
+            errors = pa.array([None] * len(vectors) + [error] * (n - len(vectors)), pa.string())
+            vectors = pa.array(vectors + [None] * (n - len(vectors)), pa.list_(pa.float32()))
+            yield pa.record_batch([b.column(0).slice(0, n), b.column(1).slice(0, n), vectors, errors], names=["account_id", "provider_msg_id", "embedding", "error"])
+            if error:
+                return
+
+    return rows.mapInArrow(run, "account_id string, provider_msg_id string, embedding array<float>, error string")
+
+
+def embed_pending(messages: DataFrame, path: str, make_client, model: str, dim: int, at) -> int:
+    """Embeds messages that the table of embeddings at `path` doesn't have, and appends them to it; how many that were.
+
+    Tasks write what they got; a failing call ends only its own task's requests. If there was one, EngineError is raised
+    after all else is kept, and the next call goes on with what is missing.
+    """
+    spark = messages.sparkSession
+    done = spark.read.schema(TABLES["embeddings"]).parquet(path) if exists(spark, path) else empty(spark, "embeddings")
+    got = settled(_embedded(messages, done, make_client, model, dim, False, keep=True), "embedded")
+    new = got.filter("error is null").select(*KEYS, F.lit(model).alias("model_version"), F.lit(dim).alias("dim"), "embedding", at.alias("created_at"))
+    new.write.mode("append").parquet(path)
+    failed, n = got.agg(F.count("error"), F.count("embedding")).first()
+    if failed:
+        raise EngineError(f"{failed} calls failed, {n} messages embedded: " + got.filter("error is not null").first()["error"])
+    return n
 
 
 def histogram(messages: DataFrame) -> DataFrame:

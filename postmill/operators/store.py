@@ -34,6 +34,11 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def lookup(table: DataFrame, keys: DataFrame) -> DataFrame:
     """Rows of the table with the given keys (all columns of `keys`): point lookups as one join."""
     return table.join(keys.distinct(), keys.columns, "left_semi")

@@ -14,7 +14,12 @@ import urllib.error
 import urllib.parse
 import urllib.request
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark.sql import DataFrame
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition, SimpleDataSourceStreamReader
 
 from postmill.schema import LANDED, ProviderError
 from postmill.sources.pages import READ_RETRY, WRITE_RETRY, with_retry
@@ -24,6 +29,10 @@ PAGE_SIZE = 500
 METADATA_HEADERS = ("From", "Subject", "List-Unsubscribe")
 DELTA_FIELDS = "id,conversationId,subject,bodyPreview,from,receivedDateTime,parentFolderId,isRead,categories"
 BATCH = 20
+#: Requests that one task has in flight: metadata, delta pages, embeddings.
+FETCHES, EMBEDDINGS = 10, 8
+#: Delta pages of one account in one batch of a stream.
+DELTA_PAGES = 200
 #: Seconds: pages and mutations, embeddings, completions.
 TIMEOUT, EMBED_TIMEOUT, ASK_TIMEOUT = 30, 30, 120
 
@@ -39,6 +48,26 @@ def request(url: str, token: str | None = None, body: object = None, method: str
         raise ProviderError(e.code, e.read().decode(errors="replace")) from e
 
 
+def in_flight(call: Callable, items: Iterable, most: int) -> Iterator:
+    """call(x) for each item, in the items' order, with at most `most` calls going on or waiting to be taken.
+
+    No item is taken before there is room for it. The first error ends the iteration where that item's turn comes; calls
+    that haven't begun are cancelled then, or when the iterator is closed.
+    """
+    with ThreadPoolExecutor(most) as pool:
+        going: deque = deque()
+        try:
+            for x in items:
+                if len(going) == most:
+                    yield going.popleft().result()
+                going.append(pool.submit(call, x))
+            while going:
+                yield going.popleft().result()
+        finally:
+            for f in going:
+                f.cancel()
+
+
 class _Account(InputPartition):
     def __init__(self, account: str, start: str | None = None):
         super().__init__(account)
@@ -91,7 +120,7 @@ class _HistoryFeed(_Reader, DataSourceStreamReader):
     def __init__(self, options):
         _Reader.__init__(self, options)
         if options["kind"] != "gmail_history":
-            raise ValueError("only gmail_history has offsets; delta links are walked in batches, from the cursor in sync_state")
+            raise ValueError(f"{options['kind']} can't be read as a stream")
 
     def accounts(self) -> list[str]:
         return self.options["accounts"].split(",")
@@ -114,9 +143,67 @@ class _HistoryFeed(_Reader, DataSourceStreamReader):
         pass
 
 
+class _DeltaFeed(_Reader, SimpleDataSourceStreamReader):
+    """A mailbox's delta as a stream: offsets are the links that each account's walk goes on at, and its next page's number.
+
+    The driver only follows the links; the rows are links too (kind graph_link), whose pages delta_pages() gets in the
+    tasks. A batch that is run again walks from its first link to its last one. A link that has expired (410) gives a row
+    of kind graph_reset, and the walk begins anew behind it.
+    """
+
+    def initialOffset(self) -> dict:
+        return {a: {"link": self.options.get(f"cursor.{a.lower()}") or self.first().replace("{account}", a), "page": 0} for a in self.options["accounts"].split(",")}
+
+    def walk(self, account: str, offset: dict, most: int, last: dict | None = None) -> tuple[list[tuple], dict]:
+        """Rows from an offset on and the offset behind them: up to the delta's end, `most` pages, or the offset `last`."""
+        link, n, rows, token = offset["link"], offset["page"], [], self.token(account)
+        while len(rows) < most and (last is None or n < last["page"]):
+            try:
+                page = json.loads(with_retry(lambda link=link: request(link, token), READ_RETRY, rate_limited_403=False))
+            except ProviderError as e:
+                if e.status != 410:
+                    raise
+                rows, link, n = [*rows, (account, "graph_reset", n, None)], self.first().replace("{account}", account), n + 1
+                continue
+            end = page.get("@odata.deltaLink")
+            if page.get("value") or not end:
+                rows, n = [*rows, (account, "graph_link", n, link)], n + 1
+                link = end or page["@odata.nextLink"]
+            if end:
+                break
+        return rows, {"link": link, "page": n}
+
+    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
+        most, accounts = int(self.options.get("pages_per_batch", DELTA_PAGES)), list(start)
+        walks = list(in_flight(lambda a: self.walk(a, start[a], most), accounts, FETCHES))
+        return iter([r for rows, _ in walks for r in rows]), {a: end for a, (_, end) in zip(accounts, walks, strict=True)}
+
+    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
+        return iter([r for a in start for r in self.walk(a, start[a], 1 << 62, end[a])[0]])
+
+    def commit(self, end: dict) -> None:
+        pass
+
+
+def delta_pages(links: DataFrame, token: str | None = None, most: int = FETCHES) -> DataFrame:
+    """LANDED pages (kind graph_delta) of rows of links as a delta stream gives them; graph_reset rows stay as they are."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        get = lambda link: None if link is None else with_retry(lambda: request(link, token), READ_RETRY, rate_limited_403=False)
+        for b in batches:
+            bodies = list(in_flight(get, b.column(3).to_pylist(), most))
+            kinds = ["graph_delta" if k == "graph_link" else k for k in b.column(1).to_pylist()]
+            yield pa.record_batch([b.column(0), pa.array(kinds, pa.string()), b.column(2), pa.array(bodies, pa.string())], names=b.schema.names)
+
+    return links.select("account_id", "kind", "page", "body").mapInArrow(run, LANDED)
+
+
 class MailPages(DataSource):
     """Options: kind (gmail_list, gmail_history, graph_delta), base_url (may hold {account}), accounts, token or
-    token.<account>, start or, for a stream, start.<account> (history id), cursor (page token or delta link)."""
+    token.<account>, start or, for a stream, start.<account> (history id), cursor or, for a stream, cursor.<account> (page
+    token or delta link), pages_per_batch (of an account, in a delta stream)."""
 
     @classmethod
     def name(cls):
@@ -129,24 +216,33 @@ class MailPages(DataSource):
         return _Reader(dict(self.options))
 
     def streamReader(self, schema):
-        return _HistoryFeed(dict(self.options))
+        return super().streamReader(schema) if self.options["kind"] == "graph_delta" else _HistoryFeed(dict(self.options))
+
+    def simpleStreamReader(self, schema):
+        return _DeltaFeed(dict(self.options))
 
 
-def fetch_metadata(ids, base_url: str, token: str):
-    """(account_id, body) of each message of ids (account_id, provider_msg_id); a message that is gone gives no row."""
+def fetch_metadata(ids: DataFrame, base_url: str, token: str, most: int = FETCHES, skip_gone: bool = True) -> DataFrame:
+    """(account_id, body) of each message of ids (account_id, provider_msg_id), `most` requests of a task at once.
+
+    A message that is gone gives no row or, without skip_gone, ends the job as any other error does.
+    """
+    query = urllib.parse.urlencode([("format", "METADATA"), *(("metadataHeaders", h) for h in METADATA_HEADERS)])
+
+    def get(row: tuple[str, str]) -> tuple[str, str] | None:
+        account, message = row
+        try:
+            return account, with_retry(lambda: request(f"{base_url.replace('{account}', account)}/messages/{message}?{query}", token))
+        except ProviderError as e:
+            if e.status != 404 or not skip_gone:
+                raise
+            return None
 
     def run(batches):
         import pyarrow as pa
 
-        headers = urllib.parse.urlencode([("format", "METADATA"), *(("metadataHeaders", h) for h in METADATA_HEADERS)])
         for b in batches:
-            rows = []
-            for account, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                try:
-                    rows.append((account, with_retry(lambda a=account, m=m: request(f"{base_url.replace('{account}', a)}/messages/{m}?{headers}", token))))
-                except ProviderError as e:
-                    if e.status != 404:
-                        raise
+            rows = [r for r in in_flight(get, zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True), most) if r]
             yield pa.record_batch([pa.array([r[i] for r in rows], pa.string()) for i in (0, 1)], names=["account_id", "body"])
 
     return ids.select("account_id", "provider_msg_id").mapInArrow(run, "account_id string, body string")
@@ -210,23 +306,18 @@ class GraphMutator:
         self.batch([message], "POST", "/move", {"destinationId": "inbox"})
 
 
-def embedder(base_url: str):
-    """make_client for classify.embed_missing(): one vector for each text; an empty one is an error."""
+def embedder(base_url: str, most: int = EMBEDDINGS, retry: tuple = READ_RETRY):
+    """make_client for classify.embed_missing(): a vector for each text, in order, `most` requests at once; an empty one is
+    an error. An iterator, so that vectors before a failing text can be kept."""
 
-    def make():
-        def embed(texts):
-            out = []
-            for t in texts:
-                v = json.loads(request(f"{base_url}/embedding", body={"content": t}, timeout=EMBED_TIMEOUT))["embedding"]
-                v = (v[0] if v else []) if v and isinstance(v[0], list) else v
-                if not v:
-                    raise ProviderError(200, "empty embedding")
-                out.append(v)
-            return out
-
-        return embed
+    def one(text: str) -> list[float]:
+        v = json.loads(with_retry(lambda: request(f"{base_url}/embedding", body={"content": text}, timeout=EMBED_TIMEOUT), retry))["embedding"]
+        v = (v[0] if v else []) if v and isinstance(v[0], list) else v
+        if not v:
+            raise ProviderError(200, "empty embedding")
+        return v
 
-    return make
+    return lambda: lambda texts: in_flight(one, texts, most)
 
 
 def completer(base_url: str, schema: dict):

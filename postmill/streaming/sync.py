@@ -32,6 +32,16 @@ def apply_changes(tables: dict[str, DataFrame], changes: DataFrame) -> dict[str,
     return out | {"messages": upsert_messages(out["messages"], delta)}
 
 
+def apply_delta(tables: dict[str, DataFrame], landed: DataFrame) -> dict[str, DataFrame]:
+    """tables after landed delta pages, graph_reset rows among them: of an account with one, what its walk behind the last
+    of them doesn't name is gone, with what hangs on it."""
+    reset = landed.filter("kind = 'graph_reset'").groupBy("account_id").agg(F.max("page").alias("__reset"))
+    changes = pages.graph_changes(landed.filter("kind = 'graph_delta'")).join(reset, "account_id", "left").filter("__reset is null or page > __reset").drop("__reset")
+    named = changes.filter("op = 'upsert'").select(*KEYS)
+    gone = tables["messages"].join(reset, "account_id", "left_semi").select(*KEYS).join(named, KEYS, "left_anti")
+    return apply_changes(delete_messages(tables, gone), changes)
+
+
 def next_phase(state: DataFrame) -> DataFrame:
     """How each account's next sync begins: full, resume at the cursor, incremental, or reset for want of a history."""
     mode = F.when(F.col("phase").isNull(), "full").when(F.col("phase") == "initial", F.when(F.col("cursor_token").isNull(), "full").otherwise("resume")).when(F.col("last_history_id").isNull(), "reset").otherwise("incremental")

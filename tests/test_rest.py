@@ -1,13 +1,16 @@
 """The page source, mutators and model clients against a local server."""
 
 import json
+import os
 import threading
+import time
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from urllib.parse import parse_qs, urlsplit
 
 import pytest
+from pyspark.sql import functions as F
 
-from postmill.schema import ProviderError
+from postmill.schema import LANDED, TABLES, EngineError, ProviderError
 from postmill.operators import store
 from postmill.sources import pages, rest
 from postmill.streaming import sync
@@ -89,8 +92,8 @@ def test_history_as_a_stream(spark, server, tmp_path):
     assert run() == want
     n = len([s for s in seen if "pageToken" in s[2]])
     assert run() == want and len([s for s in seen if "pageToken" in s[2]]) == n == 2
-    with pytest.raises(Exception, match="delta links"):
-        spark.readStream.format("mail_pages").options(kind="graph_delta", base_url=url, accounts="a").load().writeStream.format("noop").option("checkpointLocation", str(tmp_path / "d")).start().awaitTermination()
+    with pytest.raises(Exception, match="as a stream"):
+        spark.readStream.format("mail_pages").options(kind="gmail_list", base_url=url, accounts="a").load().writeStream.format("noop").option("checkpointLocation", str(tmp_path / "d")).start().awaitTermination()
 
 
 def test_mutators(server):
@@ -112,7 +115,149 @@ def test_mutators(server):
 def test_models(server):
     url, seen, _ = server
     embed = rest.embedder(url)()
-    assert embed(["n", "f"]) == [[1.0, 2.0], [3.0]]
+    assert list(embed(["n", "f"])) == [[1.0, 2.0], [3.0]]
     with pytest.raises(ProviderError):
-        embed(["e"])
+        list(embed(["e"]))
     assert rest.completer(url, {"type": "object"})()("p") == '{"category": "work"}' and seen[-1][3]["n_predict"] == 256
+
+
+def test_in_flight():
+    """As many calls as allowed and never more, results in order, nothing taken ahead of its turn, errors where they belong."""
+    going, most, taken, lock = set(), [0], [], threading.Lock()
+
+    def call(x):
+        with lock:
+            going.add(x)
+            most[0] = max(most[0], len(going))
+        time.sleep(0.02 if x < 7 else 0.002 * (x % 5))
+        with lock:
+            going.discard(x)
+        if x == 30:
+            raise ValueError(x)
+        return -x
+
+    def items():
+        for x in range(100):
+            taken.append(x)
+            yield x
+
+    got = []
+    with pytest.raises(ValueError, match="30"):
+        for y in rest.in_flight(call, items(), 7):
+            got.append(y)
+            assert len(taken) <= len(got) + 7
+    assert got == [-x for x in range(30)] and most[0] == 7 and len(taken) < 40
+    assert list(rest.in_flight(call, [], 3)) == [] and list(rest.in_flight(call, [1, 2], 9)) == [-1, -2]
+
+
+def test_metadata_in_flight(spark, server):
+    url, seen, _ = server
+    ids = spark.createDataFrame([("a", f"m{i}") for i in range(40)] + [("a", "gone")], "account_id string, provider_msg_id string").coalesce(1)
+    got = pages.gmail_messages(rest.fetch_metadata(ids, url, "T", 4)).select("provider_msg_id").collect()
+    assert [r[0] for r in got] == [f"m{i}" for i in range(40)]
+    with pytest.raises(Exception, match="404"):
+        rest.fetch_metadata(ids, url, "T", skip_gone=False).collect()
+
+
+def test_embeddings_before_a_failing_call_are_kept(spark, server, tmp_path):
+    url, seen, fail = server
+    rows = [("a", f"m{i:02}", "e" if i == 13 else f"s{i}") for i in range(20)]
+    from postmill.functions.text import embedding_text
+    from postmill.operators.classify import embed_pending
+
+    messages = spark.createDataFrame(rows, "account_id string, provider_msg_id string, subject string").selectExpr("*", "cast(null as string) sender", "cast(null as string) snippet", "cast(null as long) internal_date").coalesce(1)
+    bad = messages.filter("subject = 'e'").select(embedding_text(F.col("subject"), F.col("sender"), F.col("snippet"))).first()[0]
+    def client():
+        def one(text):
+            if text == bad and os.path.exists(f"{tmp_path}/broken"):
+                raise ProviderError(500)
+            return [float(len(text))]
+
+        return lambda texts: rest.in_flight(one, texts, 3)
+
+    (tmp_path / "broken").write_text("")
+    at, path = F.lit(None).cast("timestamp"), f"file://{tmp_path}/embeddings"
+    with pytest.raises(EngineError, match="1 calls failed"):
+        embed_pending(messages, path, client, "v", 1, at)
+    kept = spark.read.parquet(path).count()
+    assert 0 < kept < 20
+    (tmp_path / "broken").unlink()
+    assert embed_pending(messages, path, client, "v", 1, at) == 20 - kept
+    assert embed_pending(messages, path, client, "v", 1, at) == 0
+    assert spark.read.parquet(path).select("provider_msg_id").distinct().count() == spark.read.parquet(path).count() == 20
+    with pytest.raises(EngineError, match="DimensionError"):
+        embed_pending(messages.withColumn("provider_msg_id", F.lit("z")).limit(1), path, client, "v", 2, at)
+
+
+@pytest.fixture
+def delta():
+    """A provider whose delta has pages of one message each; `down` makes a page fail, `expired` makes a link so."""
+    state = {"items": [f"q{i}" for i in range(6)], "down": set(), "expired": set(), "asked": [], "walk": 0}
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            at = urlsplit(self.path)
+            k = int(parse_qs(at.query).get("k", ["0"])[0])
+            state["asked"].append(k)
+            host = f"http://{self.headers['Host']}{at.path}"
+            if k in state["down"] or k in state["expired"]:
+                self.send_response(503 if k in state["down"] else 410)
+                self.end_headers()
+                return
+            items = state["items"]
+            out = {"value": [{"id": items[k], "subject": f"s{k}"}] if k < len(items) else []}
+            out["@odata.nextLink" if k + 1 < len(items) else "@odata.deltaLink"] = f"{host}?k={min(k + 1, len(items))}"
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps(out).encode())
+
+        def log_message(self, *a):
+            pass
+
+    http = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=http.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{http.server_port}", state
+    http.shutdown()
+
+
+def test_delta_as_a_stream(spark, delta, tmp_path, monkeypatch):
+    """Each page once, whatever fails between pages; a new link goes on where the last ended; an expired one begins anew."""
+    url, state = delta
+    spark.dataSource.register(rest.MailPages)
+
+    def run():
+        links = spark.readStream.format("mail_pages").options(kind="graph_delta", base_url=url, accounts="a,b", pages_per_batch="4").load()
+        query = rest.delta_pages(links).writeStream.format("parquet").option("path", f"{tmp_path}/landed").option("checkpointLocation", f"{tmp_path}/c").trigger(processingTime="100 milliseconds").start()
+        try:
+            deadline, calm = time.time() + 60, 0
+            while time.time() < deadline and calm < 3 and query.exception() is None:
+                time.sleep(0.3)
+                calm = calm + 1 if query.lastProgress and query.lastProgress["numInputRows"] == 0 else 0
+            if query.exception():
+                raise query.exception()
+        finally:
+            query.stop()
+        return spark.read.schema(LANDED).parquet(f"file://{tmp_path}/landed")
+
+    state["down"] = {5}  # behind the first batch's pages
+    with pytest.raises(Exception, match="503"):
+        run()
+    first = spark.read.schema(LANDED).parquet(f"file://{tmp_path}/landed").filter("account_id = 'a'").count()
+    assert first == 4
+    state["down"] = set()
+    landed = run()
+    assert sorted((r["account_id"], r["page"]) for r in landed.collect()) == [(a, n) for a in "ab" for n in range(6)]
+    state["items"].append("q6")
+    landed = run()
+    got = pages.graph_changes(landed.filter("kind = 'graph_delta'"))
+    assert sorted((r["account_id"], r["page"], r["provider_msg_id"]) for r in got.collect()) == [(a, n, f"q{n}") for a in "ab" for n in range(7)]
+    state["expired"], state["items"] = {7}, ["q0", "new"]
+    landed = run()
+    assert sorted((r["page"], r["kind"]) for r in landed.filter("account_id = 'a' and page > 6").collect()) == [(7, "graph_reset"), (8, "graph_delta"), (9, "graph_delta")]
+    keys = "account_id string, provider_msg_id string"
+    old = spark.createDataFrame([("a", "q0"), ("a", "q5"), ("c", "x")], keys)
+    messages = spark.createDataFrame([], TABLES["messages"]).unionByName(old.withColumn("category", F.lit("work")), allowMissingColumns=True)
+    tables = {"messages": messages, "embeddings": old, "message_clusters": old}
+    after = sync.apply_delta(tables, landed)
+    assert sorted((r["account_id"], r["provider_msg_id"], r["category"]) for r in after["messages"].collect()) == [("a", "new", None), ("a", "q0", "work"), ("b", "new", None), ("b", "q0", None), ("c", "x", "work")]
+    assert sorted(map(tuple, after["embeddings"].select("account_id", "provider_msg_id").collect())) == [("a", "q0"), ("c", "x")]
