@@ -75,9 +75,18 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
+#: The threshold of a model that learned no language: no score reaches it.
+UNTRAINED = 2.0
+#: Different values of lang that a model can learn; a column of more isn't one of languages.
+LANGUAGES = 1000
+
+
 def sample(docs: DataFrame, per_language: int, seed: int) -> DataFrame:
-    """(doc_id, text, lang): about `per_language` labelled documents of each language, by a hash of their ids."""
-    counts = docs.groupBy("lang").agg(F.count("*").alias("n")).collect()
+    """(doc_id, text, lang): about `per_language` labelled documents of each language, by a hash of their ids. A column of
+    more than LANGUAGES different values is refused with ValueError."""
+    counts = docs.groupBy("lang").agg(F.count("*").alias("n")).limit(LANGUAGES + 1).collect()
+    if len(counts) > LANGUAGES:
+        raise ValueError(f"lang has more than {LANGUAGES} different values")
     if not counts:
         return docs
     share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, per_language / r["n"])))])
@@ -111,7 +120,7 @@ def fit(labelled: DataFrame, per_language: int = SAMPLE, epochs: int = 12, rate:
     got = sorted((r for r in got if len(r["keys"])), key=lambda r: (r["doc_id"], r["short"], r["lang"], r["keys"]))
     langs = sorted({r["lang"] for r in got})
     if not langs:
-        return Model(["und"], np.zeros((BUCKETS, 1)), np.zeros(1), 1.0, 1.0)
+        return Model(["und"], np.zeros((BUCKETS, 1)), np.zeros(1), 1.0, UNTRAINED)
     keys = [np.frombuffer(r["keys"], "<i2").astype(np.int64) for r in got]
     shares = [np.frombuffer(r["shares"], "<f4") for r in got]
     y = np.array([langs.index(r["lang"]) for r in got])
@@ -162,7 +171,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         for part in slices(batches, "text", 1 << 20):
             p = model.probabilities(part.column(1))
             texts = part.column(1).to_pylist()
-            none = np.array([not any(map(str.isalpha, t)) for t in texts], bool)
+            none = np.array([not any(map(str.isalpha, t)) for t in texts], bool) | (model.threshold == UNTRAINED)
             best, score = p.argmax(1), np.where(none, 0.0, p.max(1))
             yield pa.record_batch([part.column(0), pa.array(["und" if e else model.langs[i] for i, e in zip(best, none, strict=True)], pa.string()), pa.array(np.round(score, 6)), pa.array((score >= model.threshold) & ~none)], names=["doc_id", "lang_pred", "score", "accepted"])
 
@@ -178,7 +187,7 @@ def identify(docs: DataFrame, **training) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, accepted): learns from the folds that aren't held out, predicts all rows.
 
     Only text and lang of rows of those folds are learned from, and only text is an input of a prediction. Without a
-    labelled row every prediction is 'und'. Repeated rows are predicted one by one; other columns are not read.
+    labelled row every prediction is 'und' with score 0, and none is accepted. Repeated rows are predicted one by one; other columns are not read.
     """
     model = fit(docs.filter(fold() != 1).select("doc_id", "text", "lang"), **training)
     return predict(docs, model).withColumn("held_out", fold() == 1).select("doc_id", "held_out", "lang_pred", "score", "accepted")

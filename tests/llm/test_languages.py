@@ -4,6 +4,7 @@ import math
 import zlib
 
 import numpy as np
+import pytest
 import pyarrow as pa
 
 from postmill.llm import languages
@@ -76,7 +77,9 @@ def test_odd_rows(spark):
     empty = real.limit(0)
     assert languages.identify(empty).count() == 0
     bare = odd.withColumn("lang", odd["doc_id"].cast("string").substr(0, 0))
-    assert {r["lang_pred"] for r in languages.predict(bare, languages.fit(bare.limit(0))).collect()} == {"und"}
+    assert {tuple(r)[1:] for r in languages.predict(bare, languages.fit(bare.limit(0))).collect()} == {("und", 0.0, False)}
+    with pytest.raises(ValueError, match="different values"):
+        languages.fit(spark.range(2000).selectExpr("id doc_id", "'a' text", "cast(id as string) lang"))
 
 
 def test_temperature_and_threshold(spark):
