@@ -126,6 +126,8 @@ def numbered(new: DataFrame, log: DataFrame, order: list[str]) -> DataFrame:
 
 #: Parts of each account's tables that are rewritten for themselves, by a hash of the message.
 BUCKETS = 32
+#: Live partitions whose names are broadcast.
+BROADCAST_PARTITIONS = 1_000_000
 
 
 class Tables:
@@ -133,8 +135,8 @@ class Tables:
     touches, then one commit for all tables, which makes them the ones that are read.
 
     A batch that is run again writes the same versions again, so a crash before the commit leaves no trace. One writer
-    at a time, as with a streaming query. Which partitions a read opens is a broadcast join with the commits (a row for
-    each partition), pruned before the scan.
+    at a time, as with a streaming query. Which partitions a read opens is a join with the commits (a row for each
+    partition), of up to BROADCAST_PARTITIONS rows a broadcast, by which partitions are pruned before the scan.
     """
 
     COMMIT = "batch long, name string, account_id string, bucket int"
@@ -167,8 +169,9 @@ class Tables:
         if not fs.exists(p):
             return empty(self.spark, name)
         live = self.current(name) if touched is None else self.current(name).join(touched, ["account_id", "bucket"])
+        live = F.broadcast(live) if live.count() <= BROADCAST_PARTITIONS else live
         schema = ", ".join(c for c in TABLES[name].split(", ") if not c.startswith("account_id ")) + ", account_id string, bucket int, version long"
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}").join(F.broadcast(live), ["account_id", "bucket", "version"]).select(*columns)
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}").join(live, ["account_id", "bucket", "version"]).select(*columns)
 
     def write(self, batch: int, tables: dict[str, tuple[DataFrame, DataFrame]]) -> None:
         """Puts, for each name, rows in place of the partitions `touched`: (rows, touched); then commits."""
@@ -180,6 +183,14 @@ class Tables:
             marks = mark if marks is None else marks.unionByName(mark)
         marks.distinct().write.mode("overwrite").parquet(f"{self.root}/_commits/batch-{batch}")
 
+    def first_version(self, run: str) -> int:
+        """The version that batch 0 of a run writes: above all that were committed when the run first asked."""
+        where = f"{self.root}/_runs/{run}"
+        if not exists(self.spark, f"{where}/_SUCCESS"):
+            last = self.commits().agg(F.coalesce(F.max("batch"), F.lit(-1)).alias("last")).first()["last"]
+            self.spark.createDataFrame([(last + 1,)], "first long").write.mode("overwrite").parquet(where)
+        return self.spark.read.schema("first long").parquet(where).first()["first"]
+
     def vacuum(self) -> int:
         """Deletes partitions that a later version has replaced; how many. Not while others read older versions."""
         gone = 0

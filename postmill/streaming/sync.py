@@ -6,6 +6,7 @@ order in which Spark reads the pages.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -131,14 +132,16 @@ def run(spark: SparkSession, landed: str | DataFrame, root: str, checkpoint: str
     fetch takes (account_id, provider_msg_id) and returns (account_id, body) of those that are still there, as
     rest.fetch_metadata does. What was fetched is kept beside the tables, so that a batch that is run again asks once.
     Only the partitions that a batch touches are read and written; messages, what hangs on them and the sync state are
-    committed together, and a batch that is run again after a crash changes nothing.
+    committed together, and a batch that is run again after a crash changes nothing. A new checkpoint over old tables
+    begins its versions, and what it keeps of bodies, behind those of the old one.
     """
     store = Tables(spark, root, buckets)
 
     def batch(files: DataFrame, number: int) -> None:
         files = files.persist()
         asked = wanted(files)
-        where = f"{store.root}/_fetched/batch-{number}"
+        run_id = json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
+        where = f"{store.root}/_fetched/{run_id}-batch-{number}"
         p, fs = store._files(f"{where}/_SUCCESS")
         if not fs.exists(p):
             fetch(asked.select(*KEYS).distinct()).write.mode("overwrite").parquet(where)
@@ -151,7 +154,7 @@ def run(spark: SparkSession, landed: str | DataFrame, root: str, checkpoint: str
         accounts = files.select("account_id", F.lit(0).alias("bucket")).distinct()
         state = advanced(store.read("sync_state"), files, bodies, at()).join(accounts.select("account_id"), "account_id", "left_semi")
         out = {n: (t, touched) for n, t in apply_changes(before, changes).items()}
-        store.write(number, out | {"sync_state": (state, accounts)})
+        store.write(store.first_version(run_id) + number, out | {"sync_state": (state, accounts)})
         for df in (files, bodies, changes, touched):
             df.unpersist()
 

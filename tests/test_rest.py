@@ -92,6 +92,11 @@ def test_history_as_a_stream(spark, server, tmp_path):
     assert run() == want
     n = len([s for s in seen if "pageToken" in s[2]])
     assert run() == want and len([s for s in seen if "pageToken" in s[2]]) == n == 2
+    lists = spark.createDataFrame([("a", "gmail_list", 0, json.dumps({"messages": [{"id": "m9", "threadId": "t"}]}))], LANDED)
+    lists.write.json(f"{tmp_path}/lists")
+    sync.run(spark, f"{tmp_path}/lists", str(tmp_path / "t"), str(tmp_path / "c2"), lambda ids: rest.fetch_metadata(ids, url, "T"), buckets=2)  # a new checkpoint over old tables
+    tables = store.Tables(spark, str(tmp_path / "t"), 2)
+    assert sorted(r["provider_msg_id"] for r in tables.read("messages").filter("account_id = 'a'").collect()) == ["m4", "m5", "m6", "m7", "m9"]
     with pytest.raises(Exception, match="as a stream"):
         spark.readStream.format("mail_pages").options(kind="gmail_list", base_url=url, accounts="a").load().writeStream.format("noop").option("checkpointLocation", str(tmp_path / "d")).start().awaitTermination()
 
