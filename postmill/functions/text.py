@@ -63,20 +63,23 @@ def unfenced(raw: Column) -> Column:
 def model_output(raw: Column) -> dict[str, Column]:
     """category, confidence, reason and valid of a model's answer, which may stand in code fences.
 
-    Not valid, and so unknown with confidence 0: what isn't one JSON object and nothing else, has a key twice, lacks a
-    string as category or a finite number as confidence, or has a reason that is neither string nor null. Other keys
-    don't matter. The confidence is put between 0 and 1; below the floor the category is unknown; so is any category,
-    lower-cased, that is not in the domain.
+    Not valid, and so unknown with confidence 0: what isn't one JSON object and nothing else, has one of the three keys
+    twice, lacks a string as category or a finite number as confidence, or has a reason that is neither string nor null.
+    Other keys don't matter, however often they occur. The confidence is put between 0 and 1; below the floor the
+    category is unknown; so is any category, lower-cased, that is not in the domain.
     """
     body = unfenced(raw)
     # The parser stops at the end of the first value. Inside an object that ends with the body's own digest, whatever
     # stands after that value is an error, or the digest is missing.
-    whole = F.try_parse_json(F.concat(F.lit('{"v":'), body, F.lit(',"end":"'), F.sha2(body, 256), F.lit('"}')))
-    value = lambda path, kind: F.try_variant_get(whole, f"$.v.{path}", kind)
-    kind = lambda path: F.coalesce(F.schema_of_variant(value(path, "variant")), F.lit("VOID"))
+    fields = ("category", "confidence", "reason")
+    shape = f"v struct<{','.join(f'{f}: variant' for f in fields)}>, end string"
+    whole = F.from_json(F.concat(F.lit('{"v":'), body, F.lit(',"end":"'), F.sha2(body, 256), F.lit('"}')), shape, {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"})
+    value = lambda path, kind: F.try_variant_get(whole["v"][path], "$", kind)
+    kind = lambda path: F.coalesce(F.schema_of_variant(whole["v"][path]), F.lit("VOID"))
+    own = F.filter(F.json_object_keys(body), lambda k: k.isin(*fields))
     number = value("confidence", "double")
     valid = (
-        (F.try_variant_get(whole, "$.end", "string") == F.sha2(body, 256)) & (kind("category") == "STRING") & kind("reason").isin("VOID", "STRING")
+        (whole["end"] == F.sha2(body, 256)) & (F.size(own) == F.size(F.array_distinct(own))) & (kind("category") == "STRING") & kind("reason").isin("VOID", "STRING")
         & kind("confidence").rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)") & (F.abs(number) < F.lit(float("inf")))
     )
     valid = F.coalesce(valid, F.lit(False))

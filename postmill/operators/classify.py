@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterable
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,13 +26,37 @@ def representatives(clusters: DataFrame, messages: DataFrame, n: int = 3) -> Dat
     return clusters.join(messages, KEYS).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= max(n, 1))
 
 
+def _digest(batches):
+    """A row for each cluster of rows that come cluster by cluster, ids in order: holds one running state and one batch."""
+    types = (pa.string(), pa.string(), pa.int64(), pa.string())
+    row = lambda: (*cluster, n, state.hexdigest() if state else None)
+    table = lambda out: pa.record_batch([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=[*CLUSTER, "member_count", "cluster_signature"])
+    cluster, state, n = None, None, 0
+    for b in batches:
+        out = []
+        for own, rows in groupby(zip(*(b.column(i).to_pylist() for i in range(3)), strict=True), key=lambda r: r[:2]):
+            ids = [r[2] for r in rows]
+            if own != cluster:
+                if cluster is not None:
+                    out.append(row())
+                cluster, state, n = own, None if own[1] is None else hashlib.sha256(f"{own[1]}|".encode()), 0
+            n += len(ids)
+            if state:
+                state.update("".join(f"{x}," for x in ids if x is not None).encode())
+        yield table(out)
+    if cluster is not None:
+        yield table([row()])
+
+
 def signatures(clusters: DataFrame) -> DataFrame:
     """sha256 of the key, a bar and each member id in byte order with a comma after it.
 
-    The digest is of all ids in order, so a cluster's ids (not its messages) meet in one place, sorted there.
+    The digest is of all ids in order, so a cluster's rows go through one task; they are sorted there, on disk where they
+    don't fit, and streamed through the digest's state, which is all that is held. Null ids count as members but aren't
+    digested; a null key has no digest.
     """
-    ids = F.array_sort(F.collect_list("provider_msg_id"))
-    return clusters.groupBy(*CLUSTER).agg(F.count("*").alias("member_count"), F.sha2(F.concat(F.col("cluster_key"), F.lit("|"), F.concat_ws(",", ids), F.lit(",")), 256).alias("cluster_signature"))
+    dealt = clusters.select(*CLUSTER, "provider_msg_id").repartition(*CLUSTER).sortWithinPartitions(*CLUSTER, "provider_msg_id")
+    return dealt.mapInArrow(_digest, "account_id string, cluster_key string, member_count long, cluster_signature string")
 
 
 def to_classify(clusters: DataFrame, messages: DataFrame, classes: DataFrame, model: str, prompt: str, samples: int = 3, most: int | None = None) -> DataFrame:

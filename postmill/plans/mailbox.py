@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from postmill.functions.numbers import cosine
+from postmill.functions.numbers import cosine, cosine32, from_bytes, to_bytes
 from postmill.functions.text import embedding_text, model_output, sender_email
 from postmill.operators import actions, audit, classify, clusters, review, store
 from postmill.plans import sync as sync_plans
@@ -150,6 +150,8 @@ ANSWERS = (
     (' ```json```json``` {"category": "%c", "confidence": %f, "reason": null} `````` ', "g"), ('``````{"confidence": %f, "category": "%C"}', "g"), ('{"category": " %c", "confidence": %f}', "u"), ('{"category": "%c", "confidence": "%f"}', "b"),
     ('{"category": "%c", "confidence": 7}', "1"), ('{"category": "%c", "confidence": %f} {"category": "%c", "confidence": %f}', "b"), ('[{"category": "%c", "confidence": %f}]', "b"), ('{"category": "%c", "confidence": %f}]', "b"), ('{"category": "%c", "confidence": %f, "reason": 5}', "b"),
     ('{"category": 5, "confidence": %f}', "b"), ('{"category": "%c", "confidence": true}', "b"), ('{"category": "%c", "confidence": 1e999}', "b"), ("", "b"), ('{"category": "zebra", "confidence": %f}', "u"), ('{"category": "%c", "confidence": null}', "b"), ('{"category": "%c", "confidence": %f}, "end": "x"}', "b"),
+    ('{"x": 1, "category": "%c", "x": {"y": 1, "y": [2]}, "confidence": %f, "x": null}', "g"), ('{"category": "%c", "confidence": %f, "confidence": %f}', "b"), ('{"category": "%c", "confidence": %f, "reason": "a", "reason": "a"}', "b"),
+    ('{"category": "%c", "confidence": NaN}', "b"), ('{category: "%c", "confidence": %f}', "b"), ('{"category": "%c", "confidence": %f, "n": {"category": 1, "confidence": 2}}', "g"),
 )
 
 
@@ -314,6 +316,17 @@ SELECT m.account_id, m.provider_msg_id, round(list_cosine_similarity(CAST(e.embe
 JOIN (SELECT account_id, cluster_key, min(doc_id) AS first_id FROM x_members GROUP BY 1, 2) c ON c.account_id = m.account_id AND c.cluster_key = m.cluster_key JOIN embeddings f ON f.vec_id = c.first_id"""
 
 
+def stored_cosine(spark, d):
+    """first_member_cosine on vectors as bytes, in single precision."""
+    stored = box.embeddings(spark, d).select(*KEYS, to_bytes("embedding").alias("raw"))
+    m = box.members(spark, d).join(stored, KEYS)
+    first = m.groupBy("account_id", "cluster_key").agg(F.min_by("raw", "provider_msg_id").alias("first"))
+    return m.join(first, ["account_id", "cluster_key"]).select(*KEYS, F.octet_length("raw").alias("n_bytes"), F.round(cosine32(from_bytes("raw"), from_bytes("first")).cast("double"), 3).alias("similarity"))
+
+
+SQL["mail_stored_cosine"] = SQL["mail_first_member_cosine"].replace(", 4) AS", ", 3) AS").replace("round(", "CAST(4 * len(e.embedding) AS INTEGER) AS n_bytes, round(")
+
+
 def _folded(df):
     return df.withColumn("centroid_cosine", F.round(F.col("centroid_cosine").cast("double"), 3))
 
@@ -342,7 +355,7 @@ SQL["mail_greedy_clusters"], SQL["mail_merging_clusters"] = (_FOLD.replace("{at}
 
 
 def queries():
-    named = (review_queue, cluster_summaries, cluster_top_messages, message_counts, account_summaries, embedding_status, category_histogram, missing_embeddings, embedding_texts, sender_addresses, gmail_projection, representatives, signatures, model_outputs, action_plan, outcome_counts, recent_log, reversible_log, undo_status, export_csv, export_json, upsert_messages, delete_cascade, stage_actions, delete_account, apply_changes, first_member_cosine, greedy_clusters, merging_clusters)
+    named = (review_queue, cluster_summaries, cluster_top_messages, message_counts, account_summaries, embedding_status, category_histogram, missing_embeddings, embedding_texts, sender_addresses, gmail_projection, representatives, signatures, model_outputs, action_plan, outcome_counts, recent_log, reversible_log, undo_status, export_csv, export_json, upsert_messages, delete_cascade, stage_actions, delete_account, apply_changes, first_member_cosine, stored_cosine, greedy_clusters, merging_clusters)
     return {f"mail_{f.__name__}": f for f in named} | sync_plans.queries() | work_plans.queries()
 
 

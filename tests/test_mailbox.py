@@ -4,6 +4,7 @@ import json
 import threading
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,7 +50,6 @@ def test_small_expressions(spark):
     assert one(spark, numbers.received_ms, "2026-01-01T00:00:00.9Z") == 1767225600000 and one(spark, numbers.received_ms, "x") == 0 and one(spark, numbers.received_ms, "2026-05-01") == 0 and one(spark, numbers.received_ms, "2026-01-01t02:00:00+02:00") == 1767225600000
     assert one(spark, text.number_or_zero, "17") == 17 and one(spark, text.number_or_zero, "x") == 0
     assert one(spark, lambda c: text.shortened(c, 3), "abcd") == "abc…" and one(spark, lambda c: text.shortened(c, 4), "abcd") == "abcd"
-    assert numbers.from_bytes(numbers.to_bytes([1.5, -2.25, 0.0])) == [1.5, -2.25, 0.0]
     df = spark.createDataFrame([([1.0, 0.0], [1.0, 0.0, 5.0]), ([0.0], [1.0]), ([1.0, 1.0], [1.0, 0.0])], "a array<double>, b array<double>")
     assert [round(r[0], 4) for r in df.select(numbers.cosine(F.col("a"), F.col("b"))).collect()] == [1.0, 0.0, 0.7071]
     assert one(spark, lambda c: numbers.age_days(100, c), 100 + 86_400_000 * 2 - 1, "long") == -1
@@ -360,3 +360,46 @@ def test_progress(spark, tmp_path):
         time.sleep(0.1)
     spark.streams.removeListener(listener)
     assert any(t.get("rows", 0) >= 1 for t in told) and told[-1] == {"stage": "done", "error": None}
+
+
+def test_vectors_as_bytes(spark):
+    """Whole arrays and slices of them, nulls, ragged lengths and a broken tail; the sum is that of a plain loop."""
+    rng = np.random.default_rng(3)
+    rows = [(i, None if i % 7 == 3 else [float(x) for x in rng.standard_normal(i % 5 * 100).astype("f4")]) for i in range(60)]
+    df = spark.createDataFrame(rows, "i int, v array<float>").repartition(3)
+    got = {r["i"]: r for r in df.select("i", "v", numbers.to_bytes("v").alias("raw")).select("*", numbers.from_bytes("raw").alias("back"), numbers.from_bytes(F.concat("raw", F.lit(b"xyz"))).alias("tail")).collect()}
+    for i, v in rows:
+        raw = None if v is None else np.asarray(v, "<f4").tobytes()
+        assert (got[i]["raw"] and bytes(got[i]["raw"])) == (raw and bytearray(raw)) and got[i]["back"] == v == got[i]["tail"]
+    pairs = df.alias("a").join(df.alias("b"), F.expr("a.i + 5 = b.i or a.i + 1 = b.i")).select(F.col("a.v").alias("a"), F.col("b.v").alias("b")).select("a", "b", numbers.cosine32("a", "b").alias("c")).collect()
+    for r in pairs:
+        if r["a"] is None or r["b"] is None:
+            assert r["c"] is None
+            continue
+        dot = aa = bb = np.float32(0)
+        for x, y in zip(np.asarray(r["a"], "f4"), np.asarray(r["b"], "f4")):
+            dot, aa, bb = dot + x * y, aa + x * x, bb + y * y
+        norm = np.sqrt(aa) * np.sqrt(bb)
+        assert np.float32(r["c"]) == (0 if norm < 1e-9 else dot / norm)
+    assert df.limit(0).select(numbers.to_bytes("v")).collect() == []
+
+
+def test_digest_holds_no_cluster():
+    """Half a million ids of one cluster in batches: what is held stays small; clusters go on over batches."""
+    import hashlib
+    import tracemalloc
+
+    want = hashlib.sha256(b"k|")
+
+    def batches():
+        for at in range(0, 500_000, 5000):
+            ids = [f"{i:09}" for i in range(at, at + 5000)]
+            want.update("".join(f"{x}," for x in ids).encode())
+            yield pa.record_batch([pa.array(["a"] * 5000), pa.array(["k"] * 5000), pa.array(ids)], names=["a", "k", "i"])
+        yield pa.record_batch([pa.array(["a", "a", "b"]), pa.array(["l", None, None]), pa.array([None, "x", "y"])], names=["a", "k", "i"])
+
+    tracemalloc.start()
+    out = [r for b in classify._digest(batches()) for r in b.to_pylist()]
+    assert tracemalloc.get_traced_memory()[1] < 8 << 20
+    tracemalloc.stop()
+    assert [(r["member_count"], r["cluster_signature"]) for r in out] == [(500_000, want.hexdigest()), (1, hashlib.sha256(b"l|").hexdigest()), (1, None), (1, None)]
