@@ -118,6 +118,22 @@ def _without_messages(staged: DataFrame, clusters: DataFrame, halted: int | None
     return none.join(until, F.struct("staged_at", "id") < F.col("until")).drop("until")
 
 
+def _logged(rows: DataFrame, todo: DataFrame, staged: DataFrame, clusters: DataFrame, log: DataFrame, at: Column, halted: int | None, keep_failed: bool) -> tuple[DataFrame, DataFrame]:
+    """New log rows of the journal's, and staged without what was carried out."""
+    left = todo.join(rows.filter("outcome <> 'cancelled'").select("staged_action_id", "provider_msg_id").distinct(), ["staged_action_id", "provider_msg_id"], "left_anti")
+    done = rows.select("staged_action_id").distinct().join(left.select("staged_action_id").distinct(), "staged_action_id", "left_anti")
+    if keep_failed:
+        done = done.join(rows.filter("outcome = 'failure'").select("staged_action_id").distinct(), "staged_action_id", "left_anti")
+    done = done.unionByName(_without_messages(staged, clusters, halted).select(F.col("id").alias("staged_action_id")))
+    used = done.withColumn("used", F.lit(True))
+    new = rows.join(used, "staged_action_id", "left").select(
+        "account_id", F.when(F.col("used").isNull(), F.col("staged_action_id")).alias("staged_action_id"), "cluster_key", "provider_msg_id", "action_type", "outcome", "error_message",
+        at.alias("executed_at"), "prior_label_ids", reversal_kind(F.col("action_type"), F.col("outcome")).alias("reversal_kind"), F.lit(None).cast("timestamp").alias("reversed_at"), "staged_at", F.col("staged_action_id").alias("__s"),
+    )
+    new = numbered(new, log, ["staged_at", "__s", "provider_msg_id"]).select(*log.columns)
+    return new, staged.join(done.select(F.col("staged_action_id").alias("id")), "id", "left_anti")
+
+
 def execute(staged: DataFrame, clusters: DataFrame, messages: DataFrame, log: DataFrame, call: Callable[[str, list[str]], None], at: Column, journal: str, chunk: int = CHUNK, stop: threading.Event | None = None, keep_failed: bool = False, on_progress: Callable[[dict], None] = lambda p: None) -> tuple[DataFrame, DataFrame]:
     """New log rows, and staged without what was carried out. Raises nothing for calls that fail.
 
@@ -165,19 +181,35 @@ def execute(staged: DataFrame, clusters: DataFrame, messages: DataFrame, log: Da
         told["batches_done"] += 1
         told["messages_done" if error is None else "failures"] += len(rows)
         on_progress(told | {"elapsed_ms": int((time.monotonic() - began) * 1000)})
-    rows = journal_rows(spark, journal)
-    left = todo.join(rows.filter("outcome <> 'cancelled'").select("staged_action_id", "provider_msg_id").distinct(), ["staged_action_id", "provider_msg_id"], "left_anti")
-    done = rows.select("staged_action_id").distinct().join(left.select("staged_action_id").distinct(), "staged_action_id", "left_anti")
-    if keep_failed:
-        done = done.join(rows.filter("outcome = 'failure'").select("staged_action_id").distinct(), "staged_action_id", "left_anti")
-    done = done.unionByName(_without_messages(staged, clusters, halted).select(F.col("id").alias("staged_action_id")))
-    used = done.withColumn("used", F.lit(True))
-    new = rows.join(used, "staged_action_id", "left").select(
-        "account_id", F.when(F.col("used").isNull(), F.col("staged_action_id")).alias("staged_action_id"), "cluster_key", "provider_msg_id", "action_type", "outcome", "error_message",
-        at.alias("executed_at"), "prior_label_ids", reversal_kind(F.col("action_type"), F.col("outcome")).alias("reversal_kind"), F.lit(None).cast("timestamp").alias("reversed_at"), "staged_at", F.col("staged_action_id").alias("__s"),
-    )
-    new = numbered(new, log, ["staged_at", "__s", "provider_msg_id"]).select(*log.columns)
-    return new, staged.join(done.select(F.col("staged_action_id").alias("id")), "id", "left_anti")
+    return _logged(journal_rows(spark, journal), todo, staged, clusters, log, at, halted, keep_failed)
+
+
+def execute_in_tasks(staged: DataFrame, clusters: DataFrame, messages: DataFrame, log: DataFrame, options: dict[str, str], at: Column, journal: str, chunk: int = CHUNK, tasks: int = 16, keep_failed: bool = False) -> tuple[DataFrame, DataFrame]:
+    """execute() with the calls made by Spark tasks, `tasks` at a time, through the sink of sources.mutations.
+
+    The plan is stored in `journal`, a folder that all machines mount, before the first call, and what a run left undone
+    is taken from there: a task that is run again, or a second run with the same journal, makes no call twice. A message
+    that several staged rows name has its calls in the order of staging: its first one in the first wave of calls, its
+    second one in the next, and waves are made one after the other; calls of one wave have no message in common.
+    options: provider, base_url and token.
+    """
+    from postmill.sources.mutations import outcomes, write_calls
+
+    spark, key, stored = staged.sparkSession, ["staged_action_id", "wave", "chunk"], f"{journal}/plan"
+    order = Window.partitionBy("account_id", "provider_msg_id").orderBy("staged_at", "staged_action_id")
+    rows = with_labels(plan(staged, clusters, chunk), messages).withColumn("wave", F.row_number().over(order) - 1)
+    place = F.row_number().over(Window.partitionBy("staged_action_id", "wave").orderBy("provider_msg_id")) - 1
+    rows = rows.withColumn("chunk", F.floor(place / chunk).cast("long"))
+    if not _exists(spark, f"{stored}/_SUCCESS"):
+        rows.write.mode("overwrite").partitionBy("wave").parquet(stored)
+    todo = spark.read.schema(rows.schema).parquet(stored)
+    waves = todo.agg(F.max("wave")).first()[0]
+    for wave in range(0 if waves is None else waves + 1):
+        calls = todo.filter(F.col("wave") == wave).groupBy(*key, "action_type").agg(F.array_sort(F.collect_list("provider_msg_id")).alias("ids"))
+        write_calls(calls, {**options, "journal": journal}, tasks)
+    made = todo.join(outcomes(spark, journal), key)
+    rows = made.withColumn("prior_label_ids", F.when(F.col("outcome") == "success", F.col("prior_label_ids")))
+    return _logged(rows, todo, staged, clusters, log, at, None, keep_failed)
 
 
 def undo(log: DataFrame, log_id: int, add_labels: Callable[[str, list[str]], None], untrash: Callable[[str], None], as_of: Column) -> tuple[str, DataFrame]:
