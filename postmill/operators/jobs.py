@@ -39,7 +39,9 @@ class Running:
         tag, asked, ended = f"postmill-{uuid.uuid4().hex}", threading.Event(), threading.Event()
         with self._lock:
             self._works[tag] = (account, kind, stop, asked, ended)
-        self.spark.addTag(tag)
+        context = self.spark.sparkContext
+        context.addJobTag(tag)
+        context.setInterruptOnCancel(True)
         try:
             yield asked
         except Exception as e:
@@ -50,7 +52,8 @@ class Running:
             if asked.is_set():
                 raise Interrupted(f"{kind} of {account} was stopped")
         finally:
-            self.spark.removeTag(tag)
+            context.removeJobTag(tag)
+            context.setInterruptOnCancel(False)
             with self._lock:
                 self._works.pop(tag)
             ended.set()
@@ -77,6 +80,6 @@ class Running:
             while not ended.is_set():
                 if time.monotonic() > until:
                     raise EngineError(f"{what} of {account} still goes on")
-                self.spark.interruptTag(tag)
+                self.spark.sparkContext.cancelJobsWithTag(tag)
                 ended.wait(0.1)
         return len(own)
