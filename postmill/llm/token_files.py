@@ -27,8 +27,8 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_i
 
     part is the file's rank; part_start counts the tokens before the document in its own part. encoding:
     'dictionary' (ids as codes of a page dictionary) or 'delta' (bit-packed differences). A null text has the end id
-    alone; a null id comes first; rows of equal id are ordered by text, so repeated rows all stay; an empty table
-    gives files without rows; other columns are not read.
+    alone; a null id comes first; rows of equal id, or of none, are ordered by a hash of their text, then by the text, and
+    may fill several files; repeated rows all stay; an empty table gives files without rows; other columns are not read.
     """
 
     def run(batches):
@@ -46,8 +46,9 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_i
             )
             start += int(at[-1])
 
-    ordered = id_and_text(docs, id_col, text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(run, SCHEMA).write.options(**LAYOUT, **ENCODINGS[encoding], **(layout or {})).parquet(path)
+    place = ["doc_id", "hash"]
+    ordered = id_and_text(docs, id_col, text_col).withColumn("hash", F.xxhash64("text")).repartitionByRange(*place).sortWithinPartitions(*place, "text")
+    ordered.drop("hash").mapInArrow(run, SCHEMA).write.options(**LAYOUT, **ENCODINGS[encoding], **(layout or {})).parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str, first_id: int | None = None, last_id: int | None = None) -> DataFrame:

@@ -327,3 +327,19 @@ def test_redaction_keeps_rows_and_columns(spark):
     out = {r["doc_id"]: r for r in redact_secrets(df).collect()}
     assert redact_secrets(df).columns == df.columns
     assert [out[i]["text"] for i in range(4)] == [None, "", "fine", "[secret] ok"] and out[3]["n_chars"] == 11
+
+
+def test_rows_of_one_id_fill_several_files(spark):
+    """A third of the rows has no id: they are dealt over files, in an order that each file and all files keep."""
+    rows = [(None if i % 3 == 0 else i, f"text {i} of many") for i in range(600)]
+    path = new_path(spark, "null-ids")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        write_tokens(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), path)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    stored = read_tokens(spark, path)
+    assert stored.filter("doc_id is null").select("part").distinct().count() > 1
+    got = sorted(digests(spark, path).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got[:200]] == [None] * 200 and [r["doc_id"] for r in got[200:]] == [i for i in range(600) if i % 3]
+    assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(got[:-1], got[1:]))
