@@ -97,10 +97,12 @@ def pack(items: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_P
 def sized(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, length, source, cluster) of documents: tokens and an end token, and a cluster for each different text.
 
-    A null text is empty; a table without a column source has null sources; other columns are not read.
+    A null text is empty; texts of white space alone are nobody's copies and have no cluster; a table without a column
+    source has null sources; other columns are not read.
     """
+    cluster = F.when(F.col("text").rlike(r"\S"), F.xxhash64("text"))
     docs = docs if "source" in docs.columns else docs.withColumn("source", F.lit(None).cast("string"))
-    named = docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("cluster")).alias("who"), "text")
+    named = docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), cluster.alias("cluster")).alias("who"), "text")
 
     def run(batches):
         counter = worker(Counter, vocabulary)
@@ -112,5 +114,7 @@ def sized(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY) -> DataFrame:
-    """pack() of whole documents by their token counts; equal texts are one duplicate cluster. A null text is empty."""
+    """pack() of whole documents by their token counts; equal texts are one duplicate cluster, but for texts
+    without words, which conflict with each other by their source alone. A null text is empty. Pieces of equal length are
+    packed in the order of (doc_id, piece, cluster, source)."""
     return pack(sized(docs, vocabulary), capacity)

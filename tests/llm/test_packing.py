@@ -94,3 +94,12 @@ def test_documents(spark):
     got = packing.pack_documents(docs).toPandas()
     assert got.groupby("doc_id")["length"].sum().to_dict() == want
     assert got.groupby("bin")["length"].sum().mean() > 0.6 * 4096
+
+
+def test_texts_without_words(spark):
+    """Empty texts of many sources share bins; copies of a text with words don't."""
+    docs = spark.createDataFrame([(i, (None, "", " \n", "copy")[i % 4], f"s{i}") for i in range(40)], "doc_id long, text string, source string")
+    got = packing.pack_documents(docs).toPandas()
+    copies = got[got["doc_id"] % 4 == 3]
+    assert len(got) == 40 and got["bin"].nunique() == 10 == copies["bin"].nunique()
+    assert packing.sized(docs).filter("cluster is null").count() == 30
