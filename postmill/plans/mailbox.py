@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from postmill.functions.numbers import cosine, cosine32, from_bytes, to_bytes
 from postmill.functions.text import embedding_text, model_output, sender_email
 from postmill.operators import actions, audit, classify, clusters, review, store
+from postmill.operators.colocated import colocated
 from postmill.plans import sync as sync_plans
 from postmill.plans import work as work_plans
 from postmill.plans.sync import gmail_body
@@ -37,6 +38,16 @@ LEFT JOIN (SELECT account_id, count(*) AS n FROM x_ostaged GROUP BY 1) t ON t.ac
 LEFT JOIN (SELECT account_id, cluster_key, string_agg(DISTINCT action_type, '+') AS types FROM x_ostaged WHERE provider_msg_id IS NULL GROUP BY 1, 2) s ON s.account_id = f.account_id AND s.cluster_key = f.cluster_key"""
 
 
+def colocated_review(spark, d):
+    """The review queue over members and messages that are bucketed alike."""
+    t = colocated({"members": box.order_members(spark, d), "messages": box.order_messages(spark, d)}, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    q = review.review_queue(t["members"], t["messages"], box.order_classes(spark, d), box.order_staged(spark, d), box.ORDERS_AS_OF_MS)
+    return q.select("account_id", "cluster_key", "category", "member_count", "oldest_age_days", "has_unsubscribe", "sample_subject", "staged_total")
+
+
+SQL["mail_colocated_review"] = f"SELECT account_id, cluster_key, category, member_count, oldest_age_days, has_unsubscribe, sample_subject, staged_total FROM ({SQL['mail_review_queue']}) q"
+
+
 def cluster_summaries(spark, d):
     return clusters.summaries(box.members(spark, d), box.messages(spark, d))
 
@@ -355,7 +366,7 @@ SQL["mail_greedy_clusters"], SQL["mail_merging_clusters"] = (_FOLD.replace("{at}
 
 
 def queries():
-    named = (review_queue, cluster_summaries, cluster_top_messages, message_counts, account_summaries, embedding_status, category_histogram, missing_embeddings, embedding_texts, sender_addresses, gmail_projection, representatives, signatures, model_outputs, action_plan, outcome_counts, recent_log, reversible_log, undo_status, export_csv, export_json, upsert_messages, delete_cascade, stage_actions, delete_account, apply_changes, first_member_cosine, stored_cosine, greedy_clusters, merging_clusters)
+    named = (review_queue, colocated_review, cluster_summaries, cluster_top_messages, message_counts, account_summaries, embedding_status, category_histogram, missing_embeddings, embedding_texts, sender_addresses, gmail_projection, representatives, signatures, model_outputs, action_plan, outcome_counts, recent_log, reversible_log, undo_status, export_csv, export_json, upsert_messages, delete_cascade, stage_actions, delete_account, apply_changes, first_member_cosine, stored_cosine, greedy_clusters, merging_clusters)
     return {f"mail_{f.__name__}": f for f in named} | sync_plans.queries() | work_plans.queries()
 
 
