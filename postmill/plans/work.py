@@ -126,6 +126,22 @@ FROM {_TODO} t JOIN (SELECT *, row_number() OVER (PARTITION BY account_id, clust
 WHERE k <= 25 AND {_NEEDS} GROUP BY 1, 2, 3"""
 
 
+def document_prompts(spark, d):
+    """Prompts for all clusters of the documents' mail, whose snippets are whole texts, shortened where they are long."""
+    todo = classify.to_classify(box.members(spark, d), box.messages(spark, d), store.empty(spark, "cluster_classifications"), "m", "p")
+    return todo.select(*CLUSTER, "member_count", "prompt")
+
+
+_PART = "CASE WHEN length(coalesce({c}, '')) > {n} THEN left({c}, {n}) || '…' ELSE coalesce({c}, '') END"
+SQL["mail_document_prompts"] = f"""
+SELECT t.account_id, t.cluster_key, member_count, 'Name the one category that fits this group of messages. Categories: {", ".join(CATEGORIES)}.' || chr(10) || 'Group: ' || t.cluster_key || chr(10) || 'Size: ' || member_count || chr(10)
+  || string_agg('Message ' || rank || chr(10) || '  sender: ' || {_PART.format(c="sender", n=200)} || chr(10) || '  subject: ' || {_PART.format(c="subject", n=200)} || chr(10) || '  snippet: ' || {_PART.format(c="snippet", n=400)}, chr(10) ORDER BY rank) AS prompt
+FROM (SELECT account_id, cluster_key, count(*) AS member_count FROM x_members GROUP BY 1, 2) t
+JOIN (SELECT m.account_id, m.cluster_key, sender, subject, snippet, row_number() OVER (PARTITION BY m.account_id, m.cluster_key ORDER BY centroid_cosine DESC, m.doc_id DESC) AS rank
+  FROM x_members m JOIN x_messages g ON g.account_id = m.account_id AND g.provider_msg_id = m.provider_msg_id) r ON r.account_id = t.account_id AND r.cluster_key = t.cluster_key AND rank <= 3
+GROUP BY 1, 2, 3"""
+
+
 def _client():
     def ask(prompt):
         if "few" in prompt:
@@ -244,5 +260,5 @@ SQL["mail_point_lookups"] = "SELECT account_id, provider_msg_id, subject FROM x_
 
 
 def queries():
-    named = (action_chunks, planned_messages, execution, left_staged, staged_listing, unstaged, table_counts, prompts, classification, propagated, embedded, upsert_members, undone, label_effects, cluster_keys, point_lookups)
+    named = (action_chunks, planned_messages, execution, left_staged, staged_listing, unstaged, table_counts, prompts, document_prompts, classification, propagated, embedded, upsert_members, undone, label_effects, cluster_keys, point_lookups)
     return {f"mail_{f.__name__}": f for f in named}
