@@ -51,11 +51,11 @@ def data(seed=2):
     return [*docs, (-1, None), (-2, ""), (-3, "same same same same the")], items
 
 
-@pytest.mark.parametrize("limits", [{}, {"pass_words": 90}, {"most": 7}])
+@pytest.mark.parametrize("limits", [{}, {"pass_words": 90}, {"most": 7}, {"windows": 5}])
 def test_against_plain_search(spark, monkeypatch, limits):
-    monkeypatch.setattr(dc.build_index, "__defaults__", (400, dc.build_index.__defaults__[1]))
-    monkeypatch.setattr(dc.phrase_hits, "__defaults__", (limits.get("most", 1 << 20),))
-    limits = {k: v for k, v in limits.items() if k != "most"}
+    monkeypatch.setattr(dc.build_index, "__defaults__", (400, *dc.build_index.__defaults__[1:]))
+    monkeypatch.setattr(dc.phrase_hits, "__defaults__", (limits.get("most", 1 << 20), limits.get("windows", 1 << 16)))
+    limits = {k: v for k, v in limits.items() if k == "pass_words"}
     docs, items = data()
     df = spark.createDataFrame([(d, t, 1) for d, t in docs], "doc_id long, text string, item_id int").repartition(4)
     bench = spark.createDataFrame([(i, t, 0) for i, t in items], "item_id long, text string, doc_id int")
@@ -100,7 +100,7 @@ def plain_near(docs, items):
 @pytest.mark.parametrize("limits", [{}, {"pass_words": 90}])
 def test_near_against_plain_search(spark, monkeypatch, limits):
     """Quotes of 13 words and fewer at every offset of an item of 40 words, with changed and moved words; short items; short documents."""
-    monkeypatch.setattr(dc.build_index, "__defaults__", (300, dc.build_index.__defaults__[1]))
+    monkeypatch.setattr(dc.build_index, "__defaults__", (300, *dc.build_index.__defaults__[1:]))
     rng = random.Random(4)
     vocab = ["the", "of", "and"] * 6 + [f"w{i}" for i in range(50)]
     long_, short, other = [f"q{i}" for i in range(40)], ["s1", "s2", "of", "s4", "s5", "s6"], rng.choices(vocab, k=150)
@@ -167,3 +167,30 @@ def test_query_with_near_matches(spark, tmp_path):
         assert sorted(tuple(r[c] for c in want.columns) for r in got.collect()) == sorted(want.fetchall()), name
     got = {r["doc_id"]: r["near_items"] for r in entry.queries()["op8_positional_index"](spark, str(tmp_path)).collect()}
     assert got[1] == got[3] == got[4] == "" and got[2] == "9" and got[5] == "7" and len([v for v in got.values() if v]) > 10
+
+
+def test_one_index_for_two_benchmarks(spark):
+    """The index has every word's positions, and knows no benchmark."""
+    docs, items = data(5)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    index = dc.build_index(df, block_words=500)
+    for own in (items[:30], items[30:], [(1, "no such words")]):
+        bench = spark.createDataFrame(own, "item_id long, text string")
+        got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in dc.contamination_by(index, bench).collect()}
+        assert got == plain(docs, own)
+    held = {}
+    for r in index.filter("term <> ''").collect():
+        held[r["term"]] = held.get(r["term"], 0) + len(r["positions"]) // 4
+    want = {}
+    for _, t in docs:
+        for w in words(t):
+            want[w] = want.get(w, 0) + 1
+    assert held == want
+
+
+def test_index_with_too_small_gaps(spark):
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "a b")], "item_id long, text string")
+    with pytest.raises(Exception, match="gaps of 13 words"):
+        dc.contamination_by(dc.build_index(docs, gap=13), bench).collect()
+    assert dc.contamination_by(dc.build_index(docs, gap=13), bench, near=None).first()["n_hit"] == 2
