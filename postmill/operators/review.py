@@ -39,14 +39,24 @@ def proposals(category: Column, confidence: Column, members: Column, age: Column
     return F.when(sure, F.filter(each, lambda x: x.isNotNull())).otherwise(F.array().cast("array<struct<action:string,reason:string>>"))
 
 
+def unsubscribable() -> Column:
+    """Whether a message's labels name a way to unsubscribe."""
+    return F.coalesce(F.exists("label_ids", lambda x: F.lower(x).contains("list-unsubscribe")), F.lit(False))
+
+
 def review_queue(clusters: DataFrame, messages: DataFrame, classes: DataFrame, staged: DataFrame, as_of_ms: int, rules: Rules = Rules()) -> DataFrame:
     """One row for each cluster, the largest of each account first. Members are summed before anything is joined to
     them; the sample is the oldest one; staged_total counts all that is staged for the account."""
-    flag = F.exists("label_ids", lambda x: F.lower(x).contains("list-unsubscribe"))
     oldest = F.min_by(F.struct("sender", "subject"), F.struct("internal_date", "provider_msg_id"))
     facts = clusters.join(messages, KEYS).groupBy("account_id", "cluster_key").agg(
-        F.count("*").alias("member_count"), F.min("internal_date").alias("oldest"), F.max(F.coalesce(flag, F.lit(False))).alias("has_unsubscribe"), oldest.alias("s")
+        F.count("*").alias("member_count"), F.min("internal_date").alias("oldest"), F.max(unsubscribable()).alias("has_unsubscribe"), oldest.alias("s")
     )
+    return queue(facts, classes, staged, as_of_ms, rules)
+
+
+def queue(facts: DataFrame, classes: DataFrame, staged: DataFrame, as_of_ms: int, rules: Rules = Rules()) -> DataFrame:
+    """The review queue over facts of clusters (account_id, cluster_key, member_count, oldest, has_unsubscribe, and s, the
+    sample's sender and subject), however they came about."""
     kept = classes.select("account_id", "cluster_key", "category", "confidence")
     types = staged.filter("provider_msg_id is null").groupBy("account_id", "cluster_key").agg(F.array_sort(F.collect_set("action_type")).alias("staged_types"))
     total = staged.groupBy("account_id").agg(F.count("*").alias("staged_total"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from postmill.functions.numbers import cosine, cosine32, from_bytes, to_bytes
 from postmill.functions.text import embedding_text, model_output, sender_email
-from postmill.operators import actions, audit, classify, clusters, review, store
+from postmill.operators import actions, audit, classify, clusters, review, review_facts, store
 from postmill.operators.colocated import colocated
 from postmill.plans import sync as sync_plans
 from postmill.plans import work as work_plans
@@ -48,6 +48,28 @@ def colocated_review(spark, d):
 SQL["mail_colocated_review"] = f"SELECT account_id, cluster_key, category, member_count, oldest_age_days, has_unsubscribe, sample_subject, staged_total FROM ({SQL['mail_review_queue']}) q"
 
 
+#: Mail that goes: some of every sender's, and all old mail of some senders; mail that is dated again.
+_PURGED = f"(history_id % 7 = 3 OR (sender_email LIKE 'p1%' AND internal_date < {1995 * 365 * 86_400_000}))"
+_REDATED = "history_id % 11 = 5"
+
+
+def review_increments(spark, d):
+    """The review queue after changes, from the facts before them and the changed messages."""
+    members, messages = box.order_members(spark, d), box.order_messages(spark, d)
+    facts = store.settled(review_facts.facts_of(review_facts.member_rows(members, messages)), "review-facts")
+    later = messages.filter(f"NOT {_PURGED}").withColumn("internal_date", F.when(F.expr(_REDATED), F.col("internal_date") + 40 * 86_400_000).otherwise(F.col("internal_date")))
+    moved = f"{_PURGED} OR {_REDATED}"
+    before = review_facts.member_rows(members, messages.filter(moved))
+    after = review_facts.member_rows(members, later.filter(_REDATED))
+    facts = review_facts.changed(facts, review_facts.deltas(before, after), members, later)
+    q = review.queue(review_facts.for_queue(facts), box.order_classes(spark, d), box.order_staged(spark, d), box.ORDERS_AS_OF_MS)
+    return q.select("account_id", "cluster_key", "category", "member_count", "oldest_age_days", "has_unsubscribe", "sample_sender", "sample_subject", "staged_total")
+
+
+_LATER = f"(SELECT * REPLACE (internal_date + CASE WHEN {_REDATED} THEN {40 * 86_400_000} ELSE 0 END AS internal_date) FROM x_omail WHERE NOT {_PURGED}) o"
+SQL["mail_review_increments"] = f"SELECT account_id, cluster_key, category, member_count, oldest_age_days, has_unsubscribe, sample_sender, sample_subject, staged_total FROM ({SQL['mail_review_queue'].replace('FROM x_omail', 'FROM ' + _LATER)}) q"
+
+
 def cluster_summaries(spark, d):
     return clusters.summaries(box.members(spark, d), box.messages(spark, d))
 
@@ -366,7 +388,7 @@ SQL["mail_greedy_clusters"], SQL["mail_merging_clusters"] = (_FOLD.replace("{at}
 
 
 def queries():
-    named = (review_queue, colocated_review, cluster_summaries, cluster_top_messages, message_counts, account_summaries, embedding_status, category_histogram, missing_embeddings, embedding_texts, sender_addresses, gmail_projection, representatives, signatures, model_outputs, action_plan, outcome_counts, recent_log, reversible_log, undo_status, export_csv, export_json, upsert_messages, delete_cascade, stage_actions, delete_account, apply_changes, first_member_cosine, stored_cosine, greedy_clusters, merging_clusters)
+    named = (review_queue, colocated_review, review_increments, cluster_summaries, cluster_top_messages, message_counts, account_summaries, embedding_status, category_histogram, missing_embeddings, embedding_texts, sender_addresses, gmail_projection, representatives, signatures, model_outputs, action_plan, outcome_counts, recent_log, reversible_log, undo_status, export_csv, export_json, upsert_messages, delete_cascade, stage_actions, delete_account, apply_changes, first_member_cosine, stored_cosine, greedy_clusters, merging_clusters)
     return {f"mail_{f.__name__}": f for f in named} | sync_plans.queries() | work_plans.queries()
 
 
