@@ -4,12 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from postmill.functions.text import csv_field
+from postmill.operators.store import placed
 
-# Fixed value: rows of an export at most.
-EXPORT_ROWS = 100_000
 # Columns of the CSV export, in order.
 CSV_COLUMNS = ("id", "executed_at", "outcome", "action_type", "cluster_key", "provider_msg_id", "reversed_at", "error_message")
 
@@ -27,27 +25,26 @@ def reversible(log: DataFrame, limit: int = 100, account: str | None = None) ->
     return recent(log.filter("reversal_kind is not null and reversed_at is null and outcome = 'success'"), limit, account)
 
 
-def _lines(rows: DataFrame, head: str, line, tail: str | None = None) -> DataFrame:
-    """(n, line): the head, then the rows' lines newest first, then the tail. At most EXPORT_ROWS rows, so that one task
-    numbers them."""
-    spark = rows.sparkSession
-    w = Window.orderBy(F.desc("executed_at"), F.desc("id"))
-    numbered = rows.withColumn("n", F.row_number().over(w).cast("long"))
-    out = spark.createDataFrame([(0, head)], "n long, line string").unionByName(numbered.select("n", line.alias("line")))
+def _lines(log: DataFrame, limit: int | None, account: str | None, head: str, line, tail: str | None = None) -> DataFrame:
+    """(n, line): the head, then a line for each row, newest first, then the tail. line takes whether a row is the last;
+    the lines are numbered by ranges of the order, so that there may be any number of them."""
+    spark = log.sparkSession
+    own = log if account is None else log.filter(F.col("account_id") == account)
+    rows, n = placed(own if limit is None else recent(own, limit), [F.desc("executed_at"), F.desc("id")])
+    place = F.col("__place") + 1
+    out = spark.createDataFrame([(0, head)], "n long, line string").unionByName(rows.select(place.alias("n"), line(place == n).alias("line")))
     return out if tail is None else out.unionByName(spark.createDataFrame([((1 << 62), tail)], "n long, line string"))
 
 
-def export_json(log: DataFrame, limit: int = EXPORT_ROWS, account: str | None = None) -> DataFrame:
-    """(n, line) of one JSON array, an object a line, newest first; nulls are written."""
-    rows = recent(log, limit, account)
-    last = F.lead("id").over(Window.orderBy(F.desc("executed_at"), F.desc("id"))).isNull()
-    value = F.concat(F.to_json(F.struct(*log.columns), {"ignoreNullFields": "false"}), F.when(F.col("__last"), F.lit("")).otherwise(F.lit(",")))
-    return _lines(rows.withColumn("__last", last), "[", value, "]")
+def export_json(log: DataFrame, limit: int | None = None, account: str | None = None) -> DataFrame:
+    """(n, line) of one JSON array, an object a line, newest first; nulls are written. All rows, or the newest `limit`."""
+    value = F.to_json(F.struct(*log.columns), {"ignoreNullFields": "false"})
+    return _lines(log, limit, account, "[", lambda last: F.concat(value, F.when(last, F.lit("")).otherwise(F.lit(","))), "]")
 
 
-def export_csv(log: DataFrame, limit: int = EXPORT_ROWS, account: str | None = None) -> DataFrame:
-    """(n, line) of a CSV file: its header, then a row a line, newest first."""
-    return _lines(recent(log, limit, account), ",".join(CSV_COLUMNS), F.concat_ws(",", *[csv_field(F.col(c)) for c in CSV_COLUMNS]))
+def export_csv(log: DataFrame, limit: int | None = None, account: str | None = None) -> DataFrame:
+    """(n, line) of a CSV file: its header, then a row a line, newest first. All rows, or the newest `limit`."""
+    return _lines(log, limit, account, ",".join(CSV_COLUMNS), lambda last: F.concat_ws(",", *[csv_field(F.col(c)) for c in CSV_COLUMNS]))
 
 
 def table_counts(embeddings: DataFrame, classes: DataFrame, staged: DataFrame) -> DataFrame:

@@ -108,20 +108,25 @@ def upsert_embeddings(messages: DataFrame, base: DataFrame, delta: DataFrame, at
     return stamped, upsert(base, delta, keys)
 
 
-def numbered(new: DataFrame, log: DataFrame, order: list[str]) -> DataFrame:
-    """new with ids that go on after log's largest, in the given order.
+def placed(df: DataFrame, order: list) -> tuple[DataFrame, int]:
+    """df with each row's place in the given order (column __place, from 0), and how many rows there are.
 
     Row numbers are counted within ranges of the order and shifted by the ranges' sizes: no task gets all rows.
     """
-    top = log.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    ranged = new.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
     ranged = settled(ranged, "numbered")
-    base, rows = top + 1, []
+    base, rows = 0, []
     for r in sorted(ranged.groupBy("__part").count().collect(), key=lambda r: r["__part"]):
         rows.append((r["__part"], base))
         base += r["count"]
-    bases = new.sparkSession.createDataFrame(rows, "__part int, __base long")
-    return ranged.join(F.broadcast(bases), "__part").withColumn("id", F.col("__base") + F.col("__at")).drop("__part", "__at", "__base")
+    bases = df.sparkSession.createDataFrame(rows, "__part int, __base long")
+    return ranged.join(F.broadcast(bases), "__part").withColumn("__place", F.col("__base") + F.col("__at")).drop("__part", "__at", "__base"), base
+
+
+def numbered(new: DataFrame, log: DataFrame, order: list[str]) -> DataFrame:
+    """new with ids that go on after log's largest, in the given order."""
+    top = log.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    return placed(new, order)[0].withColumn("id", F.col("__place") + top + 1).drop("__place")
 
 
 #: Parts of each account's tables that are rewritten for themselves, by a hash of the message.
