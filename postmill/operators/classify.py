@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from postmill.functions.text import cluster_prompt, embedding_text, model_output
 from postmill.operators.clusters import missing_embeddings
-from postmill.operators.store import empty, exists, settled, upsert
+from postmill.operators.store import empty, exists, gathered, settled, upsert
 from postmill.schema import TABLES, DimensionError, EngineError
 
 KEYS = ["account_id", "provider_msg_id"]
@@ -55,7 +55,7 @@ def signatures(clusters: DataFrame) -> DataFrame:
     don't fit, and streamed through the digest's state, which is all that is held. Null ids count as members but aren't
     digested; a null key has no digest.
     """
-    dealt = clusters.select(*CLUSTER, "provider_msg_id").repartition(*CLUSTER).sortWithinPartitions(*CLUSTER, "provider_msg_id")
+    dealt = gathered(clusters.select(*CLUSTER, "provider_msg_id"), CLUSTER, ["provider_msg_id"])
     return dealt.mapInArrow(_digest, "account_id string, cluster_key string, member_count long, cluster_signature string")
 
 

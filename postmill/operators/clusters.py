@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postmill.functions.text import cluster_key
+from postmill.operators.store import gathered
 
 # A bucket below this size is one cluster; the similarity at which a message joins.
 MIN_SPLIT, JOIN_AT = 4, 0.85
@@ -84,7 +85,7 @@ def greedy_clusters(messages: DataFrame, embeddings: DataFrame, threshold: float
     one task, one after the other, which holds the sender's centroids only.
     """
     rows = messages.join(embeddings.select(*KEYS, "embedding"), KEYS).withColumn("bucket", F.coalesce("sender_email", F.lit("")))
-    dealt = rows.repartition("account_id", "bucket").sortWithinPartitions("account_id", "bucket", "internal_date", "provider_msg_id")
+    dealt = gathered(rows, ["account_id", "bucket"], ["internal_date", "provider_msg_id"])
     out = dealt.select("account_id", "bucket", "provider_msg_id", "embedding").mapInArrow(_fold(threshold, min_split), "account_id string, bucket string, provider_msg_id string, part int, centroid_cosine float")
     return out.select("account_id", "provider_msg_id", cluster_key(F.col("account_id"), F.col("bucket"), F.col("part")).alias("cluster_key"), "centroid_cosine")
 

@@ -34,6 +34,14 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def gathered(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """df with the rows of each key side by side in one partition, in the given order.
+
+    They are dealt by a hash that no join has: behind a join on the keys themselves Spark takes the join's partitions, of
+    which it splits the large ones."""
+    return df.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys, *order)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)

@@ -1,8 +1,10 @@
 """What only tables beyond some size show: exports without an end, groups that joins would split, long pages."""
 
+import hashlib
+
 from pyspark.sql import functions as F
 
-from postmill.operators import audit
+from postmill.operators import audit, classify, store
 from postmill.schema import TABLES
 
 
@@ -19,3 +21,23 @@ def test_exports_have_all_rows(spark):
     assert sorted((r["n"], r["line"]) for r in few.collect()) == [(0, "["), (1, '{"id":99999,"account_id":"a"},'), (2, '{"id":98999,"account_id":"a"}'), (1 << 62, "]")]
     every = audit.export_json(log.select("id", "executed_at"))
     assert every.count() == n + 2 and every.filter("line like '%}'").count() == 1
+
+
+def test_clusters_that_a_join_splits(spark, tmp_path):
+    """A cluster is one row also where Spark splits its partition in the join before."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k"}
+    before = {k: spark.conf.get(k) for k in conf}
+    members = spark.range(40_000, numPartitions=8).selectExpr("'a' account_id", "concat('m', lpad(id, 6, '0')) provider_msg_id", "if(id % 50 = 0, concat('c', id % 500), 'big') cluster_key", "cast(1 as float) centroid_cosine")
+    members.write.parquet(str(tmp_path / "m"))
+    members = spark.read.parquet(str(tmp_path / "m"))
+    messages = members.select("account_id", "provider_msg_id", F.lit("s").alias("sender"), F.lit("t").alias("subject"), F.lit("x").alias("snippet"), F.lit(1).cast("long").alias("internal_date"))
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = {r["cluster_key"]: r for r in classify.to_classify(members, messages, store.empty(spark, "cluster_classifications"), "m", "p", most=25).collect()}
+        n = classify.to_classify(members, messages, store.empty(spark, "cluster_classifications"), "m", "p", most=25).count()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert n == len(got) == 11 and got["big"]["member_count"] == 39_200
+    assert got["big"]["cluster_signature"] == hashlib.sha256(("big|" + "".join(f"m{i:06}," for i in range(40_000) if i % 50)).encode()).hexdigest()
