@@ -255,13 +255,14 @@ SQL["mail_mirror_accounts"] = "SELECT account_id, CASE WHEN account_id < 'a2' TH
 
 
 def stream_sync(spark, d):
-    """Landed pages through the stream into stored tables: a first walk, then one history page for each account."""
+    """Landed pages through the stream into stored tables: a first walk, then the whole feed as one step of each account,
+    its deletes before all else: history pages of deletes first, then those of upserts."""
     where = store.scratch(spark, "stream")
     known = message_bodies(spark, d).select(*KEYS, "body")
     changed = known.withColumn("body", F.regexp_replace("body", '"value":"[^"]* (en|de|fr|es) ', '"value":"changed '))
     list_pages(spark, d).write.json(f"{where}/landed", mode="append")
     sync.run(spark, f"{where}/landed", f"{where}/tables", f"{where}/checkpoint", lambda ids: ids.join(known, KEYS).select("account_id", "body"), moment, 4)
-    one = events(spark, d).withColumn("page", F.lit(0).cast("long"))
+    one = events(spark, d).withColumn("page", F.col("page") + F.when(F.col("op") == "upsert", F.lit(1 << 40)).otherwise(F.lit(0)))
     ref = F.array(F.struct(F.struct(F.col("provider_msg_id").alias("id")).alias("message")))
     record = F.struct(F.when(F.col("op") == "delete", ref).alias("messagesDeleted"), F.when(F.col("op") == "upsert", ref).alias("labelsAdded"))
     page = one.groupBy("account_id", "page").agg(F.collect_list(record).alias("history")).select("account_id", F.lit("gmail_history").alias("kind"), "page", F.to_json(F.struct("history", F.lit("77").alias("historyId"))).alias("body"))

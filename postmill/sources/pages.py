@@ -15,6 +15,12 @@ from postmill.schema import GMAIL_HISTORY, GMAIL_LIST, GMAIL_MESSAGE, GRAPH_DELT
 # Attempts and waits in seconds, for reads and for writes.
 READ_RETRY, WRITE_RETRY = (4, 0.5, 1e9), (5, 1.0, 32.0)
 
+#: Options for JSON with strings of any length. Without them Spark reads a row with a longer one than 20 million
+#: characters, such as a large page's body, as nulls.
+LONG = {"maxStringLen": str(2**31 - 1)}
+#: For landed pages: a line that isn't JSON ends the run, as a page passed over would never be asked for again.
+WHOLE = LONG | {"mode": "FAILFAST"}
+
 
 def none() -> Column:
     return F.array().cast("array<string>")
@@ -37,14 +43,14 @@ def with_retry(call: Callable[[], object], retry: tuple[int, float, float] = REA
 def listed(pages: DataFrame) -> DataFrame:
     """(account_id, ..., id, thread_id) of list pages (account_id, ..., body); a page without messages gives none."""
     more = [c for c in pages.columns if c != "body"]
-    page = F.from_json("body", GMAIL_LIST)
+    page = F.from_json("body", GMAIL_LIST, LONG)
     return pages.select(*more, F.explode(page["messages"]).alias("m")).select(*more, F.col("m.id").alias("id"), F.col("m.threadId").alias("thread_id"))
 
 
 def gmail_messages(bodies: DataFrame) -> DataFrame:
     """Message rows of (account_id, body, ...) with one message's metadata each; further columns stay in front."""
     more = [c for c in bodies.columns if c not in ("account_id", "body")]
-    m = bodies.select("account_id", *more, F.from_json("body", GMAIL_MESSAGE).alias("m"))
+    m = bodies.select("account_id", *more, F.from_json("body", GMAIL_MESSAGE, LONG).alias("m"))
     sender = header(F.col("m.payload.headers"), "From")
     return m.select(
         "account_id", *more, F.col("m.id").alias("provider_msg_id"), F.col("m.threadId").alias("thread_id"), F.when(sender != "", sender).alias("sender"), sender_email(sender).alias("sender_email"),
@@ -56,7 +62,7 @@ def gmail_messages(bodies: DataFrame) -> DataFrame:
 def page_refs(pages: DataFrame) -> DataFrame:
     """(account_id, page, op, provider_msg_id) of history pages (account_id, page, body), also of a stream: 'delete', or
     'fetch' for what was added or had labels added or removed; each id once a page and kind."""
-    h = pages.select("account_id", "page", F.from_json("body", GMAIL_HISTORY)["history"].alias("h"))
+    h = pages.select("account_id", "page", F.from_json("body", GMAIL_HISTORY, LONG)["history"].alias("h"))
 
     def of(name: str) -> Column:
         return F.transform("h", lambda x: F.coalesce(F.transform(x.getField(name), lambda r: r["message"]["id"]), none()))
@@ -103,7 +109,7 @@ def graph_messages(bodies: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def graph_changes(pages: DataFrame) -> DataFrame:
     """FEED rows of delta pages (account_id, page, body): deletes for removals, upserts in the page's order."""
-    m = pages.select("account_id", "page", F.posexplode(F.from_json("body", GRAPH_DELTA)["value"]).alias("seq", "m")).withColumn("seq", F.col("seq").cast("long"))
+    m = pages.select("account_id", "page", F.posexplode(F.from_json("body", GRAPH_DELTA, LONG)["value"]).alias("seq", "m")).withColumn("seq", F.col("seq").cast("long"))
     gone = F.col("m.`@removed`").isNotNull()
     rows = _graph_rows(m.filter(~gone), ["page", "seq"]).withColumn("op", F.lit("upsert"))
     return rows.unionByName(m.filter(gone).select("account_id", "page", "seq", F.col("m.id").alias("provider_msg_id"), F.lit("delete").alias("op")), allowMissingColumns=True)
@@ -112,7 +118,7 @@ def graph_changes(pages: DataFrame) -> DataFrame:
 def links(pages: DataFrame) -> DataFrame:
     """(account_id, kind, page, next, delta, history_id) of landed pages: tokens to go on with, and the history id of a
     history page (null if it isn't a number)."""
-    page, delta = F.from_json("body", GMAIL_HISTORY), F.from_json("body", GRAPH_DELTA)
+    page, delta = F.from_json("body", GMAIL_HISTORY, LONG), F.from_json("body", GRAPH_DELTA, LONG)
     graph = F.col("kind") == "graph_delta"
     return pages.select(
         "account_id", "kind", "page", F.when(graph, delta.getField("@odata.nextLink")).otherwise(page["nextPageToken"]).alias("next"),

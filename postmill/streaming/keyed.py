@@ -170,7 +170,7 @@ def feed(spark: SparkSession, landed: str, messages: DataFrame, bodies: DataFram
         df.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{checkpoint}/{name}").outputMode("append").trigger(availableNow=True).start().awaitTermination()
 
     with state_store(spark):
-        source = spark.readStream.schema(LANDED).option("maxFilesPerTrigger", files).json(landed)
+        source = spark.readStream.schema(LANDED).options(maxFilesPerTrigger=files, **pages.WHOLE).json(landed)
         finish(in_turn(source, stalled_ms), turns, "turns")
         finish(folded_stream(changes_in_turn(spark.readStream.schema(TURNS).parquet(turns), bodies), messages), log, "fold")
 

@@ -139,12 +139,12 @@ def run(spark: SparkSession, landed: str | DataFrame, root: str, checkpoint: str
 
     def batch(files: DataFrame, number: int) -> None:
         files = files.persist()
-        asked = wanted(files)
+        asked = wanted(files).groupBy(*KEYS).agg(F.max("page").alias("page"))  # one body, whichever of the pages named it
         run_id = json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
         where = f"{store.root}/_fetched/{run_id}-batch-{number}"
         p, fs = store._files(f"{where}/_SUCCESS")
         if not fs.exists(p):
-            fetch(asked.select(*KEYS).distinct()).write.mode("overwrite").parquet(where)
+            fetch(asked.select(*KEYS)).write.mode("overwrite").parquet(where)
         kept = spark.read.schema("account_id string, body string").parquet(where)
         own = kept.withColumn("provider_msg_id", F.get_json_object("body", "$.id"))
         bodies = asked.join(own, KEYS).select("account_id", "page", "body").persist()
@@ -158,6 +158,6 @@ def run(spark: SparkSession, landed: str | DataFrame, root: str, checkpoint: str
         for df in (files, bodies, changes, touched):
             df.unpersist()
 
-    source = spark.readStream.schema(LANDED).json(landed) if isinstance(landed, str) else landed
+    source = spark.readStream.schema(LANDED).options(**pages.WHOLE).json(landed) if isinstance(landed, str) else landed
     query = source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()

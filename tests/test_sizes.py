@@ -1,11 +1,14 @@
 """What only tables beyond some size show: exports without an end, groups that joins would split, long pages."""
 
 import hashlib
+import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from postmill.operators import audit, classify, store
 from postmill.schema import TABLES
+from postmill.streaming import sync
 
 
 def test_exports_have_all_rows(spark):
@@ -41,3 +44,20 @@ def test_clusters_that_a_join_splits(spark, tmp_path):
             spark.conf.set(k, v)
     assert n == len(got) == 11 and got["big"]["member_count"] == 39_200
     assert got["big"]["cluster_signature"] == hashlib.sha256(("big|" + "".join(f"m{i:06}," for i in range(40_000) if i % 50)).encode()).hexdigest()
+
+
+def test_long_pages_are_not_lost(spark, tmp_path):
+    """A history page of more than 20 million characters is applied; a landed line that isn't JSON ends the run."""
+    body = json.dumps({"history": [{"id": "1", "labelsAdded": [{"message": {"id": "m1"}}]}], "historyId": "9", "more": "x" * 20_500_000})
+    (tmp_path / "landed").mkdir()
+    (tmp_path / "landed/1.json").write_text(json.dumps({"account_id": "a", "kind": "gmail_history", "page": 0, "body": body}) + "\n")
+    own = json.dumps({"id": "m1", "threadId": "t", "historyId": "3", "payload": {"headers": [{"name": "Subject", "value": "s"}]}})
+    fetch = lambda ids: ids.select("account_id", F.lit(own).alias("body"))
+    run = lambda: sync.run(spark, f"{tmp_path}/landed", f"{tmp_path}/tables", f"{tmp_path}/c", fetch, buckets=2)
+    run()
+    tables = store.Tables(spark, f"{tmp_path}/tables", 2)
+    assert [(r["provider_msg_id"], r["subject"]) for r in tables.read("messages").collect()] == [("m1", "s")]
+    assert tables.read("sync_state").first()["last_history_id"] == 9
+    (tmp_path / "landed/2.json").write_text('{"account_id": "a", "kind"\n')
+    with pytest.raises(Exception, match="MALFORMED_RECORD|FAILFAST"):
+        run()
