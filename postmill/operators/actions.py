@@ -1,4 +1,4 @@
-"""Staged actions to plans, journalled outcomes and their undoing. Side effects happen in a loop on the driver."""
+"""Staged actions to plans, journalled outcomes and their undoing. Calls are made by tasks, or one by one by the driver."""
 
 from __future__ import annotations
 
@@ -137,8 +137,9 @@ def _logged(rows: DataFrame, todo: DataFrame, staged: DataFrame, clusters: DataF
 def execute(staged: DataFrame, clusters: DataFrame, messages: DataFrame, log: DataFrame, call: Callable[[str, list[str]], None], at: Column, journal: str, chunk: int = CHUNK, stop: threading.Event | None = None, keep_failed: bool = False, on_progress: Callable[[dict], None] = lambda p: None) -> tuple[DataFrame, DataFrame]:
     """New log rows, and staged without what was carried out. Raises nothing for calls that fail.
 
-    The driver takes one chunk after the other out of a single sorted pass over the plan and holds one at a time, so that
-    no retried task can repeat a call. call(action, ids) raises on failure. Each call's outcome is appended to `journal`
+    For plans that a user waits for; execute_in_tasks() is for large ones, as here all messages go through the driver. It
+    takes one chunk after the other out of a single sorted pass over the plan and holds one at a time, so that no retried
+    task can repeat a call. call(action, ids) raises on failure. Each call's outcome is appended to `journal`
     (a folder of this execution) before the next one is made: after a lost driver, execute() with the same journal goes
     on behind the calls that were logged. Prior labels are kept for successes. `stop` is looked at before each item
     (then nothing is logged) and each chunk (that chunk is logged as cancelled); the rest stays staged. An item whose
@@ -184,14 +185,15 @@ def execute(staged: DataFrame, clusters: DataFrame, messages: DataFrame, log: Da
     return _logged(journal_rows(spark, journal), todo, staged, clusters, log, at, halted, keep_failed)
 
 
-def execute_in_tasks(staged: DataFrame, clusters: DataFrame, messages: DataFrame, log: DataFrame, options: dict[str, str], at: Column, journal: str, chunk: int = CHUNK, tasks: int = 16, keep_failed: bool = False) -> tuple[DataFrame, DataFrame]:
+def execute_in_tasks(staged: DataFrame, clusters: DataFrame, messages: DataFrame, log: DataFrame, options: dict[str, str], at: Column, journal: str, chunk: int = CHUNK, tasks: int = 16, keep_failed: bool = False, make: Callable[[dict], Callable[[str, list[str]], None]] | None = None) -> tuple[DataFrame, DataFrame]:
     """execute() with the calls made by Spark tasks, `tasks` at a time, through the sink of sources.mutations.
 
     The plan is stored in `journal`, a folder that all machines mount, before the first call, and what a run left undone
     is taken from there: a task that is run again, or a second run with the same journal, makes no call twice. A message
     that several staged rows name has its calls in the order of staging: its first one in the first wave of calls, its
     second one in the next, and waves are made one after the other; calls of one wave have no message in common.
-    options: provider, base_url and token.
+    options: provider, base_url and token; or make, which takes the options in a task and returns what makes a call. The
+    driver gets no messages, however many there are.
     """
     from postmill.sources.mutations import outcomes, write_calls
 
@@ -206,7 +208,7 @@ def execute_in_tasks(staged: DataFrame, clusters: DataFrame, messages: DataFrame
     waves = todo.agg(F.max("wave")).first()[0]
     for wave in range(0 if waves is None else waves + 1):
         calls = todo.filter(F.col("wave") == wave).groupBy(*key, "action_type").agg(F.array_sort(F.collect_list("provider_msg_id")).alias("ids"))
-        write_calls(calls, {**options, "journal": journal}, tasks)
+        write_calls(calls, {**options, "journal": journal}, tasks, make)
     made = todo.join(outcomes(spark, journal), key)
     rows = made.withColumn("prior_label_ids", F.when(F.col("outcome") == "success", F.col("prior_label_ids")))
     return _logged(rows, todo, staged, clusters, log, at, None, keep_failed)

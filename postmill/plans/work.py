@@ -43,16 +43,20 @@ def planned_messages(spark, d):
 SQL["mail_planned_messages"] = f"SELECT account_id, count(*) AS messages FROM {_PLAN} p GROUP BY 1"
 
 
-def _call(action, ids):
+def _provider(options):
     """A provider that has no bin."""
-    if action == "trash":
-        raise RuntimeError("http 500")
+
+    def call(action, ids):
+        if action == "trash":
+            raise RuntimeError("http 500")
+
+    return call
 
 
 def execution(spark, d):
     """All staged actions executed against a provider that refuses to trash: the new log rows."""
     staged, log = order_staged(spark, d), store.empty(spark, "actions_log")
-    new, _ = actions.execute(staged, box.order_members(spark, d), box.order_messages(spark, d), log, _call, moment(), store.scratch(spark, "journal"))
+    new, _ = actions.execute_in_tasks(staged, box.order_members(spark, d), box.order_messages(spark, d), log, {}, moment(), store.scratch(spark, "journal"), make=_provider)
     return new.select("id", "staged_action_id", "cluster_key", "provider_msg_id", "action_type", "outcome", "error_message", F.concat_ws(",", "prior_label_ids").alias("prior"), "reversal_kind")
 
 
@@ -65,7 +69,7 @@ FROM {_PLAN} p"""
 def left_staged(spark, d):
     """What stays staged if failures are kept: executed for single messages only."""
     staged = order_staged(spark, d).filter("provider_msg_id is not null or cluster_key like '%few%'")
-    _, left = actions.execute(staged, box.order_members(spark, d), box.order_messages(spark, d), store.empty(spark, "actions_log"), _call, moment(), store.scratch(spark, "journal"), keep_failed=True)
+    _, left = actions.execute_in_tasks(staged, box.order_members(spark, d), box.order_messages(spark, d), store.empty(spark, "actions_log"), {}, moment(), store.scratch(spark, "journal"), keep_failed=True, make=_provider)
     return left.select("id", *CLUSTER, "provider_msg_id", "action_type")
 
 

@@ -7,6 +7,7 @@ import json
 import os
 import tempfile
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +26,11 @@ def _local(path: str) -> str:
     return path.removeprefix("file://") if path.startswith("file://") else path.removeprefix("file:")
 
 
+def provider(options: dict) -> Callable[[str, list[str]], None]:
+    """The mutator that the options name."""
+    return {"gmail": GmailMutator, "graph": GraphMutator}[options["provider"]](options["base_url"], options.get("token"))
+
+
 @dataclass
 class Told(WriterCommitMessage):
     """What a task did: calls by outcome, and those that an attempt before it had made."""
@@ -37,12 +43,11 @@ class Writer(DataSourceArrowWriter):
     `<key>.json` after it, so a task that is run again passes over calls that were answered. A call that was asked but
     has no answer (its task was lost in between) isn't made again, as its effect isn't known: it counts as failed."""
 
-    def __init__(self, options: dict):
-        self.options, self.journal = options, _local(options["journal"])
+    def __init__(self, options: dict, make: Callable[[dict], Callable] | None = None):
+        self.options, self.journal, self.make = options, _local(options["journal"]), make or provider
 
     def write(self, iterator):
-        make = {"gmail": GmailMutator, "graph": GraphMutator}[self.options["provider"]]
-        mutator, counts = make(self.options["base_url"], self.options.get("token")), Counter()
+        mutator, counts = self.make(self.options), Counter()
         for b in iterator:
             for row in b.to_pylist():
                 counts[self.once(mutator, row)] += 1
@@ -110,14 +115,30 @@ class MailMutations(DataSource):
         return Writer(dict(self.options))
 
 
-def write_calls(calls: DataFrame, options: dict[str, str], tasks: int) -> None:
+def _sink(make: Callable[[dict], Callable]) -> type[DataSource]:
+    """MailMutations with calls of one's own."""
+
+    class OwnMutations(MailMutations):
+        @classmethod
+        def name(cls):
+            return "own_mutations"
+
+        def writer(self, schema, overwrite):
+            return Writer(dict(self.options), make)
+
+    return OwnMutations
+
+
+def write_calls(calls: DataFrame, options: dict[str, str], tasks: int, make: Callable[[dict], Callable] | None = None) -> None:
     """Makes the calls (CALLS) by `tasks` tasks, which bounds how many are under way. Needs tasks without twins, as two
-    attempts at a time could not tell a call under way from a lost one."""
+    attempts at a time could not tell a call under way from a lost one. make takes the options in a task and returns what
+    makes a call (action, ids); without it the options name a provider."""
     spark = calls.sparkSession
     if spark.conf.get("spark.speculation", "false") == "true":
         raise ValueError("spark.speculation runs tasks twice; calls are made once")
-    spark.dataSource.register(MailMutations)
-    calls.repartition(tasks, "staged_action_id", "wave", "chunk").write.format("mail_mutations").mode("append").options(**options).save()
+    sink = _sink(make) if make else MailMutations
+    spark.dataSource.register(sink)
+    calls.repartition(tasks, "staged_action_id", "wave", "chunk").write.format(sink.name()).mode("append").options(**options).save()
 
 
 def outcomes(spark: SparkSession, journal: str) -> DataFrame:

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from postmill.operators import actions, classify, jobs, store
+from postmill.plans import work
 from postmill.schema import TABLES
 from postmill.sources import mutations
 from tests.test_rest import server  # noqa: F401
@@ -129,3 +130,27 @@ def test_stopped_without_jobs(spark):
     assert calls == [1] and not t.is_alive()
     with pytest.raises(ZeroDivisionError), running.work("a", "sync"):
         1 / 0
+
+
+def test_calls_of_ones_own_by_tasks(spark, mail, tmp_path, monkeypatch):
+    """No message goes through the driver: calls are made where the plan's rows are, with a provider made there."""
+
+    def make(options):
+        def call(action, ids):
+            with open(f"{options['told']}/{action}-{ids[0]}", "x") as f:
+                f.write(str(len(ids)))
+            if action == "trash":
+                raise RuntimeError("http 500")
+
+        return call
+
+    def refused(*_, **__):
+        raise AssertionError("rows for the driver")
+
+    monkeypatch.setattr(type(mail[0]), "toLocalIterator", refused)
+    journal, at = f"file://{tmp_path}/j", F.lit(AT).cast("timestamp")
+    new, left = actions.execute_in_tasks(*mail, {"told": str(tmp_path)}, at, journal, chunk=10, tasks=3, keep_failed=True, make=make)
+    got = {r["action_type"]: (r["outcome"], r["error_message"], r["n"]) for r in new.groupBy("action_type", "outcome", "error_message").agg(F.count("*").alias("n")).collect()}
+    assert got == {"archive": ("success", None, 25), "trash": ("failure", "http 500", 1), "mark_read": ("success", None, 5), "unsubscribe": ("failure", "unsubscribe can't be executed", 1)}
+    assert sorted(r["id"] for r in left.collect()) == [2, 4] and sorted(int(p.read_text()) for p in tmp_path.glob("*-m*")) == [1, 5, 5, 10, 10]
+    assert work.execution(spark, "/root/testdata/sf0.001").count() > 0
