@@ -6,6 +6,7 @@ so a run that was stopped goes on where it was.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -20,7 +21,8 @@ from postmill.sources import pages
 #: Milliseconds that a walk may wait for a page before it counts as stalled.
 STALLED_MS = 15 * 60 * 1000
 FIELDS = [c.split()[0] for c in MESSAGE_FIELDS.split(", ")]
-#: What the fold hands on: a message after a change, or that it is gone; the largest version of a message holds.
+#: What the fold hands on: a message after a change, or that it is gone; the largest version of a message holds. kept:
+#: it wasn't deleted since the feed began, so what it had before holds.
 CHANGED = f"account_id string, provider_msg_id string, version long, alive boolean, kept boolean, {MESSAGE_FIELDS}"
 TURNS = f"{LANDED}, waiting long"
 #: The store that keyed state needs; and no batches for timers alone, with which a run over what is there wouldn't end.
@@ -95,47 +97,6 @@ class InTurn(StatefulProcessor):
         pass
 
 
-class Fold(StatefulProcessor):
-    """A message's state after changes that come page by page: of a page first its deletes, then its last upsert.
-
-    A message that was there before keeps its class (kept) until it is deleted. A null history id doesn't replace one.
-    """
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.message = handle.getValueState("message", f"version long, alive boolean, kept boolean, {MESSAGE_FIELDS}")
-
-    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        row = initialState.iloc[-1]
-        self.message.update((0, True, True, *(_plain(row[c]) for c in FIELDS)))
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        version, alive, kept, *own = self.message.get() if self.message.exists() else (0, False, False, *[None] * len(FIELDS))
-        changes = pd.concat(list(rows)).sort_values(["page", "op", "seq"])  # 'delete' before 'upsert'
-        history = FIELDS.index("history_id")
-        for change in changes.to_dict("records"):
-            if change["op"] == "delete":
-                alive, kept, own = False, False, [None] * len(FIELDS)
-            else:
-                new = [_plain(change[c]) for c in FIELDS]
-                new[history] = own[history] if new[history] is None else new[history]
-                alive, own = True, new
-        self.message.update((version + 1, alive, kept, *own))
-        frame = pd.DataFrame([(*key, version + 1, alive, kept, *own)], columns=["account_id", "provider_msg_id", "version", "alive", "kept", *FIELDS])
-        yield frame.astype({"internal_date": "Int64", "history_id": "Int64"})
-
-    def close(self) -> None:
-        pass
-
-
-def _plain(x):
-    """A cell of a pandas frame as a value of a state row."""
-    if isinstance(x, (list, tuple)) or hasattr(x, "tolist") and getattr(x, "ndim", 0):
-        return [str(v) for v in x]
-    if x is None or x is pd.NA or isinstance(x, float) and x != x:
-        return None
-    return int(x) if not isinstance(x, str) else x
-
-
 def in_turn(landed: DataFrame, stalled_ms: int = STALLED_MS) -> DataFrame:
     """TURNS rows of a stream of landed pages (LANDED), one walk for each account, pages numbered from 0."""
     return landed.select(*[c.split()[0] for c in LANDED.split(", ")]).groupBy("account_id").transformWithStateInPandas(InTurn(stalled_ms), TURNS, "Append", "ProcessingTime")
@@ -152,31 +113,52 @@ def changes_in_turn(turns: DataFrame, bodies: DataFrame) -> DataFrame:
     return gone.select(*order).unionByName(new.select(*order))
 
 
-def folded_stream(changes: DataFrame, messages: DataFrame) -> DataFrame:
-    """CHANGED rows of a stream of FEED rows over the messages that were there before."""
-    known = messages.select("account_id", "provider_msg_id", *FIELDS).groupBy("account_id", "provider_msg_id")
-    return changes.groupBy("account_id", "provider_msg_id").transformWithStateInPandas(Fold(), CHANGED, "Append", "None", initialState=known)
+def folded_stream(changes: DataFrame) -> DataFrame:
+    """CHANGED rows, but for the version, of a stream of FEED rows: each message's state after changes that come page by
+    page, of a page first its deletes, then its last upsert. A null history id doesn't replace one.
+
+    Largest pages are all that the state has to keep: the last delete's, the last upsert's and that of the last history
+    id. So it is Spark's own aggregation, combined before the shuffle, and no key is handed to Python.
+    """
+    upsert, place = F.col("op") == "upsert", ("page", "seq")
+    dead = F.max(F.when(F.col("op") == "delete", F.col("page"))).alias("dead")
+    last = F.max(F.when(upsert, F.struct(*place, F.struct(*FIELDS).alias("own")))).alias("last")
+    history = F.max(F.when(upsert & F.col("history_id").isNotNull(), F.struct(*place, "history_id"))).alias("history")
+    rows = changes.groupBy("account_id", "provider_msg_id").agg(dead, last, history)
+    since = lambda c: F.coalesce(F.col(f"{c}.page") >= F.coalesce("dead", F.lit(0)), F.lit(False))
+    own = {c: F.col(f"last.own.{c}") for c in FIELDS} | {"history_id": F.when(since("history"), F.col("history.history_id"))}
+    return rows.select("account_id", "provider_msg_id", since("last").alias("alive"), F.col("dead").isNull().alias("kept"), *[F.when(since("last"), v).alias(c) for c, v in own.items()])
 
 
 def feed(spark: SparkSession, landed: str, messages: DataFrame, bodies: DataFrame, log: str, checkpoint: str, files: int = 1000, stalled_ms: int = STALLED_MS) -> None:
     """Appends to `log` what the pages landed so far, and not yet taken, change in the messages; returns when all are taken.
 
     Two streams, each with its own checkpoint: pages in turn by account, stored beside the log, then the fold by
-    message. An account's pages, which are sequential by nature, meet in one task; its messages don't.
+    message. An account's pages, which are sequential by nature, meet in one task; its messages don't. The messages
+    aren't read here: after_feed() puts the log over them. A batch that is run again writes the same part of the log.
     """
     turns = f"{log}-turns"
 
-    def finish(df: DataFrame, path: str, name: str) -> None:
-        df.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{checkpoint}/{name}").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    def append(rows: DataFrame, number: int) -> None:
+        run_id = json.loads(spark.read.text(f"{checkpoint}/fold/metadata").first()[0])["id"]
+        out = rows.withColumn("version", F.lit(number + 1).cast("long")).select(*[c.split()[0] for c in CHANGED.split(", ")])
+        out.write.mode("overwrite").parquet(f"{log}/run={run_id}/batch={number}")
+
+    def finish(stream, name: str) -> None:
+        stream.option("checkpointLocation", f"{checkpoint}/{name}").trigger(availableNow=True).start().awaitTermination()
 
     with state_store(spark):
         source = spark.readStream.schema(LANDED).options(maxFilesPerTrigger=files, **pages.WHOLE).json(landed)
-        finish(in_turn(source, stalled_ms), turns, "turns")
-        finish(folded_stream(changes_in_turn(spark.readStream.schema(TURNS).parquet(turns), bodies), messages), log, "fold")
+        finish(in_turn(source, stalled_ms).writeStream.format("parquet").option("path", turns).outputMode("append"), "turns")
+        changes = changes_in_turn(spark.readStream.schema(TURNS).parquet(turns), bodies)
+        finish(folded_stream(changes).writeStream.foreachBatch(append).outputMode("update"), "fold")
 
 
 def after_feed(messages: DataFrame, log: DataFrame) -> DataFrame:
     """messages with what the log of CHANGED rows says last of each: gone, changed or new; kept tells a class that holds."""
-    last = log.groupBy("account_id", "provider_msg_id").agg(F.max_by(F.struct("alive", "kept", *FIELDS), "version").alias("m")).select("account_id", "provider_msg_id", "m.*")
-    same = messages.join(last.select("account_id", "provider_msg_id"), ["account_id", "provider_msg_id"], "left_anti").select("account_id", "provider_msg_id", F.lit(True).alias("kept"), *FIELDS)
-    return same.unionByName(last.filter("alive").drop("alive"))
+    last = log.groupBy("account_id", "provider_msg_id").agg(F.max_by(F.struct("alive", "kept", *FIELDS), "version").alias("m"))
+    both = messages.select("account_id", "provider_msg_id", F.struct(*FIELDS).alias("was")).join(last, ["account_id", "provider_msg_id"], "full_outer")
+    own = {c: F.when(F.col("m").isNull(), F.col(f"was.{c}")).otherwise(F.col(f"m.{c}")) for c in FIELDS}
+    own["history_id"] = F.when(F.coalesce("m.kept", F.lit(True)), F.coalesce("m.history_id", "was.history_id")).otherwise(F.col("m.history_id"))
+    kept = F.col("was").isNotNull() & F.coalesce("m.kept", F.lit(True))
+    return both.filter("m is null or m.alive").select("account_id", "provider_msg_id", kept.alias("kept"), *[v.alias(c) for c, v in own.items()])

@@ -6,7 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from postmill.schema import LANDED, TABLES
+from postmill.schema import FEED, LANDED, TABLES
 from postmill.streaming import keyed
 
 
@@ -63,3 +63,13 @@ def test_stalled_walks_are_told_and_go_on(spark, tmp_path):
     told = [("a", "stalled", 0, 2), ("b", "gmail_history", 0, 0), ("b", "gmail_history", 1, 0)]
     assert run([page("b", 1)]) == told
     assert run([page("a", 0)]) == sorted([*told, *(("a", "gmail_history", n, 0) for n in range(3))])
+
+
+def test_no_message_is_handed_to_python(spark, known):
+    """Only pages in turn are keyed state in Python; the fold by message isn't, and null history ids don't replace one."""
+    rows = [(0, 0, "upsert", "a", "old", "s0", None), (1, 0, "delete", "a", "gone", None, None), (2, 0, "upsert", "a", "gone", "s2", None), (3, 0, "upsert", "a", "new", "s3", 8), (4, 0, "upsert", "a", "new", "s4", None)]
+    feed = spark.createDataFrame([], FEED).unionByName(spark.createDataFrame(rows, "page long, seq long, op string, account_id string, provider_msg_id string, subject string, history_id long"), allowMissingColumns=True)
+    folded = keyed.folded_stream(feed).withColumn("version", F.lit(1).cast("long"))
+    got = {r["provider_msg_id"]: (r["subject"], r["history_id"], r["kept"]) for r in keyed.after_feed(known, folded).collect()}
+    assert got == {"old": ("s0", 5, True), "gone": ("s2", None, False), "new": ("s4", 8, False), "idle": ("was", 5, True)}
+    assert "InPandas" not in folded._jdf.queryExecution().toString()
